@@ -90,7 +90,7 @@ def owner() -> Column:
 def family() -> Column:
     """Name without owner, serialization suffix and separators' differences."""
     name = F.regexp_replace(F.lower(F.element_at(F.split("repo_id", "/"), -1)), P.java(P.BASE_SUFFIX), "")
-    return F.trim(F.lit("-"), F.translate(name, "_.", "--"))
+    return F.trim(F.translate(name, "_.", "--"), F.lit("-"))
 
 
 def checkpoint_family() -> Column:

@@ -4,7 +4,7 @@ For every participant of a dialogue (a role other than system) the whole dialogu
 messages as "assistant", with loss mask 1 over their content and end mark, all others' as "user" with their name and
 mask 0, system messages as "system" with mask 0. The result has a row for each message of each rendering: its place,
 its rendered segment, and the code point offsets of the segment and of the masked span in the rendering, which is the
-segments in order of place. A dialogue is never gathered into one value or one task: places and offsets are sums
+segments in order of place; the name is empty and the masked span -1 where there is none. A dialogue is never gathered into one value or one task: places and offsets are sums
 within blocks of BLOCK turns plus a prefix sum over the blocks.
 
     <|system|>\\ntext<|end|>\\n      <|user name=NAME|>\\ntext<|end|>\\n      <|assistant|>\\ntext<|end|>\\n
@@ -55,9 +55,9 @@ def rotate(messages: DataFrame) -> DataFrame:
     role = F.when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).when(F.col("mask"), F.lit("assistant")).otherwise(F.lit("user"))
     return each.select(
         "conv_id", "perspective", (F.col("n0") + F.col("n1") + F.col("i")).alias("place"), "turn", role.alias("role"),
-        F.when((F.col("speaker") != SYSTEM) & ~F.col("mask"), F.col("speaker")).alias("name"), "segment",
+        F.when((F.col("speaker") != SYSTEM) & ~F.col("mask"), F.col("speaker")).otherwise("").alias("name"), "segment",
         "start", (F.col("start") + F.col("size")).alias("stop"), F.col("mask").cast("int").alias("mask"),
-        F.when(F.col("mask"), F.col("start") + F.col("head")).alias("mask_start"), F.when(F.col("mask"), F.col("start") + F.col("size") - 1).alias("mask_stop"),
+        F.when(F.col("mask"), F.col("start") + F.col("head")).otherwise(-1).alias("mask_start"), F.when(F.col("mask"), F.col("start") + F.col("size") - 1).otherwise(-1).alias("mask_stop"),
     )
 
 
@@ -76,9 +76,9 @@ w AS (SELECT *, length(segment) AS size, row_number() OVER o - 1 AS place, coale
   FROM g WINDOW o AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text))
 SELECT conv_id, perspective, CAST(place AS BIGINT) AS place, CAST(turn AS BIGINT) AS turn,
   CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role,
-  CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name, segment,
+  CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker ELSE '' END AS name, segment,
   CAST(start AS BIGINT) AS start, CAST(start + size AS BIGINT) AS stop, CAST(speaker = perspective AS INTEGER) AS mask,
-  CASE WHEN speaker = perspective THEN CAST(start + length(header) AS BIGINT) END AS mask_start,
-  CASE WHEN speaker = perspective THEN CAST(start + size - 1 AS BIGINT) END AS mask_stop
+  CASE WHEN speaker = perspective THEN CAST(start + length(header) AS BIGINT) ELSE -1 END AS mask_start,
+  CASE WHEN speaker = perspective THEN CAST(start + size - 1 AS BIGINT) ELSE -1 END AS mask_stop
 FROM w
 """

@@ -40,6 +40,7 @@ LANDMARKS, ROUNDS = 160, 3
 MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES = 2000, 4000, 6000
 THRESHOLD = 0.3
 CACHE_UNITS = 400_000
+BLOCK = 4000  # units whose triples are held at once
 _MARKS = re.compile(r"[\W\d_]+")
 _BEST = 2
 
@@ -224,9 +225,10 @@ def fit(bags: list[list[str]], labels: np.ndarray) -> Model:
     spread, totals = np.zeros((2, size)), np.zeros(2)
     background = common[:MAX_NEGATIVES] + [rest[i] for i in rng.permutation(len(rest))[: 4 * MAX_NEGATIVES]]
     for side, (own, times) in enumerate(((background, np.ones(len(background))), (pool, np.array([df[u] for u in pool], float)))):
-        w, ids, _ = phi(own, letters)
-        pair = np.unique(w * size + ids)
-        spread[side] = np.bincount(pair % size, weights=times[pair // size], minlength=size)
+        for a in range(0, len(own), BLOCK):
+            w, ids, _ = phi(own[a : a + BLOCK], letters)
+            pair = np.unique(w * size + ids)
+            spread[side] += np.bincount(pair % size, weights=times[a + pair // size], minlength=size)
         totals[side] = max(1.0, times.sum())
     mean = (spread.sum(0) + 1e-9) / totals.sum()
     z = (spread[1] / totals[1] - spread[0] / totals[0]) / np.sqrt(mean * (1 / totals).sum())
@@ -246,8 +248,11 @@ def fit(bags: list[list[str]], labels: np.ndarray) -> Model:
         hard = np.argsort(-model.values(negatives), kind="stable")
         marks = positives[: LANDMARKS // 2] + positives[LANDMARKS // 2 :: max(1, len(positives) // (LANDMARKS // 4))][: LANDMARKS // 4] + [negatives[i] for i in hard[: LANDMARKS // 4]]
         w, ids, v = phi(marks, letters)
-        of_mark = np.zeros((size, len(marks)), np.float32)
-        np.add.at(of_mark, (ids, w), v)
+        used = np.unique(ids)  # triples of no landmark have no row
+        row_of = np.full(size, len(used), np.int32)
+        row_of[used] = np.arange(len(used))
+        of_mark = np.zeros((len(used) + 1, len(marks)), np.float32)  # the last row, of zeros, for all other triples
+        np.add.at(of_mark, (row_of[ids], w), v)
         gram = of_mark.T @ of_mark
         s, u = np.linalg.eigh(gram.astype(np.float64))
         keep = s > 1e-6 * s.max()
@@ -261,14 +266,16 @@ def fit(bags: list[list[str]], labels: np.ndarray) -> Model:
         for i in range(len(train)):
             a, b = edge[i], edge[i + 1]
             if b > a:
-                k[i] = v[a:b] @ of_mark[ids[a:b]]
+                k[i] = v[a:b] @ of_mark[row_of[ids[a:b]]]
         x = np.hstack([k @ whiten, np.ones((len(train), 1))])
         y = np.where(np.arange(len(train)) < len(positives), 1.0, -1.0)
         weight = np.ones(len(train))
         weight[: len(positives)] = [chosen[p] for p in positives]
         weight[: len(positives)] *= 0.5 * (len(train) - len(positives)) / weight[: len(positives)].sum()
         solved = _svm(x, y, weight)
-        model = Model(letters, (of_mark @ (whiten @ solved[:-1])).astype(np.float32), float(solved[-1]), np.zeros(3))
+        weights = np.zeros(size, np.float32)
+        weights[used] = of_mark[:-1] @ (whiten @ solved[:-1])
+        model = Model(letters, weights, float(solved[-1]), np.zeros(3))
     known = list({u for b in bags for u in b})
     model.cache = dict(zip(known, model.values(known).tolist(), strict=True))
     low = model.bias - 1.0
@@ -300,7 +307,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     kinds = dict(texts.dtypes)
     rows = arrow_map(texts, run, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, units string").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["units"]))
-    return fit([r["units"].split("\n") if r["units"] else [] for r in rows], np.array([r["toxic"] > 0 for r in rows]))
+    one: dict[str, str] = {}  # a unit of many texts is held once
+    bags = [[one.setdefault(u, u) for u in r["units"].split("\n")] if r["units"] else [] for r in rows]
+    marks = np.array([r["toxic"] > 0 for r in rows])
+    del rows, one
+    return fit(bags, marks)
 
 
 _models: dict[str, Model] = {}

@@ -9,9 +9,11 @@ with probability (1 - 0.8**4)**24 = 3e-6.
 Texts that agree on a sketch form a bucket. Pairs are never emitted all against all: in each bucket, in hashed order, a
 text that agrees on AGREE sketches with earlier leaders becomes their candidate, and leads itself if there is none; a
 bucket of over PART texts is led in parts, then among the parts' leaders. At 0.8 fewer than AGREE sketches agree with
-probability 5e-4. Candidates are verified; buckets with failed ones that span several groups are led again in another order, as
-texts of one leader may be alike where the leader is not, until a turn joins no groups. No bucket and no partner is dropped. A comparison
-aligns the two sequences of shingles: matching labelled shingles within the band of shifts that the threshold allows,
+probability 5e-4. Candidates are verified. Texts of one leader may be alike where the leader is not, so every bucket that
+then spans several groups is gone through pair by pair: each pair of different groups that agrees on AGREE sketches and was
+not yet compared is compared. No bucket and no partner is dropped. Such pairs are many only among texts that share a
+template without being near copies; their number grows with the square of such a family. A comparison aligns
+the two sequences of shingles: matching labelled shingles within the band of shifts that the threshold allows,
 longest increasing chain, and similarity = chain / (n + m - chain) >= THRESHOLD. Links are closed to groups by
 connected components.
 
@@ -41,6 +43,7 @@ THRESHOLD = 0.8
 CHUNK = 32
 AGREE = 3
 PART = 2048
+TILE = 64
 _U = np.uint64
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0xD1B54A32D192ED03 * (i + 7)) % (1 << 64) | 1 for i in range(SKETCHES)], _U)
 
@@ -206,42 +209,123 @@ def _leaders(rows: DataFrame, keys: list[str]) -> DataFrame:
     return arrow_map(sorted_rows, run, "bucket long, center binary, node binary")
 
 
-def _led(rows: DataFrame, turn: int) -> DataFrame:
-    """Candidate pairs of one turn: leaders of parts of a bucket first, then leaders among those."""
-    dealt = rows.withColumns({"rank": F.xxhash64("node", F.lit(turn)), "part": F.pmod(F.xxhash64("node", F.lit(-1)), F.ceil(F.col("n") / PART))})
+def _led(rows: DataFrame) -> DataFrame:
+    """Candidate pairs: leaders of parts of a bucket first, then leaders among those."""
+    dealt = rows.withColumns({"rank": F.xxhash64("node", F.lit(0)), "part": F.pmod(F.xxhash64("node", F.lit(-1)), F.ceil(F.col("n") / PART))})
     first = durable(_leaders(dealt, ["bucket", "part"]))
     large = dealt.where(F.col("n") > PART).join(first.where("center IS NULL").select("bucket", "node"), ["bucket", "node"], "left_semi")
     pairs = first.where("center IS NOT NULL").select("center", "node").union(_leaders(large, ["bucket"]).where("center IS NOT NULL").select("center", "node"))
     return pairs.select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node")).distinct()
 
 
+def _rest(rows: DataFrame) -> DataFrame:
+    """All pairs (center, node) with their bucket that have different roots and agree on AGREE sketches, each from the bucket of
+    its first agreeing sketch. Parts of a large bucket meet two by two, each two in a group of their own."""
+    parts = F.ceil(F.col("n") / PART).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(-1)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("bucket", "k", "i", "j", "n", "own", "node", "root", "sketches")
+    sorted_rows = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "root", "node")
+
+    def pairs(key, k, n, own, nodes, roots, parts):
+        matrix, own = np.concatenate(parts), np.array(own)
+        code = {r: c for c, r in enumerate(dict.fromkeys(roots))}
+        root, names = np.array([code[r] for r in roots]), np.array(nodes, object)
+        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
+        for at in range(0, len(left), 256):
+            a = left[at : at + 256]
+            b = right[right > a[0]] if key[1] == key[2] else right
+            if (root[a] == root[a[0]]).all():
+                b = b[root[b] != root[a[0]]]
+            if not len(b):
+                continue
+            equal = np.zeros((len(a), len(b)), np.int8)
+            for s in range(SKETCHES):
+                same = matrix[a, s][:, None] == matrix[b, s][None, :]
+                if s < k:
+                    equal -= same * np.int8(SKETCHES + 1)
+                    np.maximum(equal, -SKETCHES - 1, out=equal)
+                else:
+                    equal += same
+            wanted = (equal >= AGREE) & (root[a][:, None] != root[b][None, :])
+            if key[1] == key[2]:
+                wanted &= b[None, :] > a[:, None]
+            x, y = np.nonzero(wanted)
+            if len(x):
+                x, y = names[a[x]], names[b[y]]
+                lone = [pa.array(np.full(len(x), v, np.int64)) for v in (key[0], n)]
+                yield pa.RecordBatch.from_arrays([*lone, pa.array(np.where(x < y, x, y), pa.binary()), pa.array(np.where(x < y, y, x), pa.binary())], ["bucket", "n", "center", "node"])
+
+    def run(batches):
+        key, k, n, held = None, 0, 0, ([], [], [], [])
+        for batch in batches:
+            values = batch.column("sketches")
+            matrix = np.asarray(values.values.slice(values.offset * SKETCHES, len(values) * SKETCHES)).reshape(-1, SKETCHES)
+            columns = [np.asarray(batch.column(c)) for c in ("bucket", "i", "j")]
+            edge = np.ones(len(values) + 1, bool)
+            edge[1:-1] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+            edge = np.flatnonzero(edge)
+            lists = [batch.column(c).to_pylist() for c in ("own", "node", "root")]
+            for a, b in zip(edge, edge[1:], strict=False):
+                new = tuple(int(c[a]) for c in columns)
+                if new != key:
+                    if key is not None:
+                        yield from pairs(key, k, n, *held)
+                    key, k, n, held = new, batch.column("k")[int(a)].as_py(), batch.column("n")[int(a)].as_py(), ([], [], [], [])
+                for h, v in zip(held, lists, strict=False):
+                    h.extend(v[a:b])
+                held[3].append(matrix[a:b])
+        if key is not None:
+            yield from pairs(key, k, n, *held)
+
+    return arrow_map(sorted_rows, run, "bucket long, n long, center binary, node binary")
+
+
+def _verified_tiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """As _verified, for pairs of _rest: a bucket's pairs are dealt to tiles of about TILE by TILE texts, and a text travels
+    once to each of its tiles, not once for each of its pairs."""
+    side = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / TILE))
+    dealt = pairs.select("bucket", side("center").alias("x"), side("node").alias("y"), "center", "node")
+    wanted = dealt.select("bucket", "x", "y", F.col("center").alias("node")).union(dealt.select("bucket", "x", "y", "node")).distinct()
+    members = wanted.join(texts, "node").select("bucket", "x", "y", F.lit(0).alias("side"), F.lit(None).cast("binary").alias("center"), "node", "text")
+    tested = dealt.select("bucket", "x", "y", F.lit(1).alias("side"), "center", "node", F.lit(None).cast("string").alias("text"))
+    both = members.unionByName(tested).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side")
+
+    def run(batches):
+        key, own = None, {}
+        for batch in batches:
+            for part in chunks(batch):
+                g, bounds = shingles(*hashed_words(part.column("text")))
+                found, columns = [], [part.column(c).to_pylist() for c in ("bucket", "x", "y", "center", "node")]
+                for i, (bucket, x, y, c, node) in enumerate(zip(*columns, strict=True)):
+                    if (bucket, x, y) != key:
+                        key, own = (bucket, x, y), {}
+                    if c is None:
+                        own[node] = g[bounds[i] : bounds[i + 1]].copy()
+                    elif similarity(own[c], own[node]):
+                        found.append((c, node))
+                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["center", "node"])
+
+    return arrow_map(both, run, "center binary, node binary")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, node, words, class_id and links (verified links of the row's text to other texts)."""
     rows = written(sketched(docs), "sketches")
     nodes = rows.where(F.size("sketches") > 0).groupBy("node").agg(F.first("sketches").alias("sketches"))
-    entries = nodes.select("node", F.posexplode("sketches").alias("k", "value")).select("node", F.xxhash64("k", "value").alias("bucket"))
+    entries = nodes.select("node", F.posexplode("sketches").alias("k", "value")).select("node", "k", F.xxhash64("k", "value").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    left = written(entries.join(shared, "bucket"), "buckets")
-    wanted = left.select("node").distinct()
+    buckets = written(entries.join(shared, "bucket"), "buckets")
+    wanted = buckets.select("node").distinct()
     texts = written(_with_nodes(docs).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidates")
-    new = durable(_led(left.join(nodes, "node"), 0))
-    links = durable(_verified(new, texts))
-    roots, tried, turn = durable(components(links.select(F.col("center").alias("a"), F.col("node").alias("b")))), new, 0
-    while True:
-        failed = new.join(links, ["center", "node"], "left_anti")
-        failed = failed.select("node").union(failed.select("center")).distinct()
-        placed = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-        touched = left.join(failed, "node", "left_semi").select("bucket").distinct().join(apart, "bucket", "left_semi")
-        left = durable(left.join(touched, "bucket", "left_semi"))
-        turn += 1
-        near, far = roots.select(F.col("node").alias("center"), F.col("root").alias("r1")), roots.select("node", F.col("root").alias("r2"))
-        pairs = _led(left.join(nodes, "node"), turn).join(tried, ["center", "node"], "left_anti").join(near, "center", "left").join(far, "node", "left")
-        new = durable(pairs.where(F.coalesce("r1", "center") != F.coalesce("r2", "node")).select("center", "node"))
-        good = durable(_verified(new, texts))
-        if good.isEmpty():
-            break
-        links, tried = durable(links.union(good)), durable(tried.union(new))
+    tried = durable(_led(buckets.join(nodes, "node")))
+    links = durable(_verified(tried, texts))
+    roots = durable(components(links.select(F.col("center").alias("a"), F.col("node").alias("b"))))
+    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
+    new = durable(_rest(placed.join(apart, "bucket", "left_semi").join(nodes, "node")).join(tried, ["center", "node"], "left_anti"))
+    good = durable(_verified_tiles(new, texts))
+    if not good.isEmpty():
+        links = durable(links.union(good))
         roots = durable(components(links.select(F.col("center").alias("a"), F.col("node").alias("b"))))
     degree = links.select("center").union(links.select("node")).groupBy(F.col("center").alias("node")).agg(F.count(F.lit(1)).alias("links"))
     placed = rows.select("doc_id", "node", "words").join(roots, "node", "left").join(degree, "node", "left")

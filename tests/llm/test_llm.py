@@ -178,6 +178,25 @@ def test_near_dedup_recall(spark):
                 assert cls[docs.doc_id[i]] == cls[docs.doc_id[j]]
 
 
+def test_near_dedup_template_family(spark):
+    """Texts of one template at about 0.7, some pairs at 0.8: pairs whose texts follow other leaders are found too."""
+    rng = random.Random(5)
+
+    def edited(words, k, tag):
+        words = list(words)
+        for at in rng.sample(range(len(words)), k):
+            words[at] = f"{tag}x{at}"
+        return words
+
+    texts = [edited([f"t{i}" for i in range(300)], rng.randint(4, 7), f"a{i}") for i in range(580)]
+    texts += [edited(texts[rng.randrange(580)], rng.randint(5, 6), f"c{i}") for i in range(20)]
+    texts = [" ".join(t) for t in texts]
+    g, b = near_dedup.shingles(*hashed_words(pa.array(texts)))
+    cls = {r["doc_id"]: r["class_id"] for r in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    pairs = [(i, j) for i in range(600) for j in range(i + 1, 600) if near_dedup.similarity(g[b[i] : b[i + 1]], g[b[j] : b[j + 1]])]
+    assert len(pairs) == 678 and all(cls[i] == cls[j] for i, j in pairs)
+
+
 def test_lm(spark, odd, none):
     got = {(r["doc_id"], r["n_tokens"]): r for r in lm_scoring.score(odd, odd).collect()}
     words = lambda x: [w for w in re.split(r"[ \t-\r]+", re.sub("[A-Z]", lambda a: a.group().lower(), x or "")) if w] + ["\0"]

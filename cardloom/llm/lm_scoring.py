@@ -3,8 +3,9 @@
 Tokens are blank-separated words with A-Z lower-cased, and an end after each text. Counts of all tokens of all training
 texts are summed in Spark by 64-bit hash. The model predicts a class: one of the HEAD most frequent tokens, or "rest",
 from the classes of the two tokens before: r = R[a] C1 + R[b] C2, score of w = r . Q[w] + bias[w]. It is trained on the
-counts of all class triples of all training texts (at most (HEAD + 2)^3, which bounds what the driver holds), drawn by count,
-against NOISE draws from the class frequencies each. For scoring, batched matrix products over all (HEAD + 2)^2 contexts
+counts of all class triples of all training texts (at most (HEAD + 2)^3, which bounds what the driver holds): each of PASSES
+steps takes the gradient over every counted triple, against the expected NOISE draws from the class frequencies each, so
+nothing is sampled. For scoring, batched matrix products over all (HEAD + 2)^2 contexts
 give exactly normalised log-probabilities. A token of the rest class also costs its share of the rest by count,
 (c + 0.1) / (N_rest + 0.1 (V_rest + 1)), so that probabilities of all tokens, with one unseen, sum to one. Counts of rest
 tokens reach their texts by a shuffled join of distinct tokens; no vocabulary is collected or broadcast.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import _LOWER, arrow_map, chunks, crc_mod, span_hashes, table, text_bytes, word_spans, written, _NOT_SPACE
 
 HEAD = 126
-WIDTH, NOISE, STEPS, BATCH = 24, 12, 1000, 1024
+WIDTH, NOISE, PASSES = 24, 12, 300
 END = 0x454E44  # the end token's key; word hashes are 64 bits
 PAD = 0.1
 
@@ -99,33 +100,27 @@ def train(triples: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     c1, c2 = (np.eye(WIDTH) * w for w in (0.5, 1.0))
     c1, c2, bias = c1.astype(np.float32), c2.astype(np.float32), np.log(unigram).astype(np.float32)
     params = [r, q, c1, c2, bias]
-    squares = [np.full_like(p, 1e-2) for p in params]
     if len(triples):
-        cum = np.cumsum(triples[:, 1] / triples[:, 1].sum())
-        noise_cum, log_noise = np.cumsum(unigram), (np.log(NOISE) + np.log(unigram)).astype(np.float32)
-        for step in range(STEPS):
-            t = triples[np.minimum(np.searchsorted(cum, rng.random(BATCH)), len(cum) - 1), 0]
-            w, ctx = t % v, t // v
-            a, b = ctx // m, ctx % m
-            noise = np.minimum(np.searchsorted(noise_cum, rng.random(NOISE * 8)), v - 1)  # shared by the batch, in 8 groups
-            group = np.arange(BATCH) % 8
-            words = np.concatenate([w[:, None], noise.reshape(8, NOISE)[group]], 1)
-            h = r[a] @ c1 + r[b] @ c2
-            s = np.einsum("bd,bkd->bk", h, q[words]) + bias[words] - log_noise[words]
-            err = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-            err[:, 0] += 1
-            err = (err / BATCH).astype(np.float32)
-            dh = np.einsum("bk,bkd->bd", err, q[words])
-            dq, db = np.zeros_like(q), np.zeros_like(bias)
-            np.add.at(dq, words, err[:, :, None] * h[:, None, :])
-            np.add.at(db, words, err)
+        at = np.unique(triples[:, 0] // v)  # the contexts that occur
+        one, two = at // m, at % m
+        seen = np.zeros((len(at), v), np.float32)
+        seen[np.searchsorted(at, triples[:, 0] // v), triples[:, 0] % v] = triples[:, 1] / triples[:, 1].sum()
+        noise = (NOISE * seen.sum(1, keepdims=True) * unigram).astype(np.float32)
+        both, log_noise = seen + noise, (np.log(NOISE) + np.log(unigram)).astype(np.float32)
+        mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+        for step in range(PASSES):
+            left, right = r[one], r[two]
+            h = left @ c1 + right @ c2
+            err = seen - both / (1 + np.exp(-np.clip(h @ q.T + (bias - log_noise), -30, 30)))
+            dh = err @ q
             dr = np.zeros_like(r)
-            np.add.at(dr, a, dh @ c1.T)
-            np.add.at(dr, b, dh @ c2.T)
-            rate = 0.3 * (1 - step / STEPS)
-            for p, g, sq in zip(params, (dr, dq, r[a].T @ dh, r[b].T @ dh, db), squares, strict=True):
-                sq += g * g * BATCH
-                p += rate * g * np.sqrt(BATCH) / np.sqrt(sq) / 10
+            np.add.at(dr, one, dh @ c1.T)
+            np.add.at(dr, two, dh @ c2.T)
+            rate = 0.05 * (1 - step / PASSES)
+            for p, g, mu, sq in zip(params, (dr, err.T @ h, left.T @ dh, right.T @ dh, err.sum(0)), mean, square, strict=True):
+                mu += 0.1 * (g - mu)
+                sq += 0.01 * (g * g - sq)
+                p += rate * (mu / (1 - 0.9 ** (step + 1))) / (np.sqrt(sq / (1 - 0.99 ** (step + 1))) + 1e-12)
     left, right = r @ c1, r @ c2
     logits = ((left[:, None, :] + right[None, :, :]).reshape(m * m, WIDTH) @ q.T) + bias
     top = logits.max(1, keepdims=True)

@@ -214,6 +214,12 @@ def test_lm_normalised():
     assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
 
 
+def test_lm_trains_on_every_triple():
+    """A context of a millionth of all tokens is learnt: no sample of a fixed size sees it."""
+    triples = np.array([[0, 10**9], [2 * 6 * 5 + 2 * 5 + 3, 1000]])
+    assert lm_scoring.train(triples, 4)[2 * 6 + 2, 3] > np.log10(0.5)
+
+
 def test_toxicity():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice(["ta", "ne", "ri", "so", "lu", "mo", "ke"]) for _ in range(rng.randrange(1, 4)))

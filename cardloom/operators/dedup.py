@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import patterns as P
+from . import taxonomy as X
 
-def dedup_pass(records: DataFrame, eligible: Column, keys: list[Column], order: list[Column], method: str, at_least: int = 1) -> DataFrame:
-    """Among eligible records with equal keys the first in order keeps its cost; the others get `method`."""
+
+def dedup_pass(records: DataFrame, eligible: Column, keys: list[Column], order: list[Column], method: str, at_least: int = 1, some: Column | None = None) -> DataFrame:
+    """Among eligible records with equal keys the first in order keeps its cost; the others get `method`. With `some`, only
+    where it holds for one record of the group at least."""
     names = [f"_k{i}" for i in range(len(keys))]
-    ready = records.withColumns(dict(zip(names, keys, strict=True)) | {"_in": F.coalesce(eligible, F.lit(False))})
+    ready = records.withColumns(dict(zip(names, keys, strict=True)) | {"_in": F.coalesce(eligible, F.lit(False)), "_some": F.lit(True) if some is None else F.coalesce(some, F.lit(False))})
     w = Window.partitionBy("_in", *names)
-    ranked = ready.withColumns({"_rank": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w)})
-    lost = F.col("_in") & (F.col("_rank") > 1) & (F.col("_n") >= at_least)
+    ranked = ready.withColumns({"_rank": F.row_number().over(w.orderBy(*order)), "_n": F.count(F.lit(1)).over(w), "_some": F.max("_some").over(w)})
+    lost = F.col("_in") & (F.col("_rank") > 1) & (F.col("_n") >= at_least) & F.col("_some")
     money = {c: F.when(~lost, F.col(c)) for c in ("cost", "lower", "upper")}
-    return ranked.withColumns(money | {"method": F.when(lost, F.lit(method)).otherwise(F.col("method"))}).drop("_in", "_rank", "_n", *names)
+    return ranked.withColumns(money | {"method": F.when(lost, F.lit(method)).otherwise(F.col("method"))}).drop("_in", "_rank", "_n", "_some", *names)
 
 
 def by_age() -> list[Column]:
@@ -23,3 +27,31 @@ def by_age() -> list[Column]:
 
 def by_fame() -> list[Column]:
     return [F.col("likes").desc(), F.col("downloads").desc(), F.col("created_at").asc(), F.col("ordinal").asc()]
+
+
+def _name() -> Column:
+    """All after the first slash."""
+    return F.regexp_extract(F.lower("repo_id"), "(?s)/(.*)", 1)
+
+
+def _base_cost() -> Column:
+    return F.coalesce(F.col("method").startswith("formula_txt_") | F.col("method").startswith("reported_pretraining_tokens_"), F.lit(False)) & F.col("cost").isNotNull()
+
+
+def reported_trajectory(records: DataFrame) -> DataFrame:
+    """W2: dated snapshots of a name, one of them dated at least; the largest cost stays."""
+    ok = F.col("kind").isin("finetune", "adapter") & F.col("method").isin("gpu_hours_x_hourly_rate", "reported_total_cost") & F.col("cost").isNotNull() & F.col("repo_id").contains("/")
+    keys = [F.col("selection"), F.lower("owner"), F.col("kind"), F.coalesce(F.lower("base_model"), F.lit("")), F.regexp_replace(_name(), P.java(P.DATE_SUFFIX), ""), F.col("params")]
+    return dedup_pass(records, ok, keys, [F.desc("cost"), F.desc("created_at"), F.asc("ordinal")], "duplicate_reported_training_trajectory", 2, _name().rlike(P.java(P.DATE_SUFFIX)))
+
+
+def checkpoint_trajectory(records: DataFrame) -> DataFrame:
+    """W4: checkpoints of one owner's name; a name without a checkpoint suffix takes no part."""
+    keys = [F.col("selection"), F.lower("owner"), F.regexp_replace(_name(), P.java(P.CHECKPOINT_NAME), ""), F.col("params")]
+    return dedup_pass(records, _base_cost() & _name().rlike(P.java(P.CHECKPOINT_NAME)), keys, by_age(), "duplicate_scratch_training_trajectory")
+
+
+def family_mirror(records: DataFrame) -> DataFrame:
+    """W5: mirrors by the whole canonical name."""
+    ok = _base_cost() & (F.octet_length(X.family()) >= 6) & ~X.family().isin("model", "base-model")
+    return dedup_pass(records, ok, [F.col("selection"), X.family(), F.col("params")], by_fame(), "duplicate_base_family_mirror")

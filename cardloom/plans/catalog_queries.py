@@ -329,6 +329,46 @@ def w5_family_mirror_dedup(spark, sf):
     return _shown(D.dedup_pass(records(spark, sf), ok, [F.col("selection"), F.substring(X.family(), 1, 4), F.col("params")], D.by_fame(), "duplicate_family_mirror"))
 
 
+# The same passes by their whole keys, over records whose names collide.
+_ENDS = ("", "-step-100", "-20240115", "_fp16", "-ckpt-2k.x")
+
+
+def _whole_sql(name: str, eligible: str, keys: str, order: str, some: str = "true") -> str:
+    lost = "e AND n > 1 AND s"
+    return f"""SELECT selection, ordinal, repo_id, CASE WHEN {lost} THEN NULL ELSE round(cost, 2) END AS cost_usd, CASE WHEN {lost} THEN '{name}' ELSE m END AS method
+  FROM (SELECT *, row_number() OVER (PARTITION BY e, {keys} ORDER BY {order}) AS n, bool_or({some}) OVER (PARTITION BY e, {keys}) AS s
+    FROM (SELECT *, CASE WHEN cost IS NULL THEN NULL WHEN kind = 'base' THEN 'formula_txt_parameter_scaling' ELSE 'gpu_hours_x_hourly_rate' END AS m, coalesce({eligible}, false) AS e FROM
+      (SELECT * REPLACE ('Org' || ordinal % 5 || '/family-' || ordinal % 3 || {hub._sql_of(_ENDS, "(ordinal // 3)")} AS repo_id, 'Org' || ordinal % 5 AS owner) FROM rec)))"""
+
+
+def _colliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    owner = F.concat(F.lit("Org"), (F.col("ordinal") % 5).cast("string"))
+    end = F.array(*map(F.lit, _ENDS))[(F.floor(F.col("ordinal") / 3) % len(_ENDS)).cast("int")]
+    return records(spark, sf_dir).withColumns({"repo_id": F.concat(owner, F.lit("/family-"), (F.col("ordinal") % 3).cast("string"), end), "owner": owner})
+
+
+def _shown_whole(df: DataFrame) -> DataFrame:
+    return df.select("selection", "ordinal", "repo_id", F.round("cost", 2).alias("cost_usd"), "method")
+
+
+_AFTER = "lower(split_part(repo_id, '/', 2))"
+
+
+@query(_whole_sql("duplicate_reported_training_trajectory", "kind IN ('finetune', 'adapter') AND cost IS NOT NULL", f"selection, lower(owner), kind, coalesce(lower(base_model), ''), regexp_replace({_AFTER}, '{P.DATE_SUFFIX}', ''), params", "cost DESC, created_at DESC, ordinal", _like(_AFTER, P.DATE_SUFFIX)))
+def w2_dated_trajectory_whole(spark, sf):
+    return _shown_whole(D.reported_trajectory(_colliding(spark, sf)))
+
+
+@query(_whole_sql("duplicate_scratch_training_trajectory", f"kind = 'base' AND cost IS NOT NULL AND {_like(_AFTER, P.CHECKPOINT_NAME)}", f"selection, lower(owner), regexp_replace({_AFTER}, '{P.CHECKPOINT_NAME}', ''), params", _AGE))
+def w4_checkpoint_whole(spark, sf):
+    return _shown_whole(D.checkpoint_trajectory(_colliding(spark, sf)))
+
+
+@query(_whole_sql("duplicate_base_family_mirror", f"kind = 'base' AND cost IS NOT NULL AND octet_length(encode({_FAMILY})) >= 6 AND {_FAMILY} NOT IN ('model', 'base-model')", f"selection, {_FAMILY}, params", _FAME))
+def w5_family_mirror_whole(spark, sf):
+    return _shown_whole(D.family_mirror(_colliding(spark, sf)))
+
+
 @query(f"SELECT repo_id, {_FAMILY} AS family, {_STEM} AS stem, regexp_replace(lower(repo_id), '{P.CHECKPOINT_NAME}', '') AS checkpoint_family, left(repo_id, 10) AS short FROM models")
 def scalar_name_functions(spark, sf):
     stem = F.regexp_replace(F.lower("repo_id"), P.java(P.DATE_SUFFIX), "")

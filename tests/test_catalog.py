@@ -43,3 +43,20 @@ def test_weight_files(spark, files, keeps):
 @pytest.mark.parametrize("text,pattern,hit", [("МОДЕЛЬ", "(?i)модель", True), ("éfrom", r"\bfrom", True), ("a\n", "a$", False), ("x\x0by", r"x\sy", False)])
 def test_dialect(spark, text, pattern, hit):
     assert spark.createDataFrame([(text,)], "t string").select(X.F.col("t").rlike(java(pattern))).first()[0] is hit
+
+
+def test_whole_name_passes(spark):
+    """Records that differ in name, base model or date stay apart; those of one run are counted once."""
+    from cardloom.operators import dedup as D
+
+    def costless(run, rows):
+        made = [("s", i, r, r.split("/")[0], k, b, p, 10.0 + i, 9.0, 11.0, m, i, i, i) for i, (r, k, b, p, m) in enumerate(rows)]
+        frame = spark.createDataFrame(made, "selection string, ordinal long, repo_id string, owner string, kind string, base_model string, params long, cost double, lower double, upper double, method string, created_at long, likes long, downloads long")
+        return [r["ordinal"] for r in run(frame).where("cost IS NULL").orderBy("ordinal").collect()]
+
+    hours, formula = "gpu_hours_x_hourly_rate", "formula_txt_parameter_scaling"
+    tuned = lambda r, b="B/x": (r, "finetune", b, 7, hours)
+    base = lambda r, p=7: (r, "base", None, p, formula)
+    assert costless(D.reported_trajectory, [tuned("o/run"), tuned("O/Run-20240115"), tuned("o/run-20240116", "c/y"), tuned("o/other"), tuned("o/other"), tuned("o/run2")]) == [0]
+    assert costless(D.checkpoint_trajectory, [base("o/a"), base("o/b"), base("o/a-step-1"), base("O/A-ckpt-2"), base("o/b-step-1"), base("p/a-step-1"), base("o/a-step-3", 8)]) == [3]
+    assert costless(D.family_mirror, [base("o/family-a"), base("p/family_a-hf"), base("o/family-b"), base("o/model"), base("p/model"), base("o/base-model"), base("p/base_model"), base("o/abcde"), base("p/abcde")]) == [0]

@@ -87,9 +87,10 @@ def owner() -> Column:
     return F.coalesce(F.nullif(F.col("author"), F.lit("")), F.element_at(F.split("repo_id", "/"), 1))
 
 
-def family() -> Column:
+def family(repo_id: Column | None = None) -> Column:
     """Name without owner, serialization suffix and separators' differences."""
-    name = F.regexp_replace(F.lower(F.element_at(F.split("repo_id", "/"), -1)), P.java(P.BASE_SUFFIX), "")
+    repo_id = F.col("repo_id") if repo_id is None else repo_id
+    name = F.regexp_replace(F.lower(F.element_at(F.split(repo_id, "/"), -1)), P.java(P.BASE_SUFFIX), "")
     return F.trim(F.translate(name, "_.", "--"), F.lit("-"))
 
 

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..operators import costing as C
-from ..operators import dedup as D
-from ..operators import sampling as SA
+from ..operators import records as R
 from ..operators import selection as S
 from ..operators import taxonomy as X
 from ..sources import hub
@@ -18,11 +17,12 @@ from ..sources import hub
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-TEXT = S.Selection("text", created_from="1995-06-01", created_to="2000-12-31", target_llm=True, min_downloads=1000)
-PICTURES = S.Selection("pictures", target_diffusion=True)
-SMALL = S.Selection("small", kinds=("base", "fork"), max_params_b=34.0, include_unknown_parameters=True, tags_none=("speech",), sort="likes", limit=200)
-SELECTIONS = (TEXT, PICTURES, SMALL)
 PROFILE = C.Profile()
+PICTURE_PROFILE = C.Profile("pictures", diffusion_image_budget=3.0, latent_sequence_length=1024.0)
+TEXT = S.Selection("text", created_from="1995-06-01", created_to="2000-12-31", target_llm_only=True, min_downloads=1000, compute_profiles=("h100",), formula_requires_explicit_scratch=True, count_reported_derivative_costs=True)
+PICTURES = S.Selection("pictures", target_diffusion_only=True, compute_profiles=("pictures", "h100"), count_reported_derivative_costs=True)
+SMALL = S.Selection("small", model_kinds=("base", "fork"), max_parameters_b=34.0, include_unknown_parameters=True, exclude_tags=("speech",), sort_by="likes", limit=200, compute_profiles=("h100",))
+SELECTIONS = (TEXT, PICTURES, SMALL)
 
 
 def query(sql: str | None = None):
@@ -47,28 +47,38 @@ def _any(column: str, needles) -> str:
     return "(" + " OR ".join(f"contains(lower({column}), '{n}')" for n in needles) + ")"
 
 
+_OVERRIDES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.KIND_OVERRIDES.items())
+
+
+def _told(key: str) -> str:
+    """A metadata value that says something."""
+    path = f"'$.{key}'"
+    return f"""coalesce(CASE json_type(cd, {path}) WHEN 'NULL' THEN false WHEN 'VARCHAR' THEN trim(json_extract_string(cd, {path})) <> '' WHEN 'ARRAY' THEN json_array_length(cd, {path}) > 0
+  WHEN 'OBJECT' THEN len(json_keys(cd, {path})) > 0 ELSE json_type(cd, {path}) IS NOT NULL END, false)"""
+
+
+_DECLARES = "(" + " OR ".join(map(_told, X.CARD_BASE_KEYS)) + ")"
 _BUCKET = "CASE WHEN params IS NULL OR params <= 0 THEN 'unknown' " + " ".join(f"WHEN params < {t}000000000 THEN '{n}'" for t, n in X.BUCKETS) + " ELSE '>=500B' END"
 _JOINED = "lower(repo_id || ' ' || array_to_string(tags, ' '))"
 _CTE = f"""{hub.VIEWS},
-m0 AS (SELECT *, list_transform(tags, lambda t: lower(t)) AS lt, lower(library_name) AS ll, lower(pipeline_tag) AS pl FROM models),
-k AS (SELECT *, CASE WHEN relation IN ('quantized', 'merge') THEN relation
+m0 AS (SELECT *, list_transform(tags, lambda t: lower(t)) AS lt, lower(library_name) AS ll, lower(pipeline_tag) AS pl, CASE WHEN json_valid(card_data) THEN CAST(card_data AS JSON) END AS cd FROM models),
+k AS (SELECT *, CASE WHEN repo_id IN ({', '.join(repr(x) for x in P.KIND_OVERRIDES)}) THEN CASE repo_id {_OVERRIDES} END WHEN relation IN ('quantized', 'merge') THEN relation
   WHEN {_tags(P.QUANT_TAGS)} OR ll IN ('mlx', 'onnx', 'openvino') OR {' OR '.join(_like('repo_id', p) for p in (P.QUANT_NAME, P.CONVERT_NAME, P.EMBEDDED_SOURCE_NAME, P.HF_CONVERSION_NAME))} THEN 'quantized'
   WHEN {_tags(('model-merge', 'merge'))} OR {_like('repo_id', P.MERGE_NAME)} THEN 'merge'
   WHEN relation IN ('adapter', 'finetune') THEN relation
   WHEN {_tags(P.TRAINER_TAGS)} THEN 'finetune'
   WHEN {_tags(('peft', 'lora', 'qlora'))} OR len(list_filter(lt, lambda t: starts_with(t, 'base_model:adapter:'))) > 0 OR {_like('repo_id', P.ADAPTER_NAME)} THEN 'adapter'
-  WHEN len(list_filter(lt, lambda t: starts_with(t, 'base_model:'))) > 0 OR base_model IS NOT NULL THEN 'finetune'
+  WHEN len(list_filter(lt, lambda t: starts_with(t, 'base_model:'))) > 0 OR base_model IS NOT NULL OR {_DECLARES} THEN 'finetune'
   WHEN {' OR '.join(_like('repo_id', p) for p in (P.FORK_NAME, P.CHECKPOINT_NAME, P.UUID_NAME, P.AFFINE_NAME))} THEN 'fork'
   WHEN {_like('repo_id', P.FINETUNE_NAME)} THEN 'finetune' ELSE 'base' END AS kind, {_BUCKET} AS bucket,
-  CASE WHEN author <> '' THEN author ELSE split_part(repo_id, '/', 1) END AS owner,
+  CASE WHEN author <> '' THEN author WHEN strpos(repo_id, '/') > 1 THEN left(repo_id, strpos(repo_id, '/') - 1) ELSE '' END AS owner,
   NOT {_like('pl', P.NON_TEXT_PIPELINE)} AND NOT {_like(_JOINED, P.NON_TEXT)} AND (pl IN ('text-generation', 'text2text-generation', 'conversational', 'fill-mask') OR {_like(_JOINED, P.LLM_SIGNAL)}) AS is_text,
   CASE WHEN pl IN ('text-to-image', 'image-to-image', 'unconditional-image-generation') THEN true WHEN pl IN ('text-to-video', 'image-to-video', 'video-generation', 'audio-to-audio', 'text-to-speech') THEN false
     ELSE NOT {_like(_JOINED, P.DIFFUSION_EXCLUDED)} AND {_like(_JOINED, P.DIFFUSION_TARGET)} END AS is_picture,
   len(list_filter(files, lambda f: {_like('f', P.WEIGHT_FILE)} AND NOT {_like('f', P.NON_WEIGHT_FILE)})) > 0 AS weights FROM m0),
 sel AS (SELECT 'text' AS selection, * FROM k WHERE created_at >= TIMESTAMP '1995-06-01' AND created_at < TIMESTAMP '2001-01-01' AND is_text AND downloads >= 1000
   UNION ALL SELECT 'pictures', * FROM k WHERE is_picture
-  UNION ALL SELECT * FROM (SELECT 'small', * FROM k WHERE kind IN ('base', 'fork') AND NOT list_has_any(lt, ['speech']) AND (params <= 0 OR params / 1e9 <= 34) ORDER BY likes DESC, repo_id LIMIT 200)),
-rec AS (SELECT *, CASE WHEN params > 0 AND kind IN ('base', 'finetune', 'adapter') THEN 6.0 * params * (20.0 * params) * CASE WHEN kind = 'base' THEN 1.0 ELSE 0.05 END / (989.0 * 1e12 * 3600 * 0.4) * 1.85 END AS cost FROM sel)"""
+  UNION ALL SELECT * FROM (SELECT 'small', * FROM k WHERE kind IN ('base', 'fork') AND NOT list_has_any(lt, ['speech']) AND (coalesce(params, 0) <= 0 OR params / 1e9 <= 34) ORDER BY likes DESC, repo_id LIMIT 200))"""
 
 
 def kinded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,14 +89,6 @@ def selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.select(kinded(spark, sf_dir), *SELECTIONS)
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = selected(spark, sf_dir)
-    priced = (F.col("params") > 0) & F.col("kind").isin("base", "finetune", "adapter")
-    cost = F.when(priced, C.cost(C.gpu_hours(C.literal_flops(F.col("params"), F.col("kind"), PROFILE), PROFILE), PROFILE))
-    method = F.when(priced & (F.col("kind") == "base"), "formula_txt_parameter_scaling").when(priced, "gpu_hours_x_hourly_rate")
-    return rows.withColumns({"cost": cost, "method": method}).withColumns({"lower": F.col("cost"), "upper": F.col("cost")})
-
-
 def _count(name: str = "rows"):
     return F.count(F.lit(1)).alias(name)
 
@@ -102,9 +104,9 @@ def f2_window_filter(spark, sf):
     return hub.models(spark, sf).where((F.col("repo_id") != "") & S.condition(s)).select("repo_id", "created_at")
 
 
-@query("SELECT repo_id, weights FROM k")
+@query("SELECT repo_id, weights OR coalesce(params, 0) > 0 AS weights FROM k")
 def f3_weight_gate(spark, sf):
-    return hub.models(spark, sf).select("repo_id", X.has_weights().alias("weights"))
+    return hub.models(spark, sf).select("repo_id", X.retained().alias("weights"))
 
 
 @query("SELECT selection, repo_id, kind, bucket, downloads FROM sel")
@@ -118,7 +120,7 @@ def f6_tag_algebra(spark, sf):
     t = X.lowered()
     return hub.models(spark, sf).select(
         "repo_id", X.has_any(t, ("gguf", "en")).alias("any_of"), (F.size(F.array_except(F.array(F.lit("llm"), F.lit("en")), t)) == 0).alias("all_of"),
-        (~X.has_any(t, ("speech",))).alias("none_of"), F.exists(t, lambda x: x.startswith("base_model:")).alias("prefixed"),
+        (~X.has_any(t, ("speech",))).alias("none_of"), F.exists(t, lambda x: F.coalesce(x.startswith("base_model:"), F.lit(False))).alias("prefixed"),
     )
 
 
@@ -137,27 +139,32 @@ def f9_text_prefilters(spark, sf):
     return hub.cards(spark, sf).select("card_no", X.may_report_compute().alias("may_compute"), X.may_claim_scratch().alias("may_scratch"))
 
 
-@query("""SELECT c.card_no, CASE WHEN len(y) > 0 THEN list_contains(y, 2025) ELSE NOT e < '2025-03' END AS inside
+@query("""SELECT c.card_no, CASE WHEN len(y) > 0 THEN list_contains(y, 2025) ELSE NOT e < '2025-03-02' END AS inside
   FROM (SELECT card_no, list_transform(list_distinct(regexp_extract_all(card, '\\b20[0-9][0-9]\\b')), lambda v: CAST(v AS INTEGER)) AS y, createdAt AS e FROM cards) c""")
 def f10_claim_in_window(spark, sf):
+    s = S.Selection("w", created_from="2025-03-02", created_to="2025-12-31")
     years = F.transform(F.regexp_extract_all("card", F.lit(P.java(r"\b20[0-9][0-9]\b")), F.lit(0)), lambda v: v.cast("int"))
-    return hub.cards(spark, sf).withColumn("y", years).select("card_no", F.when(F.size("y") > 0, F.array_contains("y", 2025)).otherwise(F.col("createdAt") >= "2025-03").alias("inside"))
+    return hub.cards(spark, sf).select("card_no", R.in_window(years, F.col("createdAt"), s).alias("inside"))
 
 
 @query("""SELECT repo_id, CASE WHEN octet_length(encode(a)) < 3 OR octet_length(encode(b)) < 2 THEN true ELSE contains(a, b) OR contains(b, a) END AS trainer_matches
   FROM (SELECT repo_id, regexp_replace(lower(owner), '[^\\p{L}\\p{N}]', '', 'g') AS b, regexp_replace(lower(split_part(repo_id, '/', 2)), '[^\\p{L}\\p{N}]', '', 'g') AS a FROM k)""")
 def f11_trainer_matches_owner(spark, sf):
-    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]", "")
-    rows = kinded(spark, sf).select("repo_id", plain(F.col("owner")).alias("b"), plain(F.split("repo_id", "/")[1]).alias("a"))
-    short = (F.octet_length("a") < 3) | (F.octet_length("b") < 2)
-    return rows.select("repo_id", F.when(short, True).otherwise(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a"))).alias("trainer_matches"))
+    trainer = F.get(F.split("repo_id", "/"), F.lit(1))
+    return kinded(spark, sf).select("repo_id", R.owner_matches(trainer, F.col("owner")).alias("trainer_matches"))
 
 
-@query(f"""SELECT repo_id, CASE WHEN NOT weights THEN 'no_recognized_full_weight_file' WHEN base_model IS NOT NULL THEN 'declares_base_model' WHEN {_tags(P.DERIVATIVE_TAGS)} THEN 'derivative_tag'
-  WHEN {_like("split_part(repo_id, '/', -1)", P.DERIVATIVE_NAME)} THEN 'derivative_name' WHEN len(list_filter(files, lambda f: {_like('f', P.ADAPTER_FILE)})) > 0 THEN 'adapter_files'
-  WHEN len(list_filter(files, lambda f: {_like('f', P.CONVERSION_FILE)})) > 0 THEN 'conversion_files' ELSE 'pending' END AS reason FROM k""")
+_TOLD_FILES = f"list_filter(files, lambda f: {_like('f', P.ADAPTER_FILE)} OR {_like('f', P.CONVERSION_FILE)})"
+_CARD_TAGS = "CASE json_type(cd, '$.tags') WHEN 'ARRAY' THEN list_transform(CAST(json_extract_string(cd, '$.tags[*]') AS VARCHAR[]), lambda t: lower(t)) WHEN 'VARCHAR' THEN [lower(json_extract_string(cd, '$.tags'))] ELSE [] END"
+_HIT_TAGS = f"list_sort(list_distinct(list_filter(list_concat(lt, {_CARD_TAGS}), lambda t: list_contains([{', '.join(map(repr, P.DERIVATIVE_TAGS))}], t))))"
+_STATED = " ".join(f"WHEN {_told(k)} THEN json_extract_string(cd, '$.{k}')" for k in X.CARD_BASE_KEYS)
+
+
+@query(f"""SELECT repo_id, reason, CASE reason WHEN 'declares_base_model' THEN CASE {_STATED} ELSE base_model END WHEN 'derivative_tag' THEN array_to_string({_HIT_TAGS}, ', ') WHEN 'derivative_name' THEN repo_id ELSE '' END AS evidence
+  FROM (SELECT *, CASE WHEN NOT weights THEN 'no_recognized_full_weight_file' WHEN {_DECLARES} OR base_model IS NOT NULL THEN 'declares_base_model' WHEN len({_HIT_TAGS}) > 0 THEN 'derivative_tag'
+  WHEN {_like("split_part(repo_id, '/', -1)", P.DERIVATIVE_NAME)} THEN 'derivative_name' WHEN len({_TOLD_FILES}) > 0 THEN CASE WHEN {_like(_TOLD_FILES + '[1]', P.ADAPTER_FILE)} THEN 'adapter_files' ELSE 'conversion_files' END ELSE 'pending' END AS reason FROM k)""")
 def m1_metadata_filter(spark, sf):
-    return hub.models(spark, sf).select("repo_id", F.coalesce(X.metadata_reason(), F.lit("pending")).alias("reason"))
+    return hub.models(spark, sf).select("repo_id", F.coalesce(X.metadata_reason(), F.lit("pending")).alias("reason"), X.metadata_evidence().alias("evidence"))
 
 
 @query("SELECT repo_id, kind FROM k")
@@ -170,11 +177,6 @@ def m5_selection_summary(spark, sf):
     return selected(spark, sf).groupBy("selection", "kind", "bucket").agg(_count(), F.sum("downloads").alias("downloads"), F.count_distinct("owner").alias("owners"))
 
 
-@query("SELECT selection, repo_id, kind, round(cost, 2) AS cost_usd FROM rec")
-def m8_record_costing(spark, sf):
-    return records(spark, sf).select("selection", "repo_id", "kind", F.round("cost", 2).alias("cost_usd"))
-
-
 @query("""SELECT repo_id, round(6.0 * n * t / (989.0 * 1e12 * 3600 * 0.4), 3) AS hours, round(6.0 * n * t / (989.0 * 1e12 * 3600 * 0.4) / 8 / 24, 4) AS days,
   CASE WHEN told AND sparse THEN 'reported_pretraining_tokens_active_parameters' WHEN told THEN 'reported_pretraining_tokens_total_parameters' WHEN sparse THEN 'formula_txt_moe_active_parameter_scaling' ELSE 'formula_txt_parameter_scaling' END AS method
   FROM (SELECT repo_id, sparse, told, CASE WHEN sparse THEN 3e9 ELSE params END AS n, CASE WHEN told THEN 2.5e12 ELSE 20.0 * params END AS t
@@ -186,18 +188,11 @@ def m8_evidence_formula(spark, sf):
     return rows.select("repo_id", F.round(hours, 3).alias("hours"), F.round(C.wall_days(hours, PROFILE), 4).alias("days"), method.alias("method"))
 
 
-@query("""SELECT selection, round(sum(CASE WHEN kind = 'base' THEN cost * CASE WHEN ordinal % 4 = 0 AND 3e9 < params THEN 3e9 / params ELSE 1 END ELSE cost END), 2) AS hybrid_usd, round(sum(cost), 2) AS literal_usd
-  FROM rec WHERE cost IS NOT NULL GROUP BY selection""")
-def m9_sensitivity_sums(spark, sf):
-    share = F.when((F.col("ordinal") % 4 == 0) & (F.col("params") > 3e9), F.lit(3e9) / F.col("params")).otherwise(1.0)
-    own = F.when(F.col("kind") == "base", F.col("cost") * share).otherwise(F.col("cost"))
-    return records(spark, sf).where("cost IS NOT NULL").groupBy("selection").agg(F.round(F.sum(own), 2).alias("hybrid_usd"), F.round(F.sum("cost"), 2).alias("literal_usd"))
-
-
-@query("SELECT repo_id, base_model, coalesce(CASE WHEN kind = 'adapter' THEN base_params ELSE params END, 0) AS effective_params FROM k LEFT JOIN base_params ON base_id = base_model")
+@query("""SELECT repo_id, base_model, CASE WHEN kind = 'adapter' THEN coalesce(base_params, 0) ELSE coalesce(params, 0) END AS effective_params,
+  CASE WHEN kind <> 'adapter' THEN NULL WHEN base_model IS NULL THEN 'adapter has no declared base model' WHEN coalesce(base_params, 0) <= 0 THEN 'base model parameter count was not resolved' END AS parameter_error FROM k LEFT JOIN base_params ON base_id = base_model""")
 def j2_adapter_base_parameters(spark, sf):
-    rows = kinded(spark, sf).join(hub.base_params(spark, sf), F.col("base_id") == F.col("base_model"), "left")
-    return rows.select("repo_id", "base_model", F.coalesce(F.when(F.col("kind") == "adapter", F.col("base_params")).otherwise(F.col("params")), F.lit(0)).alias("effective_params"))
+    rows = R.effective_parameters(kinded(spark, sf), hub.base_params(spark, sf))
+    return rows.select("repo_id", "base_model", F.col("params").alias("effective_params"), "parameter_error")
 
 
 @query("SELECT repo_id, k.owner, coalesce(owner_type, 'unknown') AS owner_type FROM k LEFT JOIN owners ON k.owner = owners.owner")
@@ -215,7 +210,8 @@ def j7_wanted_cards(spark, sf):
 def a7_j8_earliest_by_fingerprint(spark, sf):
     h = F.sha2(F.trim(F.regexp_replace("card", r"[ \t\n\f\r]+", " ")).cast("binary"), 256)
     rows = hub.cards(spark, sf).select("card_no", "createdAt", h.alias("card_hash"))
-    return rows.join(rows.groupBy("card_hash").agg(F.min("createdAt").alias("earliest")), "card_hash").select("card_no", "card_hash", "earliest")
+    first = rows.groupBy("card_hash").agg(F.min("createdAt").alias("earliest"))  # one row for each hash, however many copies
+    return rows.join(first, "card_hash").select("card_no", "card_hash", "earliest")
 
 
 @query("SELECT repo_id, l.doc_id IS NOT NULL AS covered FROM models LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON ordinal = l.doc_id")
@@ -224,22 +220,9 @@ def j13_coverage_flag(spark, sf):
     return hub.models(spark, sf).join(seen, "ordinal", "left").select("repo_id", F.col("seen").isNotNull().alias("covered"))
 
 
-@query(f"""SELECT year(created_at) AS year, reason, count(*) AS rows FROM (SELECT created_at, CASE WHEN NOT weights THEN 'no_weights' WHEN base_model IS NOT NULL THEN 'base' WHEN {_tags(P.DERIVATIVE_TAGS)} THEN 'tag' ELSE 'other' END AS reason FROM k) GROUP BY ALL""")
-def a1_counts_by_year_and_reason(spark, sf):
-    reason = F.when(~X.has_weights(), "no_weights").when(F.col("base_model").isNotNull(), "base").when(X.has_any(X.lowered(), P.DERIVATIVE_TAGS), "tag").otherwise("other")
-    return hub.models(spark, sf).groupBy(F.year("created_at").cast("long").alias("year"), reason.alias("reason")).agg(_count())
-
-
-@query("SELECT selection, count(DISTINCT owner) AS owners, count(*) AS rows, count(*) FILTER (WHERE params <= 0) AS unknown_params, CAST(sum(likes) AS BIGINT) AS likes FROM sel GROUP BY 1")
+@query("SELECT selection, count(DISTINCT owner) AS owners, count(*) AS rows, count(*) FILTER (WHERE coalesce(params, 0) <= 0) AS unknown_params, CAST(sum(likes) AS BIGINT) AS likes FROM sel GROUP BY 1")
 def a3_a4_selection_rollup(spark, sf):
-    return selected(spark, sf).groupBy("selection").agg(F.count_distinct("owner").alias("owners"), _count(), F.count(F.when(F.col("params") <= 0, 1)).alias("unknown_params"), F.sum("likes").alias("likes"))
-
-
-@query("""SELECT owner, count(*) AS repos, CAST(sum(downloads) AS BIGINT) AS downloads, string_agg(s, ',' ORDER BY s) AS selections FROM (SELECT owner, repo_id, min(selection) AS s, max(downloads) AS downloads FROM sel GROUP BY 1, 2) GROUP BY 1""")
-def a6_w11_owner_rollup(spark, sf):
-    first = Window.partitionBy("owner", "repo_id").orderBy("selection")
-    rows = selected(spark, sf).withColumn("n", F.row_number().over(first)).where("n = 1")
-    return rows.groupBy("owner").agg(_count("repos"), F.sum("downloads").alias("downloads"), F.array_join(F.array_sort(F.collect_list("selection")), ",").alias("selections"))
+    return selected(spark, sf).groupBy("selection").agg(F.count_distinct("owner").alias("owners"), _count(), F.count(F.when(F.coalesce("params", F.lit(0)) <= 0, 1)).alias("unknown_params"), F.sum("likes").alias("likes"))
 
 
 @query("SELECT selection, count(*) FILTER (WHERE kind = 'base') AS bases, count(*) FILTER (WHERE kind = 'base' AND params > 0) AS priced, count(*) AS repositories FROM sel GROUP BY 1")
@@ -248,31 +231,6 @@ def a8_pre_review_funnel(spark, sf):
     return selected(spark, sf).groupBy("selection").agg(F.count(F.when(base, 1)).alias("bases"), F.count(F.when(base & (F.col("params") > 0), 1)).alias("priced"), _count("repositories"))
 
 
-_SAMPLE = """, cand AS (SELECT selection, repo_id, params, bucket, ordinal % 5 = 0 AS covered, cost FROM rec WHERE kind = 'base'),
-st AS (SELECT *, coalesce(params / 1e9 >= 34, false) AS census, selection || '|' || CASE WHEN coalesce(params / 1e9 >= 34, false) THEN 'census>=34' ELSE bucket END || '|' || CASE WHEN covered THEN 'parquet' ELSE 'missing' END AS stratum FROM cand),
-ranked AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS population, row_number() OVER (PARTITION BY stratum ORDER BY sha256(encode('2025') || '\\x00'::BLOB || encode(repo_id)), repo_id) AS n FROM st),
-man AS (SELECT *, CASE WHEN census THEN population ELSE least(population, 20) END AS sample FROM ranked WHERE census OR n <= 20)"""
-
-
-def _manifest(spark, sf):
-    rows = records(spark, sf).where("kind = 'base'").select("selection", "repo_id", "params", "bucket", (F.col("ordinal") % 5 == 0).alias("covered"), "cost")
-    return SA.manifest(rows, 34.0, 20, 2025)
-
-
-@query("SELECT stratum, repo_id, population, sample, round(population / sample, 6) AS weight, census FROM man")
-def m14_w8_sampling_manifest(spark, sf):
-    return _manifest(spark, sf).select("stratum", "repo_id", "population", "sample", F.round("weight", 6).alias("weight"), "census")
-
-
-@query("SELECT selection, stratum, count(*) AS rows, round(sum(population / sample), 6) AS estimated_rows, round(sum(cost * population / sample), 2) AS estimated_cost FROM man GROUP BY 1, 2")
-def a9_a10_weighted_totals(spark, sf):
-    return SA.weighted_totals(_manifest(spark, sf), "selection", "stratum")
-
-
-for _name in ("m14_w8_sampling_manifest", "a9_a10_weighted_totals"):
-    ORACLES[_name] = ORACLES[_name].replace(_CTE, _CTE + _SAMPLE)
-
-
 @query("""SELECT selection, repo_id, downloads FROM (SELECT *, row_number() OVER (PARTITION BY selection ORDER BY downloads DESC, repo_id) AS n FROM sel) WHERE n <= 25""")
 def w10_top_per_selection(spark, sf):
     w = Window.partitionBy("selection").orderBy(F.desc("downloads"), "repo_id")
@@ -280,95 +238,9 @@ def w10_top_per_selection(spark, sf):
 
 
 _FAMILY = f"trim(replace(replace(regexp_replace(lower(split_part(repo_id, '/', -1)), '{P.BASE_SUFFIX}', ''), '_', '-'), '.', '-'), '-')"
-
-
-def _w_sql(name: str, eligible: str, keys: str, order: str, least: int = 1) -> str:
-    return f"""SELECT selection, repo_id, CASE WHEN e AND n > 1 AND c >= {least} THEN NULL ELSE round(cost, 2) END AS cost_usd, CASE WHEN e AND n > 1 AND c >= {least} THEN '{name}' ELSE m END AS method
-  FROM (SELECT *, row_number() OVER (PARTITION BY e, {keys} ORDER BY {order}) AS n, count(*) OVER (PARTITION BY e, {keys}) AS c
-    FROM (SELECT *, CASE WHEN cost IS NULL THEN NULL WHEN kind = 'base' THEN 'formula_txt_parameter_scaling' ELSE 'gpu_hours_x_hourly_rate' END AS m, coalesce({eligible}, false) AS e FROM rec))"""
-
-
-_AGE, _FAME = "created_at, likes DESC, downloads DESC, ordinal", "likes DESC, downloads DESC, created_at, ordinal"
-
-
-def _shown(df: DataFrame) -> DataFrame:
-    return df.select("selection", "repo_id", F.round("cost", 2).alias("cost_usd"), "method")
-
-
-@query(_w_sql("duplicate_reported_run", "kind IN ('finetune', 'adapter') AND cost IS NOT NULL", "selection, 'run' || ordinal % 500", _AGE))
-def w1_reported_run_dedup(spark, sf):
-    ok = F.col("method").isin("gpu_hours_x_hourly_rate", "reported_total_cost")
-    return _shown(D.dedup_pass(records(spark, sf), ok, [F.col("selection"), F.concat(F.lit("run"), (F.col("ordinal") % 500).cast("string"))], D.by_age(), "duplicate_reported_run"))
-
-
 _STEM = f"regexp_replace(lower(repo_id), '{P.DATE_SUFFIX}', '')"
 
 
-@query(_w_sql("duplicate_reported_trajectory", "kind IN ('finetune', 'adapter') AND cost IS NOT NULL", "selection, lower(owner), kind, likes, params", "cost DESC, created_at DESC, ordinal", 2))
-def w2_reported_trajectory_dedup(spark, sf):
-    ok = F.col("kind").isin("finetune", "adapter") & F.col("cost").isNotNull()
-    keys = [F.col("selection"), F.lower("owner"), F.col("kind"), F.col("likes"), F.col("params")]
-    return _shown(D.dedup_pass(records(spark, sf), ok, keys, [F.desc("cost"), F.desc("created_at"), F.asc("ordinal")], "duplicate_reported_trajectory", 2))
-
-
-@query(_w_sql("duplicate_scratch_run", "kind = 'base' AND cost IS NOT NULL", "selection, 'card' || ordinal % 300, params", _AGE))
-def w3_scratch_run_dedup(spark, sf):
-    keys = [F.col("selection"), F.concat(F.lit("card"), (F.col("ordinal") % 300).cast("string")), F.col("params")]
-    return _shown(D.dedup_pass(records(spark, sf), F.col("method").startswith("formula_txt_"), keys, D.by_age(), "duplicate_scratch_run"))
-
-
-@query(_w_sql("duplicate_checkpoint", "kind = 'base' AND cost IS NOT NULL", f"selection, lower(owner), regexp_replace(lower(owner), '{P.CHECKPOINT_NAME}', ''), params", _AGE))
-def w4_checkpoint_dedup(spark, sf):
-    stem = F.regexp_replace(F.lower("owner"), P.java(P.CHECKPOINT_NAME), "")
-    return _shown(D.dedup_pass(records(spark, sf), F.col("method").startswith("formula_txt_"), [F.col("selection"), F.lower("owner"), stem, F.col("params")], D.by_age(), "duplicate_checkpoint"))
-
-
-@query(_w_sql("duplicate_family_mirror", f"kind = 'base' AND cost IS NOT NULL AND octet_length(encode({_FAMILY})) >= 4", f"selection, left({_FAMILY}, 4), params", _FAME))
-def w5_family_mirror_dedup(spark, sf):
-    ok = F.col("method").startswith("formula_txt_") & (F.octet_length(X.family()) >= 4)
-    return _shown(D.dedup_pass(records(spark, sf), ok, [F.col("selection"), F.substring(X.family(), 1, 4), F.col("params")], D.by_fame(), "duplicate_family_mirror"))
-
-
-# The same passes by their whole keys, over records whose names collide.
-_ENDS = ("", "-step-100", "-20240115", "_fp16", "-ckpt-2k.x")
-
-
-def _whole_sql(name: str, eligible: str, keys: str, order: str, some: str = "true") -> str:
-    lost = "e AND n > 1 AND s"
-    return f"""SELECT selection, ordinal, repo_id, CASE WHEN {lost} THEN NULL ELSE round(cost, 2) END AS cost_usd, CASE WHEN {lost} THEN '{name}' ELSE m END AS method
-  FROM (SELECT *, row_number() OVER (PARTITION BY e, {keys} ORDER BY {order}) AS n, bool_or({some}) OVER (PARTITION BY e, {keys}) AS s
-    FROM (SELECT *, CASE WHEN cost IS NULL THEN NULL WHEN kind = 'base' THEN 'formula_txt_parameter_scaling' ELSE 'gpu_hours_x_hourly_rate' END AS m, coalesce({eligible}, false) AS e FROM
-      (SELECT * REPLACE ('Org' || ordinal % 5 || '/family-' || ordinal % 3 || {hub._sql_of(_ENDS, "(ordinal // 3)")} AS repo_id, 'Org' || ordinal % 5 AS owner) FROM rec)))"""
-
-
-def _colliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    owner = F.concat(F.lit("Org"), (F.col("ordinal") % 5).cast("string"))
-    end = F.array(*map(F.lit, _ENDS))[(F.floor(F.col("ordinal") / 3) % len(_ENDS)).cast("int")]
-    return records(spark, sf_dir).withColumns({"repo_id": F.concat(owner, F.lit("/family-"), (F.col("ordinal") % 3).cast("string"), end), "owner": owner})
-
-
-def _shown_whole(df: DataFrame) -> DataFrame:
-    return df.select("selection", "ordinal", "repo_id", F.round("cost", 2).alias("cost_usd"), "method")
-
-
-_AFTER = "lower(split_part(repo_id, '/', 2))"
-
-
-@query(_whole_sql("duplicate_reported_training_trajectory", "kind IN ('finetune', 'adapter') AND cost IS NOT NULL", f"selection, lower(owner), kind, coalesce(lower(base_model), ''), regexp_replace({_AFTER}, '{P.DATE_SUFFIX}', ''), params", "cost DESC, created_at DESC, ordinal", _like(_AFTER, P.DATE_SUFFIX)))
-def w2_dated_trajectory_whole(spark, sf):
-    return _shown_whole(D.reported_trajectory(_colliding(spark, sf)))
-
-
-@query(_whole_sql("duplicate_scratch_training_trajectory", f"kind = 'base' AND cost IS NOT NULL AND {_like(_AFTER, P.CHECKPOINT_NAME)}", f"selection, lower(owner), regexp_replace({_AFTER}, '{P.CHECKPOINT_NAME}', ''), params", _AGE))
-def w4_checkpoint_whole(spark, sf):
-    return _shown_whole(D.checkpoint_trajectory(_colliding(spark, sf)))
-
-
-@query(_whole_sql("duplicate_base_family_mirror", f"kind = 'base' AND cost IS NOT NULL AND octet_length(encode({_FAMILY})) >= 6 AND {_FAMILY} NOT IN ('model', 'base-model')", f"selection, {_FAMILY}, params", _FAME))
-def w5_family_mirror_whole(spark, sf):
-    return _shown_whole(D.family_mirror(_colliding(spark, sf)))
-
-
 @query(f"SELECT repo_id, {_FAMILY} AS family, {_STEM} AS stem, regexp_replace(lower(repo_id), '{P.CHECKPOINT_NAME}', '') AS checkpoint_family, left(repo_id, 10) AS short FROM models")
 def scalar_name_functions(spark, sf):
     stem = F.regexp_replace(F.lower("repo_id"), P.java(P.DATE_SUFFIX), "")

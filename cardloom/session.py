@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -23,3 +24,24 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(Path(root.name) / p.relative_to(root)))
     context.addPyFile(str(to))
     _shipped.add(context.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder. Where
+    neither is set, one is made on a single machine only; on a cluster that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="cardloom-shared-")
+        spark.sparkContext.setCheckpointDir(f"file://{path}")
+        path = spark.sparkContext.getCheckpointDir()
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a table into the shared folder (compressed columns, atomic commit) and read it back: it cuts the lineage, so a
+    lost executor costs no recomputation, and plans stay small."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ UTF-8, so words can be cut from the raw bytes of a whole Arrow batch at once, wi
 
 from __future__ import annotations
 
-import uuid
+import ctypes
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship
+from ..session import ship, written
 
-CHUNK_BYTES = 4 << 20  # bytes of text that a Python worker handles at once
+CHUNK_BYTES = 512 << 10  # bytes of text that a Python worker handles at once
+PIECE_BYTES = 256 << 10  # bytes that are hashed at once, also of a longer text or word
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 _U = np.uint64
 
@@ -27,19 +29,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_leave: dict[str, Callable[[], None]] = {}
+_last = ""
+
+
+def on_leave(module: str, clear: Callable[[], None]) -> None:
+    """What frees a module's caches when a reused worker turns to another operator."""
+    _leave[module] = clear
+
+
+def _enter(module: str) -> None:
+    global _last
+    if module == _last:
+        return
+    _last = module
+    for name, clear in _leave.items():
+        if name != module:
+            clear()
+    _trim()
+
+
+def _trim() -> None:
+    """Give freed memory back to the system: a reused worker keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def arrow_map(df: DataFrame, run, schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with this package importable in the workers."""
+    """mapInArrow with this package importable in the workers, which hold one operator's caches at a time."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    module = run.__module__
 
+    def tidy(batches):
+        _enter(module)
+        yield from run(batches)
+        _trim()
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+    return df.mapInArrow(tidy, schema)
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -51,11 +80,44 @@ def durable(df: DataFrame) -> DataFrame:
     return written(df, "step")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write a table into the shared folder (compressed columns, atomic commit) and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def drop(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+BROADCAST_ROWS = 200_000  # narrow rows: some 10 MB
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if its rows are counted to be few; else the join is shuffled."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+HEAVY = 1000  # rows of a key that make it a key of its own in lookup
+
+
+def lookup(rows: DataFrame, entries: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with entries, which has one row for each key. Keys of over HEAVY rows are joined by broadcast of their
+    entries (if those are few), so no key's rows meet in one task. rows are read three times: pass a written table."""
+    many = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).select(key)
+    heavy = durable(entries.join(many, key, "left_semi"))
+    if heavy.isEmpty():
+        return rows.join(entries, key, "left")
+    return rows.join(small(heavy), key).unionByName(rows.join(small(heavy.select(key)), key, "left_anti").join(entries, key, "left"))
 
 
 def crc_mod(col: Column, n: int) -> Column:
@@ -63,12 +125,8 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def _inverse(odd: int) -> int:
-    return pow(odd, -1, 1 << 64)
-
-
 class Powers:
-    """p^0..p^n and inverse powers modulo 2^64, grown on demand."""
+    """p^0..p^n and inverse powers modulo 2^64, for n up to PIECE_BYTES."""
 
     up = np.ones(1, _U)
     down = np.ones(1, _U)
@@ -78,7 +136,7 @@ class Powers:
         while len(cls.up) < n:
             k = len(cls.up)
             with np.errstate(over="ignore"):
-                step, back = _U(pow(int(_P), k, 1 << 64)), _U(pow(_inverse(int(_P)), k, 1 << 64))
+                step, back = _U(pow(int(_P), k, 1 << 64)), _U(pow(int(_P), -k, 1 << 64))
                 cls.up = np.concatenate([cls.up, cls.up * step])
                 cls.down = np.concatenate([cls.down, cls.down * back])
 
@@ -139,12 +197,31 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of every span of bytes, from one running polynomial over the whole buffer."""
-    Powers.to(len(data) + 1)
+    """64-bit hash of every span of values (bytes or code points), spans in ascending order and apart: a polynomial modulo 2^64.
+
+    Spans are taken in runs of PIECE_BYTES values, and a longer span in pieces, so memory doesn't grow with the text."""
+    Powers.to(PIECE_BYTES + 1)
+    out = np.empty(len(start), _U)
+    at = 0
     with np.errstate(over="ignore"):
-        run = np.zeros(len(data) + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * Powers.up[: len(data)], out=run[1:])
-        return mix((run[end] - run[start]) * Powers.down[start] + (end - start).astype(_U))
+        while at < len(start):
+            base = int(start[at])
+            to = int(np.searchsorted(end, base + PIECE_BYTES, "right"))
+            if to <= at:
+                total = _U(0)
+                for a in range(base, int(end[at]), PIECE_BYTES):
+                    part = data[a : min(a + PIECE_BYTES, int(end[at]))].astype(_U) + _U(1)
+                    total = total + (part * Powers.up[: len(part)]).sum() * _U(pow(int(_P), a - base, 1 << 64))
+                out[at] = total
+                at += 1
+                continue
+            stop = int(end[to - 1])
+            run = np.zeros(stop - base + 1, _U)
+            np.cumsum((data[base:stop].astype(_U) + _U(1)) * Powers.up[: stop - base], out=run[1:])
+            s, e = start[at:to] - base, end[at:to] - base
+            out[at:to] = (run[e] - run[s]) * Powers.down[s]
+            at = to
+        return mix(out + (end - start).astype(_U))
 
 
 def hashed_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -163,22 +240,31 @@ def space_words(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root) with the least node as root.
+    """Connected components of edges (a, b): rows (node, root) with the least node as root, for nodes that have an edge.
 
-    Labels spread to neighbours by minimum and then jump to the label's own label, so the rounds grow with the
-    logarithm of the longest chain. A hub's edges are pre-aggregated; each round's labels are checkpointed.
+    By contraction: every node hooks to its least neighbour, hooks are followed to their end by doubling, and edges are
+    rewritten between the ends; edges inside a tree are gone, so tables shrink from turn to turn, at least by half in nodes.
     """
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    while True:
-        near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("r")), "b")
-            .groupBy(F.col("a").alias("node"))
-            .agg(F.min("r").alias("r"))
-        )
-        new = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        up = labels.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        new = durable(new.join(up, "root").select("node", "old", F.least("root", "top").alias("root")))
-        if new.where(F.col("root") != F.col("old")).isEmpty():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    edges = durable(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    turns: list[DataFrame] = []
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        up = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+        while True:
+            top = up.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            new = durable(up.join(top, "root").select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+            drop(up)
+            up = new.select("node", "root")
+            if new.where("moved").isEmpty():
+                break
+        turns.append(up)
+        ends = edges.join(up.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        left = durable(ends.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        drop(edges)
+        edges = left
+    if not turns:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = turns[0]
+    for up in turns[1:]:
+        found = found.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return found

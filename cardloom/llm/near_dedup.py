@@ -10,8 +10,7 @@ Texts that agree on a sketch form a bucket. Pairs are never emitted all against
 text that agrees on AGREE sketches with earlier leaders becomes their candidate, and leads itself if there is none; a
 bucket of over PART texts is led in parts, then among the parts' leaders. At 0.8 fewer than AGREE sketches agree with
 probability 5e-4. Candidates are verified. Texts of one leader may be alike where the leader is not, so every bucket that
-then spans several groups is gone through pair by pair: each pair of different groups that agrees on AGREE sketches and was
-not yet compared is compared. No bucket and no partner is dropped. Such pairs are many only among texts that share a
+then spans several groups is gone through pair by pair: each pair of different groups that agrees on AGREE sketches is compared. No bucket and no partner is dropped. Such pairs are many only among texts that share a
 template without being near copies; their number grows with the square of such a family. A comparison aligns
 the two sequences of shingles: matching labelled shingles within the band of shifts that the threshold allows,
 longest increasing chain, and similarity = chain / (n + m - chain) >= THRESHOLD. Links are closed to groups by
@@ -36,14 +35,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, chunks, components, durable, hashed_words, mix, table, written
+from .common import arrow_map, chunks, components, drop, durable, fresh, hashed_words, lookup, mix, small, table, written
 
 SHINGLE, PICKS, SKETCHES = 5, 4, 24
 THRESHOLD = 0.8
-CHUNK = 32
+FEW = 16  # texts of so few shingles are candidates on one agreeing sketch
+CHUNK = 128
 AGREE = 3
-PART = 2048
-TILE = 64
+PART = 1024
+TILE = 256
 _U = np.uint64
 _SEEDS = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1) ^ 0xD1B54A32D192ED03 * (i + 7)) % (1 << 64) | 1 for i in range(SKETCHES)], _U)
 
@@ -149,57 +149,90 @@ def _with_nodes(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("text"), run, "node binary, text string")
 
 
+class Forest:
+    """Links thinned to those that join two trees."""
+
+    def __init__(self):
+        self.up: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        up = self.up
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: bytes, b: bytes) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.up[max(a, b)] = min(a, b)
+        return True
+
+
+def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["center", "node"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (center, node) whose texts are similar enough."""
-    n = pairs.groupBy("center").agg(F.count(F.lit(1)).alias("n"))
-    dealt = pairs.join(n, "center").select("center", "node", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)).alias("chunk"))
+    """Links (center, node) that join the same texts as those pairs (center, node) whose texts are similar enough."""
+    heavy = pairs.groupBy("center").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
+    dealt = pairs.join(small(durable(heavy)), "center", "left").select("center", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)), F.lit(0)).alias("chunk"))
+    dealt = durable(dealt)
     members = dealt.join(texts, "node").select("center", "chunk", F.lit(1).alias("side"), "node", "text")
     heads = dealt.select("center", "chunk").distinct().join(texts.withColumnRenamed("node", "center"), "center").select("center", "chunk", F.lit(0).alias("side"), F.col("center").alias("node"), "text")
-    both = members.unionByName(heads).repartition("center", "chunk").sortWithinPartitions("center", "chunk", "side")
+    both = members.unionByName(heads).repartition("center", "chunk").sortWithinPartitions("center", "chunk", "side", "node")
 
     def run(batches):
-        center, own = None, np.zeros(0, _U)
+        center, chunk, own, first = None, None, np.zeros(0, _U), None
         for batch in batches:
             for part in chunks(batch):
                 g, bounds = shingles(*hashed_words(part.column("text")))
                 found = []
-                for i, (c, side, node) in enumerate(zip(part.column("center").to_pylist(), part.column("side").to_pylist(), part.column("node").to_pylist(), strict=True)):
+                for i, (c, k, side, node) in enumerate(zip(*[part.column(n).to_pylist() for n in ("center", "chunk", "side", "node")], strict=True)):
                     mine = g[bounds[i] : bounds[i + 1]]
                     if side == 0:
-                        center, own = c, mine
-                    elif c == center and similarity(own, mine):
-                        found.append((c, node))
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["center", "node"])
+                        center, chunk, own, first = c, k, mine.copy(), None
+                    elif (c, k) == (center, chunk) and similarity(own, mine):
+                        found.append((first or c, node))  # members of a chunk hang on its first, so no hub has all of them
+                        first = first or node
+                yield _links(found)
 
     return arrow_map(both, run, "center binary, node binary")
 
 
+def _need(words: np.ndarray) -> np.ndarray:
+    return np.where(words - SHINGLE + 1 <= FEW, 1, AGREE)
+
+
 def _leaders(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Within each group of rows, in the order given by `rank`: pairs (center, node) of a node and every earlier leader
-    that it agrees with on AGREE sketches, and a row without a center for each node that leads, as it agrees with none."""
+    that it agrees with on AGREE sketches (one, for FEW shingles), and a row without a center for each node that leads, as it
+    agrees with none."""
     sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, "rank", "node")
 
     def run(batches):
-        key, held, names = None, np.zeros((64, SKETCHES), np.int64), []
+        key, held, least, names = None, np.zeros((64, SKETCHES), np.int64), np.zeros(64, np.int64), []
         for batch in batches:
             values = batch.column("sketches")
             matrix = np.asarray(values.values.slice(values.offset * SKETCHES, len(values) * SKETCHES)).reshape(-1, SKETCHES)
             columns = [batch.column(k).to_pylist() for k in keys]
             nodes = batch.column("node").to_pylist()
+            need = _need(np.asarray(batch.column("words")))
             centers, found, where = [], [], []
             for i, (k, node) in enumerate(zip(zip(*columns, strict=True), nodes, strict=True)):
                 if k != key:
                     key, names = k, []
                 n = len(names)
-                hits = np.flatnonzero((held[:n] == matrix[i]).sum(1) >= AGREE) if n else ()
+                hits = np.flatnonzero((held[:n] == matrix[i]).sum(1) >= np.minimum(least[:n], need[i])) if n else ()
                 for h in hits:
                     centers.append(names[h])
                     found.append(node)
                     where.append(k[0])
                 if not len(hits):
                     if n == len(held):
-                        held = np.concatenate([held, np.zeros_like(held)])
-                    held[n] = matrix[i]
+                        held, least = np.concatenate([held, np.zeros_like(held)]), np.concatenate([least, np.zeros_like(least)])
+                    held[n], least[n] = matrix[i], need[i]
                     names.append(node)
                     centers.append(None)
                     found.append(node)
@@ -209,152 +242,198 @@ def _leaders(rows: DataFrame, keys: list[str]) -> DataFrame:
     return arrow_map(sorted_rows, run, "bucket long, center binary, node binary")
 
 
+def _dealt(rows: DataFrame, seed: int) -> DataFrame:
+    return rows.withColumns({"rank": F.xxhash64("node", F.lit(0)), "part": F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("n") / PART))})
+
+
 def _led(rows: DataFrame) -> DataFrame:
-    """Candidate pairs: leaders of parts of a bucket first, then leaders among those."""
-    dealt = rows.withColumns({"rank": F.xxhash64("node", F.lit(0)), "part": F.pmod(F.xxhash64("node", F.lit(-1)), F.ceil(F.col("n") / PART))})
-    first = durable(_leaders(dealt, ["bucket", "part"]))
-    large = dealt.where(F.col("n") > PART).join(first.where("center IS NULL").select("bucket", "node"), ["bucket", "node"], "left_semi")
-    pairs = first.where("center IS NOT NULL").select("center", "node").union(_leaders(large, ["bucket"]).where("center IS NOT NULL").select("center", "node"))
-    return pairs.select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node")).distinct()
+    """Candidate pairs: of leaders in parts of a bucket with their followers, then among the leaders of its parts, in parts again."""
+    first = durable(_leaders(_dealt(rows, -1), ["bucket", "part"]))
+    large = rows.where(F.col("n") > PART).drop("n").join(first.where("center IS NULL").select("bucket", "node"), ["bucket", "node"], "left_semi")
+    large = durable(large)
+    again = large.join(large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
+    pairs = first.where("center IS NOT NULL").select("center", "node").union(_leaders(_dealt(again, -2), ["bucket", "part"]).where("center IS NOT NULL").select("center", "node"))
+    out = durable(pairs.select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node")).distinct())
+    drop(first, large)
+    return out
+
+
+def _wanted(k: int, a: np.ndarray, b: np.ndarray, matrix: np.ndarray, root: np.ndarray, size: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Which pairs of rows a and b have different roots, sizes that allow the threshold, and agree on enough sketches, the
+    first of them k."""
+    equal = np.zeros((len(a), len(b)), np.int8)
+    for s in range(SKETCHES):
+        same = matrix[a, s][:, None] == matrix[b, s][None, :]
+        if s < k:
+            equal[same] = -SKETCHES - 1
+        else:
+            equal += same
+    x, y = size[a][:, None], size[b][None, :]
+    return (equal >= np.minimum(need[a][:, None], need[b][None, :])) & (root[a][:, None] != root[b][None, :]) & (np.minimum(x, y) >= THRESHOLD * np.maximum(x, y))
+
+
+def _codes(values: list) -> np.ndarray:
+    code = {v: c for c, v in enumerate(dict.fromkeys(values))}
+    return np.array([code[v] for v in values])
+
+
+def _runs(batches, keys: tuple[str, ...], columns: tuple[str, ...]):
+    """(key, {column: values}) of each group of rows that follow each other with equal keys; sketches become a matrix."""
+    key, held = None, {}
+
+    def packed():
+        return {c: np.concatenate(v) if c == "sketches" else sum(v, []) for c, v in held.items()}
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        names = [batch.column(c).to_numpy(zero_copy_only=False) for c in keys]
+        edge = np.ones(batch.num_rows + 1, bool)
+        edge[1:-1] = np.logical_or.reduce([c[1:] != c[:-1] for c in names])
+        edge = np.flatnonzero(edge)
+        values = {}
+        for c in columns:
+            col = batch.column(c)
+            values[c] = np.asarray(col.values.slice(col.offset * SKETCHES, len(col) * SKETCHES)).reshape(-1, SKETCHES) if c == "sketches" else col.to_pylist()
+        for a, b in zip(edge, edge[1:], strict=False):
+            new = tuple(int(c[a]) for c in names)
+            if new != key:
+                if key is not None:
+                    yield key, packed()
+                key, held = new, {c: [] for c in columns}
+            for c in columns:
+                held[c].append(values[c][a:b])
+    if key is not None:
+        yield key, packed()
 
 
 def _rest(rows: DataFrame) -> DataFrame:
-    """All pairs (center, node) with their bucket that have different roots and agree on AGREE sketches, each from the bucket of
-    its first agreeing sketch. Parts of a large bucket meet two by two, each two in a group of their own."""
+    """Who takes part in comparisons that are left: pairs of a bucket with different roots that agree on enough sketches, the
+    first of them this bucket's. Parts of a large bucket meet two by two, each two in a group of their own. Rows bucket, k, x, y,
+    side, node, root, words, sketches: a text once for each tile (x, y) of about TILE by TILE texts that it has a pair in."""
     parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit(-1)), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("bucket", "k", "i", "j", "n", "own", "node", "root", "sketches")
+    dealt = rows.withColumns({"own": F.pmod(F.xxhash64("node", F.lit(-1)), parts).cast("int"), "tile": F.pmod(F.xxhash64("node", F.lit(-3)), F.ceil(F.col("n") / TILE)).cast("int")})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("bucket", "i", "j", "k", "own", "tile", "node", "root", "words", "sketches")
     sorted_rows = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "root", "node")
 
-    def pairs(key, k, n, own, nodes, roots, parts):
-        matrix, own = np.concatenate(parts), np.array(own)
-        code = {r: c for c, r in enumerate(dict.fromkeys(roots))}
-        root, names = np.array([code[r] for r in roots]), np.array(nodes, object)
-        left, right = np.flatnonzero(own == key[1]), np.flatnonzero(own == key[2])
-        for at in range(0, len(left), 256):
-            a = left[at : at + 256]
-            b = right[right > a[0]] if key[1] == key[2] else right
-            if (root[a] == root[a[0]]).all():
-                b = b[root[b] != root[a[0]]]
-            if not len(b):
+    def run(batches):
+        for (bucket, i, j), of in _runs(batches, ("bucket", "i", "j"), ("k", "own", "tile", "node", "root", "words", "sketches")):
+            words, own, tile, root, k = np.array(of["words"]), np.array(of["own"]), np.array(of["tile"]), _codes(of["root"]), of["k"][0]
+            left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+            found = []
+            for at in range(0, len(left), 256):
+                a = left[at : at + 256]
+                b = right[right > a[0]] if i == j else right
+                if (root[a] == root[a[0]]).all():
+                    b = b[root[b] != root[a[0]]]
+                if not len(b):
+                    continue
+                hit = _wanted(k, a, b, of["sketches"], root, words - SHINGLE + 1, _need(words))
+                if i == j:
+                    hit &= b[None, :] > a[:, None]
+                p, q = (side[at] for side, at in zip((a, b), np.nonzero(hit), strict=True))
+                low, high = np.minimum(tile[p], tile[q]), np.maximum(tile[p], tile[q])
+                both = np.concatenate([np.stack([low, high, p], 1), np.stack([low, high, q], 1)])
+                if len(both):
+                    found.append(np.unique(both, axis=0))
+            if not found:
                 continue
-            equal = np.zeros((len(a), len(b)), np.int8)
-            for s in range(SKETCHES):
-                same = matrix[a, s][:, None] == matrix[b, s][None, :]
-                if s < k:
-                    equal -= same * np.int8(SKETCHES + 1)
-                    np.maximum(equal, -SKETCHES - 1, out=equal)
-                else:
-                    equal += same
-            wanted = (equal >= AGREE) & (root[a][:, None] != root[b][None, :])
-            if key[1] == key[2]:
-                wanted &= b[None, :] > a[:, None]
-            x, y = np.nonzero(wanted)
-            if len(x):
-                x, y = names[a[x]], names[b[y]]
-                lone = [pa.array(np.full(len(x), v, np.int64)) for v in (key[0], n)]
-                yield pa.RecordBatch.from_arrays([*lone, pa.array(np.where(x < y, x, y), pa.binary()), pa.array(np.where(x < y, y, x), pa.binary())], ["bucket", "n", "center", "node"])
+            x, y, at = np.unique(np.concatenate(found), axis=0).T
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(len(at), bucket)), pa.array(np.full(len(at), k), pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(tile[at], pa.int32()), pa.array([of["node"][n] for n in at], pa.binary()),
+                    pa.array([of["root"][n] for n in at], pa.binary()), pa.array(words[at], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * SKETCHES, pa.int32()), pa.array(of["sketches"][at].ravel())),
+                ],
+                ["bucket", "k", "x", "y", "side", "node", "root", "words", "sketches"],
+            )
 
-    def run(batches):
-        key, k, n, held = None, 0, 0, ([], [], [], [])
-        for batch in batches:
-            values = batch.column("sketches")
-            matrix = np.asarray(values.values.slice(values.offset * SKETCHES, len(values) * SKETCHES)).reshape(-1, SKETCHES)
-            columns = [np.asarray(batch.column(c)) for c in ("bucket", "i", "j")]
-            edge = np.ones(len(values) + 1, bool)
-            edge[1:-1] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-            edge = np.flatnonzero(edge)
-            lists = [batch.column(c).to_pylist() for c in ("own", "node", "root")]
-            for a, b in zip(edge, edge[1:], strict=False):
-                new = tuple(int(c[a]) for c in columns)
-                if new != key:
-                    if key is not None:
-                        yield from pairs(key, k, n, *held)
-                    key, k, n, held = new, batch.column("k")[int(a)].as_py(), batch.column("n")[int(a)].as_py(), ([], [], [], [])
-                for h, v in zip(held, lists, strict=False):
-                    h.extend(v[a:b])
-                held[3].append(matrix[a:b])
-        if key is not None:
-            yield from pairs(key, k, n, *held)
-
-    return arrow_map(sorted_rows, run, "bucket long, n long, center binary, node binary")
-
-
-def _verified_tiles(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """As _verified, for pairs of _rest: a bucket's pairs are dealt to tiles of about TILE by TILE texts, and a text travels
-    once to each of its tiles, not once for each of its pairs."""
-    side = lambda c: F.pmod(F.xxhash64(c), F.ceil(F.col("n") / TILE))
-    dealt = pairs.select("bucket", side("center").alias("x"), side("node").alias("y"), "center", "node")
-    wanted = dealt.select("bucket", "x", "y", F.col("center").alias("node")).union(dealt.select("bucket", "x", "y", "node")).distinct()
-    members = wanted.join(texts, "node").select("bucket", "x", "y", F.lit(0).alias("side"), F.lit(None).cast("binary").alias("center"), "node", "text")
-    tested = dealt.select("bucket", "x", "y", F.lit(1).alias("side"), "center", "node", F.lit(None).cast("string").alias("text"))
-    both = members.unionByName(tested).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "side")
+    return arrow_map(sorted_rows, run, "bucket long, k int, x int, y int, side int, node binary, root binary, words long, sketches array<long>")
+
+
+def _verified_rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (center, node) that join the same texts as the similar pairs among the members of each tile."""
+    dealt = members.join(texts, "node").select("bucket", "x", "y", "k", "side", "node", "root", "words", "sketches", "text")
+    both = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "node")
 
     def run(batches):
-        key, own = None, {}
-        for batch in batches:
-            for part in chunks(batch):
-                g, bounds = shingles(*hashed_words(part.column("text")))
-                found, columns = [], [part.column(c).to_pylist() for c in ("bucket", "x", "y", "center", "node")]
-                for i, (bucket, x, y, c, node) in enumerate(zip(*columns, strict=True)):
-                    if (bucket, x, y) != key:
-                        key, own = (bucket, x, y), {}
-                    if c is None:
-                        own[node] = g[bounds[i] : bounds[i + 1]].copy()
-                    elif similarity(own[c], own[node]):
-                        found.append((c, node))
-                yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], ["center", "node"])
+        for (_, x, y), of in _runs(batches, ("bucket", "x", "y"), ("k", "side", "node", "root", "words", "sketches", "text")):
+            words, side, root, nodes = np.array(of["words"]), np.array(of["side"]), _codes(of["root"]), of["node"]
+            left, right = np.flatnonzero(side == x), np.flatnonzero(side == y)
+            hit = _wanted(of["k"][0], left, right, of["sketches"], root, words - SHINGLE + 1, _need(words))
+            if x == y:
+                hit &= right[None, :] > left[:, None]
+            cut: dict[int, np.ndarray] = {}
+
+            def own(n):
+                if n not in cut:
+                    cut[n] = shingles(*hashed_words(pa.array([of["text"][n]])))[0]
+                return cut[n]
+
+            forest, found = Forest(), []
+            for a, b in zip(*np.nonzero(hit), strict=True):
+                a, b = int(left[a]), int(right[b])
+                ends = of["root"][a], of["root"][b]
+                if forest.find(ends[0]) != forest.find(ends[1]) and similarity(own(a), own(b)):
+                    forest.join(*ends)
+                    found.append((nodes[a], nodes[b]))
+            if found:
+                yield _links(found)
 
     return arrow_map(both, run, "center binary, node binary")
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, node, words, class_id and links (verified links of the row's text to other texts)."""
+    """One row per row of docs: doc_id, node, words, class_id and class_size."""
     rows = written(sketched(docs), "sketches")
-    nodes = rows.where(F.size("sketches") > 0).groupBy("node").agg(F.first("sketches").alias("sketches"))
+    nodes = durable(rows.where(F.size("sketches") > 0).groupBy("node").agg(F.first("sketches").alias("sketches"), F.first("words").alias("words")))
     entries = nodes.select("node", F.posexplode("sketches").alias("k", "value")).select("node", "k", F.xxhash64("k", "value").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(entries.join(shared, "bucket"), "buckets")
     wanted = buckets.select("node").distinct()
-    texts = written(_with_nodes(docs).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "candidates")
-    tried = durable(_led(buckets.join(nodes, "node")))
+    texts = written(_with_nodes(docs).groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node", "left_semi"), "candidates")
+    tried = _led(buckets.join(nodes, "node"))
     links = durable(_verified(tried, texts))
-    roots = durable(components(links.select(F.col("center").alias("a"), F.col("node").alias("b"))))
-    placed = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    edges = links.select(F.col("center").alias("a"), F.col("node").alias("b"))
+    roots = durable(components(edges))
+    placed = durable(buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    drop(buckets)
     apart = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket")
-    new = durable(_rest(placed.join(apart, "bucket", "left_semi").join(nodes, "node")).join(tried, ["center", "node"], "left_anti"))
-    good = durable(_verified_tiles(new, texts))
+    members = durable(_rest(placed.join(apart, "bucket", "left_semi").join(nodes, "node")))
+    drop(placed, tried, nodes)
+    good = durable(_verified_rest(members, texts))
     if not good.isEmpty():
-        links = durable(links.union(good))
-        roots = durable(components(links.select(F.col("center").alias("a"), F.col("node").alias("b"))))
-    degree = links.select("center").union(links.select("node")).groupBy(F.col("center").alias("node")).agg(F.count(F.lit(1)).alias("links"))
-    placed = rows.select("doc_id", "node", "words").join(roots, "node", "left").join(degree, "node", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "node"))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("head"), F.count(F.lit(1)).alias("class_size"))
-    return placed.join(least, "root").select("doc_id", "node", "words", "class_id", "class_size", F.coalesce("links", F.lit(0)).cast("long").alias("links"), "head")
+        roots = durable(components(edges.union(good.select(F.col("center").alias("a"), F.col("node").alias("b")))))
+    drop(members, good, links, texts)
+    each = rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("head"), F.count(F.lit(1)).alias("n"))
+    each = durable(each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    classes = each.groupBy("root").agg(F.min("id").alias("class_id"), F.min("head").alias("head"), F.sum("n").alias("class_size"))
+    of_node = durable(lookup(each.select("node", "root"), classes, "root").drop("root"))
+    return lookup(rows.select("doc_id", "node", "words"), of_node, "node")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group, unchanged: that of the least doc_id, then of the least hash and text."""
     found = written(groups(docs), "groups")
-    heads = found.select(F.col("head.doc_id").alias("_id"), F.col("head.node").alias("_node")).distinct()
-    names = docs.columns
+    id_, node, own = fresh(docs, "id", "node", "own_node")
+    heads = found.select(F.col("head.doc_id").alias(id_), F.col("head.node").alias(node)).distinct()
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_nodes(*hashed_words(part.column("text"))), pa.binary())], [*part.schema.names, "_node_"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_nodes(*hashed_words(part.column("text"))), pa.binary())], [*part.schema.names, own])
 
-    marked = arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField("_node_", T.BinaryType())]))
-    kept = marked.join(heads, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node_") == F.col("_node")), "left_semi")
-    repeats = found.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if not repeats.isEmpty():
-        first = Window.partitionBy("doc_id", "_node_").orderBy("text", *[F.col(c).cast("string") for c in names if c not in ("doc_id", "text")])
-        many = kept.join(repeats.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node_") == F.col("_node")), "left_semi")
-        lone = kept.join(repeats.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_node_") == F.col("_node")), "left_anti")
-        kept = lone.unionByName(many.withColumn("_n_", F.row_number().over(first)).where("_n_ = 1").drop("_n_"))
-    return kept.select(*names)
+    marked = arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(own, T.BinaryType())]))
+    here = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(node))
+    kept = marked.join(heads, here, "left_semi")
+    repeats = found.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(id_), F.col("node").alias(node))
+    if repeats.isEmpty():
+        return kept.select(*docs.columns)
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    order = F.struct(*[F.col(c).cast("string") for c in ("text", *[c for c in docs.columns if c not in ("doc_id", "text")])])
+    one = kept.join(repeats, here, "left_semi").groupBy("doc_id", own).agg(F.min_by(row, order).alias(node)).select(f"{node}.*")
+    return kept.join(repeats, here, "left_anti").select(*docs.columns).unionByName(one)
 
 
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "links")
+    return groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")

@@ -16,12 +16,12 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 
-from .common import Powers, mix
+from .common import on_leave, span_hashes
 
 #: The split pattern of the word-end BPE tokenizers that the fast way covers, and its contractions.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-CACHE_WORDS = 400_000  # pre-tokens that a worker remembers; it starts anew when they are full
+CACHE_WORDS = 200_000  # pre-tokens that a worker remembers; it starts anew when they are full
 LONG_WORD = 256  # a longer pre-token isn't remembered
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 
@@ -140,13 +140,13 @@ class Encoder:
         begins[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)) & (kind[1:] != SPACE)
         quote = np.flatnonzero((code == 0x27) & begins)
         pad = np.concatenate([code, np.zeros(3, np.uint32)])
-        cut = np.zeros(len(kind) + 3, np.int64)  # length of the contraction that starts here
+        cut = np.zeros(len(kind) + 3, np.int8)  # length of the contraction that starts here
         for tail in CONTRACTIONS:
             hit = quote[(pad[quote + 1] == ord(tail[0])) & ((pad[quote + 2] == ord(tail[1])) if len(tail) > 1 else True) & (kind[quote] == OTHER)]
             cut[hit] = len(tail) + 1
         at = np.flatnonzero(cut)
         for p in at:
-            to = p + cut[p]
+            to = p + int(cut[p])
             begins[p + 1 : to] = False
             if to < len(kind) and kind[to] != SPACE:
                 begins[to] = True
@@ -156,11 +156,7 @@ class Encoder:
         end = np.minimum(np.concatenate([start[1:], [len(kind)]]), stop[np.searchsorted(stop, start, "right")] if len(stop) else 0)
         if not len(start):
             return np.empty(0, np.uint32), np.zeros(n + 1, np.int64), unsure.tolist()
-        Powers.to(len(code) + 1)
-        with np.errstate(over="ignore"):
-            run = np.zeros(len(code) + 1, np.uint64)
-            np.cumsum((code.astype(np.uint64) + np.uint64(1)) * Powers.up[: len(code)], out=run[1:])
-            key = mix((run[end] - run[start]) * Powers.down[start] + (end - start).astype(np.uint64))
+        key = span_hashes(code, start, end)
         _, where, inverse = np.unique(key, return_index=True, return_inverse=True)
         lowered = code.tobytes().decode("utf-32-le")
         a, b = start[where].tolist(), end[where].tolist()
@@ -173,3 +169,6 @@ class Encoder:
         ids = flat[np.repeat(begin[inverse] - (total - each), each) + np.arange(int(total[-1]))]
         bounds = np.concatenate([[0], total])[np.searchsorted(start, first)]
         return ids, bounds, unsure.tolist()
+
+
+on_leave(__name__, Encoder._loaded.clear)

@@ -6,8 +6,9 @@ has a vector of its tag path (every element's tag, class and id words, hashed to
 directions, so each decision uses the whole page. It is trained here, on pages made by `make_page` from the usual
 layouts with known labels, as the corpus has none; training is deterministic and takes a fixed time.
 
-Edge cases. A null or empty page, or one without main blocks, gives the empty text; unclosed tags, comments and scripts
-end with the page; stray < are text; pages of any length are read whole; ids may be null or repeat; extra columns are
+Edge cases. A null or empty page, or one without main blocks, gives the empty text; unclosed tags, comments, scripts and
+styles end with the page, other elements whose content is no text (svg, template, ...) are left out only where they are closed;
+names that only start like theirs, as in <template-card>, are plain elements; stray < are text; pages of any length are read whole; ids may be null or repeat; extra columns are
 ignored; an empty table gives no rows.
 """
 
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_map, chunks, table
+from .common import arrow_map, chunks, on_leave, table
 
 PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 32, 8, 4, 16
 INPUT = PATH_DIM + WORD_DIM + NUMBERS
@@ -30,10 +31,10 @@ PAGES, EPOCHS = 700, 10
 #: Elements by how HTML treats them.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea)\b(?:[^>]*)>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s>/]*)([^>]*)>",
-    re.S | re.I,
-)
+RAW = frozenset("script style".split())
+SKIPPED = frozenset("noscript template svg iframe textarea".split())
+_TOKEN = re.compile(r"<!--|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s>/]*)([^>]*)>")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW | SKIPPED}
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -54,17 +55,31 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         state["linked"] = 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             raw = page[at : m.start()]
             held.append(raw)
             if state["links"]:
                 state["linked"] += len(raw)
         at = m.end()
-        name = (m[3] or m[6] or "").lower()
+        if m[0] == "<!--":
+            end = page.find("-->", at)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        name = (m[2] or m[5] or "").lower()
         if not name:
             continue
-        closing, attrs = m[2] or m[5], m[4] or m[7] or ""
+        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
+        if name in _END:
+            if not closing and not attrs.rstrip().endswith("/") and name not in unclosed:
+                if end := _END[name].search(page, at):
+                    at = end.end()
+                elif name in RAW:
+                    at = len(page)
+                else:
+                    unclosed.add(name)
+            continue
         if name in INLINE:
             if name == "a":
                 state["links"] = 0 if closing else 1
@@ -101,6 +116,7 @@ def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     return out / np.sqrt(PATH_DIM / 4)
 
 
+on_leave(__name__, lambda: (_signs.cache_clear(), _path_vector.cache_clear()))
 _WORDS = np.random.default_rng(7).choice([-1.0, 1.0], (1024, WORD_DIM)).astype(np.float32)
 
 
@@ -118,19 +134,19 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-z))
 
 
-def _run(x: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, list]:
-    """LSTM over x (time, batch, input): outputs and what the backward pass needs."""
+def _run(x: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
+    """LSTM over x (time, batch, input): outputs and, if it is to keep it, what the backward pass needs."""
     t, n, _ = x.shape
     h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
-    pre = x @ w[:INPUT] + b
     out, kept = np.zeros((t, n, HIDDEN), np.float32), []
     for k in range(t):
-        z = pre[k] + h @ w[INPUT:]
+        z = x[k] @ w[:INPUT] + b + h @ w[INPUT:]
         gates, g = _sigmoid(z[:, : 3 * HIDDEN]), np.tanh(z[:, 3 * HIDDEN :])
         i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
         new = f * c + i * g
         tc = np.tanh(new)
-        kept.append((h, c, i, f, o, g, tc))
+        if keep:
+            kept.append((h, c, i, f, o, g, tc))
         c, h = new, o * tc
         out[k] = h
     return out, kept
@@ -172,11 +188,11 @@ class Labeller:
     def __init__(self, params: list[np.ndarray]):
         self.params = params  # forward w, b; backward w, b; output w, b
 
-    def logits(self, pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, tuple]:
+    def logits(self, pages: list[np.ndarray], keep: bool = False) -> tuple[np.ndarray, np.ndarray, tuple]:
         w1, b1, w2, b2, w3, b3 = self.params
         x, y, mask = _padded(pages)
-        a, kept1 = _run(x, w1, b1)
-        b, kept2 = _run(y, w2, b2)
+        a, kept1 = _run(x, w1, b1, keep)
+        b, kept2 = _run(y, w2, b2, keep)
         both = np.concatenate([a, _turned(b, mask), x], 2)
         return both @ w3 + b3, mask, (x, y, kept1, kept2, both)
 
@@ -315,7 +331,7 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 0) -> Labeller:
     groups = [data[i : i + 16] for i in range(0, len(data), 16)]
     for epoch in range(epochs):
         for k in rng.permutation(len(groups)):
-            z, mask, (x, y, kept1, kept2, both) = model.logits([d[0] for d in groups[k]])
+            z, mask, (x, y, kept1, kept2, both) = model.logits([d[0] for d in groups[k]], True)
             want = np.zeros(mask.shape, np.float32)
             for j, d in enumerate(groups[k]):
                 want[: len(d[1]), j] = d[1]

@@ -1,17 +1,22 @@
 """Scores of texts by a log-bilinear language model trained with noise-contrastive estimation in numpy.
 
 Tokens are blank-separated words with A-Z lower-cased, and an end after each text. Counts of all tokens of all training
-texts are summed in Spark by 64-bit hash. The model predicts a class: one of the HEAD most frequent tokens, or "rest",
-from the classes of the two tokens before: r = R[a] C1 + R[b] C2, score of w = r . Q[w] + bias[w]. It is trained on the
-counts of all class triples of all training texts (at most (HEAD + 2)^3, which bounds what the driver holds): each of PASSES
-steps takes the gradient over every counted triple, against the expected NOISE draws from the class frequencies each, so
-nothing is sampled. For scoring, batched matrix products over all (HEAD + 2)^2 contexts
-give exactly normalised log-probabilities. A token of the rest class also costs its share of the rest by count,
-(c + 0.1) / (N_rest + 0.1 (V_rest + 1)), so that probabilities of all tokens, with one unseen, sum to one. Counts of rest
-tokens reach their texts by a shuffled join of distinct tokens; no vocabulary is collected or broadcast.
+texts are summed in Spark by 64-bit hash. The model predicts the class of a token from the classes of the two tokens before:
+r = R[a] C1 + R[b] C2, score of w = r . Q[w] + bias[w]. Classes are the HEAD most frequent tokens, each its own, and SHAPES
+classes of all other words by their last bytes and length, so that every word has vectors, whatever its rank.
+
+Training goes over every training token: in each of ROUNDS passes every task starts from the same parameters, takes a step of
+noise-contrastive estimation (BATCH tokens against NOISE draws from the class frequencies) after the other through all its
+texts, and the tasks' parameters are averaged by their tokens in a second shuffle. So the steps grow with the corpus, a lost
+task is redone alone, and the driver holds one set of parameters.
+
+Scoring takes batched matrix products over the distinct contexts of a chunk against all classes, which gives exactly
+normalised log-probabilities. A word of a shape class also costs its share of the class by count, (c + 0.1) / (N + 0.1 (V + 1))
+with N and V of the class, so that the probabilities of all tokens, with one unseen for each shape, sum to one. Counts of such
+words reach their texts by a shuffled join of distinct tokens; no vocabulary is collected or broadcast.
 
 Edge cases. A null or empty text is the end alone; ids may be null or repeat, one row out per row in; with no training
-text every token is unseen and the class distribution is uniform; extra columns are ignored.
+text every token is unseen and the model stays as it started; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,112 +27,181 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, arrow_map, chunks, crc_mod, span_hashes, table, text_bytes, word_spans, written, _NOT_SPACE
+from .common import _LOWER, _NOT_SPACE, arrow_map, chunks, crc_mod, mix, span_hashes, table, text_bytes, word_spans, written
 
-HEAD = 126
-WIDTH, NOISE, PASSES = 24, 12, 300
+HEAD, SHAPES = 255, 256
+WIDTH, NOISE, BATCH, ROUNDS = 16, 32, 4096, 2
+RATE = 0.02
+SLOT = 256  # parameters that travel in one row when they are averaged
+CONTEXTS = 4096  # contexts that are scored at once
 END = 0x454E44  # the end token's key; word hashes are 64 bits
 PAD = 0.1
 
 
-def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' tokens, ends included, and the n+1 bounds."""
+def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and shapes of all texts' tokens, ends included, and the n+1 bounds."""
     data, offsets = text_bytes(col)
     data = _LOWER[data]
     start, end, row = word_spans(data, offsets, _NOT_SPACE)
     h = span_hashes(data, start, end).view(np.int64)
+    size = end - start
+    tail = np.minimum(size, 6).astype(np.uint64)
+    for k in range(1, 4):
+        tail = tail * np.uint64(257) + np.where(size >= k, data[np.maximum(end - k, 0)] if len(data) else 0, 256).astype(np.uint64)
+    shape = (mix(tail) % np.uint64(SHAPES)).astype(np.int64)
     first = np.searchsorted(row, np.arange(len(offsets)))
     n = len(offsets) - 1
-    return np.insert(h, first[1:], END), first + np.arange(n + 1)
+    return np.insert(h, first[1:], END), np.insert(shape, first[1:], 0), first + np.arange(n + 1)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                h, c = np.unique(tokens(part.column("text"))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], ["h", "c"])
+                own, shape, _ = tokens(part.column("text"))
+                h, at, c = np.unique(own, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(shape[at], pa.int32()), pa.array(c.astype(np.int64))], ["h", "shape", "c"])
 
-    return arrow_map(docs.select("text"), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return arrow_map(docs.select("text"), run, "h long, shape int, c long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"))
 
 
 class Classes:
-    """Class of a token hash: its rank in the head, len(head) for the rest; len(head) + 1 stands before a text."""
+    """Class of a token: its rank in the head, or len(head) and its shape; one more class stands before a text."""
 
     def __init__(self, head: list[int]):
         self.sorted = np.sort(np.array(head, np.int64))
         self.order = np.argsort(np.array(head, np.int64))
         self.n = len(head)
+        self.all = self.n + SHAPES
 
-    def of(self, h: np.ndarray) -> np.ndarray:
+    def of(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
-        return np.where(self.sorted[at] == h, self.order[at], self.n).astype(np.int64)
+        return np.where(self.sorted[at] == h, self.order[at], self.n + shape).astype(np.int64)
 
-    def contexts(self, c: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """(class two before, class one before) of each token as one number."""
-        m, start = self.n + 2, bounds[:-1]
-        one = np.concatenate([[m - 1], c[:-1]])
-        one[start] = m - 1
-        two = np.concatenate([[m - 1], one[:-1]])
-        two[start] = m - 1
-        return two * m + one
+    def contexts(self, c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of the tokens two before and one before each token."""
+        start = bounds[:-1]
+        one = np.concatenate([[self.all], c[:-1]])
+        one[start] = self.all
+        two = np.concatenate([[self.all], one[:-1]])
+        two[start] = self.all
+        return two, one
+
+
+class LogBilinear:
+    """Parameters of the model: R (classes + 1), Q, C1, C2, bias, as one flat array behind views."""
+
+    def __init__(self, unigram: np.ndarray, flat: np.ndarray | None = None, seed: int = 0):
+        v = len(unigram)
+        sizes = [(v + 1, WIDTH), (v, WIDTH), (WIDTH, WIDTH), (WIDTH, WIDTH), (v,)]
+        ends = np.cumsum([int(np.prod(s)) for s in sizes])
+        self.unigram = unigram
+        if flat is None:
+            rng = np.random.default_rng(seed)
+            flat = rng.normal(0, 0.1, ends[-1]).astype(np.float32)
+            flat[ends[1] : ends[2]] = (0.5 * np.eye(WIDTH)).ravel()
+            flat[ends[2] : ends[3]] = np.eye(WIDTH).ravel()
+            flat[ends[3] :] = np.log(unigram)
+        self.flat = flat
+        self.r, self.q, self.c1, self.c2, self.bias = (flat[a:b].reshape(s) for a, b, s in zip(np.concatenate([[0], ends[:-1]]), ends, sizes, strict=True))
+
+    def train(self, batches, rate: float = RATE) -> int:
+        """Steps of noise-contrastive estimation, with decaying scaled gradients; how many tokens were seen."""
+        rng, seen = np.random.default_rng(1), 0
+        square = np.full_like(self.flat, 1e-8)
+        own = LogBilinear(self.unigram, np.zeros_like(self.flat))  # the gradient
+        log_noise = (np.log(NOISE) + np.log(self.unigram)).astype(np.float32)
+        draws = np.cumsum(self.unigram)
+        for step, (two, one, w) in enumerate(batches):
+            noise = np.minimum(np.searchsorted(draws, rng.random(NOISE) * draws[-1]), len(draws) - 1)
+            left, right = self.r[two], self.r[one]
+            h = left @ self.c1 + right @ self.c2
+            good = 1 / (1 + np.exp(np.clip((h * self.q[w]).sum(1) + self.bias[w] - log_noise[w], -30, 30)))
+            bad = -1 / (1 + np.exp(-np.clip(h @ self.q[noise].T + (self.bias[noise] - log_noise[noise]), -30, 30)))
+            dh = good[:, None] * self.q[w] + bad @ self.q[noise]
+            own.flat[:] = 0
+            _scatter(own.q, w, good[:, None] * h)
+            np.add.at(own.q, noise, bad.T @ h)
+            own.bias += np.bincount(w, good, len(own.bias)).astype(np.float32)
+            np.add.at(own.bias, noise, bad.sum(0))
+            _scatter(own.r, two, dh @ self.c1.T)
+            _scatter(own.r, one, dh @ self.c2.T)
+            own.c1 += left.T @ dh
+            own.c2 += right.T @ dh
+            own.flat /= len(w)
+            square += 0.05 * (own.flat * own.flat - square)
+            self.flat += np.float32(rate / (1 + step / 200) ** 0.5) * own.flat / np.sqrt(square / (1 - 0.95 ** (step + 1)) + 1e-10)
+            seen += len(w)
+        return seen
+
+    def log10_of(self, two: np.ndarray, one: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Normalised log10 probability of each class w after its context, by products over the distinct contexts."""
+        context, at = np.unique(two * (len(self.unigram) + 1) + one, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        edge = np.searchsorted(at[order], np.arange(0, len(context) + CONTEXTS, CONTEXTS))
+        left, right = self.r @ self.c1, self.r @ self.c2
+        out = np.empty(len(w))
+        for k, i in enumerate(range(0, len(context), CONTEXTS)):
+            some = context[i : i + CONTEXTS]
+            logits = (left[some // (len(self.unigram) + 1)] + right[some % (len(self.unigram) + 1)]) @ self.q.T
+            logits += self.bias
+            top = logits.max(1, keepdims=True)
+            whole = top[:, 0] + np.log(np.exp(logits - top).sum(1))
+            rows = order[edge[k] : edge[k + 1]]
+            out[rows] = (logits[at[rows] - i, w[rows]] - whole[at[rows] - i]) / np.log(10)
+        return out
+
+
+def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    order = np.argsort(at, kind="stable")
+    own = at[order]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    to[own[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def trained(docs: DataFrame, head: list[int], unigram: np.ndarray) -> LogBilinear:
+    """The model after ROUNDS passes over all texts of docs."""
+    model = LogBilinear(unigram.astype(np.float32))
+    for turn in range(ROUNDS):
+        sent = docs.sparkSession.sparkContext.broadcast(model.flat)
+
+        def run(batches, sent=sent, turn=turn):
+            own, kinds = LogBilinear(unigram.astype(np.float32), sent.value.copy()), Classes(head)
+
+            def steps():
+                for batch in batches:
+                    for part in chunks(batch):
+                        h, shape, bounds = tokens(part.column("text"))
+                        w = kinds.of(h, shape)
+                        two, one = kinds.contexts(w, bounds)
+                        order = np.random.default_rng(len(w)).permutation(len(w))
+                        for a in range(0, len(w), BATCH):
+                            at = order[a : a + BATCH]
+                            yield two[at], one[at], w[at]
+
+            seen = own.train(steps(), RATE / (1 + 2 * turn))
+            if seen:
+                slots = range(0, len(own.flat), SLOT)
+                yield pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int32()), pa.array([float(seen)] * len(slots)), pa.array([own.flat[a : a + SLOT].astype(float) * seen for a in slots], pa.list_(pa.float64()))], ["slot", "seen", "sums"])
+
+        def reduce(batches):
+            total: dict[int, list] = {}
+            for batch in batches:
+                for slot, seen, sums in zip(batch.column("slot").to_pylist(), batch.column("seen").to_pylist(), batch.column("sums"), strict=True):
+                    held = total.setdefault(slot, [0.0, np.zeros(len(sums.values))])
+                    held[0] += seen
+                    held[1] += sums.values.to_numpy()
+            if total:
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(s / n).tolist() for n, s in total.values()], pa.list_(pa.float64()))], ["slot", "mean"])
+
+        sums = written(arrow_map(docs.select("text"), run, "slot int, seen double, sums array<double>"), "lm-parameters")
+        means = arrow_map(sums.repartition("slot"), reduce, "slot int, mean array<double>").collect()  # one set of parameters
+        if means:
+            model = LogBilinear(model.unigram, np.concatenate([np.array(r["mean"], np.float32) for r in sorted(means, key=lambda r: r["slot"])]))
+        sent.unpersist()
+    return model
 
 
-def triple_counts(docs: DataFrame, head: list[int]) -> np.ndarray:
-    def run(batches):
-        own = Classes(head)
-        for batch in batches:
-            for part in chunks(batch):
-                h, bounds = tokens(part.column("text"))
-                c = own.of(h)
-                t, k = np.unique(own.contexts(c, bounds) * (own.n + 1) + c, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(k.astype(np.int64))], ["t", "k"])
-
-    rows = arrow_map(docs.select("text"), run, "t long, k long").groupBy("t").agg(F.sum("k").alias("k"))
-    found = rows.toArrow()  # at most (HEAD + 2)^3 rows
-    out = np.stack([found.column("t").to_numpy(), found.column("k").to_numpy()], 1)
-    return out[np.argsort(out[:, 0])]
-
-
-def train(triples: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
-    """Log10 probabilities [context, class] for classes 0..n, by NCE on the counted triples."""
-    rng = np.random.default_rng(seed)
-    m, v = n + 2, n + 1
-    unigram = np.bincount(triples[:, 0] % v, weights=triples[:, 1], minlength=v) + PAD if len(triples) else np.ones(v)
-    unigram = unigram / unigram.sum()
-    r = rng.normal(0, 0.1, (m, WIDTH)).astype(np.float32)
-    q = rng.normal(0, 0.1, (v, WIDTH)).astype(np.float32)
-    c1, c2 = (np.eye(WIDTH) * w for w in (0.5, 1.0))
-    c1, c2, bias = c1.astype(np.float32), c2.astype(np.float32), np.log(unigram).astype(np.float32)
-    params = [r, q, c1, c2, bias]
-    if len(triples):
-        at = np.unique(triples[:, 0] // v)  # the contexts that occur
-        one, two = at // m, at % m
-        seen = np.zeros((len(at), v), np.float32)
-        seen[np.searchsorted(at, triples[:, 0] // v), triples[:, 0] % v] = triples[:, 1] / triples[:, 1].sum()
-        noise = (NOISE * seen.sum(1, keepdims=True) * unigram).astype(np.float32)
-        both, log_noise = seen + noise, (np.log(NOISE) + np.log(unigram)).astype(np.float32)
-        mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        for step in range(PASSES):
-            left, right = r[one], r[two]
-            h = left @ c1 + right @ c2
-            err = seen - both / (1 + np.exp(-np.clip(h @ q.T + (bias - log_noise), -30, 30)))
-            dh = err @ q
-            dr = np.zeros_like(r)
-            np.add.at(dr, one, dh @ c1.T)
-            np.add.at(dr, two, dh @ c2.T)
-            rate = 0.05 * (1 - step / PASSES)
-            for p, g, mu, sq in zip(params, (dr, err.T @ h, left.T @ dh, right.T @ dh, err.sum(0)), mean, square, strict=True):
-                mu += 0.1 * (g - mu)
-                sq += 0.01 * (g * g - sq)
-                p += rate * (mu / (1 - 0.9 ** (step + 1))) / (np.sqrt(sq / (1 - 0.99 ** (step + 1))) + 1e-12)
-    left, right = r @ c1, r @ c2
-    logits = ((left[:, None, :] + right[None, :, :]).reshape(m * m, WIDTH) @ q.T) + bias
-    top = logits.max(1, keepdims=True)
-    return ((logits - top - np.log(np.exp(logits - top).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
-
-
-_loaded: dict[str, np.ndarray] = {}
 
 
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
@@ -140,28 +214,30 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         end = counts.where(F.col("h") == END).first()
         best = [*best[: HEAD - 1], (END, end["c"] if end else 0)]
     head, head_counts = [h for h, _ in best], np.array([c for _, c in best], float)
-    model = train(triple_counts(training, head), len(head))
-    sent, name = spark.sparkContext.broadcast(model), str(hash(model.tobytes()))
-    n_rest, v_rest = total - int(head_counts.sum()), kinds - int((head_counts > 0).sum())
+    of_shape = {r["shape"]: (r["c"], r["n"]) for r in counts.where(~F.col("h").isin(head)).groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    shape_counts = np.array([of_shape.get(i, (0, 0)) for i in range(SHAPES)], float)
+    unigram = np.concatenate([head_counts, shape_counts[:, 0]]) + PAD
+    unigram /= unigram.sum()
+    model = trained(training, head, unigram)
+    sent = spark.sparkContext.broadcast(model.flat)
     base_of = np.log10((head_counts + PAD) / (total + PAD * (kinds + 1)))
     known = head_counts > 0
 
     def run(batches):
-        if name not in _loaded:
-            _loaded.clear()
-            _loaded[name] = sent.value
-        logs, own, at = _loaded[name].ravel(), Classes(head), TaskContext.get().partitionId() << 33
+        own, at = Classes(head), TaskContext.get().partitionId() << 33
+        lm = LogBilinear(unigram.astype(np.float32), sent.value)
         for batch in batches:
             for part in chunks(batch):
-                h, bounds = tokens(part.column("text"))
-                c = own.of(h)
+                h, shape, bounds = tokens(part.column("text"))
+                c = own.of(h, shape)
                 sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  no text is without its end
-                p = sums(logs[own.contexts(c, bounds) * (own.n + 1) + c].astype(np.float64))
-                of_head = np.append(base_of, 0.0)[c]
-                rest = np.flatnonzero(c == own.n)
+                p = sums(lm.log10_of(*own.contexts(c, bounds), c))
+                head_or_none = np.minimum(c, own.n)
+                of_head = np.append(base_of, 0.0)[head_or_none]
+                rest = np.flatnonzero(c >= own.n)
                 row = np.searchsorted(bounds, rest, "right") - 1
                 order = np.lexsort((h[rest], row))
-                hh, rr = h[rest][order], row[order]
+                hh, rr, ss = h[rest][order], row[order], shape[rest][order]
                 new = np.ones(len(hh), bool)
                 new[1:] = (hh[1:] != hh[:-1]) | (rr[1:] != rr[:-1])
                 where = np.flatnonzero(new)
@@ -170,21 +246,22 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 size = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(at, at + size)), part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sums(np.append(known, False)[c].astype(np.int64))), pa.array(sums(of_head)), pa.array(p),
-                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(hh[where]), pa.array(times)], ["h", "n"])),
+                        pa.array(np.arange(at, at + size)), part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sums(np.append(known, False)[head_or_none].astype(np.int64))), pa.array(sums(of_head)), pa.array(p),
+                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(hh[where]), pa.array(times), pa.array(ss[where], pa.int32())], ["h", "n", "s"])),
                     ],
                     ["row", "doc_id", "n_tokens", "n_head", "base_head", "model", "rest"],
                 )
                 at += size
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    rows = written(arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_head long, base_head double, model double, rest array<struct<h:long,n:long>>"), "scored")
+    rows = written(arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_head long, base_head double, model double, rest array<struct<h:long,n:long,s:int>>"), "scored")
     c = F.coalesce("c", F.lit(0))
-    tail = rows.select("row", F.explode("rest").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n")).join(counts, "h", "left")
+    whole = F.array(*[F.lit(float(n + PAD * (v + 1))) for n, v in shape_counts])
+    tail = rows.select("row", F.explode("rest").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n"), F.col("t.s").alias("s")).join(counts.select("h", "c"), "h", "left")
     tail = tail.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rest"),
         F.sum(F.col("n") * F.log10((c + PAD) / (total + PAD * (kinds + 1)))).alias("base_rest"),
-        F.sum(F.col("n") * F.log10((c + PAD) / (n_rest + PAD * (v_rest + 1)))).alias("model_rest"),
+        F.sum(F.col("n") * F.log10((c + PAD) / whole[F.col("s")])).alias("model_rest"),
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
     return rows.drop("rest").join(tail, "row", "left").select(

@@ -12,11 +12,12 @@ with L = floor(log2(ids / documents)), so a boundary takes about L + 2 bits. The
 SAMPLE-th set bit; EliasFano.end(i) goes to the nearest sample and counts on from there, without a table of 64-bit
 offsets. Spark's committer makes the parts appear at once or not at all, so a lost executor's piece is redone whole.
 
-Documents reach their range by one shuffle of the texts on doc_id; ids never move. Starts over the whole corpus are
+Documents reach their range by one shuffle of the texts on (doc_id, hash of the text, place), in as many ranges as RANGE_BYTES
+of text ask for, so neither an id nor a text that repeats fills a range; ids never move. Starts over the whole corpus are
 prefix sums of the pieces' sizes, first within a shard and then over the shards' totals.
 
-Edge cases. A null or empty text is the end id alone; null doc_ids come first; equal doc_ids are ordered by text and
-keep one row each; an empty table gives an empty data set; extra columns are ignored.
+Edge cases. A null or empty text is the end id alone; null doc_ids come first; equal doc_ids are ordered by a
+hash of their texts and keep one row each; an empty table gives an empty data set; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from .tokens import Encoder
 
 END_ID = 1
 PIECE_IDS = 1 << 20
+RANGE_BYTES = 16 << 20
 SAMPLE = 256
 _HEAD = "<4sBBQI"
 
@@ -100,7 +102,8 @@ PIECES = "shard int, piece int, n_ids long, docs array<long>, bounds binary, ids
 def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID) -> DataFrame:
     """Encode, write the data set into the shared folder, and return it as read back."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
 
     def run(batches):
         encoder, shard, piece = Encoder.of(path), TaskContext.get().partitionId(), 0
@@ -133,12 +136,15 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             yield pack()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    ranged = rows.withColumns({"text_hash": F.xxhash64("text"), "place": F.xxhash64(F.monotonically_increasing_id())})
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc(), F.col("place").asc()]
+    ranged = ranged.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("doc_id", "text")
     return written(arrow_map(ranged, run, PIECES), "token-files")
 
 
-def read_tokens(files: DataFrame) -> DataFrame:
-    """Rows doc_id, start, n_tokens, ids_crc32 and the ids' bytes as unsigned 32-bit, from the written data set."""
+def read_tokens(files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Rows doc_id, start, n_tokens, ids_crc32 and (if wanted) the ids' bytes as unsigned 32-bit, from the written data set; each
+    document's boundaries are selected from the code."""
     sizes = files.select("shard", "piece", "n_ids")
     in_shard = Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     whole = sizes.groupBy("shard").agg(F.sum("n_ids").alias("n"))
@@ -154,18 +160,18 @@ def read_tokens(files: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 code = EliasFano(row["bounds"])
-                ends = code.ends()
+                ends = np.fromiter((code.end(i) for i in range(code.n)), np.int64, code.n)
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 ids = np.frombuffer(row["ids"], f"<u{code.width}").astype("<u4")
                 spans = list(zip(begins, ends, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["docs"], pa.int64()), pa.array(begins + row["start"], pa.int64()), pa.array(ends - begins, pa.int64()), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in spans], pa.int64()), pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = [pa.array(row["docs"], pa.int64()), pa.array(begins + row["start"], pa.int64()), pa.array(ends - begins, pa.int64()), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in spans], pa.int64())]
+                if with_ids:
+                    columns.append(pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     located = files.join(starts, ["shard", "piece"]).select("docs", "bounds", "ids", "start")
-    return arrow_map(located, run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return arrow_map(located, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), default_path())).drop("ids")
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), default_path()), with_ids=False)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import arrow_map, chunks, table
+from .common import arrow_map, chunks, fresh, on_leave, table
 from .tokens import Encoder
 
 LEAF = 128
@@ -117,6 +117,9 @@ class TreeEncoder:
         return " ".join([self.tokens[i] for i in ids])
 
 
+on_leave(__name__, TreeEncoder._loaded.clear)
+
+
 def _tree(path: str) -> TreeEncoder:
     tree = TreeEncoder.of(path)
     tree.encoder.whole = tree.whole
@@ -124,8 +127,9 @@ def _tree(path: str) -> TreeEncoder:
 
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Append input_ids (array<int>) and decoded (string) to every row."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("input_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+    """Append input_ids (array<int>) and decoded (string) to every row; a name that is taken gets an underscore."""
+    names = fresh(docs, "input_ids", "decoded")
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.StringType())])
 
     def run(batches):
         tree = _tree(path)
@@ -134,7 +138,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
                 ids, bounds = tree.encoder.batch(part.column(text))
                 decoded = [tree.decode(ids[a:b].tolist()) for a, b in zip(bounds, bounds[1:], strict=False)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype("int32")))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.string())], [*part.schema.names, "input_ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(decoded, pa.string())], [*part.schema.names, *names])
 
     return arrow_map(docs, run, schema)
 

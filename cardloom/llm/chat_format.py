@@ -9,6 +9,9 @@ within blocks of BLOCK turns plus a prefix sum over the blocks.
 
     <|system|>\\ntext<|end|>\\n      <|user name=NAME|>\\ntext<|end|>\\n      <|assistant|>\\ntext<|end|>\\n
 
+A text can't forge a mark: in it `<|` becomes `<\\|` (more backslashes between get one more), and in a name in a header `|` and
+line ends become blanks.
+
 Edge cases. Messages are ordered by turn (null last), role, text; equal messages keep a row each. A null text is
 empty; a null or blank role is the speaker "unknown". A dialogue of system messages only has no participant and no
 rows; a null conv_id is a dialogue of its own. Extra columns are ignored.
@@ -29,13 +32,13 @@ LAST_TURN = (1 << 62) - 1
 def rotate(messages: DataFrame) -> DataFrame:
     """conv_id, perspective, place, turn, role, name, segment, start, stop, mask, mask_start, mask_stop."""
     speaker = F.when(F.trim(F.coalesce("role", F.lit(""))) == "", F.lit(UNKNOWN)).otherwise(F.trim("role"))
-    own = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
+    own = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), F.regexp_replace(F.coalesce("text", F.lit("")), r"<(\\*)\|", r"<\\$1|").alias("text"))
     own = own.groupBy("conv_id", "turn", "speaker", "text").agg(F.count(F.lit(1)).alias("copies"))
     own = own.withColumn("block", F.floor(F.coalesce("turn", F.lit(LAST_TURN)) / BLOCK))
     people = own.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).distinct()
     seen = own.join(people, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
     is_own, is_system = F.col("speaker") == F.col("perspective"), F.col("speaker") == SYSTEM
-    header = F.when(is_system, F.lit("<|system|>\n")).when(is_own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), F.col("speaker"), F.lit("|>\n")))
+    header = F.when(is_system, F.lit("<|system|>\n")).when(is_own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), F.translate("speaker", "|\n\r", "   "), F.lit("|>\n")))
     seen = seen.select("*", F.char_length(header).cast("long").alias("head"), F.concat(header, F.col("text"), F.lit("<|end|>\n")).alias("segment"), is_own.alias("mask"))
     seen = seen.withColumn("size", F.char_length("segment").cast("long"))
     seen = durable(seen)
@@ -66,10 +69,10 @@ def op2_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH m AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker, coalesce(text, '') AS text FROM conversations),
+WITH m AS (SELECT conv_id, turn, CASE WHEN trim(coalesce(role, '')) = '' THEN 'unknown' ELSE trim(role) END AS speaker, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') AS text FROM conversations),
 p AS (SELECT DISTINCT conv_id AS c, speaker AS perspective FROM m WHERE speaker <> 'system'),
 s AS (SELECT conv_id, perspective, turn, speaker, text,
-  CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || speaker || '|>' || chr(10) END AS header
+  CASE WHEN speaker = 'system' THEN '<|system|>' || chr(10) WHEN speaker = perspective THEN '<|assistant|>' || chr(10) ELSE '<|user name=' || translate(speaker, '|' || chr(10) || chr(13), '   ') || '|>' || chr(10) END AS header
   FROM m JOIN p ON conv_id IS NOT DISTINCT FROM c),
 g AS (SELECT *, header || text || '<|end|>' || chr(10) AS segment FROM s),
 w AS (SELECT *, length(segment) AS size, row_number() OVER o - 1 AS place, coalesce(sum(length(segment)) OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS LAST, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start

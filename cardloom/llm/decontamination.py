@@ -26,11 +26,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, written
+from .common import durable, fresh, small, table, written
 
 WINDOW, K = 13, 5
 W = WINDOW - K + 1
-BROADCAST_ROWS = 200_000  # of two hashes each: some 10 MB
 _CUT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -81,11 +80,6 @@ def item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
     return reduce(DataFrame.unionByName, out).distinct()
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if its rows are counted to be few."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def hit_counts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(docs with key and n_words for its text column, key -> n_hit and items for texts with hits)."""
     items = durable(hashed(benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col(item_text).alias("text")), "text"))
@@ -98,10 +92,10 @@ def hit_counts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_t
     key = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     rows = docs.withColumn("key", key)
     scanned = written(fingerprints(hashed(rows.withColumn("_text", F.col(text)), "_text"), short).drop("h", text).withColumnRenamed("n", "n_words"), "winnowed")
-    found = scanned.select("key", F.explode("fps").alias("fp")).join(_small(item_fps), "fp", "left_semi").select("key").distinct()
+    found = scanned.select("key", F.explode("fps").alias("fp")).join(small(item_fps), "fp", "left_semi").select("key").distinct()
     candidates = durable(found)
     texts = docs.select(F.col(text).alias("text")).withColumn("key", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    texts = texts.join(_small(candidates), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = texts.join(small(candidates), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
     texts = hashed(texts, "text")
     windows = durable(item_windows(items, [*short, WINDOW]))
     spans = None
@@ -109,7 +103,7 @@ def hit_counts(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_t
         pair = F.posexplode_outer(F.arrays_zip(grams("h", "n", length).alias("a"), grams("h", "n", length, True).alias("b"))).alias("at", "w")
         part = texts.select("key", pair).select("key", "at", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.lit(length).alias("len")).where("a IS NOT NULL")
         spans = part if spans is None else spans.unionByName(part)
-    hits = spans.join(_small(windows), ["len", "a", "b"]).select("key", (F.col("at") * 16 + F.col("len")).alias("span"), "item")
+    hits = spans.join(small(windows), ["len", "a", "b"]).select("key", (F.col("at") * 16 + F.col("len")).alias("span"), "item")
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
 
     def add(acc: Column, span: Column) -> Column:
@@ -139,9 +133,10 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text is not contaminated, unchanged."""
     scanned, hits = hit_counts(docs.select("text"), benchmark)
-    bad = scanned.join(hits, "key").where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("_key")).distinct()
+    (key,) = fresh(docs, "key")
+    bad = scanned.join(hits, "key").where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias(key)).distinct()
     own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return docs.join(_small(durable(bad)), own == F.col("_key"), "left_anti")
+    return docs.join(small(durable(bad)), own == F.col(key), "left_anti")
 
 
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

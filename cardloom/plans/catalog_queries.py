@@ -160,9 +160,12 @@ _HIT_TAGS = f"list_sort(list_distinct(list_filter(list_concat(lt, {_CARD_TAGS}),
 _STATED = " ".join(f"WHEN {_told(k)} THEN json_extract_string(cd, '$.{k}')" for k in X.CARD_BASE_KEYS)
 
 
-@query(f"""SELECT repo_id, reason, CASE reason WHEN 'declares_base_model' THEN CASE {_STATED} ELSE base_model END WHEN 'derivative_tag' THEN array_to_string({_HIT_TAGS}, ', ') WHEN 'derivative_name' THEN repo_id ELSE '' END AS evidence
+METADATA_SQL = f"""SELECT repo_id, created_at, reason, CASE reason WHEN 'declares_base_model' THEN CASE {_STATED} ELSE base_model END WHEN 'derivative_tag' THEN array_to_string({_HIT_TAGS}, ', ') WHEN 'derivative_name' THEN repo_id ELSE '' END AS evidence
   FROM (SELECT *, CASE WHEN NOT weights THEN 'no_recognized_full_weight_file' WHEN {_DECLARES} OR base_model IS NOT NULL THEN 'declares_base_model' WHEN len({_HIT_TAGS}) > 0 THEN 'derivative_tag'
-  WHEN {_like("split_part(repo_id, '/', -1)", P.DERIVATIVE_NAME)} THEN 'derivative_name' WHEN len({_TOLD_FILES}) > 0 THEN CASE WHEN {_like(_TOLD_FILES + '[1]', P.ADAPTER_FILE)} THEN 'adapter_files' ELSE 'conversion_files' END ELSE 'pending' END AS reason FROM k)""")
+  WHEN {_like("split_part(repo_id, '/', -1)", P.DERIVATIVE_NAME)} THEN 'derivative_name' WHEN len({_TOLD_FILES}) > 0 THEN CASE WHEN {_like(_TOLD_FILES + '[1]', P.ADAPTER_FILE)} THEN 'adapter_files' ELSE 'conversion_files' END ELSE 'pending' END AS reason FROM k)"""
+
+
+@query(f"SELECT repo_id, reason, evidence FROM ({METADATA_SQL})")
 def m1_metadata_filter(spark, sf):
     return hub.models(spark, sf).select("repo_id", F.coalesce(X.metadata_reason(), F.lit("pending")).alias("reason"), X.metadata_evidence().alias("evidence"))
 

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import card_patterns as C
 from ..functions import patterns as P
+from ..operators import card_signals as G
 from ..operators import dedup as D
 from ..operators import records as R
 from ..operators import reviews as V
 from ..operators import sampling as SA
 from ..operators import selection as S
 from ..operators import summary as U
+from ..operators import taxonomy as X
 from ..session import written
 from ..sources import hub
 from . import catalog_queries as Q
@@ -355,3 +357,51 @@ def a11_j10_market(spark, sf):
     baseline = spark.createDataFrame([("text", 5e9, 10.5)], "selection string, confirmed double, derivatives double")
     return SA.market(sampled(spark, sf), baseline).select("selection", F.round("market_lower", 2).alias("market_lower"), F.round("market_central", 2).alias("market_central"), F.round("market_upper", 2).alias("market_upper"))
 
+
+
+# ---- card texts
+
+_TOKENS = " UNION ALL ".join(
+    f"SELECT card_no, unnest(regexp_extract_all(card, '{p.replace(chr(39), chr(39) * 2)}', {g})) AS v, unnest(regexp_extract_all(card, '{p.replace(chr(39), chr(39) * 2)}', {g + 1})) AS u FROM cards" for p, g in ((C.TOKENS_TRAINED, 1), (C.TOKENS_TRAINED, 3), (C.TOKENS_TRAINED, 5), (C.TOKENS_TRAINED, 7), (C.TOKENS_PRETRAINED, 1))
+)
+_CARDS = f"""WITH {hub.VIEWS},
+tok AS ({_TOKENS}),
+best AS (SELECT card_no AS bn, max(CAST(v AS DOUBLE) / CASE WHEN lower(u) IN ('b', 'billion') THEN 1000 ELSE 1 END) AS tokens FROM tok WHERE v <> '' GROUP BY 1)"""
+
+
+def card_signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.signals(hub.cards(spark, sf_dir))
+
+
+@query(_CARDS, f"""SELECT card_no, round(coalesce(tokens, 0), 6) AS tokens_t, coalesce(nullif(regexp_extract(card, '{C.ACTIVE_PARAMETERS}', 1), ''), nullif(regexp_extract(card, '{C.ACTIVE_PARAMETERS}', 2), ''), '0')::DOUBLE AS active_b FROM cards LEFT JOIN best ON bn = card_no""")
+def a15_card_tokens(spark, sf):
+    """Tokens and active parameters of all cards, by the JVM's own expressions."""
+    def most(pattern: str, groups: int):
+        each = [F.zip_with(F.regexp_extract_all("card", F.lit(P.java(pattern)), F.lit(g)), F.regexp_extract_all("card", F.lit(P.java(pattern)), F.lit(g + 1)), lambda v, u: v.try_cast("double") / F.when(F.lower(u).isin("b", "billion"), 1000.0).otherwise(1.0)) for g in range(1, groups + 1, 2)]
+        return F.array_max(F.array_compact(F.concat(*each)))
+
+    active = lambda g: F.nullif(F.regexp_extract("card", P.java(C.ACTIVE_PARAMETERS), g), F.lit(""))
+    tokens = F.greatest(most(C.TOKENS_TRAINED, 8), most(C.TOKENS_PRETRAINED, 2))
+    return hub.cards(spark, sf).select("card_no", F.round(F.coalesce(tokens, F.lit(0.0)), 6).alias("tokens_t"), F.coalesce(active(1), active(2), F.lit("0")).cast("double").alias("active_b"))
+
+
+@query(None)
+def card_signals(spark, sf):
+    """Status, compute and claims of all cards that may matter; held against cases in the tests, as it needs offsets."""
+    rows = G.with_earliest(card_signal_rows(spark, sf))
+    return rows.select("modelId", "status", "reason", "compute.gpu_hours", "compute.cost_usd", "compute.cost_method", "claim.evidence_type", "claim.training_tokens_t", "claim.active_parameters_b", "claim.claimed_trainer", "compute_earliest", "claim_earliest")
+
+
+_CLAIM_IS = Q._like("card", C.SCRATCH_CLAIM.replace("'", "''"))
+
+
+@query(f"WITH {hub.VIEWS}", f"SELECT card_no, CASE WHEN {_CLAIM_IS} THEN 'claims' ELSE 'candidate' END AS status FROM cards")
+def m2_claims_scratch(spark, sf):
+    return hub.cards(spark, sf).select("card_no", F.when(P.matches(F.col("card"), C.SCRATCH_CLAIM), "claims").otherwise("candidate").alias("status"))
+
+
+@query(f"WITH {Q._CTE}", f"""SELECT year(created_at) AS year, status, reason, count(*) AS rows FROM (SELECT created_at, CASE WHEN reason = 'pending' THEN 'pending' ELSE 'excluded' END AS status, reason FROM ({Q.METADATA_SQL})) WHERE year(created_at) BETWEEN 1995 AND 1998 GROUP BY ALL""")
+def a1_a2_counts_by_year(spark, sf):
+    reason = F.coalesce(X.metadata_reason(), F.lit("pending"))
+    rows = hub.models(spark, sf).select(F.year("created_at").cast("long").alias("year"), reason.alias("reason")).where("year BETWEEN 1995 AND 1998")
+    return rows.groupBy("year", F.when(F.col("reason") == "pending", "pending").otherwise("excluded").alias("status"), "reason").agg(F.count(F.lit(1)).alias("rows"))

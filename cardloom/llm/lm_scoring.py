@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, _NOT_SPACE, arrow_map, chunks, crc_mod, mix, span_hashes, table, text_bytes, word_spans, written
 
-HEAD, SHAPES = 255, 256
-WIDTH, NOISE, BATCH, ROUNDS = 16, 32, 4096, 2
-RATE = 0.02
+HEAD, SHAPES = 127, 128
+WIDTH, NOISE, BATCH, ROUNDS = 16, 48, 1024, 1
+RATE = 0.01
 SLOT = 256  # parameters that travel in one row when they are averaged
 CONTEXTS = 4096  # contexts that are scored at once
 END = 0x454E44  # the end token's key; word hashes are 64 bits
@@ -116,8 +116,12 @@ class LogBilinear:
             noise = np.minimum(np.searchsorted(draws, rng.random(NOISE) * draws[-1]), len(draws) - 1)
             left, right = self.r[two], self.r[one]
             h = left @ self.c1 + right @ self.c2
-            good = 1 / (1 + np.exp(np.clip((h * self.q[w]).sum(1) + self.bias[w] - log_noise[w], -30, 30)))
-            bad = -1 / (1 + np.exp(-np.clip(h @ self.q[noise].T + (self.bias[noise] - log_noise[noise]), -30, 30)))
+            good = 0.5 - 0.5 * np.tanh(0.5 * ((h * self.q[w]).sum(1) + self.bias[w] - log_noise[w]))
+            bad = h @ (0.5 * self.q[noise]).T
+            bad += 0.5 * (self.bias[noise] - log_noise[noise])
+            np.tanh(bad, out=bad)
+            bad *= -0.5
+            bad -= 0.5
             dh = good[:, None] * self.q[w] + bad @ self.q[noise]
             own.flat[:] = 0
             _scatter(own.q, w, good[:, None] * h)

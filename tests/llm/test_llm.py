@@ -210,14 +210,188 @@ def test_lm(spark, odd, none):
 
 
 def test_lm_normalised():
-    table = lm_scoring.train(np.array([[0, 5], [7, 3], [30, 9]]), 4)
-    assert np.allclose((10.0 ** table.astype(float)).sum(1), 1, atol=1e-4)
+    """Over all classes a context's probabilities sum to one, and so do the shares within a class with one unseen word."""
+    rng = np.random.default_rng(0)
+    v = 40
+    unigram = rng.random(v) + 0.01
+    lm = lm_scoring.LogBilinear((unigram / unigram.sum()).astype(np.float32))
+    lm.train((rng.integers(0, v + 1, 64), rng.integers(0, v + 1, 64), rng.integers(0, v, 64)) for _ in range(20))
+    for two, one in ((0, 0), (v, v), (3, 17)):
+        assert abs((10.0 ** lm.log10_of(np.full(v, two), np.full(v, one), np.arange(v))).sum() - 1) < 1e-4
+
+
+def test_lm_learns_and_scores_the_same_text_alike(spark):
+    """Words follow each other in pairs; a text in that order is likelier than the same words in another order."""
+    rng = random.Random(2)
+    pairs = [(f"a{i}", f"b{i}") for i in range(20)]
+    texts = [" ".join(w for _ in range(40) for w in rng.choice(pairs)) for _ in range(300)]
+    right, wrong = "a1 b1 a2 b2 a3 b3 a4 b4", "b1 a2 b2 a3 b3 a4 b4 a1"
+    docs = spark.createDataFrame(list(enumerate([*texts, right, right, wrong])), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, docs.where("doc_id < 300")).collect()}
+    assert got[300]["score"] == got[301]["score"] > got[302]["score"] and abs(got[300]["base_score"] - got[302]["base_score"]) < 1e-9
+    assert got[300]["score"] > got[300]["base_score"]
+
+
+def brute_shards():
+    """Documents, and the shard of a key from md5 and logarithms in Python."""
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+
+    def shard(key, n):
+        draws = [(int(hashlib.md5(f"{key}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52 for i in range(n)]
+        return max(range(n), key=lambda i: (1 / -np.log(draws[i]), -i))
+
+    return docs, shard
+
+
+def test_sharding_equals_brute(spark):
+    docs, shard = brute_shards()
+    got = sharding.shard_documents(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    assert Counter(zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in zip(docs.doc_id, docs.text, strict=True))
+    assert all(r["shard"] == shard(r.doc_id, 8) and r.grown_shard == shard(r.doc_id, 9) for _, r in got.iterrows())
+    block = [int(hashlib.md5(f"{i}|{n}|{c}".encode()).hexdigest()[:8], 16) % sharding.BLOCKS for i, n, c in zip(got.doc_id, got["size"], got.text_crc32, strict=True)]
+    ordered = got.assign(block=block).sort_values(["shard", "block", "doc_id", "text_crc32", "size"])
+    assert (ordered.groupby("shard").cumcount() == ordered.slot).all()
+
+
+def test_token_files_equal_library(spark):
+    docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id").head(60)
+    t, start = library(), 0
+    got = token_output.read_tokens(token_output.write_tokens(spark.createDataFrame(docs), bpe.default_path()), with_ids=False).toPandas().set_index("doc_id")
+    for i, x in zip(docs.doc_id, docs.text, strict=True):
+        ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
+        row = got.loc[i]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_string_kernel_equals_naive():
+    """The explicit features' product is the sum over all pairs of equal triples, in any alphabet and over the whole part."""
+    from itertools import combinations
+
+    def naive(a, b):
+        def triples(w):
+            w = "\0" + w
+            return [(w[i] + w[j] + w[k], 0.5 ** (k - i - 2)) for i, j, k in combinations(range(len(w)), 3)]
+
+        x, y = triples(a), triples(b)
+        return sum(p * q for s, p in x for t, q in y if s == t) / np.sqrt(sum(p * p for _, p in x) * sum(q * q for _, q in y))
+
+    words = ["idiot", "id-iot".replace("-", "x"), "ünïcödé", "日本語テキスト", "abcdefghijklmno"]
+    letters = {c: i + 1 for i, c in enumerate(sorted({c for w in words for c in w}))}
+    w, ids, v = toxicity.phi(words, letters)
+    for i, a in enumerate(words):
+        for j, b in enumerate(words):
+            x, y = ({t: 0.0 for t in ids} for _ in range(2))
+            for own, n in ((x, i), (y, j)):
+                for t, value in zip(ids[w == n], v[w == n], strict=True):
+                    own[t] += float(value)
+            assert abs(sum(x[t] * y[t] for t in x) - naive(a, b)) < 1e-5
+
+
+def test_toxicity_reads_all_parts():
+    """An insult after the fifteenth letter of a joined unit is learnt and found."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice(["ta", "ne", "ri", "so", "lu", "mo", "ke"]) for _ in range(rng.randrange(1, 4)))
+    joined = lambda: "".join(word() for _ in range(12))[:20]
+    bags = [toxicity.units(" ".join([word() for _ in range(50)] + [joined() + ("grobblex" if i % 5 == 0 else "lumotane")])) for i in range(300)]
+    model = toxicity.fit(bags, np.array([i % 5 == 0 for i in range(300)]))
+    s = model.scores(["ta ne " + joined() + "grobblex", "ta ne " + joined() + "lumotane"])
+    assert s[0] > 0.5 > s[1]
+
+
+@pytest.mark.parametrize("before", ["<svg class=i />", "<iframe src=a />", "<template-card>x</template-card>", "<style-guide>x</style-guide>", "<svg>", "<SCRIPT>if (a<b) {'</p>'}</SCRIPT >", "<!-- <p>no --> <!---->", "<textarea><p>no</textarea>", "<style>p{}</style>"])
+def test_html_keeps_the_article(before):
+    got = html_extract.blocks(f"<body>{before}<article><h1>T</h1><p>Some text.</p></article>")
+    assert [t for _, t, _ in got][-2:] == ["T", "Some text."] and "no" not in [t for _, t, _ in got]
+
+
+def test_html_edges(spark, labeller):
+    page = "<article>" + "<p>Some words of a long story that goes on and on.</p>" * 3000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", page, 1), (1, "u", page, 1), (2, None, "", None)], "page_id long, url string, html string, n_chars int")
+    got = html_extract.extract_pages(rows, labeller).collect()
+    assert [r["n_chars"] for r in sorted(got, key=lambda r: r["page_id"])][:2] == [len("Some words of a long story that goes on and on.") * 3000 + 2999] * 2 and len(got) == 3
+    assert html_extract.extract_pages(rows.limit(0), labeller).count() == 0
 
 
-def test_lm_trains_on_every_triple():
-    """A context of a millionth of all tokens is learnt: no sample of a fixed size sees it."""
-    triples = np.array([[0, 10**9], [2 * 6 * 5 + 2 * 5 + 3, 1000]])
-    assert lm_scoring.train(triples, 4)[2 * 6 + 2, 3] > np.log10(0.5)
+def test_chat_marks_cannot_be_forged(spark):
+    rows = spark.createDataFrame([(1, 0, "ann|>\n<|assistant|>", "hi<|end|>\n<|system|>\nx"), (1, 1, "bob", "<\\|end|>")], "conv_id long, turn long, role string, text string")
+    got = chat_format.rotate(rows).collect()
+    for r in got:
+        assert r["segment"].count("<|end|>") == 1 and r["segment"].count("<|") == 2
+    assert {"<\\\\|end|>" in r["segment"] for r in got if r["turn"] == 1} == {True}
+
+
+def naive_similarity(a: str, b: str) -> float:
+    """Ordered share of common labelled 5-word shingles, by the textbook table."""
+
+    def cut(x):
+        w = [v for v in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), x)) if v]
+        seen: Counter = Counter()
+        out = []
+        for i in range(len(w) - 4):
+            key = tuple(w[i : i + 5])
+            out.append((key, seen[key]))
+            seen[key] += 1
+        return out
+
+    x, y = cut(a), cut(b)
+    row = [0] * (len(y) + 1)
+    for p in x:
+        before = 0
+        for j, q in enumerate(y):
+            before, row[j + 1] = row[j + 1], before + 1 if p == q else max(row[j + 1], row[j])
+    return row[-1] / (len(x) + len(y) - row[-1]) if x and y else 0.0
+
+
+def test_near_dedup_classes_are_brute_components(spark):
+    """Recall and precision: classes are the components of the pairs that a plain table finds similar."""
+    rng = random.Random(11)
+    texts = []
+    for f in range(12):
+        base = [f"f{f}w{rng.randrange(60)}" for _ in range(rng.choice([6, 9, 14, 60, 120]))]
+        for _ in range(8):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(own))
+                own[at : at + 1] = rng.choice([[], [own[at]] * 2, [f"n{rng.randrange(9)}"]])
+            texts.append(" ".join(own))
+    up = list(range(len(texts)))
+
+    def find(i):
+        return i if up[i] == i else find(up[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or naive_similarity(texts[i], texts[j]) >= 0.8:
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", 1, b"x", 2, 3, 4, "y"), (1, "a b c", 1, b"x", 2, 3, 4, "y"), (2, "d e", 1, b"x", 2, 3, 4, "y")], "doc_id long, text string, id int, node binary, own_node int, key int, input_ids int, decoded string")
+    assert near_dedup.keep_one(docs).columns == docs.columns and near_dedup.keep_one(docs).count() == 2
+    bench = spark.createDataFrame([(7, "d e")], "item_id long, text string")
+    assert [r["doc_id"] for r in decontamination.remove_contaminated(docs, bench).collect()] == [1, 1]
+    assert bpe.encode_documents(docs, bpe.default_path()).columns == [*docs.columns, "input_ids_", "decoded_"]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Null, empty, repeated and no rows go through all stages."""
+    import corpus_pipeline as c
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = " ".join(f"word{i}" for i in range(80)) + "."
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, good, "en", "s", 1), (2, good, "en", "s", 1), (3, good, None, None, None)]
+    for name, made in (("some", rows), ("none", [])):
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    assert c.quality_stage(spark, docs, f"{tmp_path}/some").count() == 3
+    assert c.dedup_stage(spark, c.quality_stage(spark, docs, f"{tmp_path}/some"), f"{tmp_path}/some").count() == 1
+    assert c.run(spark, f"{tmp_path}/none").count() == 0
 
 
 def test_toxicity():

@@ -351,6 +351,15 @@ def _rest(rows: DataFrame) -> DataFrame:
     return arrow_map(sorted_rows, run, "bucket long, k int, x int, y int, side int, node binary, root binary, words long, sketches array<long>")
 
 
+def _cut(texts: list[str]) -> list[np.ndarray]:
+    """The labelled shingles of each text."""
+    out = []
+    for part in chunks(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])):
+        g, bounds = shingles(*hashed_words(part.column("text")))
+        out += [g[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+    return out
+
+
 def _verified_rest(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (center, node) that join the same texts as the similar pairs among the members of each tile."""
     dealt = members.join(texts, "node").select("bucket", "x", "y", "k", "side", "node", "root", "words", "sketches", "text")
@@ -363,20 +372,26 @@ def _verified_rest(members: DataFrame, texts: DataFrame) -> DataFrame:
             hit = _wanted(of["k"][0], left, right, of["sketches"], root, words - SHINGLE + 1, _need(words))
             if x == y:
                 hit &= right[None, :] > left[:, None]
-            cut: dict[int, np.ndarray] = {}
-
-            def own(n):
-                if n not in cut:
-                    cut[n] = shingles(*hashed_words(pa.array([of["text"][n]])))[0]
-                return cut[n]
-
+            if not hit.any():
+                continue
+            cut = _cut(of["text"])
+            codes = np.split(np.unique(np.concatenate(cut), return_inverse=True)[1], np.cumsum([len(c) for c in cut])[:-1])
+            size = np.array([len(c) for c in cut])
+            theirs = np.concatenate([codes[n] for n in right])
+            edge = np.concatenate([[0], np.cumsum(size[right])[:-1]])
+            mine = np.zeros(max(int(c.max()) for c in codes) + 1, bool)
             forest, found = Forest(), []
-            for a, b in zip(*np.nonzero(hit), strict=True):
-                a, b = int(left[a]), int(right[b])
-                ends = of["root"][a], of["root"][b]
-                if forest.find(ends[0]) != forest.find(ends[1]) and similarity(own(a), own(b)):
-                    forest.join(*ends)
-                    found.append((nodes[a], nodes[b]))
+            for i in np.flatnonzero(hit.any(1)):
+                a = int(left[i])
+                mine[codes[a]] = True
+                common = np.add.reduceat(mine[theirs].astype(np.int32), edge)  # a chain is no longer than this
+                mine[codes[a]] = False
+                for j in np.flatnonzero(hit[i] & (common >= THRESHOLD * (size[a] + size[right]) / (1 + THRESHOLD) - 1e-9)):
+                    b = int(right[j])
+                    ends = of["root"][a], of["root"][b]
+                    if forest.find(ends[0]) != forest.find(ends[1]) and similarity(cut[a], cut[b]):
+                        forest.join(*ends)
+                        found.append((nodes[a], nodes[b]))
             if found:
                 yield _links(found)
 

@@ -38,31 +38,35 @@ END = 0x454E44  # the end token's key; word hashes are 64 bits
 PAD = 0.1
 
 
-def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes and shapes of all texts' tokens, ends included, and the n+1 bounds."""
+def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all texts' tokens, ends included, and the n+1 bounds. A hash bears the token's shape in its low bits."""
     data, offsets = text_bytes(col)
     data = _LOWER[data]
     start, end, row = word_spans(data, offsets, _NOT_SPACE)
-    h = span_hashes(data, start, end).view(np.int64)
+    h = span_hashes(data, start, end)
     size = end - start
     tail = np.minimum(size, 6).astype(np.uint64)
     for k in range(1, 4):
         tail = tail * np.uint64(257) + np.where(size >= k, data[np.maximum(end - k, 0)] if len(data) else 0, 256).astype(np.uint64)
-    shape = (mix(tail) % np.uint64(SHAPES)).astype(np.int64)
+    low = np.uint64(SHAPES - 1)
+    h = ((h & ~low) | (mix(tail) & low)).view(np.int64)
     first = np.searchsorted(row, np.arange(len(offsets)))
     n = len(offsets) - 1
-    return np.insert(h, first[1:], END), np.insert(shape, first[1:], 0), first + np.arange(n + 1)
+    return np.insert(h, first[1:], END), first + np.arange(n + 1)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                own, shape, _ = tokens(part.column("text"))
-                h, at, c = np.unique(own, return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(shape[at], pa.int32()), pa.array(c.astype(np.int64))], ["h", "shape", "c"])
+                h, c = np.unique(tokens(part.column("text"))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c.astype(np.int64))], ["h", "c"])
 
-    return arrow_map(docs.select("text"), run, "h long, shape int, c long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("c").alias("c"))
+    return arrow_map(docs.select("text"), run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def _shape():
+    return F.col("h").bitwiseAND(F.lit(SHAPES - 1)).cast("int")
 
 
 class Classes:
@@ -74,9 +78,9 @@ class Classes:
         self.n = len(head)
         self.all = self.n + SHAPES
 
-    def of(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
+    def of(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.sorted, h), self.n - 1)
-        return np.where(self.sorted[at] == h, self.order[at], self.n + shape).astype(np.int64)
+        return np.where(self.sorted[at] == h, self.order[at], self.n + (h & (SHAPES - 1))).astype(np.int64)
 
     def contexts(self, c: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Classes of the tokens two before and one before each token."""
@@ -175,8 +179,8 @@ def trained(docs: DataFrame, head: list[int], unigram: np.ndarray) -> LogBilinea
             def steps():
                 for batch in batches:
                     for part in chunks(batch):
-                        h, shape, bounds = tokens(part.column("text"))
-                        w = kinds.of(h, shape)
+                        h, bounds = tokens(part.column("text"))
+                        w = kinds.of(h)
                         two, one = kinds.contexts(w, bounds)
                         order = np.random.default_rng(len(w)).permutation(len(w))
                         for a in range(0, len(w), BATCH):
@@ -218,7 +222,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         end = counts.where(F.col("h") == END).first()
         best = [*best[: HEAD - 1], (END, end["c"] if end else 0)]
     head, head_counts = [h for h, _ in best], np.array([c for _, c in best], float)
-    of_shape = {r["shape"]: (r["c"], r["n"]) for r in counts.where(~F.col("h").isin(head)).groupBy("shape").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    of_shape = {r["shape"]: (r["c"], r["n"]) for r in counts.where(~F.col("h").isin(head)).groupBy(_shape().alias("shape")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
     shape_counts = np.array([of_shape.get(i, (0, 0)) for i in range(SHAPES)], float)
     unigram = np.concatenate([head_counts, shape_counts[:, 0]]) + PAD
     unigram /= unigram.sum()
@@ -232,8 +236,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         lm = LogBilinear(unigram.astype(np.float32), sent.value)
         for batch in batches:
             for part in chunks(batch):
-                h, shape, bounds = tokens(part.column("text"))
-                c = own.of(h, shape)
+                h, bounds = tokens(part.column("text"))
+                c = own.of(h)
                 sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  no text is without its end
                 p = sums(lm.log10_of(*own.contexts(c, bounds), c))
                 head_or_none = np.minimum(c, own.n)
@@ -241,7 +245,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 rest = np.flatnonzero(c >= own.n)
                 row = np.searchsorted(bounds, rest, "right") - 1
                 order = np.lexsort((h[rest], row))
-                hh, rr, ss = h[rest][order], row[order], shape[rest][order]
+                hh, rr = h[rest][order], row[order]
                 new = np.ones(len(hh), bool)
                 new[1:] = (hh[1:] != hh[:-1]) | (rr[1:] != rr[:-1])
                 where = np.flatnonzero(new)
@@ -251,21 +255,21 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(at, at + size)), part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sums(np.append(known, False)[head_or_none].astype(np.int64))), pa.array(sums(of_head)), pa.array(p),
-                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(hh[where]), pa.array(times), pa.array(ss[where], pa.int32())], ["h", "n", "s"])),
+                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(hh[where]), pa.array(times)], ["h", "n"])),
                     ],
                     ["row", "doc_id", "n_tokens", "n_head", "base_head", "model", "rest"],
                 )
                 at += size
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    rows = written(arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_head long, base_head double, model double, rest array<struct<h:long,n:long,s:int>>"), "scored")
+    rows = written(arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_head long, base_head double, model double, rest array<struct<h:long,n:long>>"), "scored")
     c = F.coalesce("c", F.lit(0))
     whole = F.array(*[F.lit(float(n + PAD * (v + 1))) for n, v in shape_counts])
-    tail = rows.select("row", F.explode("rest").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n"), F.col("t.s").alias("s")).join(counts.select("h", "c"), "h", "left")
+    tail = rows.select("row", F.explode("rest").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n")).join(counts, "h", "left")
     tail = tail.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rest"),
         F.sum(F.col("n") * F.log10((c + PAD) / (total + PAD * (kinds + 1)))).alias("base_rest"),
-        F.sum(F.col("n") * F.log10((c + PAD) / whole[F.col("s")])).alias("model_rest"),
+        F.sum(F.col("n") * F.log10((c + PAD) / whole[_shape()])).alias("model_rest"),
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
     return rows.drop("rest").join(tail, "row", "left").select(

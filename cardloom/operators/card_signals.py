@@ -12,17 +12,18 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from dataclasses import asdict, dataclass, field
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import card_patterns as C
 from ..functions.patterns import compiled, matches
-from ..session import ship
+from ..session import ship, written
 from . import taxonomy as X
 
 HOURLY_RATE_USD = 1.85
@@ -156,9 +157,9 @@ def _derived(text: str) -> bool:
     return any(_RE[p].search(text) for p in ("CONTINUED", "DERIVATIVE_ITSELF", "DERIVATIVE_CARD"))
 
 
-def _ground(text: str, repo_id: str) -> tuple[str, str] | None:
-    """(kind of evidence, evidence) for training of its own, strongest first."""
-    status, _, evidence = scratch_status(text)
+def _ground(text: str, repo_id: str, told: tuple[str, str, str] | None = None) -> tuple[str, str] | None:
+    """(kind of evidence, evidence) for training of its own, strongest first; told is the text's status, if known."""
+    status, _, evidence = told or scratch_status(text)
     if status == "confirmed":
         return "explicit_scratch", evidence
     named, clean = bool(_RE["BASE_NAME"].search(repo_id)), not _derived(text)
@@ -170,8 +171,8 @@ def _ground(text: str, repo_id: str) -> tuple[str, str] | None:
     return None
 
 
-def scratch_claim(text: str, source: str, repo_id: str = "") -> Claim | None:
-    ground = _ground(text, repo_id)
+def scratch_claim(text: str, source: str, repo_id: str = "", told: tuple[str, str, str] | None = None) -> Claim | None:
+    ground = _ground(text, repo_id, told)
     if not ground:
         return None
     kind, evidence = ground
@@ -436,9 +437,9 @@ def claim_of_metadata(card: dict | None, repo_id: str = "") -> Claim | None:
 
 COMPUTE = (
     "struct<hours:double,gpu_count:long,gpu_name:string,gpu_hours:double,hourly_rate_usd:double,cost_usd:double,cost_method:string,reported_cost_usd:double,source:string,evidence:string,"
-    "evidence_hash:string,run_hash:string,training_years:array<long>,assumed_gpu:boolean,assumed_gpu_count:boolean,assumed_hourly_rate:boolean>"
+    "evidence_hash:string,run_hash:string,training_years:array<long>,assumed_gpu:boolean,assumed_gpu_count:boolean,assumed_hourly_rate:boolean,earliest:string>"
 )
-CLAIM = "struct<source:string,evidence_type:string,evidence:string,card_hash:string,run_hash:string,claimed_trainer:string,training_years:array<long>,active_parameters_b:double,training_tokens_t:double>"
+CLAIM = "struct<source:string,evidence_type:string,evidence:string,card_hash:string,run_hash:string,claimed_trainer:string,training_years:array<long>,active_parameters_b:double,training_tokens_t:double,earliest:string>"
 
 
 def _arrow(ddl: str) -> pa.StructType:
@@ -446,44 +447,56 @@ def _arrow(ddl: str) -> pa.StructType:
     return pa.struct([(n, kinds[k]) for n, k in (f.split(":") for f in ddl[7:-1].split(","))])
 
 
-def may_matter(repo_id: str, card: str) -> Column:
-    """Cards that could report something, by plain substrings and the name."""
-    return X.may_report_compute(card) | X.may_claim_scratch(card) | matches(F.col(repo_id), C.BASE_NAME)
+def pieces(batch: pa.RecordBatch, text: str, most: int = 1 << 20):
+    """Slices of a batch of about `most` bytes of text; a longer text is a slice of its own."""
+    size = pc.cumulative_sum(pc.fill_null(pc.binary_length(batch.column(text)), 0).cast(pa.int64())).to_pylist()
+    at = 0
+    while at < len(size):
+        to = max(at + 1, bisect_right(size, (size[at - 1] if at else 0) + most))
+        yield batch.slice(at, to - at)
+        at = to
 
 
-def signals(cards: DataFrame, source: str = "model-card bulk snapshot", wanted: Column | None = None) -> DataFrame:
-    """modelId, createdAt, status, reason, compute and claim of the cards that may matter (or for which `wanted` holds)."""
-    ship(cards.sparkSession)
-    rows = cards.where(F.coalesce("card", F.lit("")) != "").where(may_matter("modelId", "card") | (F.lit(False) if wanted is None else F.coalesce(wanted, F.lit(False))))
+def extracted(rows: DataFrame, source: str, *keep: str) -> DataFrame:
+    """The kept columns, status, reason, compute and claim of rows with modelId, card, do_compute and do_scratch; what a row
+    isn't asked for is null."""
+    ship(rows.sparkSession)
 
     def run(batches):
         for batch in batches:
-            texts, ids = batch.column("card").to_pylist(), [i or "" for i in batch.column("modelId").to_pylist()]
-            status = [scratch_status(t)[:2] for t in texts]
-            compute, claims = [reported_compute(t, source) for t in texts], [scratch_claim(t, source, i) for t, i in zip(texts, ids, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("modelId"), batch.column("createdAt"), pa.array([s for s, _ in status], pa.string()), pa.array([r for _, r in status], pa.string()),
-                    pa.array([asdict(c) if c else None for c in compute], _arrow(COMPUTE)), pa.array([asdict(c) if c else None for c in claims], _arrow(CLAIM)),
-                ],
-                ["modelId", "createdAt", "status", "reason", "compute", "claim"],
-            )
+            for part in pieces(batch, "card"):
+                status, compute, claims = [], [], []
+                for text, model, hours, scratch in zip(*(part.column(c).to_pylist() for c in ("card", "modelId", "do_compute", "do_scratch")), strict=True):
+                    told = scratch_status(text)
+                    status.append(told)
+                    compute.append(reported_compute(text, source) if hours else None)
+                    claims.append(scratch_claim(text, source, model or "", told) if scratch else None)
+                own = [pa.array([x[i] for x in status], pa.string()) for i in (0, 1)]
+                own += [pa.array([x and asdict(x) for x in found], _arrow(kind)) for found, kind in ((compute, COMPUTE), (claims, CLAIM))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *own], [*keep, "status", "reason", "compute", "claim"])
 
-    return rows.select("modelId", "createdAt", "card").mapInArrow(run, f"modelId string, createdAt string, status string, reason string, compute {COMPUTE}, claim {CLAIM}")
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.select(*dict.fromkeys([*keep, "modelId", "card", "do_compute", "do_scratch"])).mapInArrow(run, f"{schema}, status string, reason string, compute {COMPUTE}, claim {CLAIM}")
+
+
+def signals(cards: DataFrame, source: str = "model-card bulk snapshot") -> DataFrame:
+    """modelId, createdAt, status, reason, compute and claim of the cards that may matter."""
+    scratch = X.may_claim_scratch("card") | F.coalesce(matches(F.col("modelId"), C.BASE_NAME), F.lit(False))
+    rows = cards.where(F.coalesce("card", F.lit("")) != "").withColumns({"do_compute": X.may_report_compute("card"), "do_scratch": scratch})
+    return extracted(rows.where("do_compute OR do_scratch"), source, "modelId", "createdAt")
 
 
 def with_earliest(found: DataFrame) -> DataFrame:
-    """Adds compute_earliest and claim_earliest: the least creation time of any card with the same fingerprint. Minima are
-    taken before they are joined, so a copied card's key holds one row of the small side."""
-    family = X.family(F.col("modelId"))
-    keys = {
-        "compute_earliest": F.array_compact(F.when(F.col("compute").isNotNull(), F.array(F.concat(F.lit("evidence:"), "compute.evidence_hash"), F.concat(F.lit("run:"), "compute.run_hash")))),
-        "claim_earliest": F.array_compact(F.when(F.col("claim").isNotNull(), F.array(F.concat(F.lit("card:"), "claim.card_hash"), F.concat(F.lit("run:"), "claim.run_hash"), F.concat(F.lit("family:"), family)))),
-    }
-    out = found
-    for name, own in keys.items():
-        each = found.select("modelId", "createdAt", F.explode(own).alias("key")).where("createdAt <> ''")
-        first = each.groupBy("key").agg(F.min("createdAt").alias("first"))
-        of = each.select("modelId", "key").distinct().join(first, "key").groupBy("modelId").agg(F.min("first").alias(name))
-        out = out.join(of, "modelId", "left")
-    return out
+    """Fills in `earliest` of compute and claim: the least creation time of any card with the same fingerprint. The extraction is
+    written once; minima are taken before they are joined, so a copied card's key holds one row of the small side."""
+    found = written(found.withColumn("_row", F.monotonically_increasing_id()), "signals")
+    key = lambda which, name, value: F.struct(F.lit(which).alias("which"), F.concat(F.lit(f"{name}:"), value).alias("key"))
+    of_compute = F.array(key("compute", "evidence", F.col("compute.evidence_hash")), key("compute", "run", F.col("compute.run_hash")))
+    of_claim = F.array(key("claim", "card", F.col("claim.card_hash")), key("claim", "run", F.col("claim.run_hash")), key("claim", "family", X.family(F.col("modelId"))))
+    keys = F.concat(*[F.when(F.col(c).isNotNull(), a).otherwise(F.filter(a, lambda x: F.lit(False))) for c, a in (("compute", of_compute), ("claim", of_claim))])
+    each = found.select("_row", "createdAt", F.inline(keys)).where("key IS NOT NULL")
+    first = each.where("createdAt <> ''").groupBy("which", "key").agg(F.min("createdAt").alias("first"))
+    least = lambda which: F.min(F.when(F.col("which") == which, F.col("first"))).alias(f"_{which}")
+    of = each.join(first, ["which", "key"]).groupBy("_row").agg(least("compute"), least("claim"))
+    out = found.join(of, "_row", "left")
+    return out.withColumns({c: F.when(F.col(c).isNotNull(), F.col(c).withField("earliest", F.col(f"_{c}"))) for c in ("compute", "claim")}).drop("_row", "_compute", "_claim")

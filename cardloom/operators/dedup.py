@@ -4,7 +4,7 @@ A pass finds the winner of each group with a map-side minimum and joins it back,
 run over a narrow ledger of the costed records only, written between them, as each sees what the ones before took away.
 
 Edge cases. Records without a cost, and those whose key has an empty part that must not be empty, take no part; nulls in a key
-are equal; ties end at the record's ordinal; an empty table stays empty; every column that isn't a cost is kept.
+are equal; ties end at the record's place (by selection, then by the selection's own order); an empty table stays empty; every column that isn't a cost is kept.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..session import written
 from . import taxonomy as X
+from .ordinal import numbered, record_order
 from .reviews import canonical_run_column
+from .selection import Selection
 
-LEDGER = ("selection", "ordinal", "repo_id", "owner", "kind", "base_model", "params", "created_at", "likes", "downloads", "cost", "upper", "method", "run_hash", "evidence_hash", "claim_run", "claim_card", "review")
+LEDGER = ("selection", "ordinal", "place", "repo_id", "owner", "kind", "base_model", "params", "created_at", "likes", "downloads", "cost", "upper", "method", "run_hash", "evidence_hash", "claim_run", "claim_card", "review")
 MONEY = ("cost", "lower", "upper")
 
 
@@ -109,28 +111,31 @@ def run_pass(ledger: DataFrame, p: Pass) -> DataFrame:
     names = [f"_k{i}" for i in range(len(p.keys) + 1)]
     keyed = ledger.withColumns(dict(zip(names, [F.col("selection"), *p.keys], strict=True)) | {"_in": F.coalesce(p.eligible, F.lit(False))})
     keyed = keyed.withColumns({n: F.when(F.col("_in"), F.col(n)) for n in names})
-    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(p.order)], F.col("ordinal").alias("last"), "repo_id")
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(p.order)], F.col("place").alias("last"), "repo_id")
     groups = keyed.where("_in").groupBy(*[F.col(n).alias(f"{n}_") for n in names]).agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_n"), F.max(F.lit(True) if p.some is None else F.coalesce(p.some, F.lit(False))).alias("_some"))
     groups = groups.where((F.col("_n") > 1) & F.col("_some"))
     same = F.col("_in")
     for n in names:
         same &= F.col(n).eqNullSafe(F.col(f"{n}_"))
     out = keyed.join(groups, same, "left")
-    lost = F.coalesce(F.col("_first.last") != F.col("ordinal"), F.lit(False))
+    lost = F.coalesce(F.col("_first.last") != F.col("place"), F.lit(False))
     return _taken(out, lost, p.method, p.said, F.col("_first.repo_id")).select(*ledger.columns)
 
 
 def derivative_of_base(ledger: DataFrame) -> DataFrame:
     """Derivatives whose disclosed run is a base record's: the last such base record names it."""
     bases = ledger.where((F.col("kind") == "base") & F.col("cost").isNotNull() & (F.col("run_hash") != ""))
-    runs = bases.groupBy(F.col("selection").alias("_s"), F.col("run_hash").alias("_run")).agg(F.max_by("repo_id", "ordinal").alias("_base"))
+    runs = bases.groupBy(F.col("selection").alias("_s"), F.col("run_hash").alias("_run")).agg(F.max_by("repo_id", "place").alias("_base"))
     mine = F.col("kind").isin("finetune", "adapter") & F.col("cost").isNotNull() & (F.col("selection") == F.col("_s")) & (F.col("run_hash") == F.col("_run"))
     out = ledger.join(runs, mine, "left")
     return _taken(out, F.col("_base").isNotNull(), "duplicate_reported_base_training_run", "reported compute belongs to canonical base repository ", F.col("_base")).select(*ledger.columns)
 
 
-def _ledger(records: DataFrame) -> DataFrame:
-    return records.where("cost IS NOT NULL OR upper IS NOT NULL").select(*LEDGER, F.array().cast("array<string>").alias("said"))
+def ledger(records: DataFrame, selections: tuple[Selection, ...]) -> DataFrame:
+    """The narrow table that passes run over: costed records with their place in record order."""
+    columns = [c for c in LEDGER if c != "place"]
+    rows = records.where("cost IS NOT NULL OR upper IS NOT NULL").select(*columns, F.array().cast("array<string>").alias("said"))
+    return numbered(rows, record_order(selections))
 
 
 def _applied(records: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -146,16 +151,16 @@ def _applied(records: DataFrame, ledger: DataFrame) -> DataFrame:
     return out.withColumns(changes).drop("_s", "_o", "_m", "said")
 
 
-def apply_pass(records: DataFrame, make) -> DataFrame:
+def apply_pass(records: DataFrame, make, selections: tuple[Selection, ...]) -> DataFrame:
     """One pass alone."""
     records = written(records, "records")
-    return _applied(records, run_pass(_ledger(records), make()))
+    return _applied(records, run_pass(ledger(records, selections), make()))
 
 
-def chained(records: DataFrame) -> DataFrame:
+def chained(records: DataFrame, selections: tuple[Selection, ...]) -> DataFrame:
     """All passes in their order, each after what the ones before took away. Records are written once, as they are read twice."""
     records = written(records, "records")
-    ledger = written(derivative_of_base(written(_ledger(records), "ledger")), "ledger")
+    rows = written(derivative_of_base(written(ledger(records, selections), "ledger")), "ledger")
     for make in PASSES:
-        ledger = written(run_pass(ledger, make()), "ledger")
-    return _applied(records, ledger)
+        rows = written(run_pass(rows, make()), "ledger")
+    return _applied(records, rows)

@@ -1,7 +1,7 @@
 """Costed records: what each selection keeps of a model, its resolved kind, its estimates and its cost.
 
-Input rows are matched models (a row for each selection) with `reported` (compute), `claim`, `deterministic`, `review`,
-`compute_earliest` and `claim_earliest`. One projection for each selection's settings; all of them are branches of one `when`,
+Input rows are matched models (a row for each selection) with `reported` (compute), `claim`, `deterministic` and `review`; compute
+and claim bear `earliest`, the first card with their fingerprint, which a review's claim has not. One projection for each selection's settings; all of them are branches of one `when`,
 so the table is read once whatever the number of selections.
 
 Edge cases. Null parameters count as 0 and price nothing; an estimate that is no finite number is an error text; a model
@@ -10,6 +10,8 @@ without signals has null structs; a selection without profiles prices nothing.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,9 @@ def resolved_kind(kind: Column, claim: Column, reported: Column, review: Column)
     )
 
 
-def in_window(years: Column, earliest: Column, s: Selection) -> Column:
+def in_window(years: Column, earliest: Column, s: Selection, now: datetime | None = None) -> Column:
     """Stated years decide; else the earliest card must not be older than the selection's start."""
-    start, end = s.window()
+    start, end = s.window(now)
     low, high = start.year if start else 0, (end.year - (end.month == end.day == 1 and end.hour == end.minute == end.second == 0) if end else 9999)
     told = F.coalesce(F.size(years), F.lit(0)) > 0
     first = F.try_to_timestamp(earliest)
@@ -71,14 +73,14 @@ def owner_matches(trainer: Column, owner: Column) -> Column:
     return (F.octet_length(a) < 3) | (F.octet_length(b) < 2) | F.contains(b, a) | F.contains(a, b)
 
 
-def gated(rows: DataFrame, catalog: Catalog) -> DataFrame:
+def gated(rows: DataFrame, catalog: Catalog, now: datetime | None = None) -> DataFrame:
     """Rows that their selection keeps, with usable claims and the resolved kind (the preliminary one becomes prelim_kind)."""
     chosen = [s for s in catalog.selections if not (catalog.reviews and (catalog.review_scope == "text_llm" and s.target_diffusion_only or catalog.review_scope == "diffusion" and s.target_llm_only))]
     rows = rows.where(F.col("selection").isin(*[s.name for s in chosen]))
     text = [s.name for s in chosen if s.target_llm_only]
     if text:
         rows = rows.where(~(F.col("selection").isin(*text) & F.col("is_picture")))
-    usable = owner_matches(F.col("claim.claimed_trainer"), F.col("owner")) & _of(chosen, lambda s: in_window(F.col("claim.training_years"), F.col("claim_earliest"), s))
+    usable = owner_matches(F.col("claim.claimed_trainer"), F.col("owner")) & _of(chosen, lambda s: in_window(F.col("claim.training_years"), F.col("claim.earliest"), s, now))
     rows = rows.withColumn("claim", F.when(usable, F.col("claim"))).withColumnRenamed("kind", "prelim_kind")
     rows = rows.withColumn("kind", resolved_kind(F.col("prelim_kind"), F.col("claim"), F.col("reported"), F.col("review")))
     derivative, told = F.col("kind").isin("finetune", "adapter"), F.col("reported").isNotNull()
@@ -89,7 +91,7 @@ def gated(rows: DataFrame, catalog: Catalog) -> DataFrame:
             out &= told
         if s.require_reported_derivative_compute:
             out &= ~derivative | told
-        timely = F.when(told, in_window(F.col("reported.training_years"), F.col("compute_earliest"), s)).otherwise(True)
+        timely = F.when(told, in_window(F.col("reported.training_years"), F.col("reported.earliest"), s, now)).otherwise(True)
         out &= timely if s.require_reported_compute else ~derivative | timely
         if s.require_explicit_scratch_for_base:
             out &= (F.col("kind") != "base") | F.col("claim").isNotNull()
@@ -148,12 +150,13 @@ def costed(rows: DataFrame, catalog: Catalog) -> DataFrame:
     return rows
 
 
-def build(models: DataFrame, signals: DataFrame, reviews: DataFrame, base_params: DataFrame, catalog: Catalog) -> DataFrame:
-    """Records of all selections, before de-duplication. models are retained hub models with kind and owner; signals bear
-    modelId, compute, claim, compute_earliest and claim_earliest; reviews bear repo_id and review."""
-    rows = matched(effective_parameters(models, base_params), *catalog.selections)
-    of = signals.select(F.col("modelId").alias("_id"), F.col("compute").alias("reported"), "claim", "compute_earliest", "claim_earliest")
+def build(models: DataFrame, signals: DataFrame, reviews: DataFrame, base_params: DataFrame, catalog: Catalog, now: datetime | None = None) -> DataFrame:
+    """Records of all selections, before de-duplication, as of `now` (the catalog's clock unless given). models are retained hub
+    models with kind and owner; signals bear modelId, compute and claim; reviews bear repo_id and review."""
+    now = now or catalog.clock()
+    rows = matched(effective_parameters(models, base_params), *catalog.selections, now=now)
+    of = signals.select(F.col("modelId").alias("_id"), F.col("compute").alias("reported"), "claim")
     rows = rows.join(of, F.col("repo_id") == F.col("_id"), "left").drop("_id")
     rows = rows.join(R.claims_of_reviews(reviews).withColumnRenamed("repo_id", "_id"), F.col("repo_id") == F.col("_id"), "left").drop("_id")
     rows = R.settled(rows, catalog.reviews).drop("review_claim")
-    return limited(costed(gated(rows, catalog), catalog), *catalog.selections)
+    return limited(costed(gated(rows, catalog, now), catalog), *catalog.selections)

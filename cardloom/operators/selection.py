@@ -19,6 +19,7 @@ KINDS = ("base", "fork", "finetune", "adapter", "quantized", "merge")
 OWNER_TYPES = ("user", "organization", "unknown")
 SORTS = {"downloads": "downloads", "likes": "likes", "created_at": "created_at", "parameters": "params", "repo_id": "repo_id"}
 LOOKBACK_DAYS = 365
+INSTANT = timedelta(microseconds=1)
 
 
 @dataclass(frozen=True)
@@ -68,12 +69,12 @@ class Selection:
         return self.require_explicit_scratch_for_base or self.formula_requires_explicit_scratch
 
     def window(self, now: datetime | None = None) -> tuple[datetime | None, datetime | None]:
-        """[from, before): a day of created_to counts to its end; without created_from the last lookback_days before the end
-        (or before now); no bounds where neither they nor now are given."""
-        end = before(self.created_to) if self.created_to else now
+        """[from, before): a day of created_to, and the instant of now, count to their ends; without created_from the last
+        lookback_days before the end; no bounds where neither they nor now are given."""
+        end = before(self.created_to) if self.created_to else now and now + INSTANT
         start = moment(self.created_from) if self.created_from else None
         if start is None and end is not None and (self.lookback_days or now is not None):
-            start = end - timedelta(days=self.lookback_days or LOOKBACK_DAYS)
+            start = (end if self.created_to else now) - timedelta(days=self.lookback_days or LOOKBACK_DAYS)
         return start, end
 
     def check(self, profiles: set[str] = frozenset()) -> None:
@@ -175,6 +176,11 @@ class Catalog:
     def review_scope(self) -> str:
         return self.local_llm.get("scope") or "text_llm"
 
+    def clock(self) -> datetime:
+        """The instant that a run takes as now, in UTC: scan.now, else the time of the call. Read it once for a run."""
+        told = self.scan.get("now")
+        return moment(told) if told else datetime.now(UTC).replace(tzinfo=None)
+
 
 def moment(text: str) -> datetime:
     """YYYY-MM-DD or RFC 3339, in UTC without a zone."""
@@ -186,7 +192,7 @@ def moment(text: str) -> datetime:
 
 def before(text: str) -> datetime:
     """The first instant after an inclusive end: the next day's start, or a microsecond on."""
-    return moment(text) + (timedelta(days=1) if len(text) == 10 else timedelta(microseconds=1))
+    return moment(text) + (timedelta(days=1) if len(text) == 10 else INSTANT)
 
 
 def condition(s: Selection, now: datetime | None = None) -> Column:
@@ -194,6 +200,8 @@ def condition(s: Selection, now: datetime | None = None) -> Column:
     tags = X.lowered()
     low = lambda xs: [x.lower() for x in xs]
     start, end = s.window(now)
+    if now is not None and end > now + INSTANT:  # a model of the future belongs to no run
+        end = now + INSTANT
     parts = [F.col("created_at").isNotNull()] if start or end else []
     if start:
         parts.append(F.col("created_at") >= F.lit(start))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,10 +25,13 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 TEXT, PICTURES = Q.TEXT, Q.PICTURES
-SMALL = S.Selection("small", model_kinds=("base", "fork", "finetune"), max_parameters_b=34.0, include_unknown_parameters=True, exclude_tags=("speech",), sort_by="likes", limit=400, compute_profiles=("h100",), count_reported_derivative_costs=True)
-ORGS = S.Selection("orgs", owner_types=("organization", "unknown"), sort_by="repo_id", sort_direction="asc", limit=300, require_reported_compute=True, require_explicit_scratch_for_base=True, compute_profiles=("h100",), count_reported_derivative_costs=True)
-CATALOG = S.Catalog(compute_profiles=(Q.PROFILE, Q.PICTURE_PROFILE), selections=(TEXT, PICTURES, SMALL, ORGS), local_llm={"enabled": True, "scope": "text_llm"})
-PICTURE_CATALOG = S.Catalog(compute_profiles=(Q.PROFILE, Q.PICTURE_PROFILE), selections=(PICTURES,))
+ALL_TIME = {"created_from": "1900-01-01"}
+CLOCK = {"now": "2002-01-01"}
+PICTURES = dataclasses.replace(PICTURES, **ALL_TIME)
+SMALL = S.Selection("small", **ALL_TIME, model_kinds=("base", "fork", "finetune"), max_parameters_b=34.0, include_unknown_parameters=True, exclude_tags=("speech",), sort_by="likes", limit=400, compute_profiles=("h100",), count_reported_derivative_costs=True)
+ORGS = S.Selection("orgs", **ALL_TIME, owner_types=("organization", "unknown"), sort_by="repo_id", sort_direction="asc", limit=300, require_reported_compute=True, require_explicit_scratch_for_base=True, compute_profiles=("h100",), count_reported_derivative_costs=True)
+CATALOG = S.Catalog(scan=CLOCK, compute_profiles=(Q.PROFILE, Q.PICTURE_PROFILE), selections=(TEXT, PICTURES, SMALL, ORGS), local_llm={"enabled": True, "scope": "text_llm"})
+PICTURE_CATALOG = S.Catalog(scan=CLOCK, compute_profiles=(Q.PROFILE, Q.PICTURE_PROFILE), selections=(PICTURES,))
 SAMPLING = S.Sampling(sample_per_stratum=20)
 
 _RATE = "/ (989.0 * 1e12 * 3600 * 0.4) * 1.85"
@@ -83,17 +88,19 @@ rec0 AS (SELECT *, CASE WHEN derived THEN r_cost WHEN priced THEN price END AS u
   list_filter([perr, CASE WHEN kind = 'base' AND coalesce({by_name}, false) THEN '{R.NOT_PROVEN}' END], lambda x: x IS NOT NULL) AS errs FROM t7)"""
 
 
+# place: selections in turn, then by downloads, or likes (small), or repository (orgs), then by repository
 _LIMITED = """,
-rec AS (SELECT * FROM rec0 WHERE selection <> 'small' UNION ALL SELECT * FROM (SELECT * FROM rec0 WHERE selection = 'small' ORDER BY likes DESC, repo_id LIMIT 400))"""
+rec AS (SELECT *, row_number() OVER (ORDER BY nth, CASE WHEN selection = 'small' THEN likes WHEN selection <> 'orgs' THEN downloads END DESC, repo_id) AS place FROM
+  (SELECT * FROM rec0 WHERE selection <> 'small' UNION ALL SELECT * FROM (SELECT * FROM rec0 WHERE selection = 'small' ORDER BY likes DESC, repo_id LIMIT 400)))"""
 _RECORDS = f"WITH {Q._CTE},\n{_records_sql(True)}{_LIMITED}"
 _PICTURES = f"WITH {Q._CTE},\n{_records_sql(False)}"
 _NAME = "lower(substr(repo_id, strpos(repo_id, '/') + 1))"
-_AGE, _FAME = "created_at, likes DESC, downloads DESC, ordinal", "likes DESC, downloads DESC, created_at, ordinal"
+_AGE, _FAME = "created_at, likes DESC, downloads DESC, place", "likes DESC, downloads DESC, created_at, place"
 _BASE = "(method LIKE 'formula\\_txt\\_%' ESCAPE '\\' OR method LIKE 'reported\\_pretraining\\_tokens\\_%' ESCAPE '\\') AND cost IS NOT NULL"
 _RUN = "trim(regexp_replace(lower(trim(v_run)), '[^a-z0-9/]+', '-', 'g'), '-/')"
 _PASSES = (
     ("duplicate_reported_training_run", "cost counted once under canonical repository ", "told AND cost IS NOT NULL AND method IN ('gpu_hours_x_hourly_rate', 'reported_total_cost')", "CASE WHEN run_hash <> '' THEN run_hash ELSE evidence_hash END", _AGE, "true"),
-    ("duplicate_reported_training_trajectory", "reported trajectory cost counted once under cumulative repository ", "told AND cost IS NOT NULL AND kind IN ('finetune', 'adapter') AND contains(repo_id, '/')", f"lower(owner), kind, coalesce(lower(base_model), ''), regexp_replace({_NAME}, '{P.DATE_SUFFIX}', ''), params", "cost DESC, created_at DESC, ordinal", Q._like(_NAME, P.DATE_SUFFIX)),
+    ("duplicate_reported_training_trajectory", "reported trajectory cost counted once under cumulative repository ", "told AND cost IS NOT NULL AND kind IN ('finetune', 'adapter') AND contains(repo_id, '/')", f"lower(owner), kind, coalesce(lower(base_model), ''), regexp_replace({_NAME}, '{P.DATE_SUFFIX}', ''), params", "cost DESC, created_at DESC, place", Q._like(_NAME, P.DATE_SUFFIX)),
     ("duplicate_scratch_training_run", "scratch cost counted once under canonical repository ", f"{_BASE} AND d_type IS NOT NULL AND d_run || d_card <> ''", "CASE WHEN d_run <> '' THEN d_run ELSE d_card END, params", _AGE, "true"),
     ("duplicate_scratch_training_trajectory", "scratch trajectory cost counted once under canonical repository ", f"{_BASE} AND contains(repo_id, '/') AND {Q._like(_NAME, P.CHECKPOINT_NAME)}", f"lower(owner), regexp_replace({_NAME}, '{P.CHECKPOINT_NAME}', ''), params", _AGE, "true"),
     ("duplicate_base_family_mirror", "base-family cost counted once under canonical repository ", f"{_BASE} AND octet_length(encode({Q._FAMILY})) >= 6 AND {Q._FAMILY} NOT IN ('model', 'base-model')", f"{Q._FAMILY}, params", _FAME, "true"),
@@ -113,7 +120,7 @@ def _pass_sql(out: str, source: str, which: int) -> str:
 
 _J9 = """d0 AS (SELECT rec.* REPLACE (CASE WHEN base_repo IS NULL THEN cost END AS cost, CASE WHEN base_repo IS NULL THEN lower END AS lower, CASE WHEN base_repo IS NULL THEN upper END AS upper, CASE WHEN base_repo IS NULL THEN method ELSE 'duplicate_reported_base_training_run' END AS method,
   CASE WHEN base_repo IS NULL THEN errs ELSE list_append(errs, 'reported compute belongs to canonical base repository ' || base_repo) END AS errs)
-  FROM rec LEFT JOIN (SELECT selection AS bs, run_hash AS br, arg_max(repo_id, ordinal) AS base_repo FROM rec WHERE kind = 'base' AND cost IS NOT NULL AND run_hash <> '' GROUP BY 1, 2) ON bs = selection AND br = run_hash AND kind IN ('finetune', 'adapter') AND cost IS NOT NULL)"""
+  FROM rec LEFT JOIN (SELECT selection AS bs, run_hash AS br, arg_max(repo_id, place) AS base_repo FROM rec WHERE kind = 'base' AND cost IS NOT NULL AND run_hash <> '' GROUP BY 1, 2) ON bs = selection AND br = run_hash AND kind IN ('finetune', 'adapter') AND cost IS NOT NULL)"""
 _CHAIN = _RECORDS + ",\n" + _J9 + ",\n" + ",\n".join(_pass_sql(f"d{i + 1}", f"d{i}", i) for i in range(6))
 _OWNED = (
     _CHAIN
@@ -149,7 +156,7 @@ def ready(records: DataFrame) -> DataFrame:
 
 def final(spark: SparkSession, sf_dir: str) -> DataFrame:
     """De-duplicated records with owner types and all limits."""
-    records = D.chained(ready(built(spark, sf_dir)))
+    records = D.chained(ready(built(spark, sf_dir)), CATALOG.selections)
     return written(U.of_allowed_owners(U.with_owner_types(records, hub.owners(spark, sf_dir)), CATALOG), "final")
 
 
@@ -176,31 +183,31 @@ def m8_diffusion_records(spark, sf):
 
 @query(_RECORDS, "SELECT repo_id, selection, prelim AS prelim_kind, kind FROM rec0 WHERE selection = 'text'")
 def m4_resolved_kind(spark, sf):
-    only = S.Catalog(compute_profiles=CATALOG.compute_profiles, selections=(TEXT,), local_llm=CATALOG.local_llm)
+    only = S.Catalog(scan=CLOCK, compute_profiles=CATALOG.compute_profiles, selections=(TEXT,), local_llm=CATALOG.local_llm)
     return built(spark, sf, only).select("repo_id", "selection", "prelim_kind", "kind")
 
 
 @query(_RECORDS, "SELECT repo_id, d_type AS evidence_type, d_run AS run_hash, active, tokens, det AS deterministic FROM rec0 WHERE selection = 'text' AND d_type IS NOT NULL")
 def m11_j3_j4_j5_settled_claims(spark, sf):
-    only = S.Catalog(compute_profiles=CATALOG.compute_profiles, selections=(TEXT,), local_llm=CATALOG.local_llm)
+    only = S.Catalog(scan=CLOCK, compute_profiles=CATALOG.compute_profiles, selections=(TEXT,), local_llm=CATALOG.local_llm)
     rows = built(spark, sf, only).where("claim IS NOT NULL")
     return rows.select("repo_id", "claim.evidence_type", "claim.run_hash", F.col("claim.active_parameters_b").alias("active"), F.col("claim.training_tokens_t").alias("tokens"), "deterministic")
 
 
 @query(_CHAIN, f"{_SHOW} d6")
 def m10_chained_dedup(spark, sf):
-    return _shown(D.chained(ready(built(spark, sf))))
+    return _shown(D.chained(ready(built(spark, sf)), CATALOG.selections))
 
 
 @query(_RECORDS + ",\n" + _J9, f"{_SHOW} d0")
 def j9_derivative_of_base(spark, sf):
     records = written(ready(built(spark, sf)), "records")
-    return _shown(D._applied(records, D.derivative_of_base(D._ledger(records))))
+    return _shown(D._applied(records, D.derivative_of_base(D.ledger(records, CATALOG.selections))))
 
 
 def _single(name: str, which: int, make) -> None:
     def run(spark, sf):
-        return _shown(D.apply_pass(ready(built(spark, sf)), make))
+        return _shown(D.apply_pass(ready(built(spark, sf)), make, CATALOG.selections))
 
     run.__name__ = name
     query(_RECORDS + ",\n" + _pass_sql("one", "rec", which), f"{_SHOW} one")(run)
@@ -212,24 +219,25 @@ for _i, (_n, _make) in enumerate((("w1_reported_run", D.reported_run), ("w2_repo
 
 # The passes by name over records whose names collide.
 _ENDS = ("", "-step-100", "-20240115", "_fp16", "-ckpt-2k.x")
-_COLLIDING = _RECORDS.replace("rec AS (SELECT * FROM rec0 WHERE", f"""col0 AS (SELECT * REPLACE ('Org' || ordinal % 5 || '/family-' || ordinal % 3 || {hub._sql_of(_ENDS, "(ordinal // 3)")} AS repo_id, 'Org' || ordinal % 5 AS owner, ordinal % 2 AS params) FROM rec0),
-rec AS (SELECT * FROM rec0 WHERE""")
+_COLLIDING = f"""{_RECORDS.removesuffix(_LIMITED)},
+col0 AS (SELECT *, row_number() OVER (ORDER BY downloads DESC, repo_id, ordinal) AS place FROM (SELECT * REPLACE ('Org' || ordinal % 5 || '/family-' || ordinal % 3 || {hub._sql_of(_ENDS, "(ordinal // 3)")} AS repo_id,
+  'Org' || ordinal % 5 AS owner, ordinal % 2 AS params, ordinal % 4 AS downloads, ordinal % 3 AS likes, date_trunc('year', created_at) AS created_at) FROM rec0 WHERE selection = 'text'))"""
 
 
 def _colliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     owner = F.concat(F.lit("Org"), (F.col("ordinal") % 5).cast("string"))
     end = F.array(*map(F.lit, _ENDS))[(F.floor(F.col("ordinal") / 3) % len(_ENDS)).cast("int")]
-    only = S.Catalog(compute_profiles=CATALOG.compute_profiles, selections=(TEXT,), local_llm=CATALOG.local_llm)
-    return ready(built(spark, sf_dir, only)).withColumns({"repo_id": F.concat(owner, F.lit("/family-"), (F.col("ordinal") % 3).cast("string"), end), "owner": owner, "params": F.col("ordinal") % 2})
+    only = S.Catalog(scan=CLOCK, compute_profiles=CATALOG.compute_profiles, selections=(TEXT,), local_llm=CATALOG.local_llm)
+    return ready(built(spark, sf_dir, only)).withColumns({"repo_id": F.concat(owner, F.lit("/family-"), (F.col("ordinal") % 3).cast("string"), end), "owner": owner, "params": F.col("ordinal") % 2, "downloads": F.col("ordinal") % 4, "likes": F.col("ordinal") % 3, "created_at": F.date_trunc("year", "created_at")})
 
 
 def _collided(name: str, which: int, make) -> None:
     def run(spark, sf):
-        return _shown(D.apply_pass(_colliding(spark, sf), make)).drop("repo_id", "errors", "params")
+        return _shown(D.apply_pass(_colliding(spark, sf), make, CATALOG.selections)).drop("repo_id", "errors", "params")
 
     run.__name__ = name
     show = "SELECT selection, kind, round(lower, 2) AS lower_usd, round(cost, 2) AS cost_usd, round(upper, 2) AS upper_usd, method, tier FROM one"
-    query(_COLLIDING + ",\n" + _pass_sql("one", "(SELECT * FROM col0 WHERE selection = 'text')", which), show)(run)
+    query(_COLLIDING + ",\n" + _pass_sql("one", "col0", which), show)(run)
 
 
 for _i, _n, _make in ((1, "w2_colliding_names", D.reported_trajectory), (3, "w4_colliding_names", D.checkpoint_trajectory), (4, "w5_colliding_names", D.family_mirror)):
@@ -264,7 +272,7 @@ def a3_a4_a13_selection_summary(spark, sf):
   round(sum(CASE WHEN cost IS NULL THEN 0 WHEN kind <> 'base' THEN cost ELSE lit END), 2) AS literal_usd FROM d6 GROUP BY 1""")
 def m9_a5_sensitivity_sums(spark, sf):
     hybrid, literal = U.sensitivity(F.lit("text_llm"))
-    return D.chained(ready(built(spark, sf))).groupBy("selection").agg(F.round(F.sum(hybrid), 2).alias("hybrid_usd"), F.round(F.sum(literal), 2).alias("literal_usd"))
+    return D.chained(ready(built(spark, sf)), CATALOG.selections).groupBy("selection").agg(F.round(F.sum(hybrid), 2).alias("hybrid_usd"), F.round(F.sum(literal), 2).alias("literal_usd"))
 
 
 @query(_OWNED, """SELECT owner, count(*) AS selected_repos, CAST(sum(downloads) AS BIGINT) AS downloads, CAST(sum(likes) AS BIGINT) AS likes, count(cost) AS known_training_costs, round(coalesce(sum(cost), 0), 2) AS cost_usd, any_value(names) AS selections FROM
@@ -329,12 +337,12 @@ res AS (SELECT * REPLACE (lower AND NOT dup AS lower, central AND NOT dup AS cen
 
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = SA.manifest(candidates(spark, sf_dir), SAMPLING).withColumn("card_available", F.col("ordinal") % 7 != 0)
-    of = hub.signals(spark, sf_dir).select(F.col("modelId").alias("repo_id"), F.col("compute").alias("reported"), "claim", "compute_earliest", "claim_earliest")
+    of = hub.signals(spark, sf_dir).select(F.col("modelId").alias("repo_id"), F.col("compute").alias("reported"), "claim")
     rows = chosen.join(of, "repo_id", "left").join(V.claims_of_reviews(hub.reviews(spark, sf_dir)), "repo_id", "left")
     rows = V.settled(rows, True)
     by_window = F.lit(True)
     for s in (TEXT, PICTURES):
-        by_window = F.when(F.col("selection") == s.name, R.in_window(F.col("claim.training_years"), F.col("claim_earliest"), s)).otherwise(by_window)
+        by_window = F.when(F.col("selection") == s.name, R.in_window(F.col("claim.training_years"), F.col("claim.earliest"), s, CATALOG.clock())).otherwise(by_window)
     rows = rows.withColumn("claim", F.when(R.owner_matches(F.col("claim.claimed_trainer"), F.col("owner")) & by_window, F.col("claim")))
     return SA.without_duplicates(SA.results(rows, CATALOG))
 
@@ -389,7 +397,7 @@ def a15_card_tokens(spark, sf):
 def card_signals(spark, sf):
     """Status, compute and claims of all cards that may matter; held against cases in the tests, as it needs offsets."""
     rows = G.with_earliest(card_signal_rows(spark, sf))
-    return rows.select("modelId", "status", "reason", "compute.gpu_hours", "compute.cost_usd", "compute.cost_method", "claim.evidence_type", "claim.training_tokens_t", "claim.active_parameters_b", "claim.claimed_trainer", "compute_earliest", "claim_earliest")
+    return rows.select("modelId", "status", "reason", "compute.gpu_hours", "compute.cost_usd", "compute.cost_method", "claim.evidence_type", "claim.training_tokens_t", "claim.active_parameters_b", "claim.claimed_trainer", F.col("compute.earliest").alias("compute_earliest"), F.col("claim.earliest").alias("claim_earliest"))
 
 
 _CLAIM_IS = Q._like("card", C.SCRATCH_CLAIM.replace("'", "''"))

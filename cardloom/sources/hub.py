@@ -74,15 +74,14 @@ def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     compute = _made({
         "hours": "ordinal % 40 + 1.0D", "gpu_count": "8", "gpu_hours": "(ordinal % 40 + 1) * 8.0D", "cost_usd": "(ordinal % 50) * 100 + 10.0D", "cost_method": "if(ordinal % 2 = 0, 'gpu_hours_x_hourly_rate', 'reported_total_cost')",
         "run_hash": "if(ordinal % 7 = 0, '', concat('run', ordinal % 211))", "evidence_hash": "concat('ev', ordinal % 401)", "training_years": "if(ordinal % 5 = 0, array(1990 + ordinal % 3 * 5), array())",
-        "evidence": "if(ordinal % 12 = 0, 'a LoRA adapter', if(ordinal % 12 = 6, 'SFT fine-tuning run', 'a run'))",
+        "evidence": "if(ordinal % 12 = 0, 'a LoRA adapter', if(ordinal % 12 = 6, 'SFT fine-tuning run', 'a run'))", "earliest": "if(ordinal % 11 = 0, '1990-01-01T00:00:00Z', NULL)",
     }, COMPUTE)
     claim = _made({
         "evidence_type": pick(EVIDENCE_TYPES, "ordinal % 3"), "claimed_trainer": "if(ordinal % 13 = 0, 'Somebody Else', if(ordinal % 17 = 0, 'Org', ''))", "training_years": "if(ordinal % 19 = 0, array(1990), array())",
-        "active_parameters_b": "if(ordinal % 8 = 0, 3.0D, 0.0D)", "training_tokens_t": "if(ordinal % 6 = 0, 2.5D, 0.0D)", "card_hash": "concat('card', ordinal % 300)", "run_hash": "if(ordinal % 5 = 0, '', concat('claim', ordinal % 307))", "evidence": "'told'", "source": "'card'",
+        "active_parameters_b": "if(ordinal % 8 = 0, 3.0D, 0.0D)", "training_tokens_t": "if(ordinal % 6 = 0, 2.5D, 0.0D)", "card_hash": "concat('card', ordinal % 300)", "run_hash": "if(ordinal % 5 = 0, '', concat('claim', ordinal % 307))", "evidence": "'told'", "source": "'card'", "earliest": "if(ordinal % 23 = 0, '1990-01-01T00:00:00Z', NULL)",
     }, CLAIM)
     return m.select(
-        F.col("repo_id").alias("modelId"), F.when(F.col("ordinal") % 3 == 0, compute).alias("compute"), F.when(F.col("ordinal") % 4 != 1, claim).alias("claim"),
-        F.when(F.col("ordinal") % 11 == 0, "1990-01-01T00:00:00Z").alias("compute_earliest"), F.when(F.col("ordinal") % 23 == 0, "1990-01-01T00:00:00Z").alias("claim_earliest"),
+        F.col("repo_id").alias("modelId"), F.when(F.col("ordinal") % 3 == 0, compute).alias("compute"), F.when(F.col("ordinal") % 4 != 1, claim).alias("claim")
     )
 
 

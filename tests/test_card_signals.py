@@ -191,6 +191,6 @@ def test_signals(spark):
     found = S.with_earliest(S.signals(spark.createDataFrame([(*c, 1) for c in cards], "modelId string, createdAt string, card string, compute int").select("*")))
     got = {r["modelId"]: r for r in found.collect()}
     assert set(got) == {"o/a", "o/b", "o/c-base"}
-    assert got["o/a"]["compute_earliest"] == "2025-01-01" and got["o/a"]["compute"]["cost_usd"] == 37 and got["o/a"]["claim"] is None
-    assert got["o/c-base"]["claim"]["evidence_type"] == "declared_base_model" and got["o/c-base"]["claim_earliest"] == "2025-03-01"
+    assert got["o/a"]["compute"]["earliest"] == "2025-01-01" and got["o/a"]["compute"]["cost_usd"] == 37 and got["o/a"]["claim"] is None
+    assert got["o/c-base"]["claim"]["evidence_type"] == "declared_base_model" and got["o/c-base"]["claim"]["earliest"] == "2025-03-01"
     assert S.signals(spark.createDataFrame([], "modelId string, createdAt string, card string")).count() == 0

@@ -108,7 +108,7 @@ def test_whole_name_passes(spark):
     def costless(run, rows):
         made = [("s", i, r, r.split("/")[0], k, b, p, 10.0 + i, 9.0, 11.0, m, f"2025-01-0{i + 1} 00:00:00", i, i, m if k != "base" else "", "", "", "", None) for i, (r, k, b, p, m) in enumerate(rows)]
         frame = spark.createDataFrame(made, f"selection string, ordinal long, repo_id string, owner string, kind string, base_model string, params long, cost double, lower double, upper double, method string, created_at string, likes long, downloads long, run_hash string, evidence_hash string, claim_run string, claim_card string, review {REVIEW}")
-        return [r["ordinal"] for r in D.apply_pass(frame.withColumn("created_at", frame["created_at"].cast("timestamp")), run).where("cost IS NULL").orderBy("ordinal").collect()]
+        return [r["ordinal"] for r in D.apply_pass(frame.withColumn("created_at", frame["created_at"].cast("timestamp")), run, (Selection("s"),)).where("cost IS NULL").orderBy("ordinal").collect()]
 
     hours, formula = "gpu_hours_x_hourly_rate", "formula_txt_parameter_scaling"
     tuned = lambda r, b="B/x": (r, "finetune", b, 7, hours)
@@ -132,7 +132,7 @@ def test_chain_and_reviews(spark):
     ]
     frame = spark.createDataFrame([r[:11] + ("2025-01-01",) + r[11:] for r in rows], f"selection string, ordinal long, repo_id string, owner string, kind string, base_model string, params long, cost double, lower double, upper double, method string, created_at string, likes long, downloads long, run_hash string, evidence_hash string, claim_run string, claim_card string, review {REVIEW}, tier string")
     frame = frame.selectExpr("*", "array() AS compute", "array('e') AS errors")
-    got = {r["ordinal"]: r for r in D.chained(frame).collect()}
+    got = {r["ordinal"]: r for r in D.chained(frame, (Selection("s"),)).collect()}
     assert got[0]["cost"] == 100 and got[1]["cost"] is None and got[1]["method"] == "duplicate_reported_base_training_run"
     assert got[1]["errors"] == ["e", "reported compute belongs to canonical base repository org/model-base"]
     assert got[2]["cost"] == 5 and got[3]["upper"] is None and got[3]["tier"] == "duplicate"

@@ -479,6 +479,22 @@ def extracted(rows: DataFrame, source: str, *keep: str) -> DataFrame:
     return rows.select(*dict.fromkeys([*keep, "modelId", "card", "do_compute", "do_scratch"])).mapInArrow(run, f"{schema}, status string, reason string, compute {COMPUTE}, claim {CLAIM}")
 
 
+def status_of(rows: DataFrame) -> DataFrame:
+    """repo_id, status, reason and evidence of rows with repo_id and card: what the text says of training from scratch. Texts
+    without a claim are decided in the JVM."""
+    ship(rows.sparkSession)
+    claims = matches(F.col("card"), C.SCRATCH_CLAIM)
+    none = rows.where(~claims).select("repo_id", F.lit("candidate").alias("status"), F.lit("no_explicit_scratch_claim").alias("reason"), F.lit("").alias("evidence"))
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "card"):
+                found = [scratch_status(t) for t in part.column("card").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("repo_id"), *[pa.array([f[i] for f in found], pa.string()) for i in range(3)]], ["repo_id", "status", "reason", "evidence"])
+
+    return none.union(rows.where(claims).select("repo_id", "card").mapInArrow(run, "repo_id string, status string, reason string, evidence string"))
+
+
 def signals(cards: DataFrame, source: str = "model-card bulk snapshot") -> DataFrame:
     """modelId, createdAt, status, reason, compute and claim of the cards that may matter."""
     scratch = X.may_claim_scratch("card") | F.coalesce(matches(F.col("modelId"), C.BASE_NAME), F.lit(False))

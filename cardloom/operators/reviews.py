@@ -96,19 +96,28 @@ def _fields() -> list[tuple[str, pa.DataType]]:
 
 
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """key and review of a cache of JSON lines; the last line of a key wins, by file position."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    """key and review of a cache of JSON lines; the last line of a key wins, by file, block and line, however the files are split:
+    lines of one block are numbered in one task."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     entry = F.from_json("value", f"key string, review {REVIEW}")
     rows = lines.withColumn("entry", entry).where(F.coalesce(F.col("entry.key"), F.lit("")) != "")
-    return rows.groupBy(F.col("entry.key").alias("key")).agg(F.max_by("entry.review", F.struct("file", "at")).alias("review"))
+    return rows.groupBy(F.col("entry.key").alias("key")).agg(F.max_by("entry.review", F.struct("file", "block", "at")).alias("review"))
 
 
-def without_card() -> Column:
+def without_card(reason: str = "model is absent from bulk model-card snapshot") -> Column:
     """The review of a repository whose card is blank or absent."""
-    values = {"kind": "unknown", "confidence": "low", "reason": "model is absent from bulk model-card snapshot"}
+    values = {"kind": "unknown", "confidence": "low", "reason": reason}
     return F.from_json(F.lit(json.dumps(values)), REVIEW)
 
 
+def of_all(wanted: DataFrame, cards: DataFrame, reviews: DataFrame) -> DataFrame:
+    """repo_id and review of every wanted repository: its review, or that of a blank or absent card. cards bear modelId and card."""
+    there = cards.groupBy(F.col("modelId").alias("repo_id")).agg(F.max(F.trim(F.coalesce("card", F.lit(""))) != "").alias("_told"))
+    rows = wanted.select("repo_id").distinct().join(there, "repo_id", "left").join(reviews.select("repo_id", "review"), "repo_id", "left")
+    missing = F.when(F.col("_told").isNull(), without_card()).when(~F.col("_told"), without_card("model card is empty"))
+    return rows.select("repo_id", F.coalesce(missing, "review").alias("review"))
+
+
 def reviewed_kind(review: Column) -> Column:
     """The kind that a high-confidence review stands for, else null."""
     known = F.create_map(*[F.lit(x) for pair in P.REVIEW_KINDS.items() for x in pair])

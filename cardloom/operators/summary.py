@@ -67,6 +67,16 @@ def selections(records: DataFrame, catalog: Catalog) -> DataFrame:
     return out.na.fill(0).select("*")
 
 
+def funnel(rows: DataFrame) -> DataFrame:
+    """By selection, before any card is read: repositories, base ones with and without parameters, and the map of kinds."""
+    each = rows.groupBy("selection", "kind").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("params") > 0, 1)).alias("known"))
+    of_bases = lambda c: F.coalesce(F.sum(F.when(F.col("kind") == "base", c)), F.lit(0))
+    return each.groupBy("selection").agg(
+        F.sum("n").alias("repositories"), of_bases(F.col("n")).alias("bases"), of_bases(F.col("known")).alias("with_parameters"), of_bases(F.col("n") - F.col("known")).alias("without_parameters"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"),
+    )
+
+
 def with_owner_types(records: DataFrame, owners: DataFrame) -> DataFrame:
     """Adds owner_type, full_name: organizations first, then users, else unknown."""
     rank = F.when(F.col("owner_type") == "organization", 0).otherwise(1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from operator import or_
 
@@ -110,11 +111,10 @@ def metadata_reason() -> Column:
     )
 
 
-def metadata_evidence() -> Column:
-    """What the reason of metadata_reason rests on, or an empty text."""
+def metadata_evidence(reason: Column) -> Column:
+    """What a reason rests on, or an empty text. Give the reason as a column of a projection before, so that it is found once."""
     values = [card_value(k) for k in CARD_BASE_KEYS]
     stated = F.coalesce(*[F.when(non_empty(v), F.when(v.startswith('"'), F.try_variant_get(F.try_parse_json("card_data"), f"$.{k}", "string")).otherwise(v)) for k, v in zip(CARD_BASE_KEYS, values, strict=True)], F.col("base_model"))
-    reason = metadata_reason()
     tags = F.array_sort(F.array_distinct(F.filter(_all_tags(), lambda t: t.isin(*P.DERIVATIVE_TAGS))))
     return F.when(reason == "declares_base_model", F.substring(stated, 1, 300)).when(reason == "derivative_tag", F.array_join(tags, ", ")).when(reason == "derivative_name", F.col("repo_id")).otherwise("")
 
@@ -143,7 +143,8 @@ def checkpoint_family() -> Column:
 
 
 def any_needle(text: str, needles) -> Column:
-    return reduce(or_, [F.lower(text).contains(n) for n in needles])
+    """One of the needles occurs, in any case: the text is lowered and gone through once."""
+    return F.lower(text).rlike("|".join(re.escape(n) for n in needles))
 
 
 def may_report_compute(card: str = "card") -> Column:

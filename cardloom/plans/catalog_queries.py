@@ -11,6 +11,7 @@ from ..functions import patterns as P
 from ..operators import costing as C
 from ..operators import records as R
 from ..operators import selection as S
+from ..operators import summary as U
 from ..operators import taxonomy as X
 from ..sources import hub
 
@@ -167,7 +168,8 @@ METADATA_SQL = f"""SELECT repo_id, created_at, reason, CASE reason WHEN 'declare
 
 @query(f"SELECT repo_id, reason, evidence FROM ({METADATA_SQL})")
 def m1_metadata_filter(spark, sf):
-    return hub.models(spark, sf).select("repo_id", F.coalesce(X.metadata_reason(), F.lit("pending")).alias("reason"), X.metadata_evidence().alias("evidence"))
+    rows = hub.models(spark, sf).withColumn("why", X.metadata_reason())
+    return rows.select("repo_id", F.coalesce("why", F.lit("pending")).alias("reason"), X.metadata_evidence(F.col("why")).alias("evidence"))
 
 
 @query("SELECT repo_id, kind FROM k")
@@ -228,10 +230,13 @@ def a3_a4_selection_rollup(spark, sf):
     return selected(spark, sf).groupBy("selection").agg(F.count_distinct("owner").alias("owners"), _count(), F.count(F.when(F.coalesce("params", F.lit(0)) <= 0, 1)).alias("unknown_params"), F.sum("likes").alias("likes"))
 
 
-@query("SELECT selection, count(*) FILTER (WHERE kind = 'base') AS bases, count(*) FILTER (WHERE kind = 'base' AND params > 0) AS priced, count(*) AS repositories FROM sel GROUP BY 1")
+@query("""SELECT selection, CAST(sum(n) AS BIGINT) AS repositories, coalesce(CAST(sum(n) FILTER (WHERE kind = 'base') AS BIGINT), 0) AS bases, coalesce(CAST(sum(known) FILTER (WHERE kind = 'base') AS BIGINT), 0) AS with_parameters,
+  coalesce(CAST(sum(n - known) FILTER (WHERE kind = 'base') AS BIGINT), 0) AS without_parameters, string_agg(kind || '=' || n, ',' ORDER BY kind) AS kinds
+  FROM (SELECT selection, kind, count(*) AS n, count(*) FILTER (WHERE params > 0) AS known FROM sel GROUP BY 1, 2) GROUP BY 1""")
 def a8_pre_review_funnel(spark, sf):
-    base = F.col("kind") == "base"
-    return selected(spark, sf).groupBy("selection").agg(F.count(F.when(base, 1)).alias("bases"), F.count(F.when(base & (F.col("params") > 0), 1)).alias("priced"), _count("repositories"))
+    rows = U.funnel(selected(spark, sf))
+    kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return rows.withColumn("kinds", kinds)
 
 
 @query("""SELECT selection, repo_id, downloads FROM (SELECT *, row_number() OVER (PARTITION BY selection ORDER BY downloads DESC, repo_id) AS n FROM sel) WHERE n <= 25""")

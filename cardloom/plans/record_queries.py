@@ -17,8 +17,13 @@ from ..operators import sampling as SA
 from ..operators import selection as S
 from ..operators import summary as U
 from ..operators import taxonomy as X
+from ..operators import training_signals as T
+from ..operators import review_cache as VC
+from ..operators import year_counts as Y
+from ..operators.ordinal import numbered
 from ..session import written
 from ..sources import hub
+from ..sources import pages as PG
 from . import catalog_queries as Q
 
 QUERIES: dict = {}
@@ -181,6 +186,26 @@ def m8_diffusion_records(spark, sf):
     return _shown(built(spark, sf, PICTURE_CATALOG))
 
 
+RECENT = (
+    S.Selection("year", compute_profiles=("h100",), model_kinds=("base", "finetune")),
+    S.Selection("quarter", lookback_days=90, target_llm_only=True, compute_profiles=("h100",), formula_requires_explicit_scratch=True, count_reported_derivative_costs=True),
+    S.Selection("past", created_to="1996-12-31", lookback_days=31, compute_profiles=("h100",)),
+)
+RECENT_CATALOG = S.Catalog(scan={"now": "1997-10-03T12:00:00Z"}, compute_profiles=(Q.PROFILE,), selections=RECENT)
+
+
+@query(f"WITH {Q._CTE}", f"""SELECT selection, repo_id, kind FROM (
+  SELECT 'year' AS selection, k.*, TIMESTAMP '1996-10-03 12:00:00' AS low FROM k WHERE kind IN ('base', 'finetune') AND created_at BETWEEN TIMESTAMP '1996-10-03 12:00:00' AND TIMESTAMP '1997-10-03 12:00:00'
+  UNION ALL SELECT 'quarter', k.*, TIMESTAMP '1997-07-05 12:00:00' FROM k WHERE is_text AND NOT is_picture AND created_at BETWEEN TIMESTAMP '1997-07-05 12:00:00' AND TIMESTAMP '1997-10-03 12:00:00'
+  UNION ALL SELECT 'past', k.*, TIMESTAMP '1996-12-01' FROM k WHERE created_at >= TIMESTAMP '1996-12-01' AND created_at < TIMESTAMP '1997-01-01') JOIN signals s USING (ordinal)
+  WHERE kind NOT IN ('finetune', 'adapter') OR NOT told OR (CASE WHEN len(r_years) > 0 THEN r_years[1] BETWEEN year(low) AND CASE selection WHEN 'past' THEN 1996 ELSE 1997 END ELSE NOT r_old END)""")
+def f2_f12_lookback(spark, sf):
+    """Selections without a start look back from their end, or from the run's clock; models of the future are left out. Kinds by
+    metadata."""
+    rows = R.build(Q.kinded(spark, sf), hub.signals(spark, sf).withColumn("claim", F.lit(None).cast(G.CLAIM)).withColumn("compute", F.col("compute").withField("evidence", F.lit("a run"))), hub.reviews(spark, sf).limit(0), hub.base_params(spark, sf), RECENT_CATALOG)
+    return rows.select("selection", "repo_id", "kind")
+
+
 @query(_RECORDS, "SELECT repo_id, selection, prelim AS prelim_kind, kind FROM rec0 WHERE selection = 'text'")
 def m4_resolved_kind(spark, sf):
     only = S.Catalog(scan=CLOCK, compute_profiles=CATALOG.compute_profiles, selections=(TEXT,), local_llm=CATALOG.local_llm)
@@ -400,6 +425,31 @@ def card_signals(spark, sf):
     return rows.select("modelId", "status", "reason", "compute.gpu_hours", "compute.cost_usd", "compute.cost_method", "claim.evidence_type", "claim.training_tokens_t", "claim.active_parameters_b", "claim.claimed_trainer", F.col("compute.earliest").alias("compute_earliest"), F.col("claim.earliest").alias("claim_earliest"))
 
 
+# ---- from cards, metadata and readmes to costed records
+
+_NAMED = Q._like("repo_id", C.BASE_NAME)
+_CARD_SIGNALS = f"""src AS (SELECT k.ordinal, k.repo_id, k.kind = 'base' AS base, d.doc_id IS NOT NULL AS carded, k.ordinal % 8 AS says, {_NAMED} AS named, k.ordinal % 6 = 1 AS readable, k.ordinal % 20 AS m,
+  json_type(cd) = 'OBJECT' AND len(json_keys(cd)) > 0 AS has_meta FROM k LEFT JOIN documents d ON d.doc_id = k.ordinal),
+own AS (SELECT *, CASE m WHEN 7 THEN 3.7 WHEN 13 THEN 23.125 END AS m_cost, CASE WHEN NOT base THEN NULL WHEN m = 13 THEN 'explicit_scratch' WHEN named AND (m = 7 OR has_meta) THEN 'declared_base_model' END AS m_type,
+  CASE WHEN carded THEN CASE says WHEN 2 THEN 532.8 WHEN 3 THEN 1250.5 WHEN 4 THEN 9250.0 END END AS b_cost,
+  CASE WHEN base AND carded THEN CASE WHEN says = 1 THEN 'explicit_scratch' WHEN says = 5 THEN 'pretraining_evidence' WHEN named THEN 'declared_base_model' END END AS b_type FROM src),
+met AS (SELECT *, coalesce(b_cost, m_cost) AS cost0, CASE WHEN carded THEN b_type ELSE m_type END AS type0, m_cost IS NULL OR (base AND m_type IS NULL) AS open FROM own),
+fin_sig AS (SELECT *, readable AND open AND (cost0 IS NULL OR (base AND type0 IS NULL)) AS reads FROM met),
+signals AS (SELECT f.ordinal, reads OR cost0 IS NOT NULL AS told, 0.0 AS r_hours, CASE WHEN reads THEN 74.0 ELSE cost0 END AS r_cost, CASE WHEN NOT reads AND b_cost = 1250.5 THEN 'reported_total_cost' ELSE 'gpu_hours_x_hourly_rate' END AS r_method, '' AS run_hash, '' AS evidence_hash,
+  CAST([] AS INTEGER[]) AS r_years, '' AS r_evidence, NOT reads AND b_cost = 532.8 AS r_old, CASE WHEN reads AND base AND named THEN 'declared_base_model' ELSE type0 END AS c_type, '' AS c_trainer, carded AND says = 7 AS c_1990, carded AND says IN (2, 5) AS c_old,
+  CASE WHEN carded AND says = 6 THEN 3.0 ELSE 0.0 END AS c_active, CASE WHEN carded AND says = 1 THEN 2.5 WHEN carded AND says = 5 THEN 0.3 ELSE 0.0 END AS c_tokens, '' AS c_card, '' AS c_run, v_kind, v_conf, v_run, v_size FROM fin_sig f JOIN made USING (ordinal))"""
+_CARD_RECORDS = f"WITH {Q._CTE.replace('signals AS (', 'made AS (')},\n{_CARD_SIGNALS},\n{_records_sql(True)}{_LIMITED}"
+
+
+@query(_CARD_RECORDS, f"{_SHOW} rec")
+def m13_s4_records_of_cards(spark, sf):
+    """Records whose compute and claims are read from metadata, bulk cards and readmes."""
+    models, now = hub.with_run_metadata(Q.kinded(spark, sf)), CATALOG.clock()
+    rows = S.matched(R.effective_parameters(models, hub.base_params(spark, sf)), *CATALOG.selections, now=now)
+    found = T.resolved(T.wanted(rows, CATALOG.selections), hub.model_cards(spark, sf), hub.readmes(spark, sf))
+    return _shown(R.build(models, found, hub.reviews(spark, sf), hub.base_params(spark, sf), CATALOG, now))
+
+
 _CLAIM_IS = Q._like("card", C.SCRATCH_CLAIM.replace("'", "''"))
 
 
@@ -408,8 +458,75 @@ def m2_claims_scratch(spark, sf):
     return hub.cards(spark, sf).select("card_no", F.when(P.matches(F.col("card"), C.SCRATCH_CLAIM), "claims").otherwise("candidate").alias("status"))
 
 
-@query(f"WITH {Q._CTE}", f"""SELECT year(created_at) AS year, status, reason, count(*) AS rows FROM (SELECT created_at, CASE WHEN reason = 'pending' THEN 'pending' ELSE 'excluded' END AS status, reason FROM ({Q.METADATA_SQL})) WHERE year(created_at) BETWEEN 1995 AND 1998 GROUP BY ALL""")
+# ---- the scan by year
+
+PAGE_ROWS = 100
+_LISTED = """listed AS (SELECT *, (row_number() OVER (ORDER BY created_at DESC, ordinal) - 1) // 100 + 1 AS page FROM models)"""
+
+
+def landed_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The models as pages of a newest-first listing."""
+    rows = numbered(hub.models(spark, sf), [F.col("created_at").desc(), F.col("ordinal").asc()]).withColumn("page", F.floor(F.col("place") / PAGE_ROWS) + 1)
+    pages = rows.groupBy("page").agg(F.collect_list(F.struct(*hub.models(spark, sf).columns)).alias("items"))  # PAGE_ROWS at most
+    return pages.withColumn("next", F.concat(F.lit("page="), F.col("page") + 1))
+
+
+_READ = f"""{_LISTED},
+stop AS (SELECT min(page) AS last FROM listed WHERE year(created_at) < 1996),
+seen AS (SELECT listed.*, year(created_at) AS year FROM listed, stop WHERE page <= last AND year(created_at) IN (1996, 1998)),
+judged AS (SELECT s.*, r.reason AS why, CASE WHEN d.doc_id IS NULL THEN 0 WHEN s.ordinal % 29 = 5 THEN 2 WHEN s.ordinal % 8 = 1 THEN 1 ELSE 0 END AS says
+  FROM seen s JOIN ({Q.METADATA_SQL}) r ON r.repo_id = s.repo_id LEFT JOIN documents d ON d.doc_id = s.ordinal),
+told AS (SELECT year, CASE WHEN why <> 'pending' THEN 'excluded' WHEN says = 2 THEN 'error' WHEN says = 1 THEN 'confirmed' ELSE 'candidate' END AS status,
+  CASE WHEN why <> 'pending' THEN why WHEN says = 2 THEN 'readme_fetch_error' WHEN says = 1 THEN 'explicit_scratch_claim' ELSE 'no_explicit_scratch_claim' END AS reason FROM judged)"""
+
+
+def counted(spark: SparkSession, sf: str) -> DataFrame:
+    models, _ = PG.scanned(landed_pages(spark, sf), [1996, 1998])
+    texts = hub.model_cards(spark, sf).where("place >= 0").select(F.col("modelId").alias("repo_id"), F.col("card").alias("readme"), F.when(F.col("place") % 29 == 5, "timeout").alias("error"))
+    return Y.counts(Y.classified(models, texts))
+
+
+@query(f"WITH {Q._CTE},\n{_READ}", "SELECT year, status, reason, count(*) AS rows FROM told GROUP BY GROUPING SETS ((year, status), (year, reason))")
 def a1_a2_counts_by_year(spark, sf):
-    reason = F.coalesce(X.metadata_reason(), F.lit("pending"))
-    rows = hub.models(spark, sf).select(F.year("created_at").cast("long").alias("year"), reason.alias("reason")).where("year BETWEEN 1995 AND 1998")
-    return rows.groupBy("year", F.when(F.col("reason") == "pending", "pending").otherwise("excluded").alias("status"), "reason").agg(F.count(F.lit(1)).alias("rows"))
+    """From landed pages to counts: the prefix of pages, metadata, texts, and one grouping."""
+    return counted(spark, sf)
+
+
+@query(f"WITH {Q._CTE},\n{_READ}", """SELECT year, count(*) FILTER (WHERE status = 'confirmed') AS confirmed, count(*) FILTER (WHERE status = 'candidate') AS candidate, count(*) FILTER (WHERE status = 'excluded') AS excluded, count(*) FILTER (WHERE status = 'error') AS error,
+  count(*) FILTER (WHERE status IN ('confirmed', 'candidate')) AS broad_upper_bound, any_value(m.reasons) AS reasons
+  FROM told JOIN (SELECT year AS y, string_agg(reason || '=' || n, ',' ORDER BY reason) AS reasons FROM (SELECT year, reason, count(*) AS n FROM told GROUP BY 1, 2) GROUP BY 1) m ON m.y = year GROUP BY 1""")
+def a2_k2_year_summary(spark, sf):
+    reasons = F.array_join(F.transform(F.map_entries("reasons"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return Y.by_year(counted(spark, sf)).withColumn("reasons", reasons)
+
+
+@query(f"WITH {Q._CTE},\n{_LISTED}", """SELECT repo_id, page, year(created_at) AS year FROM listed WHERE page <= least(7, (SELECT min(page) FROM listed WHERE year(created_at) < 2000)) AND year(created_at) IN (2000, 2001)""")
+def s1_scan_prefix(spark, sf):
+    models, _ = PG.scanned(landed_pages(spark, sf), [2000, 2001], max_pages=7)
+    return models.select("repo_id", "page", "year")
+
+
+# ---- reviews by content
+
+
+_QUESTIONS = r"""q AS (SELECT 'card/' || doc_id AS repo_id, CASE WHEN doc_id % 10 = 3 THEN ' ' ELSE text END AS card, doc_id % 4 AS t, doc_id % 3 AS p, source FROM documents),
+h AS (SELECT *, trim(regexp_replace(card, '[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS plain FROM q),
+keys AS (SELECT *, CASE WHEN plain <> '' THEN sha256(concat_ws('|#|', 'review-1', 'text_llm', sha256(plain), 'text-generation', '', CASE t WHEN 0 THEN 'en|llm' ELSE 'llm' END, '', source, p::VARCHAR)) END AS k FROM h),
+cached AS (SELECT DISTINCT k FROM keys WHERE regexp_extract(repo_id, '[0-9]+')::INTEGER % 5 = 0 AND k IS NOT NULL)"""
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    none = F.lit(None).cast("string")
+    return d.select(
+        F.concat(F.lit("card/"), F.col("doc_id").cast("string")).alias("repo_id"), F.when(F.col("doc_id") % 10 == 3, " ").otherwise(F.col("text")).alias("card"), F.lit("text-generation").alias("pipeline_tag"), none.alias("library_name"),
+        F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("llm"), F.lit("en"))).otherwise(F.array(F.lit("llm"))).alias("tags"), none.alias("relation"), F.array("source").alias("base_models"), (F.col("doc_id") % 3).alias("params"), "doc_id",
+    )
+
+
+@query(f"WITH {_QUESTIONS}", """SELECT repo_id, CASE WHEN k IS NULL THEN 'blank' WHEN k IN (SELECT k FROM cached) THEN 'cached' WHEN row_number() OVER (PARTITION BY k ORDER BY repo_id) = 1 THEN 'asked' ELSE 'shared' END AS how FROM keys""")
+def j12_review_plan(spark, sf):
+    """How each card's review is met: known by its content, asked for, or shared with an equal question."""
+    rows = VC.keyed(questions(spark, sf))
+    cache = rows.where("doc_id % 5 = 0 AND key IS NOT NULL").select("key").distinct()
+    return VC.planned(rows, cache).select("repo_id", "how")

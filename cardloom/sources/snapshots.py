@@ -61,10 +61,16 @@ def shard_paths(base: str, count: int) -> list[str]:
     return [base] if count <= 1 else [f"{stem}-{i:04d}{dot}{extension}" for i in range(count)]
 
 
+def placed_cards(spark: SparkSession, *paths: str) -> DataFrame:
+    """Card shards with their place: by file, then by row in it, independent of how files are split."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return spark.read.parquet(*paths).select(*CARD_COLUMNS, place.alias("place"))
+
+
 def latest_cards(spark: SparkSession, *paths: str) -> DataFrame:
-    """Card shards with one row for each id: the last by file and place."""
-    rows = spark.read.parquet(*paths).select(*CARD_COLUMNS, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("_at"))
-    return rows.groupBy("modelId").agg(F.max_by(F.struct("createdAt", "card"), "_at").alias("c")).select("modelId", "c.createdAt", "c.card")
+    """Card shards with one row for each id: the last by file and row."""
+    rows = placed_cards(spark, *paths)
+    return rows.groupBy("modelId").agg(F.max_by(F.struct("createdAt", "card"), "place").alias("c")).select("modelId", "c.createdAt", "c.card")
 
 
 def with_readmes(models: DataFrame, readmes: DataFrame) -> DataFrame:

@@ -24,7 +24,15 @@ RECORD_COLUMNS = (
     "selection", "repo_id", "repo_url", "owner", "owner_type", "created_at", "last_modified", "pipeline_tag", "library_name", "model_kind", "base_model", "own_parameters", "effective_parameters", "parameters_b", "downloads", "likes",
     "lower_training_cost_usd", "training_cost_usd", "upper_training_cost_usd", "training_cost_method", "training_cost_tier", "reported_compute_json", "scratch_claim_json", "local_llm_review_json", "tags", "compute_estimates_json", "errors",
 )
-OWNER_COLUMNS = ("owner", "owner_type", "profile_url", "fullname", "selected_repos", "selected_downloads", "selected_likes", "known_training_costs", "training_cost_usd", "selections")
+OWNER_COLUMNS = (
+    "owner", "owner_type", "profile_url", "fullname", "verified", "pro", "plan", "followers", "models", "datasets", "spaces", "papers", "members", "created_at", "details", "selected_repos", "selected_downloads", "selected_likes", "known_training_costs",
+    "training_cost_usd", "selections", "error",
+)
+PROFILE_TEXTS, PROFILE_FLAGS, PROFILE_NUMBERS = ("plan", "created_at", "details"), ("verified", "pro"), ("followers", "models", "datasets", "spaces", "papers", "members")
+RESULT_COLUMNS = (
+    "selection", "repo_id", "owner", "parameters", "parameter_source", "parameter_range", "card_source", "card_available", "census", "stratum", "sampling_weight", "llm_kind", "llm_confidence", "independent_lower", "independent_central", "independent_upper",
+    "duplicate_of", "raw_cost_usd", "weighted_lower_usd", "weighted_central_usd", "weighted_upper_usd", "error",
+)
 CANDIDATE_COLUMNS = ("selection", "repo_id", "owner", "created_at", "pipeline_tag", "library_name", "parameters", "downloads", "likes", "tags")
 MANIFEST_COLUMNS = ("selection", "scope", "repo_id", "owner", "parameters", "parameter_range", "card_source", "census", "stratum", "stratum_population", "stratum_sample", "inclusion_probability", "sampling_weight")
 YEAR_COLUMNS = ("year", "repo_id", "created_at", "status", "reason", "evidence")
@@ -47,20 +55,26 @@ def record_table(records: DataFrame, endpoint: str) -> DataFrame:
         "own_parameters": F.coalesce("own_params", F.lit(0)), "effective_parameters": F.coalesce("params", F.lit(0)), "parameters_b": F.when(F.col("params") > 0, F.format_string("%.6f", F.col("params") / 1e9)),
         "lower_training_cost_usd": F.when(F.col("lower").isNotNull(), _money("lower")), "training_cost_usd": F.when(F.col("cost").isNotNull(), _money("cost")), "upper_training_cost_usd": F.when(F.col("upper").isNotNull(), _money("upper")),
         "training_cost_method": F.col("method"), "training_cost_tier": F.col("tier"), "reported_compute_json": F.to_json("reported"), "scratch_claim_json": F.to_json("claim"), "local_llm_review_json": F.to_json("review"),
-        "tags": F.array_join("tags", "|"), "compute_estimates_json": F.to_json("compute"), "errors": F.array_join("errors", " | "),
+        "tags": F.array_join("tags", "|"), "compute_estimates_json": F.when(F.size("compute") > 0, F.to_json("compute")).otherwise("null"), "errors": F.array_join("errors", " | "),
     }
     return records.select(*[F.coalesce(values.get(n, F.col(n) if n in has else F.lit("")).cast("string"), F.lit("")).alias(n) for n in RECORD_COLUMNS])
 
 
 def owner_table(owners: DataFrame, profiles: DataFrame, site: str) -> DataFrame:
-    """Owners with a selected repository, most downloads first."""
+    """Owners with a selected repository, most downloads first. profiles bear owner, owner_type and what they know of the other
+    columns; an owner without a profile is `unknown`, with an error."""
     rank = F.when(F.col("owner_type") == "organization", 0).otherwise(1)
-    one = profiles.groupBy("owner").agg(F.min_by(F.struct("owner_type", "full_name"), rank).alias("p"))
+    has = set(profiles.columns)
+    told = [c for c in (*PROFILE_TEXTS, *PROFILE_FLAGS, *PROFILE_NUMBERS, "full_name", "error") if c in has]
+    one = profiles.groupBy("owner").agg(F.min_by(F.struct("owner_type", *told), rank).alias("p"))
     rows = owners.where("selected_repos > 0").join(one, "owner", "left")
-    return rows.select(
-        "owner", F.coalesce("p.owner_type", F.lit("unknown")).alias("owner_type"), F.concat(F.lit(site.rstrip("/") + "/"), "owner").alias("profile_url"), F.coalesce("p.full_name", F.lit("")).alias("fullname"), "selected_repos", F.col("downloads").alias("selected_downloads"),
-        F.col("likes").alias("selected_likes"), "known_training_costs", F.format_string("%.2f", F.coalesce("training_cost_usd", F.lit(0.0))).alias("training_cost_usd"), F.array_join("selections", "|").alias("selections"),
-    ).orderBy(F.desc("selected_downloads"), "owner")
+    of = lambda c, default: F.coalesce(F.col(f"p.{c}"), F.lit(default)) if c in has else F.lit(default)
+    values = {c: of(c, "") for c in PROFILE_TEXTS} | {c: of(c, False) for c in PROFILE_FLAGS} | {c: of(c, 0).cast("long") for c in PROFILE_NUMBERS}
+    values |= {
+        "owner_type": F.coalesce("p.owner_type", F.lit("unknown")), "profile_url": F.concat(F.lit(site.rstrip("/") + "/"), "owner"), "fullname": of("full_name", ""), "selected_downloads": F.col("downloads"), "selected_likes": F.col("likes"),
+        "training_cost_usd": F.format_string("%.2f", F.coalesce("training_cost_usd", F.lit(0.0))), "selections": F.array_join("selections", "|"), "error": F.coalesce(F.nullif(of("error", ""), F.lit("")), F.when(F.col("p").isNull(), "profile not found"), F.lit("")),
+    }
+    return rows.select(*[values.get(n, F.col(n)).alias(n) for n in OWNER_COLUMNS]).orderBy(F.desc("selected_downloads"), "owner")
 
 
 def candidate_table(candidates: DataFrame) -> DataFrame:
@@ -73,6 +87,20 @@ def manifest_table(manifest: DataFrame) -> DataFrame:
     return manifest.select(*[F.col(names.get(n, n)).alias(n) for n in MANIFEST_COLUMNS])
 
 
+def result_table(found: DataFrame) -> DataFrame:
+    """Results of a sample, costs weighted."""
+    cost = F.coalesce("raw_cost", F.lit(0.0))
+    fixed = lambda c: F.format_string("%.6f", c)
+    values = {"parameters": "params", "parameter_range": "bucket", "sampling_weight": "weight", "llm_kind": "review.kind", "llm_confidence": "review.confidence"} | {f"independent_{f}": f for f in ("lower", "central", "upper")}
+    values = {n: F.col(c) for n, c in values.items()} | {"raw_cost_usd": fixed(cost)} | {f"weighted_{f}_usd": fixed(F.when(F.col(f), cost * F.col("weight")).otherwise(0.0)) for f in ("lower", "central", "upper")}
+    texts = ("llm_kind", "llm_confidence", "duplicate_of", "error")
+    return found.select(*[(F.coalesce(values.get(n, F.col(n)), F.lit("")) if n in texts else values.get(n, F.col(n))).alias(n) for n in RESULT_COLUMNS])
+
+
+def year_table(classified: DataFrame) -> DataFrame:
+    return classified.select(*[(_time(n) if n == "created_at" else F.col(n)).alias(n) for n in YEAR_COLUMNS])
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').option("emptyValue", "").csv(path)
 
@@ -115,14 +143,9 @@ def summary_json(rows: DataFrame, **counters) -> str:
 
 
 def years_json(counts: DataFrame, complete: bool) -> str:
-    """The summary of a scan by year: statuses, reasons, and the broad upper bound."""
-    years: dict[int, dict] = {}
-    for r in counts.collect():
-        item = years.setdefault(r["year"], {"reasons": {}})
-        item[r["status"]] = item.get(r["status"], 0) + r["rows"]
-        item["reasons"][r["reason"]] = item["reasons"].get(r["reason"], 0) + r["rows"]
-    for item in years.values():
-        item["broad_upper_bound"] = item.get("confirmed", 0) + item.get("candidate", 0)
+    """The summary of a scan by year: statuses, reasons, and the broad upper bound, from a row for each year."""
+    statuses = ("confirmed", "candidate", "excluded", "error")
+    years = {r["year"]: {s: r[s] for s in statuses if r[s]} | {"reasons": r["reasons"], "broad_upper_bound": r["broad_upper_bound"]} for r in counts.collect()}
     return json.dumps({"complete": complete, "years": {str(y): years[y] for y in sorted(years)}}, indent=2, sort_keys=True) + "\n"
 
 

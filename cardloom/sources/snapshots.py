@@ -81,7 +81,7 @@ def with_readmes(models: DataFrame, readmes: DataFrame) -> DataFrame:
 def baseline(spark: SparkSession, path: str) -> DataFrame | None:
     """selection, confirmed, derivatives of a summary.json, or None if it can't be read."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
+        text = spark.read.text(path, wholetext=True)
         item = "struct<total_training_cost_usd:double,training_cost_by_kind:map<string,double>>"
         rows = text.select(F.from_json("value", f"struct<selections:map<string,{item}>>").alias("s")).where("s.selections IS NOT NULL").select(F.explode("s.selections").alias("selection", "v"))
         if rows.isEmpty():

@@ -181,6 +181,6 @@ def test_snapshots_and_outputs(spark, tmp_path):
     assert N.baseline(spark, f"{tmp_path}/none.json") is None
     O.write_text(spark, '{"selections": {"s": {"total_training_cost_usd": 5, "training_cost_by_kind": {"finetune": 2, "adapter": 1}}}}', f"file://{tmp_path}/summary.json")
     assert [tuple(r) for r in N.baseline(spark, f"file://{tmp_path}/summary.json").collect()] == [("s", 5.0, 3.0)]
-    counts = spark.createDataFrame([(2025, "candidate", "x", 2), (2025, "confirmed", "y", 3)], "year int, status string, reason string, rows long")
-    assert json.loads(O.years_json(counts, True))["years"]["2025"]["broad_upper_bound"] == 5
+    counts = spark.createDataFrame([(2025, 3, 2, 0, 0, {"x": 5}, 5)], "year int, confirmed long, candidate long, excluded long, error long, reasons map<string,long>, broad_upper_bound long")
+    assert json.loads(O.years_json(counts, True))["years"]["2025"] == {"confirmed": 3, "candidate": 2, "reasons": {"x": 5}, "broad_upper_bound": 5}
     assert O.file_component(" Öffentlich: Text ") == "ffentlich-text" and O.file_component("é") == "selection"

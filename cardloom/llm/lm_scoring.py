@@ -1,14 +1,16 @@
 """Scores of texts by a log-bilinear language model trained with noise-contrastive estimation in numpy.
 
 Tokens are blank-separated words with A-Z lower-cased, and an end after each text. Counts of all tokens of all training
-texts are summed in Spark by 64-bit hash. The model predicts the class of a token from the classes of the two tokens before:
+texts are summed in Spark by 64-bit hash, of which all but the low bits (the shape, see SHAPES) tell words apart. The model predicts the class of a token from the classes of the two tokens before:
 r = R[a] C1 + R[b] C2, score of w = r . Q[w] + bias[w]. Classes are the HEAD most frequent tokens, each its own, and SHAPES
 classes of all other words by their last bytes and length, so that every word has vectors, whatever its rank.
 
-Training goes over every training token: in each of ROUNDS passes every task starts from the same parameters, takes a step of
-noise-contrastive estimation (BATCH tokens against NOISE draws from the class frequencies) after the other through all its
-texts, and the tasks' parameters are averaged by their tokens in a second shuffle. So the steps grow with the corpus, a lost
-task is redone alone, and the driver holds one set of parameters.
+Training goes over every training token. Input partitions are put together into groups of about GROUP_TOKENS tokens, so how much
+one group learns doesn't depend on how the input is split. The first group alone is gone through first; then every group starts
+from what it learnt, takes a step of noise-contrastive estimation (BATCH tokens against NOISE draws from the class frequencies)
+after the other through all its texts, and the groups' parameters are averaged by their tokens in a second shuffle. So the steps
+grow with the corpus, a lost task is redone alone, and the driver holds one set of parameters. A partition larger than a group
+stays one group.
 
 Scoring takes batched matrix products over the distinct contexts of a chunk against all classes, which gives exactly
 normalised log-probabilities. A word of a shape class also costs its share of the class by count, (c + 0.1) / (N + 0.1 (V + 1))
@@ -27,11 +29,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, _NOT_SPACE, arrow_map, chunks, crc_mod, mix, span_hashes, table, text_bytes, word_spans, written
+from .common import _LOWER, _NOT_SPACE, arrow_map, chunks, crc_mod, drop, mix, span_hashes, table, text_bytes, word_spans, written
 
-HEAD, SHAPES = 127, 128
-WIDTH, NOISE, BATCH, ROUNDS = 16, 48, 1024, 1
+HEAD, SHAPES = 255, 256
+WIDTH, NOISE, BATCH = 16, 48, 1024
 RATE = 0.01
+GROUP_TOKENS = 8_000_000  # some 50 MB of text
 SLOT = 256  # parameters that travel in one row when they are averaged
 CONTEXTS = 4096  # contexts that are scored at once
 END = 0x454E44  # the end token's key; word hashes are 64 bits
@@ -167,14 +170,18 @@ def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     to[own[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
-def trained(docs: DataFrame, head: list[int], unigram: np.ndarray) -> LogBilinear:
-    """The model after ROUNDS passes over all texts of docs."""
-    model = LogBilinear(unigram.astype(np.float32))
-    for turn in range(ROUNDS):
+def trained(docs: DataFrame, head: list[int], unigram: np.ndarray, total: int) -> LogBilinear:
+    """The model after the first group alone, and then all groups from there. total: training tokens."""
+    unigram = unigram.astype(np.float32)
+    model = LogBilinear(unigram)
+    texts = docs.select("text").coalesce(max(1, -(-total // GROUP_TOKENS)))
+    for first in (True, False):
         sent = docs.sparkSession.sparkContext.broadcast(model.flat)
 
-        def run(batches, sent=sent, turn=turn):
-            own, kinds = LogBilinear(unigram.astype(np.float32), sent.value.copy()), Classes(head)
+        def run(batches, sent=sent, first=first):
+            if first and TaskContext.get().partitionId():
+                return
+            own, kinds = LogBilinear(unigram, sent.value.copy()), Classes(head)
 
             def steps():
                 for batch in batches:
@@ -187,10 +194,11 @@ def trained(docs: DataFrame, head: list[int], unigram: np.ndarray) -> LogBilinea
                             at = order[a : a + BATCH]
                             yield two[at], one[at], w[at]
 
-            seen = own.train(steps(), RATE / (1 + 2 * turn))
+            seen = own.train(steps(), RATE if first else RATE / 2)
             if seen:
                 slots = range(0, len(own.flat), SLOT)
-                yield pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int32()), pa.array([float(seen)] * len(slots)), pa.array([own.flat[a : a + SLOT].astype(float) * seen for a in slots], pa.list_(pa.float64()))], ["slot", "seen", "sums"])
+                sums = pa.array([own.flat[a : a + SLOT].astype(float) * seen for a in slots], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int32()), pa.array([float(seen)] * len(slots)), sums], ["slot", "seen", "sums"])
 
         def reduce(batches):
             total: dict[int, list] = {}
@@ -202,16 +210,15 @@ def trained(docs: DataFrame, head: list[int], unigram: np.ndarray) -> LogBilinea
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(s / n).tolist() for n, s in total.values()], pa.list_(pa.float64()))], ["slot", "mean"])
 
-        sums = written(arrow_map(docs.select("text"), run, "slot int, seen double, sums array<double>"), "lm-parameters")
+        sums = written(arrow_map(texts, run, "slot int, seen double, sums array<double>"), "lm-parameters")
         means = arrow_map(sums.repartition("slot"), reduce, "slot int, mean array<double>").collect()  # one set of parameters
+        drop(sums)
         if means:
-            model = LogBilinear(model.unigram, np.concatenate([np.array(r["mean"], np.float32) for r in sorted(means, key=lambda r: r["slot"])]))
+            model = LogBilinear(unigram, np.concatenate([np.array(r["mean"], np.float32) for r in sorted(means, key=lambda r: r["slot"])]))
         sent.unpersist()
     return model
 
 
-
-
 def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs."""
     spark = docs.sparkSession
@@ -226,7 +233,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     shape_counts = np.array([of_shape.get(i, (0, 0)) for i in range(SHAPES)], float)
     unigram = np.concatenate([head_counts, shape_counts[:, 0]]) + PAD
     unigram /= unigram.sum()
-    model = trained(training, head, unigram)
+    model = trained(training, head, unigram, int(total))
     sent = spark.sparkContext.broadcast(model.flat)
     base_of = np.log10((head_counts + PAD) / (total + PAD * (kinds + 1)))
     known = head_counts > 0

@@ -209,6 +209,25 @@ def test_lm(spark, odd, none):
     assert lm_scoring.score(none, none).count() == 0 and lm_scoring.score(odd, none).count() == len(ODD)
 
 
+def test_lm_learns_alike_for_any_partition_count(spark):
+    from pyspark.sql import functions as F
+
+    docs, means = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), []
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(10)) == 0
+    for n in (1, 8, 64):
+        rows = docs.repartition(n)
+        found = lm_scoring.score(rows, rows.where(~held)).where(held)
+        model, base = found.agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+        means.append(model)
+        assert model > base + 0.2
+    assert max(means) - min(means) < 0.015
+
+
+def test_lm_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b a", 1, "x", 2.0), (2, None, 1, "x", 2.0)], "doc_id long, text string, row int, h string, model double")
+    assert sorted((r["doc_id"], r["n_tokens"], r["train_tokens"]) for r in lm_scoring.score(docs, docs).collect()) == [(1, 4, 5), (2, 1, 5)]
+
+
 def test_lm_normalised():
     """Over all classes a context's probabilities sum to one, and so do the shares within a class with one unseen word."""
     rng = np.random.default_rng(0)

@@ -6,10 +6,14 @@ has a vector of its tag path (every element's tag, class and id words, hashed to
 directions, so each decision uses the whole page. It is trained here, on pages made by `make_page` from the usual
 layouts with known labels, as the corpus has none; training is deterministic and takes a fixed time.
 
-Edge cases. A null or empty page, or one without main blocks, gives the empty text; unclosed tags, comments, scripts and
-styles end with the page, other elements whose content is no text (svg, template, ...) are left out only where they are closed;
-names that only start like theirs, as in <template-card>, are plain elements; stray < are text; pages of any length are read whole; ids may be null or repeat; extra columns are
-ignored; an empty table gives no rows.
+Pages are cut by one scan that never goes back: tags end at the first > outside quotes (or, where quotes are left open, at the
+first >); a page in which such a search fails once has all its tag ends found together, from its end. A block's path is
+carried as a running sum, so nesting of any depth costs the same for each block.
+
+Edge cases. A null or empty page, or one without main blocks, gives the empty text; unclosed comments, scripts and styles end with
+the page; a < without a > behind it is text; only scripts, styles, comments and text areas (form fields) are left out by their
+names, while svg, template, noscript and iframe are elements like others, whose blocks the labeller judges; pages of any length
+are read whole; ids may be null or repeat; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,77 +34,165 @@ PATH_DIM, WORD_DIM, NUMBERS, HIDDEN = 32, 8, 4, 16
 INPUT = PATH_DIM + WORD_DIM + NUMBERS
 PAGES, EPOCHS = 700, 10
 #: Elements by how HTML treats them.
+SIBLINGS = frozenset("p li option dt dd tr td th".split())  # their end tags may be left out
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style".split())
-SKIPPED = frozenset("noscript template svg iframe textarea".split())
-_TOKEN = re.compile(r"<!--|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s>/]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s>/]*)([^>]*)>")
-_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW | SKIPPED}
+RAW = frozenset("script style textarea".split())
+_START = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s>/]*)")
+_REST = re.compile(r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>")
+_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(tag path, text, characters inside links) of every leaf block with text, in page order."""
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, str]] = []
-    held: list[str] = []
-    state = {"linked": 0, "links": 0}
-
-    def flush():
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                out.append((tuple(s for _, s in stack if s), text, min(state["linked"], len(text))))
-            held.clear()
-        state["linked"] = 0
-
-    at = 0
-    unclosed: set[str] = set()
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            raw = page[at : m.start()]
-            held.append(raw)
-            if state["links"]:
-                state["linked"] += len(raw)
-        at = m.end()
-        if m[0] == "<!--":
-            end = page.find("-->", at)
+class _Ends:
+    """Where tags end: the first > outside quotes after a place, or -1; found for a whole page from its end."""
+
+    def __init__(self, page: str):
+        code = np.frombuffer(page.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.at = np.flatnonzero((code == 0x3E) | (code == 0x22) | (code == 0x27))
+        kind, at = code[self.at].astype(np.uint8).tobytes(), self.at.tolist()
+        self.end = np.empty(len(at), np.int64)
+        plain = double = single = -1
+        for i in range(len(at) - 1, -1, -1):
+            c = kind[i]
+            if c == 0x3E:
+                plain = at[i]
+            elif c == 0x22:
+                plain, double = double, plain
+            else:
+                plain, single = single, plain
+            self.end[i] = plain
+
+    def after(self, place: int) -> int:
+        i = int(np.searchsorted(self.at, place))
+        return int(self.end[i]) if i < len(self.end) else -1
+
+
+def tags(page: str):
+    """(place, end, whether it closes, name, attributes) of every tag; comments and the like have no name. What lies between is
+    text. The caller sends the place to go on from, if it isn't the tag's end."""
+    last, at, ends = page.rfind(">"), 0, None
+    while m := _START.search(page, at):
+        here = m.start()
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 4)
             at = end + 3 if end >= 0 else len(page)
+            yield here, at, False, "", ""
             continue
-        name = (m[2] or m[5] or "").lower()
-        if not name:
-            continue
-        closing, attrs = m[1] or m[4], m[3] or m[6] or ""
-        if name in _END:
-            if not closing and not attrs.rstrip().endswith("/") and name not in unclosed:
-                if end := _END[name].search(page, at):
-                    at = end.end()
-                elif name in RAW:
-                    at = len(page)
-                else:
-                    unclosed.add(name)
-            continue
-        if name in INLINE:
-            if name == "a":
-                state["links"] = 0 if closing else 1
+        if here > last:
+            return
+        named = _NAME.match(page, here)
+        if not named:  # <! or <?
+            at = page.index(">", here) + 1
+            yield here, at, False, "", ""
             continue
+        body = named.end()
+        if ends is None and (m := _REST.match(page, body)):
+            close = m.end() - 1
+        else:
+            ends = ends or _Ends(page)
+            close = ends.after(body)
+            if close < 0:
+                close = page.find(">", body)
+        at = close + 1
+        at = (yield here, at, bool(named[1]), named[2].lower(), page[body:close]) or at
+
+
+class Blocks:
+    """Leaf blocks of a page in order: text, characters inside links, and the vector of the tag path."""
+
+    def __init__(self, page: str):
+        self.texts: list[str] = []
+        self.linked = array("q")
+        self.paths = array("f")
+        self._elements: list[np.ndarray] = []  # of the open elements, and their running sum
+        self._sums = np.zeros((64, PATH_DIM), np.float32)
+        self._cut(page)
+        del self._elements, self._sums
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+    def _add(self, text: str, linked: int) -> None:
+        depth = len(self._elements)
+        path = self._sums[depth] + sum(0.3 * e for e in self._elements[-3:]) if depth else self._sums[0]
+        self.texts.append(text)
+        self.linked.append(min(linked, len(text)))
+        self.paths.frombytes((path / np.sqrt(PATH_DIM / 4)).astype(np.float32).tobytes())
+
+    def _open(self, element: str) -> None:
+        depth = len(self._elements)
+        if depth + 1 == len(self._sums):
+            self._sums = np.concatenate([self._sums, np.zeros_like(self._sums)])
+        own = _element_vector(element)
+        self._sums[depth + 1] = self._sums[depth] + 0.7 * own
+        self._elements.append(own)
+
+    def _cut(self, page: str) -> None:
+        names: list[str] = []
+        still: dict[str, int] = {}  # how often a name is open
+        held: list[str] = []
+        linked = links = at = 0
+
+        def flush():
+            nonlocal linked
+            if held:
+                text = " ".join(html.unescape("".join(held)).split())
+                if text:
+                    self._add(text, linked)
+                held.clear()
+            linked = 0
+
+        def pop():
+            still[names.pop()] -= 1
+            self._elements.pop()
+
+        found, jump = tags(page), None
+        while True:
+            try:
+                here, end, closing, name, attrs = found.send(jump) if jump else next(found)
+            except StopIteration:
+                break
+            jump = None
+            if here > at:
+                held.append(page[at:here])
+                linked += (here - at) * links
+            at = end
+            if not name:
+                continue
+            if name in RAW:
+                if not closing and not attrs.rstrip().endswith("/"):
+                    closes = _END[name].search(page, at)
+                    at = jump = closes.end() if closes else len(page)
+                continue
+            if name in INLINE:
+                if name == "a":
+                    links = 0 if closing else 1
+                continue
+            flush()
+            links = 0
+            if closing:
+                if still.get(name):
+                    while names[-1] != name:
+                        pop()
+                    pop()
+            elif name not in VOID and not attrs.rstrip().endswith("/"):
+                if names and (names[-1] == "p" or names[-1] == name and name in SIBLINGS):
+                    pop()
+                own = " ".join(_PART.findall(" ".join(v.strip("\"'") for v in _ATTR.findall(attrs)).lower())) if attrs else ""
+                names.append(name)
+                still[name] = still.get(name, 0) + 1
+                self._open(f"{name} {own}".strip())
+        if at < len(page):
+            held.append(page[at:])
+            linked += (len(page) - at) * links
         flush()
-        state["links"] = 0
-        if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-        elif name not in VOID and not attrs.rstrip().endswith("/"):
-            if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name or stack and stack[-1][0] == "p":
-                stack.pop()
-            own = " ".join(_PART.findall(" ".join(v.strip("\"'") for v in _ATTR.findall(attrs)).lower())) if attrs else ""
-            stack.append((name, f"{name} {own}".strip()))
-    if at < len(page):
-        held.append(page[at:])
-    flush()
-    return out
+
+
+def blocks(page: str) -> Blocks:
+    return Blocks(page)
 
 
 @lru_cache(maxsize=200_000)
@@ -108,22 +201,18 @@ def _signs(word: str, dim: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=50_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    out = np.zeros(PATH_DIM, np.float32)
-    for i, element in enumerate(path):
-        for word in element.split():
-            out += _signs(word, PATH_DIM) * (1.0 if i >= len(path) - 3 else 0.7)
-    return out / np.sqrt(PATH_DIM / 4)
+def _element_vector(element: str) -> np.ndarray:
+    return sum((_signs(word, PATH_DIM) for word in element.split()), np.zeros(PATH_DIM, np.float32))
 
 
-on_leave(__name__, lambda: (_signs.cache_clear(), _path_vector.cache_clear()))
+on_leave(__name__, lambda: (_signs.cache_clear(), _element_vector.cache_clear()))
 _WORDS = np.random.default_rng(7).choice([-1.0, 1.0], (1024, WORD_DIM)).astype(np.float32)
 
 
-def page_vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
+def page_vectors(page: Blocks) -> np.ndarray:
     x = np.zeros((len(page), INPUT), np.float32)
-    for i, (path, text, linked) in enumerate(page):
-        x[i, :PATH_DIM] = _path_vector(path)
+    x[:, :PATH_DIM] = np.frombuffer(page.paths, np.float32).reshape(-1, PATH_DIM) if len(page) else 0
+    for i, (text, linked) in enumerate(zip(page.texts, page.linked, strict=True)):
         words = text.encode().split()
         x[i, PATH_DIM : PATH_DIM + WORD_DIM] = _WORDS[[zlib.crc32(w) & 1023 for w in words]].sum(0) / len(words) if words else 0
         x[i, -NUMBERS:] = np.log1p(len(words)) / 3, linked / len(text), text[-1] in ".!?…:\"", len(words) < 4
@@ -131,7 +220,7 @@ def page_vectors(page: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
 
 
 def _sigmoid(z):
-    return 1 / (1 + np.exp(-z))
+    return 0.5 + 0.5 * np.tanh(0.5 * z)
 
 
 def _run(x: np.ndarray, w: np.ndarray, b: np.ndarray, keep: bool = True) -> tuple[np.ndarray, list]:
@@ -168,7 +257,10 @@ def _back(x: np.ndarray, w: np.ndarray, kept: list, d: np.ndarray) -> tuple[np.n
 
 
 def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(time, page, input) forward, the same backward, and the mask."""
+    """(time, page, input) forward, the same backward, and the mask. A page alone isn't copied."""
+    if len(pages) == 1:
+        x = pages[0][:, None, :]
+        return x, x[::-1], np.ones((len(x), 1), bool)
     t = max(map(len, pages))
     x, y = np.zeros((t, len(pages), INPUT), np.float32), np.zeros((t, len(pages), INPUT), np.float32)
     mask = np.zeros((t, len(pages)), bool)
@@ -179,6 +271,8 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 def _turned(a: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Undo the backward order of each page."""
+    if a.shape[1] == 1 and mask.all():
+        return a[::-1]
     n = mask.sum(0)
     at = np.where(mask, n[None, :] - 1 - np.arange(len(a))[:, None], np.arange(len(a))[:, None])
     return np.take_along_axis(a, at[:, :, None], 0)
@@ -193,7 +287,10 @@ class Labeller:
         x, y, mask = _padded(pages)
         a, kept1 = _run(x, w1, b1, keep)
         b, kept2 = _run(y, w2, b2, keep)
-        both = np.concatenate([a, _turned(b, mask), x], 2)
+        b = _turned(b, mask)
+        if not keep:
+            return a @ w3[:HIDDEN] + b @ w3[HIDDEN : 2 * HIDDEN] + x @ w3[2 * HIDDEN :] + b3, mask, ()
+        both = np.concatenate([a, b, x], 2)
         return both @ w3 + b3, mask, (x, y, kept1, kept2, both)
 
     def main(self, pages: list[np.ndarray]) -> list[np.ndarray]:
@@ -352,7 +449,7 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 0) -> Labeller:
 def extract(model: Labeller, pages: list[str]) -> list[str]:
     cut = [blocks(p) for p in pages]
     main = model.main([page_vectors(c) for c in cut])
-    return [" ".join(t for (_, t, _), keep in zip(c, m, strict=True) if keep) for c, m in zip(cut, main, strict=True)]
+    return [" ".join(t for t, keep in zip(c.texts, m, strict=True) if keep) for c, m in zip(cut, main, strict=True)]
 
 
 def extract_pages(pages: DataFrame, model: Labeller) -> DataFrame:

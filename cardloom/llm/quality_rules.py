@@ -5,8 +5,9 @@ A line (split at \\n) with a word fails if
 - repetition: it has 20 words or more, over `max_run` of which repeat the word before them;
 - navigation: it has 3 or more of the separators | » › • · with at most 4 words between two on average, or it is
   1 to 3 words of nothing but a link, a menu word or a page number;
-- punctuation: it has 12 words or more, and neither an end mark . ! ? … : ; 。 ！ ？ nor a comma, bracket or quote;
-- boilerplate: it holds a phrase of BOILERPLATE and at most 25 words.
+- punctuation: it has 12 words or more, and neither an end mark . ! ? … : ; 。 ！ ？ nor a comma (， 、), bracket or quote; an
+  apostrophe inside a word is no quote;
+- boilerplate: at most 25 words, a fifth of which or more are phrases of BOILERPLATE.
 Licence lines are boilerplate: they go, their documents stay. A document is rejected if the base rules fail it
 (under 50 words, or over half of them in repeated 3-word windows), or if failing lines hold over `max_lost` of its
 words.
@@ -38,7 +39,7 @@ MENU = frozenset("home about contact menu login search next previous prev help f
 _SEPARATOR = re.compile(r"[|»›•·]")
 _BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
 _LINK = re.compile(r"(?:https?://|www\.)\S+|\d+|[<>«»‹›]+")
-_MARK = re.compile(r"[.!?…:;,()\"'。！？]")
+_MARK = re.compile(r"[.!?…:;,()\[\]\"“”«»。！？，、：；「」『』（）【】]|(?<!\w)'|'(?!\w)")
 _SPACE = re.compile(r"[ \t-\r]+")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -61,7 +62,8 @@ def line_fails(line: str, max_symbols: float = MAX_SYMBOLS, max_run: float = MAX
         return "navigation"
     if n >= 12 and not _MARK.search(line):
         return "punctuation"
-    if n <= 25 and _BOILERPLATE.search(line.lower()):
+    phrases = _BOILERPLATE.findall(line.lower()) if n <= 25 else ()
+    if phrases and 5 * sum(p.count(" ") + 1 for p in phrases) >= n:
         return "boilerplate"
     return None
 

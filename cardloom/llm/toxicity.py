@@ -1,7 +1,7 @@
 """Toxicity by a subsequence string-kernel SVM on Nyström landmarks.
 
 A text is a bag of units: blank-separated words, lower-cased, without the marks inside them, so that "i.d-i_o.t" is one
-word again; runs of three or more single letters are one unit too; a unit of SPAN letters or more is cut into overlapping
+word again (digits stay among letters, as in "1d10t"; a number alone is no unit); runs of three or more single letters are one unit too; a unit of SPAN letters or more is cut into overlapping
 parts, of which each is trained on and scored, and its value is its best part's. Two parts compare by the gap-weighted subsequence kernel: every choice of three
 letters in order counts, DECAY to the power of the span it takes, so an inserted letter or a gap lowers the similarity a
 little instead of losing the word; letters are compared as they are, of any alphabet, over the whole part. Divided by the length's norm sqrt(sum of squared weights), it is a kernel.
@@ -44,7 +44,7 @@ MAX_TOXIC, MAX_CLEAN, MAX_NEGATIVES = 2000, 4000, 6000
 THRESHOLD = 0.3
 CACHE_UNITS = 200_000
 BLOCK = 4000  # units whose triples are held at once
-_MARKS = re.compile(r"[\W\d_]+")
+_MARKS = re.compile(r"[\W_]+")
 _BEST = 2
 
 
@@ -54,6 +54,7 @@ def units(text: str) -> list[str]:
     letters: list[str] = []
     for word in dict.fromkeys(text.lower().split()) if not _SINGLES.search(text) else text.lower().split():
         plain = word if word.isalpha() else _MARKS.sub("", word)
+        plain = "" if plain.isdigit() else plain
         if len(plain) == 1:
             letters.append(plain)
             continue

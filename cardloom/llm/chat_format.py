@@ -36,7 +36,9 @@ def rotate(messages: DataFrame) -> DataFrame:
     own = own.groupBy("conv_id", "turn", "speaker", "text").agg(F.count(F.lit(1)).alias("copies"))
     own = own.withColumn("block", F.floor(F.coalesce("turn", F.lit(LAST_TURN)) / BLOCK))
     people = own.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).distinct()
-    seen = own.join(people, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
+    # speakers meet a dialogue's blocks first, and each block's messages then: no dialogue's messages meet in one task
+    dealt = own.select(F.col("conv_id").alias("c0"), F.col("block").alias("b0")).distinct().join(people, F.col("c0").eqNullSafe(F.col("conv"))).drop("conv")
+    seen = own.join(dealt, F.col("conv_id").eqNullSafe(F.col("c0")) & (F.col("block") == F.col("b0"))).drop("c0", "b0")
     is_own, is_system = F.col("speaker") == F.col("perspective"), F.col("speaker") == SYSTEM
     header = F.when(is_system, F.lit("<|system|>\n")).when(is_own, F.lit("<|assistant|>\n")).otherwise(F.concat(F.lit("<|user name="), F.translate("speaker", "|\n\r", "   "), F.lit("|>\n")))
     seen = seen.select("*", F.char_length(header).cast("long").alias("head"), F.concat(header, F.col("text"), F.lit("<|end|>\n")).alias("segment"), is_own.alias("mask"))

@@ -120,6 +120,18 @@ def lookup(rows: DataFrame, entries: DataFrame, key: str) -> DataFrame:
     return rows.join(small(heavy), key).unionByName(rows.join(small(heavy.select(key)), key, "left_anti").join(entries, key, "left"))
 
 
+def without(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not among keys (one row each): by broadcast if the keys are few; else keys of over HEAVY rows are decided by
+    broadcast, and only the other rows are shuffled."""
+    few = small(keys)
+    if few is not keys:
+        return rows.join(few, key, "left_anti")
+    many = durable(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).select(key))
+    heavy, many = small(durable(keys.join(many, key, "left_semi"))), small(many)
+    often = rows.join(many, key, "left_semi").join(heavy, key, "left_anti")
+    return often.unionByName(rows.join(many, key, "left_anti").join(keys, key, "left_anti"))
+
+
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, fresh, small, table, written
+from .common import durable, fresh, lookup, small, table, without, written
 
 WINDOW, K = 13, 5
 W = WINDOW - K + 1
@@ -121,7 +121,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def decontamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scanned, hits = hit_counts(docs.select("doc_id", "text"), benchmark)
-    out = scanned.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), "key").join(hits, "key", "left")
+    rows = scanned.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_words").cast("long").alias("n_words"), "key")
+    out = lookup(rows, durable(hits), "key")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
@@ -134,9 +135,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs whose text is not contaminated, unchanged."""
     scanned, hits = hit_counts(docs.select("text"), benchmark)
     (key,) = fresh(docs, "key")
-    bad = scanned.join(hits, "key").where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias(key)).distinct()
+    bad = lookup(scanned.select("key", "n_words"), durable(hits), "key").where(contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias(key)).distinct()
     own = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return docs.join(small(durable(bad)), own == F.col(key), "left_anti")
+    return without(docs.withColumn(key, own), durable(bad), key).drop(key)
 
 
 def op5_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,6 +214,24 @@ def test_lm(spark, odd, none):
     assert lm_scoring.score(none, none).count() == 0 and lm_scoring.score(odd, none).count() == len(ODD)
 
 
+def test_units_keep_digits_among_letters():
+    assert toxicity.units("1d10t st0-p1d 2024 7") == ["1d10t", "st0p1d"]
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    """Many copies of texts with and without hits, beside others: the same result with every shortcut off."""
+    from cardloom.llm import common
+
+    item = " ".join(f"w{i}" for i in range(20))
+    rows = [(i, ("hot " + item, "hot clean text", f"rare {i} {item}", f"clean {i}")[i % 4]) for i in range(200)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = lambda: (sorted(map(tuple, decontamination.decontamination_report(docs, bench).collect())), sorted(r["doc_id"] for r in decontamination.remove_contaminated(docs, bench).collect()))
+    want = found()
+    monkeypatch.setattr(common, "HEAVY", 10)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
+    assert found() == want and want[1] == [i for i in range(200) if i % 2]
+
+
 def test_lm_learns_alike_for_any_partition_count(spark):
     from pyspark.sql import functions as F
 
@@ -427,6 +445,20 @@ def test_near_dedup_classes_are_brute_components(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_chat_many_blocks(spark):
+    """One dialogue over many blocks, with copies, null turns and a very long text, against plain string building."""
+    rows = [(1, i if i % 9 else None, ("ann", "bob", "system", None)[i % 4], ("same" if i % 3 else f"text {i}") + ("x" * 100_000 if i == 500 else ""), "p") for i in range(700)] * 2
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, perspective string")
+    got = chat_format.rotate(docs).where("perspective = 'bob'").orderBy("place").collect()
+    order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2] or "unknown", r[3]))
+    at = 0
+    for r, (_, _, role, text, _) in zip(got, order, strict=True):
+        speaker = role or "unknown"
+        head = "<|system|>\n" if speaker == "system" else "<|assistant|>\n" if speaker == "bob" else f"<|user name={speaker}|>\n"
+        assert r["segment"] == f"{head}{text}<|end|>\n" and (r["start"], r["stop"]) == (at, at + len(r["segment"]))
+        at = r["stop"]
+
+
 def test_clashing_names(spark):
     docs = spark.createDataFrame([(1, "a b c", 1, b"x", 2, 3, 4, "y"), (1, "a b c", 1, b"x", 2, 3, 4, "y"), (2, "d e", 1, b"x", 2, 3, 4, "y")], "doc_id long, text string, id int, node binary, own_node int, key int, input_ids int, decoded string")
     assert near_dedup.keep_one(docs).columns == docs.columns and near_dedup.keep_one(docs).count() == 2

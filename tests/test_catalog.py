@@ -52,10 +52,10 @@ def kinds_of(spark, rows):
 def test_kinds(spark):
     plain = lambda i, tags=(), lib="": (i, list(tags), lib, "", None)
     cases = {
-        "finetune": [plain("org/unknown-output", ["generated_from_trainer"]), plain("org/research-output", ["trl", "sft"]), plain("org/swarm-output", ["grpo", "rl-swarm"]), plain("org/Model-8B-Instruct"), plain("org/Model-Chat"), plain("aiqtech/LLaDA2.0-flash-preview"), plain("vngrs-ai/Kumru-2B-Base")],
-        "quantized": [plain("org/Model-4bits"), plain("org/Model", ["bitsandbytes", "8-bit"]), plain("mirror/source_-_Model-8B"), plain("org/Model-8B-hf"), plain("microsoft/bitnet-b1.58-2B-4T"), plain("org/Model-Base", ["safetensors", "onnx"], "onnx")],
-        "fork": [plain("user/000b77fd-c73e-4660-a7b2-71c0b787ed07"), plain("user/Qwen-27B-Abliterated"), plain("user/Model-Uncensored"), plain("user/Model-Base-Adjust"), plain("user/Model-Repacked"), plain("LSX-UniWue/LLaMmlein_1B"), plain("org/Model-40B-Base-Stage1"), plain("user/Affine-5CXQgGhdq1mJ1aYz")],
-        "base": [plain("org/Model-Base", ["safetensors", "onnx"], "transformers"), plain("org/Model", [None])],
+        "finetune": [plain("pond/heron-run", ["generated_from_trainer"]), plain("pond/heron-notes", ["trl", "sft"]), plain("pond/flock-run", ["grpo", "rl-swarm"]), plain("pond/Heron-3B-Instruct"), plain("pond/Wren-Chat"), plain("aiqtech/LLaDA2.0-flash-preview"), plain("vngrs-ai/Kumru-2B-Base")],
+        "quantized": [plain("pond/Heron-4bits"), plain("pond/Heron", ["bitsandbytes", "8-bit"]), plain("copies/pond_-_Heron-3B"), plain("pond/Heron-3B-hf"), plain("microsoft/bitnet-b1.58-2B-4T"), plain("pond/Wren-Base", ["safetensors", "onnx"], "onnx")],
+        "fork": [plain("nest/3f0e9a52-5b1c-4d7e-8a66-0123456789ab"), plain("nest/Heron-9B-Abliterated"), plain("nest/Wren-Uncensored"), plain("nest/Wren-Base-Adjust"), plain("nest/Wren-Repacked"), plain("LSX-UniWue/LLaMmlein_1B"), plain("pond/Heron-9B-Base-Stage2"), plain("nest/Affine-7HqWx2LkPz4TnVb8")],
+        "base": [plain("pond/Wren-Base", ["safetensors", "onnx"], "transformers"), plain("pond/Wren", [None])],
     }
     for kind, rows in cases.items():
         assert kinds_of(spark, rows) == [kind] * len(rows)

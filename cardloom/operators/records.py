@@ -1,8 +1,8 @@
 """Costed records: what each selection keeps of a model, its resolved kind, its estimates and its cost.
 
 Input rows are matched models (a row for each selection) with `reported` (compute), `claim`, `deterministic` and `review`; compute
-and claim bear `earliest`, the first card with their fingerprint, which a review's claim has not. One projection for each selection's settings; all of them are branches of one `when`,
-so the table is read once whatever the number of selections.
+and claim bear `earliest`, the first card with their fingerprint, which a review's claim has not. A row's selection picks its settings
+from one small map, so the table is read once and each rule stands once, whatever the number of selections and profiles.
 
 Edge cases. Null parameters count as 0 and price nothing; an estimate that is no finite number is an error text; a model
 without signals has null structs; a selection without profiles prices nothing.
@@ -10,7 +10,9 @@ without signals has null structs; a selection without profiles prices nothing.
 
 from __future__ import annotations
 
+from dataclasses import fields
 from datetime import datetime
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,17 +21,30 @@ from ..functions import card_patterns as C
 from ..functions import patterns as P
 from . import costing as K
 from . import reviews as R
-from .selection import Catalog, Selection, limited, matched
+from .costing import Profile
+from .selection import INSTANT, Catalog, Selection, limited, matched
 
 NOT_PROVEN = "repository name says base but model card does not prove independent pretraining"
 
 
-def _of(selections, value) -> Column:
-    """A column chosen by the row's selection."""
-    out = F.lit(None)
-    for s in selections:
-        out = F.when(F.col("selection") == s.name, value(s)).otherwise(out)
-    return out
+def _settings(catalog: Catalog, now: datetime | None) -> Column:
+    """What the row's selection asks for, as a struct: one small map, so that each rule is one expression whatever the number of
+    selections and profiles."""
+    profiles = {p.name: p for p in catalog.compute_profiles}
+
+    def of_profile(p: Profile) -> Column:
+        return F.struct(*[F.lit(getattr(p, n)).alias(n) for n in (*(f.name for f in fields(Profile)), "prices_pictures")])
+
+    def of(s: Selection) -> Column:
+        start, low, high = _window(s, now)
+        priced = [of_profile(profiles[n]) for n in s.compute_profiles]
+        flags = ("needs_scratch", "require_reported_compute", "require_reported_derivative_compute", "require_explicit_scratch_for_base", "count_reported_derivative_costs")
+        nothing = F.filter(F.array(of_profile(Profile())), lambda p: F.lit(False))
+        return F.struct(
+            F.lit(start).cast("timestamp").alias("start"), F.lit(low).alias("low"), F.lit(high).alias("high"), *[F.lit(getattr(s, n)).alias(n) for n in flags], (F.array(*priced) if priced else nothing).alias("profiles"), F.lit(s.scope).alias("scope")
+        )
+
+    return F.create_map(*[x for s in catalog.selections for x in (F.lit(s.name), of(s))])[F.col("selection")]
 
 
 def effective_parameters(rows: DataFrame, base_params: DataFrame) -> DataFrame:
@@ -53,13 +68,23 @@ def resolved_kind(kind: Column, claim: Column, reported: Column, review: Column)
     )
 
 
-def in_window(years: Column, earliest: Column, s: Selection, now: datetime | None = None) -> Column:
-    """Stated years decide; else the earliest card must not be older than the selection's start."""
+def _window(s: Selection, now: datetime | None) -> tuple[datetime | None, int, int]:
+    """Start of a selection, and its first and last year."""
     start, end = s.window(now)
-    low, high = start.year if start else 0, (end.year - (end.month == end.day == 1 and end.hour == end.minute == end.second == 0) if end else 9999)
+    last = (end - INSTANT).year if end else 9999
+    return start, start.year if start else 0, last
+
+
+def _timely(years: Column, earliest: Column, start: Column, low: Column, high: Column) -> Column:
     told = F.coalesce(F.size(years), F.lit(0)) > 0
-    first = F.try_to_timestamp(earliest)
-    return F.when(told, F.exists(years, lambda y: y.between(low, high))).otherwise(F.coalesce(first >= F.lit(start), F.lit(True)) if start else F.lit(True))
+    inside = F.exists(years, lambda y: y.between(low, high))
+    return F.when(told, inside).otherwise(F.coalesce(F.try_to_timestamp(earliest) >= start, F.lit(True)))
+
+
+def in_window(years: Column, earliest: Column, s: Selection, now: datetime | None = None) -> Column:
+    """Stated years decide; else the earliest card must not be older than the selection's start."""
+    start, low, high = _window(s, now)
+    return _timely(years, earliest, F.lit(start).cast("timestamp"), F.lit(low), F.lit(high))
 
 
 def identity(name: Column) -> Column:
@@ -74,61 +99,53 @@ def owner_matches(trainer: Column, owner: Column) -> Column:
 
 
 def gated(rows: DataFrame, catalog: Catalog, now: datetime | None = None) -> DataFrame:
-    """Rows that their selection keeps, with usable claims and the resolved kind (the preliminary one becomes prelim_kind)."""
-    chosen = [s for s in catalog.selections if not (catalog.reviews and (catalog.review_scope == "text_llm" and s.target_diffusion_only or catalog.review_scope == "diffusion" and s.target_llm_only))]
-    rows = rows.where(F.col("selection").isin(*[s.name for s in chosen]))
-    text = [s.name for s in chosen if s.target_llm_only]
-    if text:
-        rows = rows.where(~(F.col("selection").isin(*text) & F.col("is_picture")))
-    usable = owner_matches(F.col("claim.claimed_trainer"), F.col("owner")) & _of(chosen, lambda s: in_window(F.col("claim.training_years"), F.col("claim.earliest"), s, now))
+    """Rows that their selection keeps, with usable claims, the resolved kind (the preliminary one becomes prelim_kind) and the
+    selection's settings (_s)."""
+    out_of_scope = {"text_llm": "diffusion", "diffusion": "text_llm"}.get(catalog.review_scope) if catalog.reviews else None
+    s = F.col("_s")
+    rows = rows.withColumn("_s", _settings(catalog, now)).where((s["scope"] != F.lit(out_of_scope or "")) & ~((s["scope"] == "text_llm") & F.col("is_picture")))
+    timely = lambda c: _timely(F.col(f"{c}.training_years"), F.col(f"{c}.earliest"), s["start"], s["low"], s["high"])
+    usable = owner_matches(F.col("claim.claimed_trainer"), F.col("owner")) & timely("claim")
     rows = rows.withColumn("claim", F.when(usable, F.col("claim"))).withColumnRenamed("kind", "prelim_kind")
     rows = rows.withColumn("kind", resolved_kind(F.col("prelim_kind"), F.col("claim"), F.col("reported"), F.col("review")))
     derivative, told = F.col("kind").isin("finetune", "adapter"), F.col("reported").isNotNull()
-
-    def keeps(s: Selection) -> Column:
-        out = F.col("kind") != "non_text"
-        if s.require_reported_compute:
-            out &= told
-        if s.require_reported_derivative_compute:
-            out &= ~derivative | told
-        timely = F.when(told, in_window(F.col("reported.training_years"), F.col("reported.earliest"), s, now)).otherwise(True)
-        out &= timely if s.require_reported_compute else ~derivative | timely
-        if s.require_explicit_scratch_for_base:
-            out &= (F.col("kind") != "base") | F.col("claim").isNotNull()
-        return out
-
-    return rows.where(_of(chosen, keeps))
+    asks = s["require_reported_compute"]
+    return rows.where(
+        (F.col("kind") != "non_text")
+        & (~asks | told)
+        & (~s["require_reported_derivative_compute"] | ~derivative | told)
+        & (~(asks | derivative) | ~told | timely("reported"))
+        & (~s["require_explicit_scratch_for_base"] | (F.col("kind") != "base") | F.col("claim").isNotNull())
+    )
 
 
 def _finite(e: Column) -> Column:
     return F.forall(F.array(e["gpu_hours"], e["wall_days"], e["cost_usd"]), lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def costed(rows: DataFrame, catalog: Catalog) -> DataFrame:
-    """Adds compute (estimates), lower, cost and upper, method, tier and errors."""
-    profiles = {p.name: p for p in catalog.compute_profiles}
+def costed(rows: DataFrame) -> DataFrame:
+    """From gated rows: adds compute (estimates), lower, cost and upper, method, tier and errors."""
     params, active, tokens = F.col("params"), F.col("claim.active_parameters_b"), F.col("claim.training_tokens_t")
     base, claim, reported = F.col("kind") == "base", F.col("claim"), F.col("reported")
     by_name = F.coalesce(claim["evidence_type"] == "declared_base_model", F.lit(False)) & F.col("review").isNull()
     nothing = F.array().cast("array<struct<profile:string,gpu_hours:double,wall_days:double,cost_usd:double,method:string>>")
-
-    def estimates(s: Selection) -> Column:
-        """For each profile the literal estimate, if it differs, and the one that counts; the flag is true for those that count."""
-        out = []
-        for name in s.compute_profiles:
-            p = profiles[name]
-            literal = K.estimate(K.literal_flops(params, F.lit("base"), p), K.LITERAL, p)
-            best = K.estimate(*K.evidence(params, active, tokens, p), p) if s.needs_scratch else literal
-            if p.prices_pictures:
-                best = F.when(F.col("is_picture"), K.estimate(*K.pictures(params, active, p), p)).otherwise(best)
-            differs = (best["method"] != K.LITERAL) | (F.abs(best["cost_usd"] - literal["cost_usd"]) > 0.005)
-            out += [F.struct(literal.alias("e"), (_finite(best) & differs).alias("kept"), F.lit(False).alias("counts")), F.struct(best.alias("e"), _finite(best).alias("kept"), F.lit(True).alias("counts"))]
-        priced = (params > 0) & ~by_name & (claim.isNotNull() | F.lit(not s.needs_scratch))
-        return F.when(priced, F.array(*out)) if out else F.lit(None)
-
-    derivative = F.col("kind").isin("finetune", "adapter") & reported.isNotNull() & _of(catalog.selections, lambda s: F.lit(s.count_reported_derivative_costs))
-    needs = _of(catalog.selections, lambda s: F.lit(s.needs_scratch))
-    rows = rows.withColumn("_all", F.when(base, _of(catalog.selections, estimates)))
+    needs = F.col("_s.needs_scratch")
+
+    def estimates(profile: Column) -> Column:
+        """The literal estimate, if it differs, and the one that counts; the flag is true for those that count."""
+        p = SimpleNamespace(**{f.name: profile[f.name] for f in fields(Profile)})
+        literal = K.estimate(K.literal_flops(params, F.lit("base"), p), K.LITERAL, p)
+        flops, method = K.evidence(params, active, tokens, p)
+        drawn, told_by = K.pictures(params, active, p)
+        pictures = profile["prices_pictures"] & F.col("is_picture")
+        total = K.literal_flops(params, F.lit("base"), p)
+        best = K.estimate(F.when(pictures, drawn).when(needs, flops).otherwise(total), F.when(pictures, told_by).when(needs, method).otherwise(K.LITERAL), p)
+        differs = (best["method"] != K.LITERAL) | (F.abs(best["cost_usd"] - literal["cost_usd"]) > 0.005)
+        return F.array(F.struct(literal.alias("e"), (_finite(best) & differs).alias("kept"), F.lit(False).alias("counts")), F.struct(best.alias("e"), _finite(best).alias("kept"), F.lit(True).alias("counts")))
+
+    derivative = F.col("kind").isin("finetune", "adapter") & reported.isNotNull() & F.col("_s.count_reported_derivative_costs")
+    priced = base & (F.size("_s.profiles") > 0) & (params > 0) & ~by_name & (claim.isNotNull() | ~needs)
+    rows = rows.withColumn("_all", F.when(priced, F.flatten(F.transform("_s.profiles", estimates))))
     own = F.filter("_all", lambda x: x["counts"])
     first = F.try_element_at(F.filter(own, lambda x: x["kept"]), F.lit(1))["e"]
     medium = F.coalesce(claim["evidence_type"] == "local_llm_medium", F.lit(False)) & ~F.col("deterministic")
@@ -146,7 +163,7 @@ def costed(rows: DataFrame, catalog: Catalog) -> DataFrame:
             F.array(F.col("parameter_error"), F.when(base & by_name & (claim.isNotNull() | ~needs), F.lit(NOT_PROVEN))),
             F.coalesce(F.transform(F.filter(own, lambda x: ~x["kept"]), lambda x: F.concat(F.lit("compute estimate overflow for profile "), x["e"]["profile"])), F.array().cast("array<string>")),
         )),
-    }).drop("_all")
+    }).drop("_all", "_s")
     return rows
 
 
@@ -159,4 +176,4 @@ def build(models: DataFrame, signals: DataFrame, reviews: DataFrame, base_params
     rows = rows.join(of, F.col("repo_id") == F.col("_id"), "left").drop("_id")
     rows = rows.join(R.claims_of_reviews(reviews).withColumnRenamed("repo_id", "_id"), F.col("repo_id") == F.col("_id"), "left").drop("_id")
     rows = R.settled(rows, catalog.reviews).drop("review_claim")
-    return limited(costed(gated(rows, catalog, now), catalog), *catalog.selections)
+    return limited(costed(gated(rows, catalog, now)), *catalog.selections)

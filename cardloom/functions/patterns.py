@@ -35,11 +35,15 @@ QUANT_LIBRARIES = ("mlx", "onnx", "openvino")
 TRAINER_TAGS = ("generated_from_trainer", "trl", "sft", "dpo", "grpo", "rlhf", "rl-swarm", "genrl-swarm", "unsloth")
 DERIVATIVE_TAGS = ("adapter-transformers", "peft", "lora", "qlora", "merge", "model-merge", "gguf", "gptq", "awq", "exl2", "quantized")
 COMPUTE_NEEDLES = (
-    "gpu hr", "gpu-hr", "gpu_hr", "gpu hour", "gpu-hour", "gpu_hour", "h100 hr", "h100-hr", "h100_hr", "h100 hour", "h100-hour", "training time",
-    "training duration", "training took", "train_runtime", "trained for", "pretrained for", "pre-trained for", "fine-tuned for", "finetuned for",
-    "fine-tuning took", "finetuning took", "hours used", "training cost", "pretraining cost", "pre-training cost", "cost of training", "cost to train",
+    "gpu hr", "gpu-hr", "gpu_hr", "gpu hour", "gpu-hour", "gpu_hour", "h100 hr", "h100-hr", "h100_hr", "h100 hour", "h100-hour",
+        "training time",
+    "training duration", "training took", "train_runtime", "trained for", "pretrained for", "pre-trained for", "fine-tuned for",
+        "finetuned for",
+    "fine-tuning took", "finetuning took", "hours used", "training cost", "pretraining cost", "pre-training cost", "cost of training",
+        "cost to train",
 )
-SCRATCH_NEEDLES = ("from scratch", "random initialization", "randomly initialized", "from the ground up", "с нуля", "pretrained on", "pre-trained on", "pretraining", "pre-training", "foundation model")
+SCRATCH_NEEDLES = ("from scratch", "random initialization", "randomly initialized", "from the ground up", "с нуля", "pretrained on",
+    "pre-trained on", "pretraining", "pre-training", "foundation model")
 
 KIND_OVERRIDES = {
     "aiqtech/LLaDA2.0-flash-preview": "finetune",
@@ -65,7 +69,8 @@ ADAPTER_TAGS = ("peft", "lora", "qlora")
 TEXT_PIPELINES = ("text-generation", "text2text-generation", "conversational", "fill-mask")
 IMAGE_PIPELINES = ("text-to-image", "image-to-image", "unconditional-image-generation")
 OTHER_PIPELINES = ("text-to-video", "image-to-video", "video-generation", "audio-to-audio", "text-to-speech")
-REVIEW_KINDS = {"independent_base": "base", "continued_pretraining": "finetune", "finetune": "finetune", "adapter": "adapter", "fork_or_mirror": "fork", "quantized": "quantized", "merge": "merge", "non_text": "non_text"}
+REVIEW_KINDS = {"independent_base": "base", "continued_pretraining": "finetune", "finetune": "finetune", "adapter": "adapter",
+    "fork_or_mirror": "fork", "quantized": "quantized", "merge": "merge", "non_text": "non_text"}
 
 _EDGE = r"(?-iu:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 

@@ -176,9 +176,11 @@ def scratch_claim(text: str, source: str, repo_id: str = "", told: tuple[str, st
     if not ground:
         return None
     kind, evidence = ground
-    tokens = C.KNOWN_TOKENS_T.get(repo_id.lower()) or trained_tokens(text, evidence) or (_most_tokens("TOKENS_ANY", evidence) if kind == "explicit_scratch" else 0.0)
+    tokens = C.KNOWN_TOKENS_T.get(repo_id.lower()) or trained_tokens(text, evidence) or (_most_tokens("TOKENS_ANY",
+        evidence) if kind == "explicit_scratch" else 0.0)
     trainer = _RE["TRAINER"].search(text)
-    return Claim(source, kind, evidence, sha256(collapse(text)), sha256(collapse(evidence)), trainer[1].strip() if trainer else "", training_years(text), active_parameters(text, repo_id), tokens)
+    return Claim(source, kind, evidence, sha256(collapse(text)), sha256(collapse(evidence)), trainer[1].strip() if trainer else "",
+        training_years(text), active_parameters(text, repo_id), tokens)
 
 
 # ---- compute and cost
@@ -264,7 +266,8 @@ def duration_hours(text: str) -> float:
 
 def stated_duration(own: Text) -> Signal | None:
     """The wall time of the run: on TPUs, else of fine-tuning, of training, of pre-training; the first of its rank."""
-    found: list[tuple[int, Signal]] = [(4, Signal(*m.span(), float(m[1]))) for m in _RE["TPU_RUNTIME"].finditer(own.text) if float(m[1]) > 0][:1]
+    found: list[tuple[int, Signal]] = [(4, Signal(*m.span(),
+        float(m[1]))) for m in _RE["TPU_RUNTIME"].finditer(own.text) if float(m[1]) > 0][:1]
     for pattern in ("DURATION_LABELLED", "TRAINED_FOR"):
         for m in _RE[pattern].finditer(own.text):
             if hours := duration_hours(m[1]):
@@ -367,7 +370,8 @@ def _number(value: float) -> str:
 def flat_lines(value, path: str = "cardData") -> list[str]:
     """"path: value" of every text and number, keys in order; widgets and model indexes are left out."""
     if isinstance(value, dict):
-        return [x for k in sorted(value) if k.lower() not in ("widget", "model-index", "model_index") for x in flat_lines(value[k], f"{path}.{k}")]
+        return [x for k in sorted(value) if k.lower() not in ("widget", "model-index", "model_index") for x in flat_lines(value[k],
+            f"{path}.{k}")]
     if isinstance(value, list):
         return [x for v in value for x in flat_lines(v, path)]
     if isinstance(value, str):
@@ -414,7 +418,8 @@ def compute_of_metadata(card: dict | None) -> Compute | None:
     if not card:
         return None
     text = "\n".join(flat_lines(card))
-    for keys, unit in (({"hours_used", "training_hours", "training_time_hours"}, "hours"), ({"train_runtime", "training_time_seconds", "training_seconds"}, "seconds")):
+    for keys, unit in (({"hours_used", "training_hours", "training_time_hours"}, "hours"), ({"train_runtime", "training_time_seconds",
+        "training_seconds"}, "seconds")):
         if n := positive_number(card, keys):
             text = f"training time: {_number(n) if n == int(n) else format(n, 'f').rstrip('0')} {unit}\n{text}"
             break
@@ -466,7 +471,8 @@ def extracted(rows: DataFrame, source: str, *keep: str) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "card"):
                 status, compute, claims = [], [], []
-                for text, model, hours, scratch in zip(*(part.column(c).to_pylist() for c in ("card", "modelId", "do_compute", "do_scratch")), strict=True):
+                for text, model, hours, scratch in zip(*(part.column(c).to_pylist() for c in ("card", "modelId", "do_compute",
+                    "do_scratch")), strict=True):
                     told = scratch_status(text)
                     status.append(told)
                     compute.append(reported_compute(text, source) if hours else None)
@@ -476,7 +482,8 @@ def extracted(rows: DataFrame, source: str, *keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *own], [*keep, "status", "reason", "compute", "claim"])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*dict.fromkeys([*keep, "modelId", "card", "do_compute", "do_scratch"])).mapInArrow(run, f"{schema}, status string, reason string, compute {COMPUTE}, claim {CLAIM}")
+    return rows.select(*dict.fromkeys([*keep, "modelId", "card", "do_compute", "do_scratch"])).mapInArrow(run,
+        f"{schema}, status string, reason string, compute {COMPUTE}, claim {CLAIM}")
 
 
 def status_of(rows: DataFrame) -> DataFrame:
@@ -484,15 +491,18 @@ def status_of(rows: DataFrame) -> DataFrame:
     without a claim are decided in the JVM."""
     ship(rows.sparkSession)
     claims = matches(F.col("card"), C.SCRATCH_CLAIM)
-    none = rows.where(~claims).select("repo_id", F.lit("candidate").alias("status"), F.lit("no_explicit_scratch_claim").alias("reason"), F.lit("").alias("evidence"))
+    none = rows.where(~claims).select("repo_id", F.lit("candidate").alias("status"), F.lit("no_explicit_scratch_claim").alias("reason"),
+        F.lit("").alias("evidence"))
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "card"):
                 found = [scratch_status(t) for t in part.column("card").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("repo_id"), *[pa.array([f[i] for f in found], pa.string()) for i in range(3)]], ["repo_id", "status", "reason", "evidence"])
+                yield pa.RecordBatch.from_arrays([part.column("repo_id"), *[pa.array([f[i] for f in found],
+                    pa.string()) for i in range(3)]], ["repo_id", "status", "reason", "evidence"])
 
-    return none.union(rows.where(claims).select("repo_id", "card").mapInArrow(run, "repo_id string, status string, reason string, evidence string"))
+    return none.union(rows.where(claims).select("repo_id", "card").mapInArrow(run,
+        "repo_id string, status string, reason string, evidence string"))
 
 
 def signals(cards: DataFrame, source: str = "model-card bulk snapshot") -> DataFrame:
@@ -508,11 +518,14 @@ def with_earliest(found: DataFrame) -> DataFrame:
     found = written(found.withColumn("_row", F.monotonically_increasing_id()), "signals")
     key = lambda which, name, value: F.struct(F.lit(which).alias("which"), F.concat(F.lit(f"{name}:"), value).alias("key"))
     of_compute = F.array(key("compute", "evidence", F.col("compute.evidence_hash")), key("compute", "run", F.col("compute.run_hash")))
-    of_claim = F.array(key("claim", "card", F.col("claim.card_hash")), key("claim", "run", F.col("claim.run_hash")), key("claim", "family", X.family(F.col("modelId"))))
-    keys = F.concat(*[F.when(F.col(c).isNotNull(), a).otherwise(F.filter(a, lambda x: F.lit(False))) for c, a in (("compute", of_compute), ("claim", of_claim))])
+    of_claim = F.array(key("claim", "card", F.col("claim.card_hash")), key("claim", "run", F.col("claim.run_hash")), key("claim",
+        "family", X.family(F.col("modelId"))))
+    keys = F.concat(*[F.when(F.col(c).isNotNull(), a).otherwise(F.filter(a, lambda x: F.lit(False))) for c, a in (("compute", of_compute),
+        ("claim", of_claim))])
     each = found.select("_row", "createdAt", F.inline(keys)).where("key IS NOT NULL")
     first = each.where("createdAt <> ''").groupBy("which", "key").agg(F.min("createdAt").alias("first"))
     least = lambda which: F.min(F.when(F.col("which") == which, F.col("first"))).alias(f"_{which}")
     of = each.join(first, ["which", "key"]).groupBy("_row").agg(least("compute"), least("claim"))
     out = found.join(of, "_row", "left")
-    return out.withColumns({c: F.when(F.col(c).isNotNull(), F.col(c).withField("earliest", F.col(f"_{c}"))) for c in ("compute", "claim")}).drop("_row", "_compute", "_claim")
+    return out.withColumns({c: F.when(F.col(c).isNotNull(), F.col(c).withField("earliest", F.col(f"_{c}"))) for c in ("compute",
+        "claim")}).drop("_row", "_compute", "_claim")

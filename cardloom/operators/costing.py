@@ -86,4 +86,5 @@ def estimate(flops: Column, method: Column | str, p: Profile) -> Column:
     """One priced estimate as a struct."""
     hours = gpu_hours(flops, p)
     method = F.lit(method) if isinstance(method, str) else method
-    return F.struct(F.lit(p.name).alias("profile"), hours.alias("gpu_hours"), wall_days(hours, p).alias("wall_days"), cost(hours, p).alias("cost_usd"), method.alias("method"))
+    return F.struct(F.lit(p.name).alias("profile"), hours.alias("gpu_hours"), wall_days(hours, p).alias("wall_days"), cost(hours,
+        p).alias("cost_usd"), method.alias("method"))

@@ -38,10 +38,12 @@ def _settings(catalog: Catalog, now: datetime | None) -> Column:
     def of(s: Selection) -> Column:
         start, low, high = _window(s, now)
         priced = [of_profile(profiles[n]) for n in s.compute_profiles]
-        flags = ("needs_scratch", "require_reported_compute", "require_reported_derivative_compute", "require_explicit_scratch_for_base", "count_reported_derivative_costs")
+        flags = ("needs_scratch", "require_reported_compute", "require_reported_derivative_compute", "require_explicit_scratch_for_base",
+            "count_reported_derivative_costs")
         nothing = F.filter(F.array(of_profile(Profile())), lambda p: F.lit(False))
         return F.struct(
-            F.lit(start).cast("timestamp").alias("start"), F.lit(low).alias("low"), F.lit(high).alias("high"), *[F.lit(getattr(s, n)).alias(n) for n in flags], (F.array(*priced) if priced else nothing).alias("profiles"), F.lit(s.scope).alias("scope")
+            F.lit(start).cast("timestamp").alias("start"), F.lit(low).alias("low"), F.lit(high).alias("high"), *[F.lit(getattr(s,
+                n)).alias(n) for n in flags], (F.array(*priced) if priced else nothing).alias("profiles"), F.lit(s.scope).alias("scope")
         )
 
     return F.create_map(*[x for s in catalog.selections for x in (F.lit(s.name), of(s))])[F.col("selection")]
@@ -52,7 +54,8 @@ def effective_parameters(rows: DataFrame, base_params: DataFrame) -> DataFrame:
     of_base = base_params.select(F.col("base_id").alias("_base"), F.col("base_params").alias("_found"))
     adapter = F.col("kind") == "adapter"
     joined = rows.withColumnRenamed("params", "own_params").join(of_base, (F.col("base_model") == F.col("_base")) & adapter, "left")
-    error = F.when(F.coalesce("base_model", F.lit("")) == "", "adapter has no declared base model").when(F.coalesce("_found", F.lit(0)) <= 0, "base model parameter count was not resolved")
+    error = F.when(F.coalesce("base_model", F.lit("")) == "", "adapter has no declared base model").when(F.coalesce("_found",
+        F.lit(0)) <= 0, "base model parameter count was not resolved")
     params = F.when(adapter, F.greatest(F.coalesce("_found", F.lit(0)), F.lit(0))).otherwise(F.coalesce("own_params", F.lit(0)))
     return joined.withColumns({"params": params.cast("long"), "parameter_error": F.when(adapter, error)}).drop("_base", "_found")
 
@@ -103,7 +106,8 @@ def gated(rows: DataFrame, catalog: Catalog, now: datetime | None = None) -> Dat
     selection's settings (_s)."""
     out_of_scope = {"text_llm": "diffusion", "diffusion": "text_llm"}.get(catalog.review_scope) if catalog.reviews else None
     s = F.col("_s")
-    rows = rows.withColumn("_s", _settings(catalog, now)).where((s["scope"] != F.lit(out_of_scope or "")) & ~((s["scope"] == "text_llm") & F.col("is_picture")))
+    rows = rows.withColumn("_s", _settings(catalog,
+        now)).where((s["scope"] != F.lit(out_of_scope or "")) & ~((s["scope"] == "text_llm") & F.col("is_picture")))
     timely = lambda c: _timely(F.col(f"{c}.training_years"), F.col(f"{c}.earliest"), s["start"], s["low"], s["high"])
     usable = owner_matches(F.col("claim.claimed_trainer"), F.col("owner")) & timely("claim")
     rows = rows.withColumn("claim", F.when(usable, F.col("claim"))).withColumnRenamed("kind", "prelim_kind")
@@ -139,9 +143,11 @@ def costed(rows: DataFrame) -> DataFrame:
         drawn, told_by = K.pictures(params, active, p)
         pictures = profile["prices_pictures"] & F.col("is_picture")
         total = K.literal_flops(params, F.lit("base"), p)
-        best = K.estimate(F.when(pictures, drawn).when(needs, flops).otherwise(total), F.when(pictures, told_by).when(needs, method).otherwise(K.LITERAL), p)
+        best = K.estimate(F.when(pictures, drawn).when(needs, flops).otherwise(total), F.when(pictures, told_by).when(needs,
+            method).otherwise(K.LITERAL), p)
         differs = (best["method"] != K.LITERAL) | (F.abs(best["cost_usd"] - literal["cost_usd"]) > 0.005)
-        return F.array(F.struct(literal.alias("e"), (_finite(best) & differs).alias("kept"), F.lit(False).alias("counts")), F.struct(best.alias("e"), _finite(best).alias("kept"), F.lit(True).alias("counts")))
+        return F.array(F.struct(literal.alias("e"), (_finite(best) & differs).alias("kept"), F.lit(False).alias("counts")),
+            F.struct(best.alias("e"), _finite(best).alias("kept"), F.lit(True).alias("counts")))
 
     derivative = F.col("kind").isin("finetune", "adapter") & reported.isNotNull() & F.col("_s.count_reported_derivative_costs")
     priced = base & (F.size("_s.profiles") > 0) & (params > 0) & ~by_name & (claim.isNotNull() | ~needs)
@@ -151,23 +157,28 @@ def costed(rows: DataFrame) -> DataFrame:
     medium = F.coalesce(claim["evidence_type"] == "local_llm_medium", F.lit(False)) & ~F.col("deterministic")
     high = F.coalesce(claim["evidence_type"] == "local_llm_high", F.lit(False)) & ~F.col("deterministic")
     price = first["cost_usd"]
-    told = F.struct(F.lit("reported_training_time").alias("profile"), reported["gpu_hours"].alias("gpu_hours"), (reported["hours"] / 24).alias("wall_days"), reported["cost_usd"].alias("cost_usd"), reported["cost_method"].alias("method"))
+    told = F.struct(F.lit("reported_training_time").alias("profile"), reported["gpu_hours"].alias("gpu_hours"),
+        (reported["hours"] / 24).alias("wall_days"), reported["cost_usd"].alias("cost_usd"), reported["cost_method"].alias("method"))
     rows = rows.withColumns({
-        "compute": F.when(derivative, F.array(told)).otherwise(F.coalesce(F.transform(F.filter("_all", lambda x: x["kept"]), lambda x: x["e"]), nothing)),
+        "compute": F.when(derivative, F.array(told)).otherwise(F.coalesce(F.transform(F.filter("_all", lambda x: x["kept"]),
+            lambda x: x["e"]), nothing)),
         "upper": F.when(derivative, reported["cost_usd"]).otherwise(price),
         "cost": F.when(derivative, reported["cost_usd"]).when(~medium, price),
         "lower": F.when(derivative, reported["cost_usd"]).when(~medium & ~high, price),
         "method": F.when(derivative, reported["cost_method"]).otherwise(first["method"]),
-        "tier": F.when(derivative, "reported").when(price.isNotNull(), F.when(medium, "llm_medium_upper_only").when(high, "llm_high").otherwise("deterministic")),
+        "tier": F.when(derivative, "reported").when(price.isNotNull(), F.when(medium, "llm_medium_upper_only").when(high,
+            "llm_high").otherwise("deterministic")),
         "errors": F.array_compact(F.concat(
             F.array(F.col("parameter_error"), F.when(base & by_name & (claim.isNotNull() | ~needs), F.lit(NOT_PROVEN))),
-            F.coalesce(F.transform(F.filter(own, lambda x: ~x["kept"]), lambda x: F.concat(F.lit("compute estimate overflow for profile "), x["e"]["profile"])), F.array().cast("array<string>")),
+            F.coalesce(F.transform(F.filter(own, lambda x: ~x["kept"]),
+                lambda x: F.concat(F.lit("compute estimate overflow for profile "), x["e"]["profile"])), F.array().cast("array<string>")),
         )),
     }).drop("_all", "_s")
     return rows
 
 
-def build(models: DataFrame, signals: DataFrame, reviews: DataFrame, base_params: DataFrame, catalog: Catalog, now: datetime | None = None) -> DataFrame:
+def build(models: DataFrame, signals: DataFrame, reviews: DataFrame, base_params: DataFrame, catalog: Catalog,
+    now: datetime | None = None) -> DataFrame:
     """Records of all selections, before de-duplication, as of `now` (the catalog's clock unless given). models are retained hub
     models with kind and owner; signals bear modelId, compute and claim; reviews bear repo_id and review."""
     now = now or catalog.clock()

@@ -27,12 +27,14 @@ ENTRY = f"key string, review {R.REVIEW}, stored_at timestamp"
 def keyed(questions: DataFrame, scope: str = "text_llm", version: str = PROMPT_VERSION) -> DataFrame:
     """Adds card_hash and key (null for a blank card). Questions bear repo_id, card, pipeline_tag, library_name, tags, relation,
     base_models and params."""
-    text = F.trim(F.regexp_replace(F.coalesce("card", F.lit("")), r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " "))
+    text = F.trim(F.regexp_replace(F.coalesce("card", F.lit("")),
+        r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+", " "))
     of = lambda c: F.coalesce(F.col(c), F.lit(""))
     joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
     rows = questions.withColumn("card_hash", F.when(text != "", F.sha2(text, 256)))
     parts = [
-        F.lit(version), F.lit(scope), F.col("card_hash"), of("pipeline_tag"), of("library_name"), joined(F.sort_array(F.coalesce("tags", F.array().cast("array<string>")))), of("relation"), joined("base_models"),
+        F.lit(version), F.lit(scope), F.col("card_hash"), of("pipeline_tag"), of("library_name"), joined(F.sort_array(F.coalesce("tags",
+            F.array().cast("array<string>")))), of("relation"), joined("base_models"),
         F.coalesce("params", F.lit(0)).cast("string"),
     ]
     separated = [x for p in parts for x in (F.unhex(F.lit("00")), p.cast("binary"))][1:]
@@ -51,7 +53,8 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def append(answers: DataFrame, path: str) -> None:
     """Store key and review; the commit makes all rows appear at once."""
-    answers.where("review IS NOT NULL AND key <> ''").select("key", "review", F.current_timestamp().alias("stored_at")).write.mode("append").parquet(path)
+    answers.where("review IS NOT NULL AND key <> ''").select("key", "review",
+        F.current_timestamp().alias("stored_at")).write.mode("append").parquet(path)
 
 
 def compacted(spark: SparkSession, path: str, to: str) -> None:
@@ -63,7 +66,8 @@ def planned(questions: DataFrame, cache: DataFrame) -> DataFrame:
     """Adds how each question is met: blank, cached, asked (the one that is put for its key) or shared."""
     rows = questions.join(cache.select("key", F.lit(True).alias("_known")), "key", "left")
     first = rows.where("key IS NOT NULL AND _known IS NULL").groupBy("key").agg(F.min("repo_id").alias("_first"))
-    how = F.when(F.col("key").isNull(), "blank").when(F.col("_known"), "cached").when(F.col("repo_id") == F.col("_first"), "asked").otherwise("shared")
+    how = F.when(F.col("key").isNull(), "blank").when(F.col("_known"), "cached").when(F.col("repo_id") == F.col("_first"),
+        "asked").otherwise("shared")
     return rows.join(first, "key", "left").withColumn("how", how).drop("_known", "_first")
 
 
@@ -75,4 +79,5 @@ def answered(questions: DataFrame, path: str, ask: Callable[[DataFrame], DataFra
     append(new, path)
     known = load(spark, path).join(rows.select("key").distinct(), "key", "left_semi")
     found = rows.join(known, "key", "left")
-    return found.select("repo_id", F.when(F.col("how") == "blank", R.without_card("model card is empty")).otherwise(F.col("review")).alias("review"))
+    return found.select("repo_id", F.when(F.col("how") == "blank",
+        R.without_card("model card is empty")).otherwise(F.col("review")).alias("review"))

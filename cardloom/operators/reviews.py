@@ -46,7 +46,8 @@ def valid(answer: dict, card: str) -> dict | None:
     if not isinstance(answer, dict) or any(not isinstance(answer.get(k) or "", str) for k in _TEXTS):
         return None
     out = {k: (answer.get(k) or "").strip() for k in _TEXTS}
-    out |= {"kind": out["kind"].lower(), "confidence": out["confidence"].lower(), "canonical_training_run": canonical_run(out["canonical_training_run"])}
+    out |= {"kind": out["kind"].lower(), "confidence": out["confidence"].lower(),
+        "canonical_training_run": canonical_run(out["canonical_training_run"])}
     out["reason"] = answer.get("reason") or ""
     if out["kind"] not in KINDS or out["confidence"] not in CONFIDENCES:
         return None
@@ -85,7 +86,8 @@ def parsed(answers: DataFrame) -> DataFrame:
         for batch in batches:
             pairs = zip(batch.column("answer").to_pylist(), batch.column("card").to_pylist(), strict=True)
             got = [found(a or "", c or "") for a, c in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column("repo_id"), pa.array([g and {n: g[n] for n, *_ in _fields()} for g in got], pa.struct(_fields()))], ["repo_id", "review"])
+            yield pa.RecordBatch.from_arrays([batch.column("repo_id"), pa.array([g and {n: g[n] for n, *_ in _fields()} for g in got],
+                pa.struct(_fields()))], ["repo_id", "review"])
 
     return answers.select("repo_id", "card", "answer").mapInArrow(run, f"repo_id string, review {REVIEW}")
 
@@ -98,7 +100,8 @@ def _fields() -> list[tuple[str, pa.DataType]]:
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """key and review of a cache of JSON lines; the last line of a key wins, by file, block and line, however the files are split:
     lines of one block are numbered in one task."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     entry = F.from_json("value", f"key string, review {REVIEW}")
     rows = lines.withColumn("entry", entry).where(F.coalesce(F.col("entry.key"), F.lit("")) != "")
     return rows.groupBy(F.col("entry.key").alias("key")).agg(F.max_by("entry.review", F.struct("file", "block", "at")).alias("review"))
@@ -125,7 +128,8 @@ def reviewed_kind(review: Column) -> Column:
 
 
 def _independent(review: Column) -> Column:
-    return F.coalesce((review["kind"] == "independent_base") & review["independently_pretrained"] & review["confidence"].isin("high", "medium"), F.lit(False))
+    return F.coalesce((review["kind"] == "independent_base") & review["independently_pretrained"] & review["confidence"].isin("high",
+        "medium"), F.lit(False))
 
 
 def claims_of_reviews(rows: DataFrame) -> DataFrame:
@@ -141,8 +145,10 @@ def claims_of_reviews(rows: DataFrame) -> DataFrame:
                 evidence = collapse(r["evidence"] or "")
                 run_of = r["canonical_training_run"] or evidence
                 out.append({
-                    "source": "review", "evidence_type": f"local_llm_{r['confidence']}", "evidence": evidence, "card_hash": "", "run_hash": sha256(run_of), "claimed_trainer": "",
-                    "training_years": r["training_years"] or [], "active_parameters_b": active_parameters(evidence), "training_tokens_t": trained_tokens(evidence),
+                    "source": "review", "evidence_type": f"local_llm_{r['confidence']}", "evidence": evidence, "card_hash": "",
+                        "run_hash": sha256(run_of), "claimed_trainer": "",
+                    "training_years": r["training_years"] or [], "active_parameters_b": active_parameters(evidence),
+                        "training_tokens_t": trained_tokens(evidence),
                 })
             yield pa.RecordBatch.from_arrays([batch.column("repo_id"), pa.array(out, _arrow(CLAIM))], ["repo_id", "review_claim"])
 
@@ -156,7 +162,8 @@ def settled(rows: DataFrame, enabled: bool) -> DataFrame:
     claim, review, other = F.col("claim"), F.col("review"), F.col("review_claim")
     weak = F.lit(enabled) & F.coalesce(claim["evidence_type"] == "declared_base_model", F.lit(False))
     years = F.when(F.size(claim["training_years"]) > 0, claim["training_years"]).otherwise(other["training_years"])
-    kept = F.when(other.isNotNull(), other.withField("active_parameters_b", claim["active_parameters_b"]).withField("training_tokens_t", claim["training_tokens_t"]).withField("training_years", years))
+    kept = F.when(other.isNotNull(), other.withField("active_parameters_b", claim["active_parameters_b"]).withField("training_tokens_t",
+        claim["training_tokens_t"]).withField("training_years", years))
     own = F.when(weak, kept).otherwise(claim)
     ended = F.coalesce(reviewed_kind(review) != "base", F.lit(False))
     return rows.withColumns({"claim": F.when(~ended, F.coalesce(own, other)), "deterministic": claim.isNotNull() & ~weak})

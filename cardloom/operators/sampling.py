@@ -37,17 +37,20 @@ def manifest(candidates: DataFrame, s: Sampling) -> DataFrame:
     When more missing cards are wanted than max_targeted_readmes, the missing rows outside the census are cut to what is left,
     in hashed order; their strata's weights grow.
     """
-    rows = stratified(candidates, s).withColumn("_h", sampling_hash(s.seed)).withColumn("_part", F.pmod(F.xxhash64("repo_id"), F.lit(SPREAD)))
+    rows = stratified(candidates, s).withColumn("_h", sampling_hash(s.seed)).withColumn("_part", F.pmod(F.xxhash64("repo_id"),
+        F.lit(SPREAD)))
     part = Window.partitionBy("stratum", "_part")
     rows = rows.withColumns({"_r": F.row_number().over(part.orderBy("_h", "repo_id")), "_c": F.count(F.lit(1)).over(part)})
     rows = rows.where(F.col("census") | (F.col("_r") <= s.sample_per_stratum))
     whole = Window.partitionBy("stratum")
-    rows = rows.withColumns({"population": F.sum(F.when(F.col("_r") == 1, F.col("_c"))).over(whole), "_r": F.row_number().over(whole.orderBy("_h", "repo_id"))})
+    rows = rows.withColumns({"population": F.sum(F.when(F.col("_r") == 1, F.col("_c"))).over(whole),
+        "_r": F.row_number().over(whole.orderBy("_h", "repo_id"))})
     rows = rows.where(F.col("census") | (F.col("_r") <= s.sample_per_stratum)).drop("_h", "_part", "_r", "_c")
     rows = _within_capacity(rows, s)
     n = F.count(F.lit(1)).over(whole)
     weight = F.when(F.col("census"), 1.0).otherwise(F.col("population") / F.col("sample"))
-    return rows.withColumn("sample", n).withColumn("weight", weight).withColumns({"inclusion": 1 / F.col("weight"), "card_source": F.when(F.col("covered"), "parquet").otherwise("targeted_readme")})
+    return rows.withColumn("sample", n).withColumn("weight", weight).withColumns({"inclusion": 1 / F.col("weight"),
+        "card_source": F.when(F.col("covered"), "parquet").otherwise("targeted_readme")})
 
 
 def _within_capacity(rows: DataFrame, s: Sampling) -> DataFrame:
@@ -66,7 +69,8 @@ def plan(candidates: DataFrame, chosen: DataFrame, s: Sampling) -> DataFrame:
     """Counters by selection: candidates, covered, manifest, census and cards to fetch."""
     count = lambda c: F.count(F.when(c, 1))
     of = candidates.groupBy("selection").agg(F.count(F.lit(1)).alias("candidates"), count(F.col("covered")).alias("covered"))
-    own = chosen.groupBy("selection").agg(F.count(F.lit(1)).alias("manifest"), count(F.col("census")).alias("census"), count(~F.col("covered")).alias("targeted"))
+    own = chosen.groupBy("selection").agg(F.count(F.lit(1)).alias("manifest"), count(F.col("census")).alias("census"),
+        count(~F.col("covered")).alias("targeted"))
     return of.join(own, "selection", "left").na.fill(0, ["manifest", "census", "targeted"])
 
 
@@ -79,13 +83,16 @@ def results(rows: DataFrame, catalog: Catalog) -> DataFrame:
     profiles = {p.name: p for p in catalog.compute_profiles}
     told = F.col("review.parameter_count_b")
     from_review = (F.coalesce("params", F.lit(0)) <= 0) & F.coalesce(told > 0, F.lit(False))
-    rows = rows.withColumns({"params": F.when(from_review, F.floor(told * 1e9)).otherwise(F.coalesce("params", F.lit(0))).cast("long"), "parameter_source": F.when(F.coalesce("params", F.lit(0)) > 0, "hub_safetensors").when(from_review, "local_llm_verbatim_model_card").otherwise("unknown")})
+    rows = rows.withColumns({"params": F.when(from_review, F.floor(told * 1e9)).otherwise(F.coalesce("params", F.lit(0))).cast("long"),
+        "parameter_source": F.when(F.coalesce("params", F.lit(0)) > 0, "hub_safetensors").when(from_review,
+        "local_llm_verbatim_model_card").otherwise("unknown")})
     rows = rows.withColumn("bucket", size_bucket("params"))
     claim, review = F.col("claim"), F.col("review")
     here = F.col("card_available")
     lower = here & F.col("deterministic") & F.coalesce(claim["evidence_type"] != "declared_base_model", F.lit(False))
     own = F.coalesce((review["kind"] == "independent_base") & review["independently_pretrained"], F.lit(False)) & claim.isNotNull() & here
-    rows = rows.withColumns({"lower": lower, "central": lower | own & (review["confidence"] == "high"), "upper": lower | own & review["confidence"].isin("high", "medium")})
+    rows = rows.withColumns({"lower": lower, "central": lower | own & (review["confidence"] == "high"),
+        "upper": lower | own & review["confidence"].isin("high", "medium")})
     cost = F.lit(None).cast("double")
     for s in catalog.selections:
         if s.compute_profiles:
@@ -93,8 +100,10 @@ def results(rows: DataFrame, catalog: Catalog) -> DataFrame:
             formula = K.pictures if s.target_diffusion_only else lambda n, a, t, p: K.evidence(n, a, t, p)
             args = (F.col("params"), claim["active_parameters_b"]) + (() if s.target_diffusion_only else (claim["training_tokens_t"],))
             cost = F.when(F.col("selection") == s.name, K.cost(K.gpu_hours(formula(*args, p)[0], p), p)).otherwise(cost)
-    error = F.when(~here, "model card unavailable after targeted fetch").when((F.col("params") <= 0) & F.col("upper"), "independent base candidate has no parameter count; excluded from cost estimate")
-    return rows.withColumns({"raw_cost": F.when(here & (F.col("params") > 0), cost), "error": error, "duplicate_of": F.lit(None).cast("string")})
+    error = F.when(~here, "model card unavailable after targeted fetch").when((F.col("params") <= 0) & F.col("upper"),
+        "independent base candidate has no parameter count; excluded from cost estimate")
+    return rows.withColumns({"raw_cost": F.when(here & (F.col("params") > 0), cost), "error": error,
+        "duplicate_of": F.lit(None).cast("string")})
 
 
 def without_duplicates(found: DataFrame) -> DataFrame:
@@ -103,8 +112,10 @@ def without_duplicates(found: DataFrame) -> DataFrame:
     ok = F.col("upper") & (F.coalesce(F.col("review.canonical_training_run"), F.lit("")) != "") & (F.col("params") > 0)
     keyed = found.withColumn("_run", F.when(F.coalesce(ok, F.lit(False)), run))
     rank = F.struct((~F.col("census")).alias("c"), "weight", "repo_id")
-    groups = keyed.where("_run IS NOT NULL").groupBy(F.col("selection").alias("_s"), F.col("_run").alias("_r"), F.col("params").alias("_p")).agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    out = keyed.join(groups, (F.col("selection") == F.col("_s")) & (F.col("_run") == F.col("_r")) & (F.col("params") == F.col("_p")), "left")
+    groups = keyed.where("_run IS NOT NULL").groupBy(F.col("selection").alias("_s"), F.col("_run").alias("_r"),
+        F.col("params").alias("_p")).agg(F.min(rank).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    out = keyed.join(groups, (F.col("selection") == F.col("_s")) & (F.col("_run") == F.col("_r")) & (F.col("params") == F.col("_p")),
+        "left")
     lost = F.coalesce(F.col("_first.repo_id") != F.col("repo_id"), F.lit(False))
     changes = {c: F.col(c) & ~lost for c in ("lower", "central", "upper")}
     return out.withColumns(changes | {"duplicate_of": F.when(lost, F.col("_first.repo_id"))}).select(*found.columns)
@@ -117,7 +128,8 @@ def _weighted(flag: str, value: Column) -> Column:
 def strata(found: DataFrame, *by: str) -> DataFrame:
     """Horvitz-Thompson totals by stratum (or other columns)."""
     raw = F.coalesce("raw_cost", F.lit(0.0))
-    out = [F.count(F.lit(1)).alias("sample"), F.count(F.when(F.col("card_available"), 1)).alias("cards_available"), F.count(F.when(F.col("params") <= 0, 1)).alias("unknown_parameters")]
+    out = [F.count(F.lit(1)).alias("sample"), F.count(F.when(F.col("card_available"), 1)).alias("cards_available"),
+        F.count(F.when(F.col("params") <= 0, 1)).alias("unknown_parameters")]
     for flag in ("lower", "central", "upper"):
         out += [_weighted(flag, F.lit(1.0)).alias(f"{flag}_weighted"), _weighted(flag, raw).alias(f"{flag}_cost")]
     return found.groupBy(*(by or ("selection", "stratum"))).agg(*out)
@@ -126,11 +138,14 @@ def strata(found: DataFrame, *by: str) -> DataFrame:
 def market(found: DataFrame, baseline: DataFrame) -> DataFrame:
     """By selection: lower is the confirmed baseline, central and upper the estimated bases plus reported derivatives, and none
     is under the one before. baseline bears selection, confirmed and derivatives; a missing one counts as 0."""
-    rows = strata(found, "selection").join(baseline.select("selection", "confirmed", "derivatives"), "selection", "left").na.fill(0.0, ["confirmed", "derivatives"])
+    rows = strata(found, "selection").join(baseline.select("selection", "confirmed", "derivatives"), "selection", "left").na.fill(0.0,
+        ["confirmed", "derivatives"])
     central = F.greatest(F.col("central_cost") + F.col("derivatives"), F.col("confirmed"))
-    return rows.withColumns({"market_lower": F.col("confirmed"), "market_central": central, "market_upper": F.greatest(F.col("upper_cost") + F.col("derivatives"), central)})
+    return rows.withColumns({"market_lower": F.col("confirmed"), "market_central": central,
+        "market_upper": F.greatest(F.col("upper_cost") + F.col("derivatives"), central)})
 
 
 def weighted_totals(rows: DataFrame, *by: str) -> DataFrame:
     """Horvitz-Thompson totals of cost."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col("weight")), 6).alias("estimated_rows"), F.round(F.sum(F.col("cost") * F.col("weight")), 2).alias("estimated_cost"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col("weight")), 6).alias("estimated_rows"),
+        F.round(F.sum(F.col("cost") * F.col("weight")), 2).alias("estimated_cost"))

@@ -87,13 +87,16 @@ class Selection:
             bad("cannot enable both target_llm_only and target_diffusion_only")
         if self.sort_by not in SORTS or self.sort_direction not in ("asc", "desc"):
             bad("unsupported sort_by or sort_direction")
-        numbers = (self.lookback_days, self.limit, self.min_downloads, self.max_downloads, self.min_likes, self.max_likes, self.min_parameters_b or 0, self.max_parameters_b or 0)
+        numbers = (self.lookback_days, self.limit, self.min_downloads, self.max_downloads, self.min_likes, self.max_likes,
+            self.min_parameters_b or 0, self.max_parameters_b or 0)
         if min(numbers) < 0:
             bad("bounds cannot be negative")
-        for least, most in ((self.min_downloads, self.max_downloads), (self.min_likes, self.max_likes), (self.min_parameters_b, self.max_parameters_b)):
+        for least, most in ((self.min_downloads, self.max_downloads), (self.min_likes, self.max_likes), (self.min_parameters_b,
+            self.max_parameters_b)):
             if most and (least or 0) > most or most == 0 and least and isinstance(most, float):
                 bad("a least bound exceeds the largest")
-        for own, known, what in ((self.model_kinds, KINDS, "model kind"), (self.owner_types, OWNER_TYPES, "owner type"), (self.compute_profiles, profiles, "compute profile")):
+        for own, known, what in ((self.model_kinds, KINDS, "model kind"), (self.owner_types, OWNER_TYPES, "owner type"),
+            (self.compute_profiles, profiles, "compute profile")):
             if unknown := set(own) - set(known):
                 bad(f"unsupported {what} {sorted(unknown)}")
         start, end = self.window()

@@ -18,7 +18,8 @@ MAPS = {
     "owner_types": ("owner_type", "true", False), "model_kinds": ("kind", "true", False),
     "costed_models_by_kind": ("kind", "cost IS NOT NULL", False), "training_cost_by_kind": ("kind", "cost IS NOT NULL", True),
     "costed_models_by_method": ("method", "cost IS NOT NULL", False), "training_cost_by_method": ("method", "cost IS NOT NULL", True),
-    "base_models_by_size": ("bucket", "kind = 'base'", False), "costed_base_by_size": ("bucket", "kind = 'base' AND cost IS NOT NULL", False), "base_cost_by_size": ("bucket", "kind = 'base' AND cost IS NOT NULL", True),
+    "base_models_by_size": ("bucket", "kind = 'base'", False), "costed_base_by_size": ("bucket", "kind = 'base' AND cost IS NOT NULL",
+        False), "base_cost_by_size": ("bucket", "kind = 'base' AND cost IS NOT NULL", True),
 }
 
 
@@ -40,7 +41,8 @@ def sensitivity(scope: Column) -> tuple[Column, Column]:
 def keyed(records: DataFrame) -> DataFrame:
     """One row for each selection, map and key with its count and sum, from one pass: each record gives its entries."""
     rows = records.withColumn("bucket", size_bucket("params"))
-    entries = F.array_compact(F.array(*[F.when(F.expr(when), F.struct(F.lit(name).alias("name"), F.coalesce(F.col(key), F.lit("")).alias("key"), F.lit(summed).alias("summed"))) for name, (key, when, summed) in MAPS.items()]))
+    entries = F.array_compact(F.array(*[F.when(F.expr(when), F.struct(F.lit(name).alias("name"), F.coalesce(F.col(key),
+        F.lit("")).alias("key"), F.lit(summed).alias("summed"))) for name, (key, when, summed) in MAPS.items()]))
     each = rows.select("selection", "cost", F.explode(entries).alias("e")).select("selection", "e.name", "e.key", "e.summed", "cost")
     return each.groupBy("selection", "name", "key", "summed").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("usd"))
 
@@ -54,16 +56,28 @@ def selections(records: DataFrame, catalog: Catalog) -> DataFrame:
     hybrid, literal = sensitivity(scope)
     count = lambda c: F.count(F.when(c, 1))
     totals = records.groupBy("selection").agg(
-        F.count(F.lit(1)).alias("models"), F.count_distinct(F.coalesce("owner", F.lit(""))).alias("unique_owners"), F.sum("downloads").alias("total_downloads"), F.sum("likes").alias("total_likes"), count(F.col("params") > 0).alias("known_parameters"),
-        count(F.col("lower").isNotNull()).alias("lower_costed_models"), F.sum("lower").alias("lower_training_cost_usd"), count(F.col("cost").isNotNull()).alias("known_training_costs"), F.sum("cost").alias("total_training_cost_usd"),
-        count(F.col("upper").isNotNull()).alias("upper_costed_models"), F.sum("upper").alias("upper_training_cost_usd"), F.sum(hybrid).alias("formula20_hybrid_usd"), F.sum(literal).alias("formula20_literal_usd"),
-        count(F.col("review").isNotNull()).alias("reviewed"), *[count(F.col("review.confidence") == c).alias(f"reviewed_{c}") for c in ("high", "medium")], count(F.col("review").isNotNull() & ~F.coalesce(F.col("review.confidence").isin("high", "medium"), F.lit(False))).alias("reviewed_low"),
+        F.count(F.lit(1)).alias("models"), F.count_distinct(F.coalesce("owner", F.lit(""))).alias("unique_owners"),
+            F.sum("downloads").alias("total_downloads"), F.sum("likes").alias("total_likes"),
+            count(F.col("params") > 0).alias("known_parameters"),
+        count(F.col("lower").isNotNull()).alias("lower_costed_models"), F.sum("lower").alias("lower_training_cost_usd"),
+            count(F.col("cost").isNotNull()).alias("known_training_costs"), F.sum("cost").alias("total_training_cost_usd"),
+        count(F.col("upper").isNotNull()).alias("upper_costed_models"), F.sum("upper").alias("upper_training_cost_usd"),
+            F.sum(hybrid).alias("formula20_hybrid_usd"), F.sum(literal).alias("formula20_literal_usd"),
+        count(F.col("review").isNotNull()).alias("reviewed"),
+            *[count(F.col("review.confidence") == c).alias(f"reviewed_{c}") for c in ("high", "medium")],
+            count(F.col("review").isNotNull() & ~F.coalesce(F.col("review.confidence").isin("high", "medium"),
+            F.lit(False))).alias("reviewed_low"),
     )
-    entries = keyed(records).where(~F.col("summed")).groupBy("selection", "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("m"))
-    sums = keyed(records).where("summed").groupBy("selection", "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "usd")))).alias("m"))
-    pick = lambda df, names: df.groupBy("selection").agg(*[F.first(F.when(F.col("name") == n, F.col("m")), ignorenulls=True).alias(n) for n in names])
-    out = spark.createDataFrame([(s.name, s.description, s.scope) for s in catalog.selections], "selection string, description string, market_scope string")
-    out = out.join(totals, "selection", "left").join(pick(entries, [n for n, m in MAPS.items() if not m[2]]), "selection", "left").join(pick(sums, [n for n, m in MAPS.items() if m[2]]), "selection", "left")
+    entries = keyed(records).where(~F.col("summed")).groupBy("selection",
+        "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "n")))).alias("m"))
+    sums = keyed(records).where("summed").groupBy("selection", "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key",
+        "usd")))).alias("m"))
+    pick = lambda df, names: df.groupBy("selection").agg(*[F.first(F.when(F.col("name") == n, F.col("m")),
+        ignorenulls=True).alias(n) for n in names])
+    out = spark.createDataFrame([(s.name, s.description, s.scope) for s in catalog.selections],
+        "selection string, description string, market_scope string")
+    out = out.join(totals, "selection", "left").join(pick(entries, [n for n, m in MAPS.items() if not m[2]]), "selection",
+        "left").join(pick(sums, [n for n, m in MAPS.items() if m[2]]), "selection", "left")
     return out.na.fill(0).select("*")
 
 
@@ -72,7 +86,8 @@ def funnel(rows: DataFrame) -> DataFrame:
     each = rows.groupBy("selection", "kind").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("params") > 0, 1)).alias("known"))
     of_bases = lambda c: F.coalesce(F.sum(F.when(F.col("kind") == "base", c)), F.lit(0))
     return each.groupBy("selection").agg(
-        F.sum("n").alias("repositories"), of_bases(F.col("n")).alias("bases"), of_bases(F.col("known")).alias("with_parameters"), of_bases(F.col("n") - F.col("known")).alias("without_parameters"),
+        F.sum("n").alias("repositories"), of_bases(F.col("n")).alias("bases"), of_bases(F.col("known")).alias("with_parameters"),
+            of_bases(F.col("n") - F.col("known")).alias("without_parameters"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "n")))).alias("kinds"),
     )
 
@@ -81,7 +96,8 @@ def with_owner_types(records: DataFrame, owners: DataFrame) -> DataFrame:
     """Adds owner_type, full_name: organizations first, then users, else unknown."""
     rank = F.when(F.col("owner_type") == "organization", 0).otherwise(1)
     one = owners.groupBy("owner").agg(F.min_by(F.struct("owner_type", "full_name"), rank).alias("_o"))
-    return records.join(one, "owner", "left").withColumns({"owner_type": F.coalesce("_o.owner_type", F.lit("unknown")), "full_name": F.col("_o.full_name")}).drop("_o")
+    return records.join(one, "owner", "left").withColumns({"owner_type": F.coalesce("_o.owner_type", F.lit("unknown")),
+        "full_name": F.col("_o.full_name")}).drop("_o")
 
 
 def of_allowed_owners(records: DataFrame, catalog: Catalog) -> DataFrame:
@@ -97,9 +113,11 @@ def owners(records: DataFrame) -> DataFrame:
     """Owners' distinct repositories, downloads, likes and costs (by the first record of each repository), and the sorted
     distinct selections of all their records."""
     own = records.withColumn("owner", F.coalesce("owner", F.lit("")))
-    first = own.groupBy("owner", "repo_id").agg(F.min_by(F.struct("downloads", "likes", "cost"), "selection_order").alias("r"), F.collect_set("selection").alias("s"))
+    first = own.groupBy("owner", "repo_id").agg(F.min_by(F.struct("downloads", "likes", "cost"), "selection_order").alias("r"),
+        F.collect_set("selection").alias("s"))
     return first.groupBy("owner").agg(
-        F.count(F.lit(1)).alias("selected_repos"), F.sum("r.downloads").alias("downloads"), F.sum("r.likes").alias("likes"), F.count("r.cost").alias("known_training_costs"), F.sum("r.cost").alias("training_cost_usd"),
+        F.count(F.lit(1)).alias("selected_repos"), F.sum("r.downloads").alias("downloads"), F.sum("r.likes").alias("likes"),
+            F.count("r.cost").alias("known_training_costs"), F.sum("r.cost").alias("training_cost_usd"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))).alias("selections"),
     )
 

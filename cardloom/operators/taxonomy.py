@@ -49,7 +49,8 @@ def kind() -> Column:
     return (
         F.when(repo.isin(*P.KIND_OVERRIDES), F.try_element_at(known, repo))
         .when(relation.isin("quantized", "merge"), relation)
-        .when(has_any(tags, P.QUANT_TAGS) | library.isin(*P.QUANT_LIBRARIES) | named(P.QUANT_NAME, P.CONVERT_NAME, P.EMBEDDED_SOURCE_NAME, P.HF_CONVERSION_NAME), "quantized")
+        .when(has_any(tags, P.QUANT_TAGS) | library.isin(*P.QUANT_LIBRARIES) | named(P.QUANT_NAME, P.CONVERT_NAME, P.EMBEDDED_SOURCE_NAME,
+            P.HF_CONVERSION_NAME), "quantized")
         .when(has_any(tags, P.MERGE_TAGS) | named(P.MERGE_NAME), "merge")
         .when(relation.isin("adapter", "finetune"), relation)
         .when(has_any(tags, P.TRAINER_TAGS), "finetune")
@@ -67,7 +68,8 @@ def _joined() -> Column:
 
 def is_text_model() -> Column:
     pipeline = F.lower(F.coalesce("pipeline_tag", F.lit("")))
-    return ~P.matches(pipeline, P.NON_TEXT_PIPELINE) & ~P.matches(_joined(), P.NON_TEXT) & (pipeline.isin(*P.TEXT_PIPELINES) | P.matches(_joined(), P.LLM_SIGNAL))
+    return ~P.matches(pipeline, P.NON_TEXT_PIPELINE) & ~P.matches(_joined(),
+        P.NON_TEXT) & (pipeline.isin(*P.TEXT_PIPELINES) | P.matches(_joined(), P.LLM_SIGNAL))
 
 
 def is_diffusion_model() -> Column:
@@ -81,7 +83,8 @@ def is_diffusion_model() -> Column:
 
 def has_weights(files: str = "files") -> Column:
     """A file by whose name it holds weights."""
-    return F.exists(F.coalesce(files, F.array().cast("array<string>")), lambda f: F.coalesce(P.matches(f, P.WEIGHT_FILE) & ~P.matches(f, P.NON_WEIGHT_FILE), F.lit(False)))
+    return F.exists(F.coalesce(files, F.array().cast("array<string>")), lambda f: F.coalesce(P.matches(f, P.WEIGHT_FILE) & ~P.matches(f,
+        P.NON_WEIGHT_FILE), F.lit(False)))
 
 
 def retained(files: str = "files", params: str = "params") -> Column:
@@ -114,9 +117,11 @@ def metadata_reason() -> Column:
 def metadata_evidence(reason: Column) -> Column:
     """What a reason rests on, or an empty text. Give the reason as a column of a projection before, so that it is found once."""
     values = [card_value(k) for k in CARD_BASE_KEYS]
-    stated = F.coalesce(*[F.when(non_empty(v), F.when(v.startswith('"'), F.try_variant_get(F.try_parse_json("card_data"), f"$.{k}", "string")).otherwise(v)) for k, v in zip(CARD_BASE_KEYS, values, strict=True)], F.col("base_model"))
+    stated = F.coalesce(*[F.when(non_empty(v), F.when(v.startswith('"'), F.try_variant_get(F.try_parse_json("card_data"), f"$.{k}",
+        "string")).otherwise(v)) for k, v in zip(CARD_BASE_KEYS, values, strict=True)], F.col("base_model"))
     tags = F.array_sort(F.array_distinct(F.filter(_all_tags(), lambda t: t.isin(*P.DERIVATIVE_TAGS))))
-    return F.when(reason == "declares_base_model", F.substring(stated, 1, 300)).when(reason == "derivative_tag", F.array_join(tags, ", ")).when(reason == "derivative_name", F.col("repo_id")).otherwise("")
+    return F.when(reason == "declares_base_model", F.substring(stated, 1, 300)).when(reason == "derivative_tag", F.array_join(tags,
+        ", ")).when(reason == "derivative_name", F.col("repo_id")).otherwise("")
 
 
 def size_bucket(params: str = "params") -> Column:

@@ -31,7 +31,8 @@ class Scan:
     scanned: int = 0
 
     def same(self, other: Scan) -> bool:
-        return self.complete and (self.endpoint, self.earliest, self.latest, self.require_weights) == (other.endpoint, other.earliest, other.latest, other.require_weights)
+        return self.complete and (self.endpoint, self.earliest, self.latest, self.require_weights) == (other.endpoint, other.earliest,
+            other.latest, other.require_weights)
 
 
 def save_checkpoint(models: DataFrame, path: str, scan: Scan) -> bool:
@@ -70,7 +71,8 @@ def placed_cards(spark: SparkSession, *paths: str) -> DataFrame:
 def latest_cards(spark: SparkSession, *paths: str) -> DataFrame:
     """Card shards with one row for each id: the last by file and row."""
     rows = placed_cards(spark, *paths)
-    return rows.groupBy("modelId").agg(F.max_by(F.struct("createdAt", "card"), "place").alias("c")).select("modelId", "c.createdAt", "c.card")
+    return rows.groupBy("modelId").agg(F.max_by(F.struct("createdAt", "card"), "place").alias("c")).select("modelId", "c.createdAt",
+        "c.card")
 
 
 def with_readmes(models: DataFrame, readmes: DataFrame) -> DataFrame:
@@ -83,10 +85,12 @@ def baseline(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         text = spark.read.text(path, wholetext=True)
         item = "struct<total_training_cost_usd:double,training_cost_by_kind:map<string,double>>"
-        rows = text.select(F.from_json("value", f"struct<selections:map<string,{item}>>").alias("s")).where("s.selections IS NOT NULL").select(F.explode("s.selections").alias("selection", "v"))
+        rows = text.select(F.from_json("value",
+            f"struct<selections:map<string,{item}>>").alias("s")).where("s.selections IS NOT NULL").select(F.explode("s.selections").alias("selection", "v"))
         if rows.isEmpty():
             return None
     except AnalysisException:
         return None
     kind = lambda k: F.coalesce(F.try_element_at("v.training_cost_by_kind", F.lit(k)), F.lit(0.0))
-    return rows.select("selection", F.coalesce("v.total_training_cost_usd", F.lit(0.0)).alias("confirmed"), (kind("finetune") + kind("adapter")).alias("derivatives"))
+    return rows.select("selection", F.coalesce("v.total_training_cost_usd", F.lit(0.0)).alias("confirmed"),
+        (kind("finetune") + kind("adapter")).alias("derivatives"))

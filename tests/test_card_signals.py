@@ -67,7 +67,8 @@ def test_claim(text):
 @pytest.mark.parametrize(
     "text,repo,kind,tokens,active",
     [
-        ("Heron has 90 billion total parameters and 11 billion activated parameters. Pre-trained on 7.25T tokens.", "birds/Heron-Base", "pretraining_evidence", 7.25, 11),
+        ("Heron has 90 billion total parameters and 11 billion activated parameters. Pre-trained on 7.25T tokens.", "birds/Heron-Base",
+            "pretraining_evidence", 7.25, 11),
         ("Wren is a foundation model with 3 billion parameters. Pretrained on 640B tokens.", "birds/Wren", "pretraining_evidence", 0.64, 0),
         ("These are the raw weights.", "birds/Stork-4B-Base", "declared_base_model", 0, 0),
         ("For pretraining we took a corpus of 9T tokens.", "birds/Crane-Base", "pretraining_evidence", 0, 0),
@@ -121,9 +122,11 @@ def test_trainer_and_years():
 @pytest.mark.parametrize(
     "text,want",
     [
-        ("Fine-tuning took 45 minutes on 4x H100 GPUs.", dict(hours=0.75, gpu_count=4, gpu_hours=3, cost_usd=5.55, assumed_gpu=False, assumed_gpu_count=False)),
+        ("Fine-tuning took 45 minutes on 4x H100 GPUs.", dict(hours=0.75, gpu_count=4, gpu_hours=3, cost_usd=5.55, assumed_gpu=False,
+            assumed_gpu_count=False)),
         ("Training Time: 3.5 TPUv4-16 Hours", dict(hours=3.5, gpu_count=16, gpu_hours=56)),
-        ("Training time: 3 weeks. Total training cost was $640.", dict(hours=504, gpu_count=1, gpu_name="NVIDIA H100", cost_usd=640, cost_method="reported_total_cost", assumed_gpu=True, assumed_gpu_count=True)),
+        ("Training time: 3 weeks. Total training cost was $640.", dict(hours=504, gpu_count=1, gpu_name="NVIDIA H100", cost_usd=640,
+            cost_method="reported_total_cost", assumed_gpu=True, assumed_gpu_count=True)),
         ("Fine-tuning used 70 GPU hours on H100.", dict(gpu_hours=70, cost_usd=129.5)),
         ("Hardware: 16 x A100. **Hours used (total GPU hours):** 5120.5h", dict(gpu_hours=5120.5, cost_usd=9472.925)),
         ("The cost of fine-tuning was $87.25.", dict(cost_usd=87.25, cost_method="reported_total_cost", hours=0)),
@@ -137,7 +140,8 @@ def test_trainer_and_years():
         ("The first run used 64 H100 GPU hours. The second run used 64 H100 GPU hours.", dict(gpu_hours=128)),
         ("Total GPU hours: 90. The runs used 30 GPU hours and 60 GPU hours.", dict(gpu_hours=90)),
         ("Evaluation used 400 H100 GPU hours. Fine-tuning used 25 H100 GPU hours.", dict(gpu_hours=25)),
-        ("Base pre-training took 20 days on 128 H100 GPUs. Current fine-tuning took 5 hours on 4 H100 GPUs.", dict(hours=5, gpu_count=4, gpu_hours=20)),
+        ("Base pre-training took 20 days on 128 H100 GPUs. Current fine-tuning took 5 hours on 4 H100 GPUs.", dict(hours=5, gpu_count=4,
+            gpu_hours=20)),
         ("Training duration: 3h20m. Hardware: GPU T4 x4.", dict(hours=3 + 20 / 60, gpu_count=4, gpu_hours=13 + 1 / 3)),
         ("Training took 2 months and 4 days on 1 H100.", dict(hours=(2 * 30 + 4) * 24)),
         ("Training runtime: 9,000 seconds on GPUs: 4.", dict(hours=2.5, gpu_count=4)),
@@ -176,10 +180,12 @@ def test_metadata():
     got = S.compute_of_metadata({"run": {"train_runtime": 5400.0}})
     assert (got.hours, got.cost_usd) == (1.5, pytest.approx(2.775))
     assert got.evidence_hash == hashlib.sha256(b'{"run":{"train_runtime":5400}}').hexdigest()
-    assert S.flat_lines({"y": "end", "c": {"k": "two", "b": "one"}, "widget": "w", "m": 3.0}) == ["cardData.c.b: one", "cardData.c.k: two", "cardData.m: 3", "cardData.y: end"]
+    assert S.flat_lines({"y": "end", "c": {"k": "two", "b": "one"}, "widget": "w", "m": 3.0}) == ["cardData.c.b: one",
+        "cardData.c.k: two", "cardData.m: 3", "cardData.y: end"]
     assert S.positive_number({"training_hours": 8.0, "hours_used": 4.0}, {"hours_used", "training_hours"}) == 4
     assert S.compute_of_metadata({}) is None and S.claim_of_metadata(None) is None
-    assert S.claim_of_metadata(json.loads('{"about": "The net was trained from scratch."}'), "o/m").card_hash == hashlib.sha256(b'{"about":"The net was trained from scratch."}').hexdigest()
+    assert S.claim_of_metadata(json.loads('{"about": "The net was trained from scratch."}'),
+        "o/m").card_hash == hashlib.sha256(b'{"about":"The net was trained from scratch."}').hexdigest()
 
 
 def test_windows_are_bytes():
@@ -191,8 +197,11 @@ def test_windows_are_bytes():
 
 
 def test_signals(spark):
-    cards = [("o/a", "2025-02-01", "Training took 10 hours on 2x H100 GPUs."), ("o/b", "2025-01-01", "Training took 10 hours on 2x H100 GPUs."), ("o/c-base", "2025-03-01", "A card."), ("o/d", "2025-01-01", None), ("o/e", None, ""), ("o/f", "2025-01-05", "nothing here")]
-    found = S.with_earliest(S.signals(spark.createDataFrame([(*c, 1) for c in cards], "modelId string, createdAt string, card string, compute int").select("*")))
+    cards = [("o/a", "2025-02-01", "Training took 10 hours on 2x H100 GPUs."), ("o/b", "2025-01-01",
+        "Training took 10 hours on 2x H100 GPUs."), ("o/c-base", "2025-03-01", "A card."), ("o/d", "2025-01-01", None), ("o/e", None, ""),
+        ("o/f", "2025-01-05", "nothing here")]
+    found = S.with_earliest(S.signals(spark.createDataFrame([(*c, 1) for c in cards],
+        "modelId string, createdAt string, card string, compute int").select("*")))
     got = {r["modelId"]: r for r in found.collect()}
     assert set(got) == {"o/a", "o/b", "o/c-base"}
     assert got["o/a"]["compute"]["earliest"] == "2025-01-01" and got["o/a"]["compute"]["cost_usd"] == 37 and got["o/a"]["claim"] is None

@@ -41,7 +41,8 @@ def test_catalog(spark, tmp_path, final):
     owners = B.read_table(spark, path, "owners")
     assert tuple(owners.columns) == O.OWNER_COLUMNS
     rows = owners.collect()
-    assert len(rows) == final.select("owner").distinct().count() and sum(int(r["selected_repos"]) for r in rows) == final.select("owner", "repo_id").distinct().count()
+    assert len(rows) == final.select("owner").distinct().count() and sum(int(r["selected_repos"]) for r in rows) == final.select("owner",
+        "repo_id").distinct().count()
     known = next(r for r in rows if r["owner_type"] != "unknown")
     assert (known["verified"], known["followers"], known["plan"], known["error"], known["pro"]) == ("true", "3", "team", "", "false")
     assert all(r["error"] == "profile not found" for r in rows if r["owner_type"] == "unknown")
@@ -60,7 +61,8 @@ def test_runs_replace_each_other_as_a_whole(spark, tmp_path):
         B.publish(spark, path, {"a": two, "b": bad}, {"t.txt": "two"})
     assert [r["n"] for r in B.read_table(spark, path, "a").collect()] == ["1"] and B.read_text(spark, path, "t.txt") == "one"
     B.publish(spark, path, {"a": two, "b": two.limit(0)}, {"t.txt": "two"})
-    assert [tuple(r) for r in B.read_table(spark, path, "a").collect()] == [("2", 'say "a, b"\nc', "[2]")] and B.read_text(spark, path, "t.txt") == "two"
+    assert [tuple(r) for r in B.read_table(spark, path, "a").collect()] == [("2", 'say "a, b"\nc', "[2]")] and B.read_text(spark, path,
+        "t.txt") == "two"
     assert B.read_table(spark, path, "b").count() == 0 and B.prune(spark, path) == 2 and B.read_table(spark, path, "a").count() == 1
 
 
@@ -72,8 +74,10 @@ def test_scan(spark, tmp_path):
     rows = B.read_table(spark, path, "models")
     assert tuple(rows.columns) == O.YEAR_COLUMNS and rows.count() == done.count()
     summary = json.loads(B.read_text(spark, path, "summary.json"))
-    assert summary["complete"] and sum(summary["years"][y].get(k, 0) for y in ("1999", "2000") for k in ("confirmed", "candidate", "excluded", "error")) == done.count()
-    assert all(sum(v["reasons"].values()) == sum(v.get(k, 0) for k in ("confirmed", "candidate", "excluded", "error")) for v in summary["years"].values())
+    assert summary["complete"] and sum(summary["years"][y].get(k, 0) for y in ("1999", "2000") for k in ("confirmed", "candidate",
+        "excluded", "error")) == done.count()
+    assert all(sum(v["reasons"].values()) == sum(v.get(k, 0) for k in ("confirmed", "candidate", "excluded",
+        "error")) for v in summary["years"].values())
 
 
 def test_candidates(spark, tmp_path):

@@ -25,17 +25,22 @@ def cards(spark, *rows):
 
 
 def seen(found):
-    return {r["modelId"]: (r["compute"] and (r["compute"]["source"], r["compute"]["gpu_hours"]), r["claim"] and (r["claim"]["source"], r["claim"]["evidence_type"])) for r in found.collect()}
+    return {r["modelId"]: (r["compute"] and (r["compute"]["source"], r["compute"]["gpu_hours"]), r["claim"] and (r["claim"]["source"],
+        r["claim"]["evidence_type"])) for r in found.collect()}
 
 
 def test_precedence_of_sources(spark):
     hours, scratch = json.dumps({"training_hours": 3}), json.dumps({"about": OWN_DATA})
     models = wants(
-        spark, ("o/meta", hours, True, False), ("o/both", hours, True, False), ("o/denied", scratch, False, True), ("o/no-card", scratch, False, True), ("o/readme", None, True, True),
-        ("o/half", hours, True, True), ("o/settled", json.dumps({"training_hours": 3, "about": OWN_DATA}), True, True), ("o/none", "[1]", False, False), ("o/bad", "{", True, True), ("o/unasked", hours, False, True),
+        spark, ("o/meta", hours, True, False), ("o/both", hours, True, False), ("o/denied", scratch, False, True), ("o/no-card", scratch,
+            False, True), ("o/readme", None, True, True),
+        ("o/half", hours, True, True), ("o/settled", json.dumps({"training_hours": 3, "about": OWN_DATA}), True, True), ("o/none", "[1]",
+            False, False), ("o/bad", "{", True, True), ("o/unasked", hours, False, True),
     )
-    bulk = cards(spark, ("o/both", "2024-01-01", BULK_RUN, 1), ("o/denied", "2024-01-01", PLAIN, 2), ("o/settled", "2024-01-01", PLAIN, 3), ("o/half", "2024-01-01", BULK_RUN, 4), ("o/no-card", "2024-01-01", "", 5), ("else/x", "2024-01-01", OWN_DATA, 6))
-    texts = spark.createDataFrame([(m, f"{LONG_RUN} {OWN_DATA}") for m in ("o/readme", "o/half", "o/settled", "o/none", "o/both")], "repo_id string, readme string")
+    bulk = cards(spark, ("o/both", "2024-01-01", BULK_RUN, 1), ("o/denied", "2024-01-01", PLAIN, 2), ("o/settled", "2024-01-01", PLAIN,
+        3), ("o/half", "2024-01-01", BULK_RUN, 4), ("o/no-card", "2024-01-01", "", 5), ("else/x", "2024-01-01", OWN_DATA, 6))
+    texts = spark.createDataFrame([(m, f"{LONG_RUN} {OWN_DATA}") for m in ("o/readme", "o/half", "o/settled", "o/none", "o/both")],
+        "repo_id string, readme string")
     got = seen(T.resolved(models, bulk, texts))
     meta, card, readme = ("cardData", 3.0), (T.BULK, 10.0), (T.README, 80.0)
     assert got["o/meta"] == (meta, None) and got["o/both"] == (card, None)
@@ -52,10 +57,12 @@ def test_first_card_of_a_fingerprint_may_be_anyones(spark):
     """An older card of a model that nobody asks for dates the claim and the run; metadata and readmes have no date."""
     models = wants(spark, ("late/copy", None, True, True), ("o/meta", json.dumps({"training_hours": 3}), True, False))
     text = f"{OWN_DATA} {BULK_RUN}"
-    rows = {r["modelId"]: r for r in T.resolved(models, cards(spark, ("first/one", "2021-05-01", text, 1), ("late/copy", "2023-05-01", text, 2))).collect()}
+    rows = {r["modelId"]: r for r in T.resolved(models, cards(spark, ("first/one", "2021-05-01", text, 1), ("late/copy", "2023-05-01",
+        text, 2))).collect()}
     assert rows["late/copy"]["compute"]["earliest"] == rows["late/copy"]["claim"]["earliest"] == "2021-05-01"
     assert rows["o/meta"]["compute"]["earliest"] is None
-    claims = T.resolved(wants(spark, ("late/copy", None, False, True)), cards(spark, ("first/one", "2021-05-01", text, 1), ("late/copy", "2023-05-01", text, 2))).first()
+    claims = T.resolved(wants(spark, ("late/copy", None, False, True)), cards(spark, ("first/one", "2021-05-01", text, 1), ("late/copy",
+        "2023-05-01", text, 2))).first()
     assert claims["compute"] is None and claims["claim"]["earliest"] == "2021-05-01"
 
 
@@ -78,7 +85,8 @@ def test_last_wins_however_files_are_split(spark, tmp_path, bytes_):
         got = {r["key"]: r["review"]["reason"] for r in reviews.latest(spark, str(tmp_path)).collect()}
         assert got == {f"k{i}": str(max(j for j in range(60) if j % 7 == i)) for i in range(7)}
         for n, low in ((0, 0), (1, 40)):
-            spark.createDataFrame([(f"m{i % 9}", "t", str(low + i)) for i in range(40)], "modelId string, createdAt string, card string").coalesce(1).write.parquet(f"{tmp_path}/cards-{n:04d}")
+            spark.createDataFrame([(f"m{i % 9}", "t", str(low + i)) for i in range(40)],
+                "modelId string, createdAt string, card string").coalesce(1).write.parquet(f"{tmp_path}/cards-{n:04d}")
         got = {r["modelId"]: r["card"] for r in snapshots.latest_cards(spark, f"{tmp_path}/cards-0000", f"{tmp_path}/cards-0001").collect()}
         assert got == {f"m{i}": str(40 + max(j for j in range(40) if j % 9 == i)) for i in range(9)}
     finally:
@@ -87,7 +95,8 @@ def test_last_wins_however_files_are_split(spark, tmp_path, bytes_):
 
 def listing(spark, folder, *each):
     for number, items, following in each:
-        (folder / f"page-{number:05d}.json").write_text(json.dumps({"items": [{"id": i, "created_at": d} for i, d in items], "next": following}))
+        (folder / f"page-{number:05d}.json").write_text(json.dumps({"items": [{"id": i, "created_at": d} for i, d in items],
+            "next": following}))
     return pages.read_pages(spark, str(folder), spark.createDataFrame([], "id string, created_at string").schema)
 
 
@@ -120,13 +129,17 @@ def test_years():
 
 def test_counts_by_year(spark):
     weights = ["model.safetensors"]
-    rows = [("o/a", 2024, weights, None), ("o/b", 2024, weights, None), ("o/c", 2024, [], None), ("o/d", 2025, weights, None), ("o/e", 2025, weights, "x/base"), ("o/f", 2025, weights, None)]
-    models = spark.createDataFrame([(r, y, f, b, [], None, "", "") for r, y, f, b in rows], "repo_id string, year int, files array<string>, base_model string, tags array<string>, card_data string, relation string, library_name string")
-    texts = spark.createDataFrame([("o/a", OWN_DATA, None), ("o/b", PLAIN, None), ("o/d", None, "timeout " * 60), ("o/e", OWN_DATA, None)], "repo_id string, readme string, error string")
+    rows = [("o/a", 2024, weights, None), ("o/b", 2024, weights, None), ("o/c", 2024, [], None), ("o/d", 2025, weights, None), ("o/e",
+        2025, weights, "x/base"), ("o/f", 2025, weights, None)]
+    models = spark.createDataFrame([(r, y, f, b, [], None, "", "") for r, y, f, b in rows],
+        "repo_id string, year int, files array<string>, base_model string, tags array<string>, card_data string, relation string, library_name string")
+    texts = spark.createDataFrame([("o/a", OWN_DATA, None), ("o/b", PLAIN, None), ("o/d", None, "timeout " * 60), ("o/e", OWN_DATA,
+        None)], "repo_id string, readme string, error string")
     done = year_counts.classified(models, texts)
     got = {r["repo_id"]: (r["status"], r["reason"]) for r in done.collect()}
     assert got["o/a"] == ("confirmed", "explicit_scratch_claim") and got["o/b"] == got["o/f"] == ("candidate", "no_explicit_scratch_claim")
-    assert got["o/c"] == ("excluded", "no_recognized_full_weight_file") and got["o/e"] == ("excluded", "declares_base_model") and got["o/d"] == ("error", "readme_fetch_error")
+    assert got["o/c"] == ("excluded", "no_recognized_full_weight_file") and got["o/e"] == ("excluded",
+        "declares_base_model") and got["o/d"] == ("error", "readme_fetch_error")
     assert max(len(r["evidence"]) for r in done.collect()) == 300
     years = {r["year"]: r for r in year_counts.by_year(year_counts.counts(done)).collect()}
     assert (years[2024]["confirmed"], years[2024]["candidate"], years[2024]["broad_upper_bound"], years[2025]["error"]) == (1, 1, 2, 1)
@@ -136,7 +149,9 @@ def test_counts_by_year(spark):
 
 def test_reviews_are_asked_once(spark, tmp_path):
     fields = "repo_id string, card string, pipeline_tag string, library_name string, tags array<string>, relation string, base_models array<string>, params long"
-    rows = [("o/a", "Some  text", "t", None, ["x", "y"], None, None, 7), ("o/b", " Some\ntext ", "t", None, ["y", "x"], None, None, 7), ("o/c", "Some text", "t", None, ["x"], None, None, 7), ("o/d", "  ", "t", None, [], None, None, 7), ("o/e", None, None, None, None, None, None, None), ("o/f", "unanswered", None, None, None, None, None, None)]
+    rows = [("o/a", "Some  text", "t", None, ["x", "y"], None, None, 7), ("o/b", " Some\ntext ", "t", None, ["y", "x"], None, None, 7),
+        ("o/c", "Some text", "t", None, ["x"], None, None, 7), ("o/d", "  ", "t", None, [], None, None, 7), ("o/e", None, None, None,
+        None, None, None, None), ("o/f", "unanswered", None, None, None, None, None, None)]
     asked = []
 
     def ask(put):
@@ -145,7 +160,8 @@ def test_reviews_are_asked_once(spark, tmp_path):
         return put.selectExpr("key", f"CAST({kind} AS {reviews.REVIEW}) AS review")
 
     path = f"file://{tmp_path}/cache"
-    got = lambda: {r["repo_id"]: r["review"] and (r["review"]["kind"], r["review"]["reason"]) for r in review_cache.answered(spark.createDataFrame(rows, fields), path, ask).collect()}
+    got = lambda: {r["repo_id"]: r["review"] and (r["review"]["kind"],
+        r["review"]["reason"]) for r in review_cache.answered(spark.createDataFrame(rows, fields), path, ask).collect()}
     first = got()
     assert asked == [["o/a", "o/c", "o/f"]] and first["o/a"] == first["o/b"] == ("merge", "1 o/a") and first["o/c"] == ("merge", "1 o/c")
     assert first["o/d"] == first["o/e"] == ("unknown", "model card is empty") and first["o/f"] is None
@@ -169,11 +185,14 @@ def test_reviews_of_blank_and_absent_cards(spark):
 
 
 def test_record_order(spark):
-    picks = (Selection("big", sort_by="downloads"), Selection("names", sort_by="repo_id", sort_direction="desc"), Selection("old", sort_by="created_at", sort_direction="asc"))
-    rows = [(s.name, f"o/{n}", d, day, n) for s in picks for n, d, day in ((1, 5, "2024-01-02"), (2, 9, "2024-01-01"), (3, 5, None), (4, None, "2024-01-03"))]
+    picks = (Selection("big", sort_by="downloads"), Selection("names", sort_by="repo_id", sort_direction="desc"), Selection("old",
+        sort_by="created_at", sort_direction="asc"))
+    rows = [(s.name, f"o/{n}", d, day, n) for s in picks for n, d, day in ((1, 5, "2024-01-02"), (2, 9, "2024-01-01"), (3, 5, None), (4,
+        None, "2024-01-03"))]
     frame = spark.createDataFrame(rows, "selection string, repo_id string, downloads long, created_at string, ordinal long").repartition(5)
     frame = frame.withColumn("created_at", frame["created_at"].cast("timestamp"))
     got = sorted(ordinal.numbered(frame, ordinal.record_order(picks)).collect(), key=lambda r: r["place"])
     assert [r["place"] for r in got] == list(range(12))
-    assert [(r["selection"], r["ordinal"]) for r in got] == [("big", 2), ("big", 1), ("big", 3), ("big", 4), *[("names", i) for i in (4, 3, 2, 1)], *[("old", i) for i in (3, 2, 1, 4)]]
+    assert [(r["selection"], r["ordinal"]) for r in got] == [("big", 2), ("big", 1), ("big", 3), ("big", 4), *[("names", i) for i in (4,
+        3, 2, 1)], *[("old", i) for i in (3, 2, 1, 4)]]
     assert ordinal.numbered(frame.limit(0), ordinal.record_order(picks)).count() == 0

@@ -641,6 +641,29 @@ def s1_scan_prefix(spark, sf):
     return models.select("repo_id", "page", "year")
 
 
+@query(f"WITH {hub.VIEWS}", """SELECT repo_id, author, downloads, likes, pipeline_tag, library_name, coalesce(params, -1) AS params, relation,
+  base_model, created_at, array_to_string(list_transform(files, lambda f: coalesce(f, '-')), ',') AS files, array_to_string(list_transform(tags, lambda t: coalesce(t, '-')), ',') AS tags,
+  CASE WHEN json_valid(card_data) THEN json_extract_string(card_data, '$.license') END AS license FROM models""")
+def s1_p3_listed_models(spark, sf):
+    """Models through the JSON of a listing and back: nested fields, the first base model, metadata as text."""
+    known = F.try_parse_json("card_data").isNotNull()
+    more = F.array(F.struct(F.col("base_model").alias("id")), F.struct(F.lit("other/base").alias("id")))
+    item = F.struct(
+        F.col("repo_id").alias("id"), "author", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("createdAt"),
+        "downloads", "likes", "pipeline_tag", "library_name", "tags", F.transform("files", lambda f: F.struct(f.alias("rfilename"))).alias("siblings"),
+        F.struct(F.col("params").alias("total")).alias("safetensors"),
+        F.struct("relation", F.when(F.col("base_model").isNotNull(), more).alias("models")).alias("baseModels"), F.lit("@").alias("cardData"),
+    )
+    text = F.replace(F.to_json(item), F.lit('"@"'), F.when(known, F.col("card_data")).otherwise("null"))
+    listed = hub.models(spark, sf).select(F.from_json(text, PG.LISTED).alias("m")).select("m.*")
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x, F.lit("-"))), ",").alias(c)
+    return PG.models_of(listed).select(
+        "repo_id", "author", "downloads", "likes", "pipeline_tag", "library_name", F.coalesce("params", F.lit(-1)).alias("params"), "relation",
+        "base_model", "created_at", shown("files"),
+        shown("tags"), F.get_json_object("card_data", "$.license").alias("license"),
+    )
+
+
 # ---- reviews by content
 
 

@@ -119,6 +119,18 @@ def test_how_far_a_scan_goes(spark, tmp_path):
     assert pages.extent(gap.limit(0), 2024) == pages.Extent(0, False)
 
 
+def test_listed_models(spark, tmp_path):
+    full = {"id": "o/a", "author": "o", "createdAt": "2025-01-02T03:04:05.123Z", "tags": ["x"], "siblings": [{"rfilename": "m.bin"}], "safetensors": {"total": 7}, "baseModels": {"relation": "merge", "models": [{"id": "b/1"}, {"id": "b/2"}]}, "cardData": {"license": "mit", "n": [1]}, "unknown": 1}
+    rows = [full, {"id": "o/b"}, {"id": ""}, {"author": "x"}, {"id": "o/c", "createdAt": "soon", "baseModels": {"models": []}, "cardData": None}]
+    (tmp_path / "p-1.json").write_text(json.dumps({"items": rows, "next": "2"}))
+    schema = spark.createDataFrame([], pages.LISTED).schema
+    listed = pages.read_pages(spark, str(tmp_path), schema).selectExpr("inline(items)")
+    got = {r["repo_id"]: r for r in pages.models_of(listed).collect()}
+    assert set(got) == {"o/a", "o/b", "o/c"} and (got["o/a"]["base_model"], got["o/a"]["relation"], got["o/a"]["params"], got["o/a"]["files"]) == ("b/1", "merge", 7, ["m.bin"])
+    assert json.loads(got["o/a"]["card_data"]) == {"license": "mit", "n": [1]} and got["o/c"]["created_at"] is None and got["o/c"]["base_model"] is None
+    assert (got["o/b"]["tags"], got["o/b"]["files"], got["o/b"]["downloads"], got["o/b"]["card_data"]) == ([], [], 0, "")
+
+
 def test_years():
     now = datetime(2026, 1, 1)
     assert pages.parse_years("2025, 2024 2025,", now) == [2024, 2025]

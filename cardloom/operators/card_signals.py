@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import card_patterns as C
-from ..functions.patterns import compiled, matches
+from ..functions.patterns import compiled, java, matches
 from ..session import ship, written
 from . import taxonomy as X
+from . import windows as W
 
 HOURLY_RATE_USD = 1.85
 DEFAULT_GPU = "NVIDIA H100"
@@ -487,22 +488,19 @@ def extracted(rows: DataFrame, source: str, *keep: str) -> DataFrame:
 
 
 def status_of(rows: DataFrame) -> DataFrame:
-    """repo_id, status, reason and evidence of rows with repo_id and card: what the text says of training from scratch. Texts
-    without a claim are decided in the JVM."""
+    """repo_id, status, reason and evidence of rows with repo_id and card: what the text says of training from scratch. Only texts
+    of very many claims leave the JVM."""
     ship(rows.sparkSession)
-    claims = matches(F.col("card"), C.SCRATCH_CLAIM)
-    none = rows.where(~claims).select("repo_id", F.lit("candidate").alias("status"), F.lit("no_explicit_scratch_claim").alias("reason"),
-        F.lit("").alias("evidence"))
+    many = F.size(F.regexp_extract_all("card", F.lit(java(C.SCRATCH_CLAIM)), F.lit(0))) > W.MOST
+    done = W.scratch_status(rows.where(~F.coalesce(many, F.lit(False)))).select("repo_id", "status", "reason", "evidence")
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, "card"):
                 found = [scratch_status(t) for t in part.column("card").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("repo_id"), *[pa.array([f[i] for f in found],
-                    pa.string()) for i in range(3)]], ["repo_id", "status", "reason", "evidence"])
+                yield pa.RecordBatch.from_arrays([part.column("repo_id"), *[pa.array([f[i] for f in found], pa.string()) for i in range(3)]], ["repo_id", "status", "reason", "evidence"])
 
-    return none.union(rows.where(claims).select("repo_id", "card").mapInArrow(run,
-        "repo_id string, status string, reason string, evidence string"))
+    return done.union(rows.where(many).select("repo_id", "card").mapInArrow(run, "repo_id string, status string, reason string, evidence string"))
 
 
 def signals(cards: DataFrame, source: str = "model-card bulk snapshot") -> DataFrame:

@@ -19,6 +19,7 @@ from ..operators import summary as U
 from ..operators import taxonomy as X
 from ..operators import training_signals as T
 from ..operators import review_cache as VC
+from ..operators import windows as W
 from ..operators import year_counts as Y
 from ..operators.ordinal import numbered
 from ..session import written
@@ -584,6 +585,48 @@ def m2_claims_scratch(spark, sf):
         "claims").otherwise("candidate").alias("status"))
 
 
+SAYINGS = (
+    "It was trained from scratch.", "It was never trained from scratch.", "Only the tokenizer was trained from scratch.", "Модель обучена с нуля.",
+    "This model is a distilled version of one trained from scratch.", "It was trained from scratch, followed by instruction fine-tuning.",
+    "For comparison, others trained from scratch; ours was trained on scores from scratch.", "Nothing is said.",
+)
+
+
+def sayings(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with a sentence or two on their training, before, behind or in between."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    one, two = (F.array(*map(F.lit, SAYINGS))[(c % len(SAYINGS)).cast("int")] for c in (F.col("doc_id"), F.floor(F.col("doc_id") / 8)))
+    left = F.substring("text", 1, F.least(F.length("text"), F.lit(150)))
+    return d.select("doc_id", F.concat_ws(" ", one, left, two, "text").alias("card"))
+
+
+def _cut(start: str, stop: str, width: int) -> str:
+    """The text from width bytes before start to as many after stop, without characters that a border cuts."""
+    part = f"hex(array_slice(b, greatest({start} - {width}, 0) + 1, {stop} + {width}))"
+    part = f"regexp_replace({part}, '^([89AB][0-9A-F])+', '')"
+    tail = "([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){0,2})$"
+    even = f"CASE WHEN {part} SIMILAR TO '([0-7].|[CD].[89AB].|E.([89AB].){{{{2}}}}|F.([89AB].){{{{3}}}})*' THEN {part} ELSE regexp_replace({part}, '{tail}', '') END"
+    return f"decode(unhex({even.replace('{{', '{').replace('}}', '}')}))"
+
+
+_NO = " OR ".join(f"regexp_matches(near, '{p.replace(chr(39), chr(39) * 2)}')" for p in (C.SCRATCH_NEGATED, C.SCRATCH_OF_PART, C.RANDOM_PART, C.SCRATCH_NOT_DONE, C.SCRATCH_UPSTREAM, C.DERIVATIVE_NEARBY))
+_SAID = f"""WITH s AS (SELECT doc_id, concat_ws(' ', {hub._sql_of(SAYINGS, 'doc_id')}, left(text, 150), {hub._sql_of(SAYINGS, '(doc_id // 8)')}, text) AS card FROM documents),
+m AS (SELECT *, encode(card) AS b, regexp_extract_all(card, '{C.SCRATCH_CLAIM.replace("'", "''")}') AS ms, string_split_regex(card, '{C.SCRATCH_CLAIM.replace("'", "''")}') AS ps FROM s),
+e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM m),
+f AS (SELECT *, list_sum(list_transform(ps[1:i], lambda x: strlen(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: strlen(x))), 0) AS a FROM e),
+g AS (SELECT doc_id, i, {_cut("a", "a + strlen(ms[i])", 100)} AS near, {_cut("a", "a + strlen(ms[i])", 300)} AS wide FROM f),
+u AS (SELECT doc_id, arg_min(near, i) AS near FROM g WHERE NOT ({_NO} OR regexp_matches(wide, '{C.DERIVATIVE_SEQUENCE}')) GROUP BY 1)"""
+
+
+@query(_SAID, f"""SELECT m.doc_id, CASE WHEN len(ms) = 0 THEN 'candidate' WHEN near IS NULL OR regexp_matches(card, '{C.DERIVATIVE_ITSELF}') THEN 'excluded' ELSE 'confirmed' END AS status,
+  CASE WHEN len(ms) = 0 THEN 'no_explicit_scratch_claim' WHEN near IS NULL THEN 'scratch_claim_not_usable' WHEN regexp_matches(card, '{C.DERIVATIVE_ITSELF}') THEN 'current_model_is_derivative' ELSE 'explicit_scratch_claim' END AS reason,
+  CASE WHEN len(ms) > 0 AND near IS NOT NULL AND NOT regexp_matches(card, '{C.DERIVATIVE_ITSELF}') THEN left(trim(regexp_replace(near, '[\\t-\\r \\x{{85}}\\x{{a0}}\\x{{3000}}]+', ' ', 'g')), 500) ELSE '' END AS evidence
+  FROM m LEFT JOIN u ON u.doc_id = m.doc_id""")
+def m2_scratch_status(spark, sf):
+    """What texts say of their training, by windows of bytes around each claim, in SQL functions."""
+    return W.scratch_status(sayings(spark, sf)).select("doc_id", "status", "reason", "evidence")
+
+
 # ---- the scan by year
 
 PAGE_ROWS = 100

@@ -1,6 +1,7 @@
 """Signals of three sources, pages of a listing, counts by year, reviews by content, and places in order."""
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -208,3 +209,21 @@ def test_record_order(spark):
     assert [(r["selection"], r["ordinal"]) for r in got] == [("big", 2), ("big", 1), ("big", 3), ("big", 4), *[("names", i) for i in (4,
         3, 2, 1)], *[("old", i) for i in (3, 2, 1, 4)]]
     assert ordinal.numbered(frame.limit(0), ordinal.record_order(picks)).count() == 0
+
+
+def test_status_in_the_jvm_equals_python(spark):
+    """Windows of bytes by SQL functions against the reader of single texts, cut characters and many claims included."""
+    from test_card_signals import DENIED
+
+    from cardloom.operators import card_signals, windows
+
+    claim, rnd = "it was trained from scratch", random.Random(4)
+    texts = [None, "", *DENIED.values(), claim, "é" * 60 + claim + "日" * 60, "😀" * 80 + f" {claim} " + "ñ" * 200 + " followed by supervised fine-tuning"]
+    texts += [" ".join(rnd.choice([claim, "never trained from scratch", "the tokenizer", "é日本", "word " * 9, "обучена с нуля", "This model is distilled.", " x y"]) for _ in range(rnd.randrange(1, 12))) for _ in range(120)]
+    texts += [f"{claim}. {'filler ' * 30}" * 80, f"never {claim}. {'filler ' * 30}" * 70 + claim]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "repo_id string, card string")
+    want = {str(i): card_signals.scratch_status(t or "") for i, t in enumerate(texts)}
+    got = {r["repo_id"]: (r["status"], r["reason"], r["evidence"]) for r in card_signals.status_of(rows).collect()}
+    assert got == want and len({w[1] for w in want.values()}) == 4
+    left = {r["repo_id"] for r in windows.scratch_status(rows).where("status IS NULL").collect()}
+    assert left == {str(len(texts) - 2), str(len(texts) - 1)}

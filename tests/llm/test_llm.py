@@ -467,6 +467,22 @@ def test_clashing_names(spark):
     assert bpe.encode_documents(docs, bpe.default_path()).columns == [*docs.columns, "input_ids_", "decoded_"]
 
 
+def test_pipeline_stages_on_odd_rows(spark, odd):
+    """Null, empty and blank texts, repeated rows and a clashing column, through each later stage by itself."""
+    import corpus_pipeline as P
+
+    key = lambda r: (r["doc_id"], r["text"])
+    want = Counter((r[0], r[1]) for r in ODD)
+    for name in ("toxicity", "decontamination"):
+        kept = dict(P.STAGES)[name](spark, odd, SF)
+        assert kept.columns == odd.columns and Counter(map(key, kept.collect())) == want
+    one = dict(P.STAGES)["near_dedup"](spark, odd, SF)
+    assert one.columns == odd.columns and Counter(map(key, one.collect())) == Counter({(1, ""): 1, (3, "one two"): 1, (4, LONG): 1, (6, ODD[7][1]): 1, (None, ODD[8][1]): 1})
+    coded = dict(P.STAGES)["bpe"](spark, odd, SF).collect()
+    assert len(coded) == len(ODD) and all((r["n_tokens"] == 0) == (r["ids_sha256"] == hashlib.sha256(b"").hexdigest()) for r in coded)
+    assert sum(r["n_tokens"] == 0 for r in coded) == 3
+
+
 def test_pipeline_edges(spark, tmp_path):
     """Null, empty, repeated and no rows go through all stages."""
     import corpus_pipeline as c

@@ -339,7 +339,17 @@ def f13_j14_final_records(spark, sf):
     return _shown(final(spark, sf), "owner_type")
 
 
-_MAP_SQL = " UNION ALL ".join(f"SELECT selection, '{name}' AS name, coalesce({key}, '') AS key, count(*) AS n, round(sum(cost), 2) AS usd FROM fin WHERE {when} GROUP BY ALL" for name, (key, when, _) in U.MAPS.items())
+_MAP_SQL = """
+SELECT selection, 'owner_types' AS name, owner_type AS key, count(*) AS n, round(sum(cost), 2) AS usd FROM fin GROUP BY ALL
+UNION ALL SELECT selection, 'model_kinds', kind, count(*), round(sum(cost), 2) FROM fin GROUP BY ALL
+UNION ALL SELECT selection, 'costed_models_by_kind', kind, count(*), round(sum(cost), 2) FROM fin WHERE cost IS NOT NULL GROUP BY ALL
+UNION ALL SELECT selection, 'training_cost_by_kind', kind, count(*), round(sum(cost), 2) FROM fin WHERE cost IS NOT NULL GROUP BY ALL
+UNION ALL SELECT selection, 'costed_models_by_method', method, count(*), round(sum(cost), 2) FROM fin WHERE cost IS NOT NULL GROUP BY ALL
+UNION ALL SELECT selection, 'training_cost_by_method', method, count(*), round(sum(cost), 2) FROM fin WHERE cost IS NOT NULL GROUP BY ALL
+UNION ALL SELECT selection, 'base_models_by_size', bucket, count(*), round(sum(cost), 2) FROM fin WHERE kind = 'base' GROUP BY ALL
+UNION ALL SELECT selection, 'costed_base_by_size', bucket, count(*), round(sum(cost), 2) FROM fin WHERE kind = 'base' AND cost IS NOT NULL GROUP BY ALL
+UNION ALL SELECT selection, 'base_cost_by_size', bucket, count(*), round(sum(cost), 2) FROM fin WHERE kind = 'base' AND cost IS NOT NULL GROUP BY ALL
+"""
 
 
 @query(_OWNED.replace("fin AS (", "fin1 AS (") + f",\nfin AS (SELECT * REPLACE ({Q._BUCKET} AS bucket) FROM fin1)", _MAP_SQL)

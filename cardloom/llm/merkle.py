@@ -115,7 +115,8 @@ def build(rows: DataFrame, order: str, shards: int | None = None) -> Tree:
     nodes = durable(arrow_map(ordered, _stack, "shard int, grp string, level int, idx long, digest string, peak boolean, total long"))
     most = runs.agg(F.max("total")).first()[0] or 1
     depth = len(level_sizes(most)) - 1
-    edges = _merge(nodes.where("peak").select("grp", "total", "level", "idx", "digest"), depth)
+    peaks = durable(nodes.where("peak").select("grp", "total", "level", "idx", "digest"))  # few; each level reads them
+    edges = _merge(peaks, depth)
     roots = edges.where(_size(F.col("total"), F.col("level")) == 1).select("grp", F.col("digest").alias("root"))
     return Tree(placed, runs, nodes, edges, roots, shards)
 

@@ -32,11 +32,6 @@ CLAIMS = (
 )
 
 
-def read_cards(spark: SparkSession, *paths: str) -> DataFrame:
-    """Card shards, three columns only."""
-    return spark.read.parquet(*paths).select(*CARD_COLUMNS)
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -76,6 +76,19 @@ def test_last_card_counts(spark, order):
     assert (claim is None) == (order == (1, 2))  # the last card, also if it claims nothing
 
 
+def test_signals_of_card_shards(spark, tmp_path):
+    """Shards as they land: three of their columns are read, and the last row of the last shard counts."""
+    fields = "modelId string, createdAt string, card string, unused string"
+    first = [("o/a", "2024-01-01", f"{BULK_RUN} {OWN_DATA}", "u"), ("o/b", "2024-01-01", OWN_DATA, "u"), ("x/y", "2020-01-01", OWN_DATA, "u")]
+    for n, rows in enumerate((first, [("o/a", "2024-02-01", PLAIN, "u"), ("o/b", "2024-02-01", "", "u")])):
+        spark.createDataFrame(rows, fields).coalesce(1).write.parquet(f"{tmp_path}/{snapshots.shard_paths('cards.parquet', 2)[n]}")
+    shards = snapshots.placed_cards(spark, *[f"{tmp_path}/{p}" for p in snapshots.shard_paths("cards.parquet", 2)])
+    assert "unused" not in shards.columns and "unused" not in shards._jdf.queryExecution().executedPlan().toString()
+    rows = {r["modelId"]: r for r in T.resolved(wants(spark, ("o/a", None, True, True), ("o/b", None, True, True)), shards).collect()}
+    assert rows["o/a"]["compute"]["gpu_hours"] == 10 and rows["o/a"]["claim"] is None
+    assert rows["o/b"]["claim"]["earliest"] == "2020-01-01"  # the blank row says nothing, the older card of another dates it
+
+
 @pytest.mark.parametrize("bytes_", ["64", "100000000"])
 def test_last_wins_however_files_are_split(spark, tmp_path, bytes_):
     spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_)

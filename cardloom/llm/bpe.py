@@ -100,7 +100,8 @@ class TreeEncoder:
         """A text that the vectorized cut doesn't cover: the library's normalizer and splitter, then the tree."""
         tokenizer, out, at = self.encoder.tokenizer, [], 0
         while at <= len(text):
-            found = min(((p, a) for a in self.encoder.added if (p := text.find(a, at)) >= 0), key=lambda x: (x[0], -len(x[1])), default=(len(text), ""))
+            found = min(((p, a) for a in self.encoder.added if (p := text.find(a, at)) >= 0), key=lambda x: (x[0], -len(x[1])),
+                default=(len(text), ""))
             part = text[at : found[0]]
             if part:
                 part = tokenizer.normalizer.normalize_str(part) if tokenizer.normalizer else part
@@ -129,7 +130,8 @@ def _tree(path: str) -> TreeEncoder:
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Append input_ids (array<int>) and decoded (string) to every row; a name that is taken gets an underscore."""
     names = fresh(docs, "input_ids", "decoded")
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1],
+        T.StringType())])
 
     def run(batches):
         tree = _tree(path)
@@ -158,7 +160,8 @@ def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str =
                         part.column("doc_id"),
                         pa.array([int(b - a) for a, b in spans], pa.int64()),
                         pa.array([hashlib.sha256(ids[a:b].tobytes()).hexdigest() for a, b in spans], pa.string()),
-                        pa.array([hashlib.sha256(tree.decode(ids[a:b].tolist()).encode("utf-8", "surrogatepass")).hexdigest() for a, b in spans], pa.string()),
+                        pa.array([hashlib.sha256(tree.decode(ids[a:b].tolist()).encode("utf-8", "surrogatepass")).hexdigest() for a,
+                            b in spans], pa.string()),
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )

@@ -270,7 +270,8 @@ def components(edges: DataFrame) -> DataFrame:
             if new.where("moved").isEmpty():
                 break
         turns.append(up)
-        ends = edges.join(up.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
+        ends = edges.join(up.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(up.select(F.col("node").alias("b"),
+            F.col("root").alias("rb")), "b")
         left = durable(ends.where("ra != rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         drop(edges)
         edges = left
@@ -278,5 +279,6 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = turns[0]
     for up in turns[1:]:
-        found = found.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        found = found.join(up.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node",
+            F.coalesce("top", "root").alias("root"))
     return found

@@ -315,13 +315,20 @@ _LAYOUT = {
     "nav": ["nav", 'div class="menu"', 'ul class="nav navbar"', 'div id="navigation"', 'div class="breadcrumb"', 'div role="navigation"'],
     "header": ["header", 'div id="header"', 'div class="site-header masthead"', 'div role="banner"'],
     "footer": ["footer", 'div id="footer"', 'div class="site-footer"', 'div class="copyright"', 'div role="contentinfo"'],
-    "aside": ["aside", 'div class="sidebar"', 'div id="sidebar"', 'div class="widget"', 'div class="related posts"', 'section class="related"', 'div role="complementary"'],
-    "ad": ['div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="sponsored"', 'div class="promo"', 'div id="ad banner"', 'section class="ad"', 'p class="ad"', 'ins class="adsbygoogle"', 'div class="sponsor"', 'aside class="ad"'],
-    "notice": ['div class="cookie notice"', 'div id="cookie banner"', 'div class="gdpr consent"', 'div class="notice"', 'div role="alert"', 'div class="popup modal"', 'div class="newsletter subscribe"', 'div class="paywall"', 'section class="notice"', 'p class="notice"', 'div class="alert"', 'div class="disclaimer"'],
+    "aside": ["aside", 'div class="sidebar"', 'div id="sidebar"', 'div class="widget"', 'div class="related posts"',
+        'section class="related"', 'div role="complementary"'],
+    "ad": ['div class="ad"', 'div class="ads"', 'div class="advert"', 'div class="advertisement"', 'div class="sponsored"',
+        'div class="promo"', 'div id="ad banner"', 'section class="ad"', 'p class="ad"', 'ins class="adsbygoogle"', 'div class="sponsor"',
+        'aside class="ad"'],
+    "notice": ['div class="cookie notice"', 'div id="cookie banner"', 'div class="gdpr consent"', 'div class="notice"',
+        'div role="alert"', 'div class="popup modal"', 'div class="newsletter subscribe"', 'div class="paywall"',
+        'section class="notice"', 'p class="notice"', 'div class="alert"', 'div class="disclaimer"'],
     "form": ["form", 'form class="search"', 'form id="login"', 'div class="form"'],
-    "comments": ['section id="comments"', 'div class="comments"', 'div id="comments"', 'ol class="commentlist"', 'ul class="comments"', 'div class="disqus thread"', 'section class="reader comments"', 'div class="comment"'],
+    "comments": ['section id="comments"', 'div class="comments"', 'div id="comments"', 'ol class="commentlist"', 'ul class="comments"',
+        'div class="disqus thread"', 'section class="reader comments"', 'div class="comment"'],
     "share": ['div class="share social"', 'ul class="share"', 'div class="tags"', 'div class="pagination"'],
-    "main": ["article", "main", 'div class="content"', 'div id="content"', 'div class="post body"', 'div class="entry content"', 'section class="article"', 'div role="main"', 'div class="article body"', 'div class="story"'],
+    "main": ["article", "main", 'div class="content"', 'div id="content"', 'div class="post body"', 'div class="entry content"',
+        'section class="article"', 'div role="main"', 'div class="article body"', 'div class="story"'],
 }
 
 
@@ -359,11 +366,13 @@ def make_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
             labels.append(False)
         else:
             for _ in range(int(rng.integers(1, 4))):
-                leaf(pick(["p", "h3", "li", "div", "h1", "h2"]), words(1, 30, True) if rng.random() < 0.6 else f'<a href="/x">{words(1, 6)}</a>', False)
+                leaf(pick(["p", "h3", "li", "div", "h1", "h2"]), words(1, 30,
+                    True) if rng.random() < 0.6 else f'<a href="/x">{words(1, 6)}</a>', False)
         out.append(f"</{tag.split()[0]}>")
 
     leaf("title", words(2, 9), False)
-    before = [k for k, p in (("header", 0.5), ("nav", 0.8), ("notice", 0.4), ("ad", 0.5), ("form", 0.3), ("aside", 0.3)) if rng.random() < p]
+    before = [k for k, p in (("header", 0.5), ("nav", 0.8), ("notice", 0.4), ("ad", 0.5), ("form", 0.3), ("aside",
+        0.3)) if rng.random() < p]
     rng.shuffle(before)
     out.append("<body>")
     for k in before:
@@ -404,7 +413,8 @@ def make_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     if inside and rng.random() < 0.4:
         side("comments")
     out.append(f"</{tag.split()[0]}>" + ("</main>" if wrapped else ""))
-    after = [k for k, p in (("share", 0.2), ("comments", 0.4), ("aside", 0.4), ("ad", 0.3), ("form", 0.2), ("notice", 0.2)) if rng.random() < p]
+    after = [k for k, p in (("share", 0.2), ("comments", 0.4), ("aside", 0.4), ("ad", 0.3), ("form", 0.2), ("notice",
+        0.2)) if rng.random() < p]
     rng.shuffle(after)
     for k in after:
         side(k)
@@ -420,7 +430,8 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 0) -> Labeller:
     data = sorted((d for d in data if len(d[0]) == len(d[1])), key=lambda d: len(d[1]))
     size = INPUT + HIDDEN
     init = lambda *s: (rng.normal(0, 1, s) / np.sqrt(s[0])).astype(np.float32)
-    params = [init(size, 4 * HIDDEN), np.zeros(4 * HIDDEN, np.float32), init(size, 4 * HIDDEN), np.zeros(4 * HIDDEN, np.float32), init(2 * HIDDEN + INPUT, 1), np.zeros(1, np.float32)]
+    params = [init(size, 4 * HIDDEN), np.zeros(4 * HIDDEN, np.float32), init(size, 4 * HIDDEN), np.zeros(4 * HIDDEN, np.float32),
+        init(2 * HIDDEN + INPUT, 1), np.zeros(1, np.float32)]
     for b in (params[1], params[3]):
         b[HIDDEN : 2 * HIDDEN] = 1
     model = Labeller(params)
@@ -461,7 +472,8 @@ def extract_pages(pages: DataFrame, model: Labeller) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "html"):
                 texts = extract(own, [p or "" for p in part.column("html").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()),
+                    pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), "url", "html")
     return arrow_map(rows, run, "page_id long, url string, text string, n_chars long")

@@ -110,7 +110,8 @@ class LogBilinear:
             flat[ends[2] : ends[3]] = np.eye(WIDTH).ravel()
             flat[ends[3] :] = np.log(unigram)
         self.flat = flat
-        self.r, self.q, self.c1, self.c2, self.bias = (flat[a:b].reshape(s) for a, b, s in zip(np.concatenate([[0], ends[:-1]]), ends, sizes, strict=True))
+        self.r, self.q, self.c1, self.c2, self.bias = (flat[a:b].reshape(s) for a, b, s in zip(np.concatenate([[0], ends[:-1]]), ends,
+            sizes, strict=True))
 
     def train(self, batches, rate: float = RATE) -> int:
         """Steps of noise-contrastive estimation, with decaying scaled gradients; how many tokens were seen."""
@@ -198,17 +199,20 @@ def trained(docs: DataFrame, head: list[int], unigram: np.ndarray, total: int) -
             if seen:
                 slots = range(0, len(own.flat), SLOT)
                 sums = pa.array([own.flat[a : a + SLOT].astype(float) * seen for a in slots], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int32()), pa.array([float(seen)] * len(slots)), sums], ["slot", "seen", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(slots), pa.int32()), pa.array([float(seen)] * len(slots)), sums], ["slot",
+                    "seen", "sums"])
 
         def reduce(batches):
             total: dict[int, list] = {}
             for batch in batches:
-                for slot, seen, sums in zip(batch.column("slot").to_pylist(), batch.column("seen").to_pylist(), batch.column("sums"), strict=True):
+                for slot, seen, sums in zip(batch.column("slot").to_pylist(), batch.column("seen").to_pylist(), batch.column("sums"),
+                    strict=True):
                     held = total.setdefault(slot, [0.0, np.zeros(len(sums.values))])
                     held[0] += seen
                     held[1] += sums.values.to_numpy()
             if total:
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(s / n).tolist() for n, s in total.values()], pa.list_(pa.float64()))], ["slot", "mean"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([(s / n).tolist() for n,
+                    s in total.values()], pa.list_(pa.float64()))], ["slot", "mean"])
 
         sums = written(arrow_map(texts, run, "slot int, seen double, sums array<double>"), "lm-parameters")
         means = arrow_map(sums.repartition("slot"), reduce, "slot int, mean array<double>").collect()  # one set of parameters
@@ -261,8 +265,10 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
                 size = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(at, at + size)), part.column("doc_id"), pa.array(np.diff(bounds)), pa.array(sums(np.append(known, False)[head_or_none].astype(np.int64))), pa.array(sums(of_head)), pa.array(p),
-                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(hh[where]), pa.array(times)], ["h", "n"])),
+                        pa.array(np.arange(at, at + size)), part.column("doc_id"), pa.array(np.diff(bounds)),
+                            pa.array(sums(np.append(known, False)[head_or_none].astype(np.int64))), pa.array(sums(of_head)), pa.array(p),
+                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(hh[where]),
+                            pa.array(times)], ["h", "n"])),
                     ],
                     ["row", "doc_id", "n_tokens", "n_head", "base_head", "model", "rest"],
                 )
@@ -272,7 +278,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     rows = written(arrow_map(rows, run, "row long, doc_id long, n_tokens long, n_head long, base_head double, model double, rest array<struct<h:long,n:long>>"), "scored")
     c = F.coalesce("c", F.lit(0))
     whole = F.array(*[F.lit(float(n + PAD * (v + 1))) for n, v in shape_counts])
-    tail = rows.select("row", F.explode("rest").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n")).join(counts, "h", "left")
+    tail = rows.select("row", F.explode("rest").alias("t")).select("row", F.col("t.h").alias("h"), F.col("t.n").alias("n")).join(counts,
+        "h", "left")
     tail = tail.groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_rest"),
         F.sum(F.col("n") * F.log10((c + PAD) / (total + PAD * (kinds + 1)))).alias("base_rest"),
@@ -280,7 +287,8 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     )
     zero = lambda x: F.coalesce(x, F.lit(0))
     return rows.drop("rest").join(tail, "row", "left").select(
-        "doc_id", "n_tokens", (F.col("n_head") + zero("n_rest")).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
+        "doc_id", "n_tokens", (F.col("n_head") + zero("n_rest")).cast("long").alias("n_known"),
+            F.lit(int(total)).cast("long").alias("train_tokens"),
         (F.col("base_head") + zero("base_rest")).alias("base_score"), (F.col("model") + zero("model_rest")).alias("score"),
     )
 

@@ -103,15 +103,18 @@ def build(rows: DataFrame, order: str, shards: int | None = None) -> Tree:
         shards = max(1, -(-count // SHARD_ROWS), min(wanted, count // 1000))
     by = [F.col("grp"), F.col(order).asc_nulls_first(), F.col("leaf"), F.col("place")]
     dealt = rows.withColumn("place", F.xxhash64(F.monotonically_increasing_id())).repartitionByRange(shards, *by).sortWithinPartitions(*by)
-    dealt = durable(dealt.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("place"), "grp", "leaf", "data"))
+    dealt = durable(dealt.select(F.spark_partition_id().alias("shard"), F.monotonically_increasing_id().alias("place"), "grp", "leaf",
+        "data"))
     found = dealt.groupBy("shard", "grp").agg(F.count(F.lit(1)).alias("rows"), F.min("place").alias("first"))
     whole = Window.partitionBy("grp")  # one row for each shard
     before = whole.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    runs = durable(found.select("*", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"), F.sum("rows").over(whole).alias("total")))
+    runs = durable(found.select("*", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"),
+        F.sum("rows").over(whole).alias("total")))
     placed = dealt.join(small(runs.select("shard", "grp", "first", "start", "total")), ["shard", "grp"])
     placed = placed.select("shard", "grp", (F.col("start") + F.col("place") - F.col("first")).alias("idx"), "total", "leaf", "data")
     shards = (runs.agg(F.max("shard")).first()[0] or 0) + 1
-    ordered = placed.select("shard", "grp", "idx", "total", "leaf").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "grp", "idx")
+    ordered = placed.select("shard", "grp", "idx", "total", "leaf").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard",
+        "grp", "idx")
     nodes = durable(arrow_map(ordered, _stack, "shard int, grp string, level int, idx long, digest string, peak boolean, total long"))
     most = runs.agg(F.max("total")).first()[0] or 1
     depth = len(level_sizes(most)) - 1
@@ -138,7 +141,8 @@ def _stack(batches):
         shard, grp, level, idx, digest, peak, total = zip(*out, strict=True)
         out.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array(shard, pa.int32()), pa.array(grp, pa.string()), pa.array(level, pa.int32()), pa.array(idx, pa.int64()), pa.array(digest, pa.string()), pa.array(peak, pa.bool_()), pa.array(total, pa.int64())],
+            [pa.array(shard, pa.int32()), pa.array(grp, pa.string()), pa.array(level, pa.int32()), pa.array(idx, pa.int64()),
+                pa.array(digest, pa.string()), pa.array(peak, pa.bool_()), pa.array(total, pa.int64())],
             ["shard", "grp", "level", "idx", "digest", "peak", "total"],
         )
 
@@ -170,7 +174,8 @@ def _merge(peaks: DataFrame, depth: int) -> DataFrame:
         run = F.sort_array(F.collect_list(F.struct("idx", "digest")))["digest"]  # at most FANOUT
         made = durable(
             at.groupBy("grp", "total", "parent").agg(run.alias("run"))
-            .select("grp", "total", F.lit(level + 1).alias("level"), F.col("parent").alias("idx"), F.sha2(F.concat_ws("", "run"), 256).alias("digest"))
+            .select("grp", "total", F.lit(level + 1).alias("level"), F.col("parent").alias("idx"), F.sha2(F.concat_ws("", "run"),
+                256).alias("digest"))
         )
         all_nodes = all_nodes.union(made)
     return all_nodes
@@ -200,14 +205,17 @@ def proofs(tree: Tree, above: DataFrame | None = None) -> DataFrame:
     no_path = F.lit(None).cast(PATH).alias("above")
     other = _siblings_elsewhere(tree.runs).join(tree.edges.select("grp", "level", "idx", "digest"), ["grp", "level", "idx"])
     head = tree.runs.join(tree.roots, "grp")
-    head = head.join(above.select("grp", F.col("path").alias("above")), "grp") if above is not None else head.withColumn("above", F.array().cast(PATH))
+    head = head.join(above.select("grp", F.col("path").alias("above")), "grp") if above is not None else head.withColumn("above",
+        F.array().cast(PATH))
     rows = (
-        tree.leaves.select("shard", "grp", F.lit(0).alias("level"), "idx", F.col("leaf").alias("digest"), F.lit(True).alias("own"), "data", no_path)
+        tree.leaves.select("shard", "grp", F.lit(0).alias("level"), "idx", F.col("leaf").alias("digest"), F.lit(True).alias("own"),
+            "data", no_path)
         .union(tree.nodes.where("NOT peak").select("shard", "grp", "level", "idx", "digest", F.lit(False), empty, no_path))
         .union(other.select("shard", "grp", "level", "idx", "digest", F.lit(False), empty, no_path))
         .union(head.select("shard", "grp", F.lit(HEAD), "total", "root", F.lit(False), empty, "above"))
     )
-    together = rows.repartitionById(tree.shards, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("grp"), F.col("level").desc(), F.col("idx"))
+    together = rows.repartitionById(tree.shards, F.col("shard")).sortWithinPartitions(F.col("shard"), F.col("grp"), F.col("level").desc(),
+        F.col("idx"))
     schema = T.StructType([T.StructField("data", data), T.StructField("leaf", T.StringType()), T.StructField("root", T.StringType())])
     schema = schema.add("path", spark.createDataFrame([], f"path {PATH}").schema["path"].dataType)
     return arrow_map(together, _paths, schema)
@@ -281,7 +289,8 @@ def _run_paths(batches: list[pa.RecordBatch]):
         pairs = pa.StructArray.from_arrays([lefts.take(places), rights.take(places)], ["left", "right"])
         path = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1) * len(steps), pa.int32()), pairs)
         take = pa.array(mine)
-        yield pa.RecordBatch.from_arrays([data.take(take), digest.take(take), pa.array([head["digest"]] * len(mine), pa.string()), path], ["data", "leaf", "root", "path"])
+        yield pa.RecordBatch.from_arrays([data.take(take), digest.take(take), pa.array([head["digest"]] * len(mine), pa.string()), path],
+            ["data", "leaf", "root", "path"])
 
 
 def proof_digest(path: Column) -> Column:
@@ -309,7 +318,8 @@ def manifest(docs: DataFrame, shards: int | None = None) -> DataFrame:
     rows = docs.select(name.alias("grp"), F.col("doc_id").cast("long").alias("ord"), leaf.alias("leaf"), tampered.alias("tampered"))
     rows = durable(rows).withColumn("data", F.struct(F.col("ord").alias("doc_id"), "tampered"))
     tree = build(rows, "ord", shards)
-    top = build(tree.roots.select(F.lit("").alias("grp"), F.col("grp").alias("ord"), F.col("root").alias("leaf"), F.struct("grp").alias("data")), "ord")
+    top = build(tree.roots.select(F.lit("").alias("grp"), F.col("grp").alias("ord"), F.col("root").alias("leaf"),
+        F.struct("grp").alias("data")), "ord")
     above = proofs(top).select(F.col("data.grp").alias("grp"), "path")
     root = top.roots.first()  # one row
     return proofs(tree, durable(above)).select(
@@ -321,7 +331,8 @@ def manifest(docs: DataFrame, shards: int | None = None) -> DataFrame:
 def verified(rows: DataFrame) -> DataFrame:
     """Digests of the proofs, the root that the tampered leaf gives, and whether it is the root."""
     full = rows.withColumn("folded_root", folded(F.col("tampered"), F.col("path")))
-    return full.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+    return full.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
 def op12_mountain_range(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,18 +133,21 @@ def sketched(docs: DataFrame) -> DataFrame:
                 flat = np.concatenate([s for s in sketches if s is not None] or [np.zeros(0, np.int64)])
                 edge = np.concatenate([[0], np.cumsum([0 if s is None else SKETCHES for s in sketches])])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(_nodes(words, first), pa.binary()), pa.array(np.diff(first), pa.int64()), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat))],
+                    [part.column("doc_id"), pa.array(_nodes(words, first), pa.binary()), pa.array(np.diff(first), pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(flat))],
                     ["doc_id", "node", "words", "sketches"],
                 )
 
-    return arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, node binary, words long, sketches array<long>")
+    return arrow_map(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run,
+        "doc_id long, node binary, words long, sketches array<long>")
 
 
 def _with_nodes(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(_nodes(*hashed_words(part.column("text"))), pa.binary()), part.column("text")], ["node", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(_nodes(*hashed_words(part.column("text"))), pa.binary()), part.column("text")],
+                    ["node", "text"])
 
     return arrow_map(docs.select("text"), run, "node binary, text string")
 
@@ -171,16 +174,19 @@ class Forest:
 
 
 def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["center", "node"])
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())],
+        ["center", "node"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (center, node) that join the same texts as those pairs (center, node) whose texts are similar enough."""
     heavy = pairs.groupBy("center").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
-    dealt = pairs.join(small(durable(heavy)), "center", "left").select("center", "node", F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / CHUNK)), F.lit(0)).alias("chunk"))
+    dealt = pairs.join(small(durable(heavy)), "center", "left").select("center", "node", F.coalesce(F.pmod(F.xxhash64("node"),
+        F.ceil(F.col("n") / CHUNK)), F.lit(0)).alias("chunk"))
     dealt = durable(dealt)
     members = dealt.join(texts, "node").select("center", "chunk", F.lit(1).alias("side"), "node", "text")
-    heads = dealt.select("center", "chunk").distinct().join(texts.withColumnRenamed("node", "center"), "center").select("center", "chunk", F.lit(0).alias("side"), F.col("center").alias("node"), "text")
+    heads = dealt.select("center", "chunk").distinct().join(texts.withColumnRenamed("node", "center"), "center").select("center", "chunk",
+        F.lit(0).alias("side"), F.col("center").alias("node"), "text")
     both = members.unionByName(heads).repartition("center", "chunk").sortWithinPartitions("center", "chunk", "side", "node")
 
     def run(batches):
@@ -189,7 +195,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for part in chunks(batch):
                 g, bounds = shingles(*hashed_words(part.column("text")))
                 found = []
-                for i, (c, k, side, node) in enumerate(zip(*[part.column(n).to_pylist() for n in ("center", "chunk", "side", "node")], strict=True)):
+                for i, (c, k, side, node) in enumerate(zip(*[part.column(n).to_pylist() for n in ("center", "chunk", "side", "node")],
+                    strict=True)):
                     mine = g[bounds[i] : bounds[i + 1]]
                     if side == 0:
                         center, chunk, own, first = c, k, mine.copy(), None
@@ -237,22 +244,26 @@ def _leaders(rows: DataFrame, keys: list[str]) -> DataFrame:
                     centers.append(None)
                     found.append(node)
                     where.append(k[0])
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(centers, pa.binary()), pa.array(found, pa.binary())], ["bucket", "center", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), pa.array(centers, pa.binary()), pa.array(found, pa.binary())],
+                ["bucket", "center", "node"])
 
     return arrow_map(sorted_rows, run, "bucket long, center binary, node binary")
 
 
 def _dealt(rows: DataFrame, seed: int) -> DataFrame:
-    return rows.withColumns({"rank": F.xxhash64("node", F.lit(0)), "part": F.pmod(F.xxhash64("node", F.lit(seed)), F.ceil(F.col("n") / PART))})
+    return rows.withColumns({"rank": F.xxhash64("node", F.lit(0)), "part": F.pmod(F.xxhash64("node", F.lit(seed)),
+        F.ceil(F.col("n") / PART))})
 
 
 def _led(rows: DataFrame) -> DataFrame:
     """Candidate pairs: of leaders in parts of a bucket with their followers, then among the leaders of its parts, in parts again."""
     first = durable(_leaders(_dealt(rows, -1), ["bucket", "part"]))
-    large = rows.where(F.col("n") > PART).drop("n").join(first.where("center IS NULL").select("bucket", "node"), ["bucket", "node"], "left_semi")
+    large = rows.where(F.col("n") > PART).drop("n").join(first.where("center IS NULL").select("bucket", "node"), ["bucket", "node"],
+        "left_semi")
     large = durable(large)
     again = large.join(large.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "bucket")
-    pairs = first.where("center IS NOT NULL").select("center", "node").union(_leaders(_dealt(again, -2), ["bucket", "part"]).where("center IS NOT NULL").select("center", "node"))
+    pairs = first.where("center IS NOT NULL").select("center", "node").union(_leaders(_dealt(again, -2), ["bucket",
+        "part"]).where("center IS NOT NULL").select("center", "node"))
     out = durable(pairs.select(F.least("center", "node").alias("center"), F.greatest("center", "node").alias("node")).distinct())
     drop(first, large)
     return out
@@ -269,7 +280,8 @@ def _wanted(k: int, a: np.ndarray, b: np.ndarray, matrix: np.ndarray, root: np.n
         else:
             equal += same
     x, y = size[a][:, None], size[b][None, :]
-    return (equal >= np.minimum(need[a][:, None], need[b][None, :])) & (root[a][:, None] != root[b][None, :]) & (np.minimum(x, y) >= THRESHOLD * np.maximum(x, y))
+    return (equal >= np.minimum(need[a][:, None], need[b][None, :])) & (root[a][:, None] != root[b][None, :]) & (np.minimum(x,
+        y) >= THRESHOLD * np.maximum(x, y))
 
 
 def _codes(values: list) -> np.ndarray:
@@ -294,7 +306,8 @@ def _runs(batches, keys: tuple[str, ...], columns: tuple[str, ...]):
         values = {}
         for c in columns:
             col = batch.column(c)
-            values[c] = np.asarray(col.values.slice(col.offset * SKETCHES, len(col) * SKETCHES)).reshape(-1, SKETCHES) if c == "sketches" else col.to_pylist()
+            values[c] = np.asarray(col.values.slice(col.offset * SKETCHES, len(col) * SKETCHES)).reshape(-1,
+                SKETCHES) if c == "sketches" else col.to_pylist()
         for a, b in zip(edge, edge[1:], strict=False):
             new = tuple(int(c[a]) for c in names)
             if new != key:
@@ -312,9 +325,11 @@ def _rest(rows: DataFrame) -> DataFrame:
     first of them this bucket's. Parts of a large bucket meet two by two, each two in a group of their own. Rows bucket, k, x, y,
     side, node, root, words, sketches: a text once for each tile (x, y) of about TILE by TILE texts that it has a pair in."""
     parts = F.ceil(F.col("n") / PART).cast("int")
-    dealt = rows.withColumns({"own": F.pmod(F.xxhash64("node", F.lit(-1)), parts).cast("int"), "tile": F.pmod(F.xxhash64("node", F.lit(-3)), F.ceil(F.col("n") / TILE)).cast("int")})
+    dealt = rows.withColumns({"own": F.pmod(F.xxhash64("node", F.lit(-1)), parts).cast("int"), "tile": F.pmod(F.xxhash64("node",
+        F.lit(-3)), F.ceil(F.col("n") / TILE)).cast("int")})
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("bucket", "i", "j", "k", "own", "tile", "node", "root", "words", "sketches")
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("bucket", "i", "j", "k", "own",
+        "tile", "node", "root", "words", "sketches")
     sorted_rows = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "own", "root", "node")
 
     def run(batches):
@@ -342,8 +357,11 @@ def _rest(rows: DataFrame) -> DataFrame:
             x, y, at = np.unique(np.concatenate(found), axis=0).T
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(at), bucket)), pa.array(np.full(len(at), k), pa.int32()), pa.array(x, pa.int32()), pa.array(y, pa.int32()), pa.array(tile[at], pa.int32()), pa.array([of["node"][n] for n in at], pa.binary()),
-                    pa.array([of["root"][n] for n in at], pa.binary()), pa.array(words[at], pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * SKETCHES, pa.int32()), pa.array(of["sketches"][at].ravel())),
+                    pa.array(np.full(len(at), bucket)), pa.array(np.full(len(at), k), pa.int32()), pa.array(x, pa.int32()), pa.array(y,
+                        pa.int32()), pa.array(tile[at], pa.int32()), pa.array([of["node"][n] for n in at], pa.binary()),
+                    pa.array([of["root"][n] for n in at], pa.binary()), pa.array(words[at], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * SKETCHES, pa.int32()),
+                        pa.array(of["sketches"][at].ravel())),
                 ],
                 ["bucket", "k", "x", "y", "side", "node", "root", "words", "sketches"],
             )
@@ -401,8 +419,10 @@ def _verified_rest(members: DataFrame, texts: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, node, words, class_id and class_size."""
     rows = written(sketched(docs), "sketches")
-    nodes = durable(rows.where(F.size("sketches") > 0).groupBy("node").agg(F.first("sketches").alias("sketches"), F.first("words").alias("words")))
-    entries = nodes.select("node", F.posexplode("sketches").alias("k", "value")).select("node", "k", F.xxhash64("k", "value").alias("bucket"))
+    nodes = durable(rows.where(F.size("sketches") > 0).groupBy("node").agg(F.first("sketches").alias("sketches"),
+        F.first("words").alias("words")))
+    entries = nodes.select("node", F.posexplode("sketches").alias("k", "value")).select("node", "k", F.xxhash64("k",
+        "value").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = written(entries.join(shared, "bucket"), "buckets")
     wanted = buckets.select("node").distinct()
@@ -420,7 +440,8 @@ def groups(docs: DataFrame) -> DataFrame:
     if not good.isEmpty():
         roots = durable(components(edges.union(good.select(F.col("center").alias("a"), F.col("node").alias("b")))))
     drop(members, good, links, texts)
-    each = rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("head"), F.count(F.lit(1)).alias("n"))
+    each = rows.groupBy("node").agg(F.min("doc_id").alias("id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id",
+        "node")).alias("head"), F.count(F.lit(1)).alias("n"))
     each = durable(each.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     classes = each.groupBy("root").agg(F.min("id").alias("class_id"), F.min("head").alias("head"), F.sum("n").alias("class_size"))
     of_node = durable(lookup(each.select("node", "root"), classes, "root").drop("root"))
@@ -436,12 +457,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_nodes(*hashed_words(part.column("text"))), pa.binary())], [*part.schema.names, own])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_nodes(*hashed_words(part.column("text"))), pa.binary())],
+                    [*part.schema.names, own])
 
     marked = arrow_map(docs, run, T.StructType([*docs.schema.fields, T.StructField(own, T.BinaryType())]))
     here = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(node))
     kept = marked.join(heads, here, "left_semi")
-    repeats = found.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(id_), F.col("node").alias(node))
+    repeats = found.groupBy("doc_id", "node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(id_),
+        F.col("node").alias(node))
     if repeats.isEmpty():
         return kept.select(*docs.columns)
     row = F.struct(*[F.col(c) for c in docs.columns])

@@ -117,7 +117,8 @@ class ChunkTable:
     def texts(self, col: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
         """Of each text: the number of ids, the decimal ids joined by commas, and the decoded text."""
         rows, place, bounds = self.look_up(col)
-        size, decimal, decoded = (np.array([f(r) for r in rows], t) for f, t in ((lambda r: len(r[0]), np.int64), (lambda r: r[1], object), (lambda r: r[2], object)))
+        size, decimal, decoded = (np.array([f(r) for r in rows], t) for f, t in ((lambda r: len(r[0]), np.int64), (lambda r: r[1],
+            object), (lambda r: r[2], object)))
         total = np.concatenate([[0], np.cumsum(size[place])]).astype(np.int64)
         spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
         join = lambda what, by: [by.join(what[place[a:b]].tolist()) for a, b in spans]
@@ -130,7 +131,8 @@ on_leave(__name__, ChunkTable._loaded.clear)
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Append input_ids (array<int>) and decoded (string) to every row; a name that is taken gets an underscore."""
     names = fresh(docs, "input_ids", "decoded")
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.StringType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1],
+        T.StringType())])
 
     def run(batches):
         known = ChunkTable.of(path)
@@ -138,7 +140,8 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
             for part in chunks(batch, text):
                 ids, bounds = known.encode(part.column(text))
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(known.texts(part.column(text))[2], pa.string())], [*part.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(known.texts(part.column(text))[2], pa.string())],
+                    [*part.schema.names, *names])
 
     return arrow_map(docs, run, schema)
 
@@ -152,7 +155,8 @@ def encode_digests(docs: DataFrame, path: str, key: str = "doc_id", text: str =
         for batch in batches:
             for part in chunks(batch):
                 count, decimal, decoded = known.texts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), digest(decimal), digest(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(count, pa.int64()), digest(decimal), digest(decoded)],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     return arrow_map(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,8 +31,10 @@ MAX_SYMBOLS, MAX_RUN, MAX_LOST = 0.3, 0.3, 0.5
 #: Symbols, and phrases of boilerplate lines, lower case.
 SYMBOLS = b"#*$%&|<>"
 BOILERPLATE = (
-    "all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "accept cookies", "we use cookies", "licensed under",
-    "this work is licensed", "skip to content", "enable javascript", "click here", "sign up for", "subscribe to our", "log in to", "share this", "back to top",
+    "all rights reserved", "terms of service", "terms of use", "privacy policy", "cookie policy", "accept cookies", "we use cookies",
+        "licensed under",
+    "this work is licensed", "skip to content", "enable javascript", "click here", "sign up for", "subscribe to our", "log in to",
+        "share this", "back to top",
     "tous droits réservés", "alle rechte vorbehalten", "todos los derechos reservados",
 )
 MENU = frozenset("home about contact menu login search next previous prev help faq sitemap share print".split())
@@ -136,7 +138,8 @@ def quality_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             for part in chunks(batch):
                 found, _ = verdicts(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array(found[k], pa.int64()) for k in names], pa.array(found["base_failed"]), pa.array(found["kept"])],
+                    [part.column("doc_id"), *[pa.array(found[k], pa.int64()) for k in names], pa.array(found["base_failed"]),
+                        pa.array(found["kept"])],
                     ["doc_id", *names, "base_failed", "kept"],
                 )
 

@@ -33,7 +33,8 @@ def draw(key: Column, shard: Column | int) -> Column:
 
 def choose(draws: list[Column], weights: list[float]) -> Column:
     """The shard of largest weighted draw; ties go to the lower number."""
-    scores = [F.struct((F.lit(float(w)) / -F.log(u)).alias("score"), F.lit(-i).alias("n")) for i, (u, w) in enumerate(zip(draws, weights, strict=True))]
+    scores = [F.struct((F.lit(float(w)) / -F.log(u)).alias("score"), F.lit(-i).alias("n")) for i, (u, w) in enumerate(zip(draws, weights,
+        strict=True))]
     return (-F.greatest(*scores)["n"] if len(scores) > 1 else F.lit(0)).cast("int")
 
 
@@ -59,7 +60,8 @@ def shard_documents(docs: DataFrame, weights: list[float] | None = None, key: st
         "doc_id", "size", "text_crc32", "copies",
         choose([F.col("u")[i] for i in range(len(weights))], weights).alias("shard"),
         choose([F.col("u")[i] for i in range(len(grown))], grown).alias("grown_shard"),
-        F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size", "text_crc32").cast("binary")), 1, 8), 16, 10).cast("long").alias("spread"),
+        F.conv(F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "size",
+            "text_crc32").cast("binary")), 1, 8), 16, 10).cast("long").alias("spread"),
     ).withColumn("block", F.pmod("spread", F.lit(BLOCKS)).cast("int")).drop("spread")
     placed = durable(placed)
     per_block = placed.groupBy("shard", "block").agg(F.sum("copies").alias("n"))
@@ -70,7 +72,8 @@ def shard_documents(docs: DataFrame, weights: list[float] | None = None, key: st
     pieces = slots.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / PIECE))))
     return pieces.select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        F.explode(F.sequence(F.col("base") + F.col("first") + F.col("piece") * PIECE, F.col("base") + F.col("first") + F.least(F.col("copies"), (F.col("piece") + 1) * PIECE) - 1)).alias("slot"),
+        F.explode(F.sequence(F.col("base") + F.col("first") + F.col("piece") * PIECE,
+            F.col("base") + F.col("first") + F.least(F.col("copies"), (F.col("piece") + 1) * PIECE) - 1)).alias("slot"),
         "grown_shard",
     )
 

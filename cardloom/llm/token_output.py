@@ -116,7 +116,9 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             ids = np.concatenate(held)
             width = 2 if int(ids.max()) < 1 << 16 else 4
             return pa.RecordBatch.from_arrays(
-                [pa.array([shard], pa.int32()), pa.array([piece], pa.int32()), pa.array([total], pa.int64()), pa.array([keys], pa.list_(pa.int64())), pa.array([ef_encode(np.cumsum(sizes), width)], pa.binary()), pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary())],
+                [pa.array([shard], pa.int32()), pa.array([piece], pa.int32()), pa.array([total], pa.int64()), pa.array([keys],
+                    pa.list_(pa.int64())), pa.array([ef_encode(np.cumsum(sizes), width)], pa.binary()),
+                    pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary())],
                 ["shard", "piece", "n_ids", "docs", "bounds", "ids"],
             )
 
@@ -164,7 +166,8 @@ def read_tokens(files: DataFrame, with_ids: bool = True) -> DataFrame:
                 begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 ids = np.frombuffer(row["ids"], f"<u{code.width}").astype("<u4")
                 spans = list(zip(begins, ends, strict=True))
-                columns = [pa.array(row["docs"], pa.int64()), pa.array(begins + row["start"], pa.int64()), pa.array(ends - begins, pa.int64()), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in spans], pa.int64())]
+                columns = [pa.array(row["docs"], pa.int64()), pa.array(begins + row["start"], pa.int64()), pa.array(ends - begins,
+                    pa.int64()), pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in spans], pa.int64())]
                 if with_ids:
                     columns.append(pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])

@@ -27,7 +27,9 @@ SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 
 
 def _known() -> list[range]:
-    return [range(0x20, 0x7F), range(0xA0, 0x250), range(0x384, 0x400), range(0x400, 0x483), range(0x48A, 0x500), range(0x2010, 0x2028), range(0x2030, 0x205F), range(0x20A0, 0x20C0), range(0x3041, 0x3097), range(0x30A0, 0x3100), range(0x4E00, 0xA000), range(0xAC00, 0xD7A4)]
+    return [range(0x20, 0x7F), range(0xA0, 0x250), range(0x384, 0x400), range(0x400, 0x483), range(0x48A, 0x500), range(0x2010, 0x2028),
+        range(0x2030, 0x205F), range(0x20A0, 0x20C0), range(0x3041, 0x3097), range(0x30A0, 0x3100), range(0x4E00, 0xA000), range(0xAC00,
+        0xD7A4)]
 
 
 def tables() -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +74,8 @@ class Encoder:
         self.added = [a["content"] for a in spec["added_tokens"]]
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.fast = steps == ["NFC", "Replace", "Lowercase"] and bool(pre) and pre[0].get("pattern") == {"Regex": SPLIT} and spec["model"]["type"] == "BPE"
+        self.fast = steps == ["NFC", "Replace",
+            "Lowercase"] and bool(pre) and pre[0].get("pattern") == {"Regex": SPLIT} and spec["model"]["type"] == "BPE"
         self.model = self.tokenizer.model
         self.word_ids = word_ids or self.library_ids
         self.cache: dict[str, list[int]] = {}

@@ -265,7 +265,8 @@ def fit(bags: list[list[str]], labels: np.ndarray) -> Model:
                 chosen[u] = chosen.get(u, 0) + 1
         positives = sorted(chosen, key=lambda u: (-chosen[u] * max(value[u], 0), u))
         hard = np.argsort(-model.values(negatives), kind="stable")
-        marks = positives[: LANDMARKS // 2] + positives[LANDMARKS // 2 :: max(1, len(positives) // (LANDMARKS // 4))][: LANDMARKS // 4] + [negatives[i] for i in hard[: LANDMARKS // 4]]
+        marks = positives[: LANDMARKS // 2] + positives[LANDMARKS // 2 :: max(1,
+            len(positives) // (LANDMARKS // 4))][: LANDMARKS // 4] + [negatives[i] for i in hard[: LANDMARKS // 4]]
         w, ids, v = phi(marks, letters)
         used = np.unique(ids)  # triples of no landmark have no row
         if not len(used) or not positives:
@@ -333,14 +334,17 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on the bounded sample of labelled rows outside the held-out fold."""
     own = labels.where(F.col("toxic").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rank = F.xxhash64("doc_id")
-    some = own.where("toxic > 0").orderBy(rank, "doc_id").limit(MAX_TOXIC).union(own.where("toxic <= 0").orderBy(rank, "doc_id").limit(MAX_CLEAN))
-    texts = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).select("doc_id", "text").join(F.broadcast(some), "doc_id")  # MAX_TOXIC + MAX_CLEAN ids at most
+    some = own.where("toxic > 0").orderBy(rank, "doc_id").limit(MAX_TOXIC).union(own.where("toxic <= 0").orderBy(rank,
+        "doc_id").limit(MAX_CLEAN))
+    texts = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST).select("doc_id", "text").join(F.broadcast(some),
+        "doc_id")  # MAX_TOXIC + MAX_CLEAN ids at most
     texts = texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches):
         for batch in batches:
             bags = ["\n".join(units(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(bags, pa.string())], ["doc_id", "toxic", "units"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(bags, pa.string())], ["doc_id",
+                "toxic", "units"])
 
     kinds = dict(texts.dtypes)
     rows = arrow_map(texts, run, f"doc_id {kinds['doc_id']}, toxic {kinds['toxic']}, units string").collect()
@@ -378,7 +382,8 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in chunks(batch):
                 s = own.scores([t or "" for t in part.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array(s >= THRESHOLD).cast(pa.int32())], ["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array(s >= THRESHOLD).cast(pa.int32())],
+                    ["doc_id", "score", "predicted"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return arrow_map(rows, run, "doc_id long, score double, predicted int")

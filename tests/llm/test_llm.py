@@ -17,7 +17,9 @@ from cardloom.llm.tokens import UNSURE, tables
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string"
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(20_000))
-ODD = [(None, None, "en", "s", 0, "x"), (1, "", "en", "s", 0, "x"), (2, "   \n\t", None, None, None, None), (3, "one two", "en", "s", 7, "x"), (3, "one two", "en", "s", 7, "x"), (4, LONG, "en", "s", 1, "x"), (5, LONG, "en", "s", 1, "x"), (6, "é日本́ <|endoftext|> 's x", "en", "s", 1, "x"), (None, "a a a a a a a a", "en", "s", 1, "x")]
+ODD = [(None, None, "en", "s", 0, "x"), (1, "", "en", "s", 0, "x"), (2, "   \n\t", None, None, None, None), (3, "one two", "en", "s", 7,
+    "x"), (3, "one two", "en", "s", 7, "x"), (4, LONG, "en", "s", 1, "x"), (5, LONG, "en", "s", 1, "x"), (6, "é日本́ <|endoftext|> 's x",
+    "en", "s", 1, "x"), (None, "a a a a a a a a", "en", "s", 1, "x")]
 
 
 @pytest.fixture(scope="module")
@@ -101,7 +103,8 @@ def test_sharding_weights(spark):
 
 def test_quality_brute(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet")
-    got = quality_rules.quality_digests(spark.createDataFrame(ODD, SCHEMA).select("doc_id", "text").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))).toPandas()
+    got = quality_rules.quality_digests(spark.createDataFrame(ODD, SCHEMA).select("doc_id",
+        "text").union(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))).toPandas()
     texts = [x[1] for x in ODD] + list(docs.text)
 
     def brute(x):
@@ -117,7 +120,8 @@ def test_quality_brute(spark):
                 seen.add(line)
         return len(w), sum(map(len, w)), sum((x or "").count(c) for c in "#*$%&|<>"), again, len(covered)
 
-    assert Counter(brute(x) for x in texts) == Counter(map(tuple, got[["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]].values.tolist()))
+    assert Counter(brute(x) for x in texts) == Counter(map(tuple, got[["n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "n_repeat_words"]].values.tolist()))
 
 
 def test_quality_rules(odd, none):
@@ -135,7 +139,8 @@ def test_quality_rules(odd, none):
 
 def test_decontamination(spark, odd, none):
     item = " ".join(f"w{i}" for i in range(20))
-    docs = spark.createDataFrame([(1, "x " + item.upper() + " y"), (2, " ".join(item.split()[:12])), (3, "foo Short-Item bar"), (4, None), (4, None), (5, " ".join(f"z{i}" for i in range(900)) + " " + item)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + item.upper() + " y"), (2, " ".join(item.split()[:12])), (3, "foo Short-Item bar"), (4, None),
+        (4, None), (5, " ".join(f"z{i}" for i in range(900)) + " " + item)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item), (2, "short item"), (3, None), (None, "..."), (1, item)], "item_id long, text string")
     got = {r["doc_id"]: r for r in decontamination.decontamination_report(docs, bench).collect()}
     assert (got[1]["n_hit"], got[1]["n_items"], got[1]["contaminated"]) == (20, 1, True)
@@ -148,7 +153,8 @@ def test_decontamination(spark, odd, none):
 
 
 def test_chat(spark):
-    rows = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, "cy", "yo"), (1, 2, "cy", "yo"), (1, None, None, "z"), (2, 0, "system", "s"), (None, 0, "ann", "q")]
+    rows = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 2, "cy", "yo"), (1, 2, "cy", "yo"), (1, None, None, "z"), (2, 0, "system", "s"),
+        (None, 0, "ann", "q")]
     got = chat_format.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).toPandas()
     assert len(got) == 5 * 4 + 1
     for (_, _), g in got.groupby(["conv_id", "perspective"], dropna=False):
@@ -164,7 +170,8 @@ def test_near_dedup(spark, odd, none):
     near = base.copy()
     near[100] = "changed"
     far = [f"v{rng.randrange(5000)}" for _ in range(150)] + base[:150]
-    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(base)), (5, None), (6, ""), (7, "a b"), (8, "a b")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(base)), (5, None), (6, ""),
+        (7, "a b"), (8, "a b")], "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.groups(docs).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5, 6: 5, 7: 7, 8: 7}
     assert sorted(r["doc_id"] for r in near_dedup.keep_one(docs).collect()) == [1, 3, 5, 7]
@@ -197,7 +204,8 @@ def test_near_dedup_template_family(spark):
     texts += [edited(texts[rng.randrange(580)], rng.randint(5, 6), f"c{i}") for i in range(20)]
     texts = [" ".join(t) for t in texts]
     g, b = near_dedup.shingles(*hashed_words(pa.array(texts)))
-    cls = {r["doc_id"]: r["class_id"] for r in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    cls = {r["doc_id"]: r["class_id"] for r in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)),
+        "doc_id long, text string")).collect()}
     pairs = [(i, j) for i in range(600) for j in range(i + 1, 600) if near_dedup.similarity(g[b[i] : b[i + 1]], g[b[j] : b[j + 1]])]
     assert len(pairs) == 678 and all(cls[i] == cls[j] for i, j in pairs)
 
@@ -225,7 +233,8 @@ def test_hot_keys_are_split(spark, monkeypatch):
     item = " ".join(f"w{i}" for i in range(20))
     rows = [(i, ("hot " + item, "hot clean text", f"rare {i} {item}", f"clean {i}")[i % 4]) for i in range(200)]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
-    found = lambda: (sorted(map(tuple, decontamination.decontamination_report(docs, bench).collect())), sorted(r["doc_id"] for r in decontamination.remove_contaminated(docs, bench).collect()))
+    found = lambda: (sorted(map(tuple, decontamination.decontamination_report(docs, bench).collect())),
+        sorted(r["doc_id"] for r in decontamination.remove_contaminated(docs, bench).collect()))
     want = found()
     monkeypatch.setattr(common, "HEAVY", 10)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 2)
@@ -247,7 +256,8 @@ def test_lm_learns_alike_for_any_partition_count(spark):
 
 
 def test_lm_clashing_columns(spark):
-    docs = spark.createDataFrame([(1, "a b a", 1, "x", 2.0), (2, None, 1, "x", 2.0)], "doc_id long, text string, row int, h string, model double")
+    docs = spark.createDataFrame([(1, "a b a", 1, "x", 2.0), (2, None, 1, "x", 2.0)],
+        "doc_id long, text string, row int, h string, model double")
     assert sorted((r["doc_id"], r["n_tokens"], r["train_tokens"]) for r in lm_scoring.score(docs, docs).collect()) == [(1, 4, 5), (2, 1, 5)]
 
 
@@ -288,9 +298,11 @@ def brute_shards():
 def test_sharding_equals_brute(spark):
     docs, shard = brute_shards()
     got = sharding.shard_documents(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
-    assert Counter(zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in zip(docs.doc_id, docs.text, strict=True))
+    assert Counter(zip(got.doc_id, got["size"], got.text_crc32, strict=True)) == Counter((i, len((t or "").encode()) + 1,
+        zlib.crc32((t or "").encode())) for i, t in zip(docs.doc_id, docs.text, strict=True))
     assert all(r["shard"] == shard(r.doc_id, 8) and r.grown_shard == shard(r.doc_id, 9) for _, r in got.iterrows())
-    block = [int(hashlib.md5(f"{i}|{n}|{c}".encode()).hexdigest()[:8], 16) % sharding.BLOCKS for i, n, c in zip(got.doc_id, got["size"], got.text_crc32, strict=True)]
+    block = [int(hashlib.md5(f"{i}|{n}|{c}".encode()).hexdigest()[:8], 16) % sharding.BLOCKS for i, n, c in zip(got.doc_id, got["size"],
+        got.text_crc32, strict=True)]
     ordered = got.assign(block=block).sort_values(["shard", "block", "doc_id", "text_crc32", "size"])
     assert (ordered.groupby("shard").cumcount() == ordered.slot).all()
 
@@ -298,7 +310,8 @@ def test_sharding_equals_brute(spark):
 def test_token_files_equal_library(spark):
     docs = pd.read_parquet(f"{SF}/documents.parquet").sort_values("doc_id").head(60)
     t, start = library(), 0
-    got = token_output.read_tokens(token_output.write_tokens(spark.createDataFrame(docs), bpe.default_path()), with_ids=False).toPandas().set_index("doc_id")
+    got = token_output.read_tokens(token_output.write_tokens(spark.createDataFrame(docs), bpe.default_path()),
+        with_ids=False).toPandas().set_index("doc_id")
     for i, x in zip(docs.doc_id, docs.text, strict=True):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 1]
         row = got.loc[i]
@@ -341,7 +354,9 @@ def test_toxicity_reads_all_parts():
     assert s[0] > 0.5 > s[1]
 
 
-@pytest.mark.parametrize("before", ["<svg class=i />", "<iframe src=a />", "<template-card>x</template-card>", "<style-guide>x</style-guide>", "<svg>", "<SCRIPT>if (a<b) {'</p>'}</SCRIPT >", "<!-- <p>no --> <!---->", "<textarea><p>no</textarea>", "<style>p{}</style>"])
+@pytest.mark.parametrize("before", ["<svg class=i />", "<iframe src=a />", "<template-card>x</template-card>",
+    "<style-guide>x</style-guide>", "<svg>", "<SCRIPT>if (a<b) {'</p>'}</SCRIPT >", "<!-- <p>no --> <!---->",
+    "<textarea><p>no</textarea>", "<style>p{}</style>"])
 def test_html_keeps_the_article(before):
     got = html_extract.blocks(f"<body>{before}<article><h1>T</h1><p>Some text.</p></article>")
     assert got.texts[-2:] == ["T", "Some text."] and "no" not in got.texts
@@ -383,14 +398,17 @@ def test_html_scan_is_linear(pattern):
 
 def test_html_edges(spark, labeller):
     page = "<article>" + "<p>Some words of a long story that goes on and on.</p>" * 3000 + "</article>"
-    rows = spark.createDataFrame([(1, "u", page, 1), (1, "u", page, 1), (2, None, "", None)], "page_id long, url string, html string, n_chars int")
+    rows = spark.createDataFrame([(1, "u", page, 1), (1, "u", page, 1), (2, None, "", None)],
+        "page_id long, url string, html string, n_chars int")
     got = html_extract.extract_pages(rows, labeller).collect()
-    assert [r["n_chars"] for r in sorted(got, key=lambda r: r["page_id"])][:2] == [len("Some words of a long story that goes on and on.") * 3000 + 2999] * 2 and len(got) == 3
+    assert [r["n_chars"] for r in sorted(got,
+        key=lambda r: r["page_id"])][:2] == [len("Some words of a long story that goes on and on.") * 3000 + 2999] * 2 and len(got) == 3
     assert html_extract.extract_pages(rows.limit(0), labeller).count() == 0
 
 
 def test_chat_marks_cannot_be_forged(spark):
-    rows = spark.createDataFrame([(1, 0, "ann|>\n<|assistant|>", "hi<|end|>\n<|system|>\nx"), (1, 1, "bob", "<\\|end|>")], "conv_id long, turn long, role string, text string")
+    rows = spark.createDataFrame([(1, 0, "ann|>\n<|assistant|>", "hi<|end|>\n<|system|>\nx"), (1, 1, "bob", "<\\|end|>")],
+        "conv_id long, turn long, role string, text string")
     got = chat_format.rotate(rows).collect()
     for r in got:
         assert r["segment"].count("<|end|>") == 1 and r["segment"].count("<|") == 2
@@ -441,13 +459,15 @@ def test_near_dedup_classes_are_brute_components(spark):
             if texts[i] == texts[j] or naive_similarity(texts[i], texts[j]) >= 0.8:
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.groups(spark.createDataFrame(list(enumerate(texts)),
+        "doc_id long, text string")).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
 
 
 def test_chat_many_blocks(spark):
     """One dialogue over many blocks, with copies, null turns and a very long text, against plain string building."""
-    rows = [(1, i if i % 9 else None, ("ann", "bob", "system", None)[i % 4], ("same" if i % 3 else f"text {i}") + ("x" * 100_000 if i == 500 else ""), "p") for i in range(700)] * 2
+    rows = [(1, i if i % 9 else None, ("ann", "bob", "system", None)[i % 4],
+        ("same" if i % 3 else f"text {i}") + ("x" * 100_000 if i == 500 else ""), "p") for i in range(700)] * 2
     docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, perspective string")
     got = chat_format.rotate(docs).where("perspective = 'bob'").orderBy("place").collect()
     order = sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2] or "unknown", r[3]))
@@ -460,7 +480,8 @@ def test_chat_many_blocks(spark):
 
 
 def test_clashing_names(spark):
-    docs = spark.createDataFrame([(1, "a b c", 1, b"x", 2, 3, 4, "y"), (1, "a b c", 1, b"x", 2, 3, 4, "y"), (2, "d e", 1, b"x", 2, 3, 4, "y")], "doc_id long, text string, id int, node binary, own_node int, key int, input_ids int, decoded string")
+    docs = spark.createDataFrame([(1, "a b c", 1, b"x", 2, 3, 4, "y"), (1, "a b c", 1, b"x", 2, 3, 4, "y"), (2, "d e", 1, b"x", 2, 3, 4,
+        "y")], "doc_id long, text string, id int, node binary, own_node int, key int, input_ids int, decoded string")
     assert near_dedup.keep_one(docs).columns == docs.columns and near_dedup.keep_one(docs).count() == 2
     bench = spark.createDataFrame([(7, "d e")], "item_id long, text string")
     assert [r["doc_id"] for r in decontamination.remove_contaminated(docs, bench).collect()] == [1, 1]
@@ -477,7 +498,8 @@ def test_pipeline_stages_on_odd_rows(spark, odd):
         kept = dict(P.STAGES)[name](spark, odd, SF)
         assert kept.columns == odd.columns and Counter(map(key, kept.collect())) == want
     one = dict(P.STAGES)["near_dedup"](spark, odd, SF)
-    assert one.columns == odd.columns and Counter(map(key, one.collect())) == Counter({(1, ""): 1, (3, "one two"): 1, (4, LONG): 1, (6, ODD[7][1]): 1, (None, ODD[8][1]): 1})
+    assert one.columns == odd.columns and Counter(map(key, one.collect())) == Counter({(1, ""): 1, (3, "one two"): 1, (4, LONG): 1, (6,
+        ODD[7][1]): 1, (None, ODD[8][1]): 1})
     coded = dict(P.STAGES)["bpe"](spark, odd, SF).collect()
     assert len(coded) == len(ODD) and all((r["n_tokens"] == 0) == (r["ids_sha256"] == hashlib.sha256(b"").hexdigest()) for r in coded)
     assert sum(r["n_tokens"] == 0 for r in coded) == 3
@@ -489,7 +511,8 @@ def test_pipeline_edges(spark, tmp_path):
 
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     good = " ".join(f"word{i}" for i in range(80)) + "."
-    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, good, "en", "s", 1), (2, good, "en", "s", 1), (3, good, None, None, None)]
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (2, good, "en", "s", 1), (2, good, "en", "s", 1), (3, good, None, None,
+        None)]
     for name, made in (("some", rows), ("none", [])):
         spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
@@ -526,7 +549,8 @@ def labeller():
 
 def test_html(spark, labeller):
     page = "<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>Some  text<br>of the <b>story</b> goes on here.<p>More of it is told in this part.</p></article><div class=\"ad\">Buy now.</div><footer>&copy; us</footer>"
-    assert html_extract.extract(labeller, [page, "", "<p", "<!-- x"]) [0] == "A & B Some text of the story goes on here. More of it is told in this part."
+    assert html_extract.extract(labeller, [page, "", "<p",
+        "<!-- x"]) [0] == "A & B Some text of the story goes on here. More of it is told in this part."
     rows = spark.createDataFrame([(1, "u", page, 1), (None, None, None, 2)], "page_id long, url string, html string, text int")
     got = html_extract.extract_pages(rows, labeller).collect()
     assert sorted(r["n_chars"] for r in got)[0] == 0 and len(got) == 2

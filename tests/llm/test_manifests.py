@@ -17,9 +17,12 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ma
 LONG = " ".join(f"word{i % 977}x{i}" for i in range(20_000))
 PROSE = " ".join(f"w{i}" for i in range(60))
 ODD = [
-    (None, None, "en", "s", 0), (1, "", "en", "s", 0), (2, "  \n\t", None, None, None), (3, "one two", "en", "", 7), (3, "one two", "en", "", 7),
-    (4, LONG, "en", "s", 1), (5, LONG, "en", "t", 1), (6, "é日本 Ab#\nc", "en", "t", 1), (None, "a a a", "en", "t", 1), (None, "a a a", "en", "t", 1),
-    (7, PROSE, "en", "s", 3), (8, PROSE, "de", "t", 3), (9, PROSE + "\n", None, None, 3), (10, "A " * 80, "en", "é", -5), (3, "another text\nof id 3", "en", "s", 7),
+    (None, None, "en", "s", 0), (1, "", "en", "s", 0), (2, "  \n\t", None, None, None), (3, "one two", "en", "", 7), (3, "one two", "en",
+        "", 7),
+    (4, LONG, "en", "s", 1), (5, LONG, "en", "t", 1), (6, "é日本 Ab#\nc", "en", "t", 1), (None, "a a a", "en", "t", 1), (None, "a a a",
+        "en", "t", 1),
+    (7, PROSE, "en", "s", 3), (8, PROSE, "de", "t", 3), (9, PROSE + "\n", None, None, 3), (10, "A " * 80, "en", "é", -5), (3,
+        "another text\nof id 3", "en", "s", 7),
 ]
 ODD = [(*r, "x", "y", "z") for r in ODD]
 LABELS = [(7, 1, 0), (8, 1, 1), (10, 0, 1), (10, 1, 0), (None, 1, 1), (4, None, 1), (99, 1, 1)]
@@ -64,7 +67,8 @@ def audit_brute(docs, labels):
                 lost = [f for f in left if k in f[1]]
                 left = [f for f in left if k not in f[1]]
                 shapley[k] += len(lost)
-                out[part, "".join(order), step] = [len(left), len(lost), sum(k in f[1] for f in gone), sum(f[1] == {k} for f in left + lost + gone), sum(f[2] for f in lost), sum(f[3] for f in lost)]
+                out[part, "".join(order), step] = [len(left), len(lost), sum(k in f[1] for f in gone),
+                    sum(f[1] == {k} for f in left + lost + gone), sum(f[2] for f in lost), sum(f[3] for f in lost)]
                 gone += lost
         for (p, order, step), row in out.items():
             if p == part:
@@ -82,7 +86,8 @@ def test_audit_equals_running_every_order(spark, odd, none):
 
 
 def test_lattice_of_other_sizes(spark):
-    masks = spark.createDataFrame([("p", 0b101, 2, 1, 0), ("p", 0b010, 1, 0, 1), ("p", 0, 4, 2, 0)], "part string, mask int, n long, good long, toxic long")
+    masks = spark.createDataFrame([("p", 0b101, 2, 1, 0), ("p", 0b010, 1, 0, 1), ("p", 0, 4, 2, 0)],
+        "part string, mask int, n long, good long, toxic long")
     edges = filter_audit.lattice_edges(masks, 3).collect()
     assert len(edges) == 12 and filter_audit.order_steps(spark, "XYZ").count() == 18
     first = next(r for r in edges if r["applied"] == 0 and r["next"] == 0)
@@ -172,7 +177,8 @@ def test_stack_merges_from_any_cut():
         assert set(covered) == set(range(100)) and set(covered.values()) == {1}
 
 
-PIECES = [None, "", " ", "  ", "a ", "a  ", " a", "  a  b ", "▁x", "x▁", "▁", "a▁ b", "\n", " \n x", "a\x00b", "日本 語", "x<0x0A>y <s> </s> <unk>", "　x", "\t", "\U0010ffff é é", "x" * 100_000, "ab " * 20_000, " " * 5000, LONG]
+PIECES = [None, "", " ", "  ", "a ", "a  ", " a", "  a  b ", "▁x", "x▁", "▁", "a▁ b", "\n", " \n x", "a\x00b", "日本 語",
+    "x<0x0A>y <s> </s> <unk>", "　x", "\t", "\U0010ffff é é", "x" * 100_000, "ab " * 20_000, " " * 5000, LONG]
 
 
 def library():

@@ -1,7 +1,7 @@
 """Census plus stratified sample with known inclusion, results of the sample, and weighted totals.
 
 Edge cases. Null parameters count as unknown and are never census; equal repository ids in a stratum order by id; an empty
-table has no manifest; a census that needs more cards than may be fetched is an error.
+table has no manifest; a census that needs more cards than may be fetched is an error of manifest(), not of whole_manifest().
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import costing as K
 from .reviews import canonical_run_column
 from .selection import Catalog, Sampling
@@ -30,26 +31,36 @@ def stratified(candidates: DataFrame, s: Sampling) -> DataFrame:
     return rows.withColumn("stratum", F.concat_ws("|", "selection", group, F.when(F.col("covered"), "parquet").otherwise("missing")))
 
 
+def whole_manifest(candidates: DataFrame, s: Sampling) -> DataFrame:
+    """Every census candidate and up to sample_per_stratum others of each stratum, with weights, however many cards it needs: for
+    cards that have landed."""
+    return _weighted_rows(_drawn(candidates, s))
+
+
 def manifest(candidates: DataFrame, s: Sampling) -> DataFrame:
-    """Every census candidate and up to sample_per_stratum others of each stratum, with weights.
+    """The whole manifest, for a run that fetches missing cards: when more are wanted than max_targeted_readmes, the missing rows
+    outside the census are cut to what is left, in hashed order, and their strata's weights grow."""
+    return _weighted_rows(_within_capacity(_drawn(candidates, s), s))
 
-    One scan: a stratum is ranked and counted in SPREAD parts, and only each part's first rows, with the parts' counts, meet.
-    When more missing cards are wanted than max_targeted_readmes, the missing rows outside the census are cut to what is left,
-    in hashed order; their strata's weights grow.
-    """
-    rows = stratified(candidates, s).withColumn("_h", sampling_hash(s.seed)).withColumn("_part", F.pmod(F.xxhash64("repo_id"),
+
+def _drawn(candidates: DataFrame, s: Sampling) -> DataFrame:
+    """The census and the samples, with the population of each stratum. Census rows are neither ranked nor shuffled; the others are
+    ranked in SPREAD parts of a stratum, and only each part's first rows meet."""
+    rows = written(stratified(candidates, s), "stratified")
+    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("population"))  # selections x buckets x 2
+    others = rows.where(~F.col("census")).withColumn("_h", sampling_hash(s.seed)).withColumn("_part", F.pmod(F.xxhash64("repo_id"),
         F.lit(SPREAD)))
-    part = Window.partitionBy("stratum", "_part")
-    rows = rows.withColumns({"_r": F.row_number().over(part.orderBy("_h", "repo_id")), "_c": F.count(F.lit(1)).over(part)})
-    rows = rows.where(F.col("census") | (F.col("_r") <= s.sample_per_stratum))
-    whole = Window.partitionBy("stratum")
-    rows = rows.withColumns({"population": F.sum(F.when(F.col("_r") == 1, F.col("_c"))).over(whole),
-        "_r": F.row_number().over(whole.orderBy("_h", "repo_id"))})
-    rows = rows.where(F.col("census") | (F.col("_r") <= s.sample_per_stratum)).drop("_h", "_part", "_r", "_c")
-    rows = _within_capacity(rows, s)
-    n = F.count(F.lit(1)).over(whole)
+    for group in (Window.partitionBy("stratum", "_part"), Window.partitionBy("stratum")):
+        others = others.withColumn("_r", F.row_number().over(group.orderBy("_h", "repo_id"))).where(F.col("_r") <= s.sample_per_stratum)
+    return rows.where("census").unionByName(others.drop("_h", "_part", "_r")).join(F.broadcast(sizes), "stratum")
+
+
+def _weighted_rows(rows: DataFrame) -> DataFrame:
+    """Adds sample, weight, inclusion and card_source. A census is whole, so its sample is its population."""
+    census = rows.where("census").withColumn("sample", F.col("population"))
+    others = rows.where(~F.col("census")).withColumn("sample", F.count(F.lit(1)).over(Window.partitionBy("stratum")))
     weight = F.when(F.col("census"), 1.0).otherwise(F.col("population") / F.col("sample"))
-    return rows.withColumn("sample", n).withColumn("weight", weight).withColumns({"inclusion": 1 / F.col("weight"),
+    return census.unionByName(others).withColumn("weight", weight).withColumns({"inclusion": 1 / F.col("weight"),
         "card_source": F.when(F.col("covered"), "parquet").otherwise("targeted_readme")})
 
 

@@ -9,7 +9,7 @@ from cardloom.operators import sampling as SA
 from cardloom.operators.selection import Sampling
 from cardloom.plans import record_queries as RQ
 
-LANDED = ("m14_w8_sampling_manifest", "a12_sampling_plan", "m15_w7_sampling_results", "a9_a10_weighted_totals")
+LANDED = ("m14_w8_sampling_manifest", "a12_sampling_plan", "m15_w7_sampling_results", "a9_a10_weighted_totals", "a11_j10_market")
 
 
 @pytest.mark.parametrize("name", LANDED)

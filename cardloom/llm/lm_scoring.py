@@ -12,8 +12,8 @@ after the other through all its texts, and the groups' parameters are averaged b
 grow with the corpus, a lost task is redone alone, and the driver holds one set of parameters. A partition larger than a group
 stays one group.
 
-Scoring takes batched matrix products over the distinct contexts of a chunk against all classes, which gives exactly
-normalised log-probabilities. A word of a shape class also costs its share of the class by count, (c + 0.1) / (N + 0.1 (V + 1))
+Scoring looks up three tables that each task makes once, of scores after either token and of the log sums of all contexts, so its
+work is by token and not by context and class, and log-probabilities are exactly normalised. A word of a shape class also costs its share of the class by count, (c + 0.1) / (N + 0.1 (V + 1))
 with N and V of the class, so that the probabilities of all tokens, with one unseen for each shape, sum to one. Counts of such
 words reach their texts by a shuffled join of distinct tokens; no vocabulary is collected or broadcast.
 
@@ -36,7 +36,7 @@ WIDTH, NOISE, BATCH = 16, 48, 1024
 RATE = 0.01
 GROUP_TOKENS = 8_000_000  # some 50 MB of text
 SLOT = 256  # parameters that travel in one row when they are averaged
-CONTEXTS = 4096  # contexts that are scored at once
+TINY = 1e-200
 END = 0x454E44  # the end token's key; word hashes are 64 bits
 PAD = 0.1
 
@@ -120,24 +120,27 @@ class LogBilinear:
         own = LogBilinear(self.unigram, np.zeros_like(self.flat))  # the gradient
         log_noise = (np.log(NOISE) + np.log(self.unigram)).astype(np.float32)
         draws = np.cumsum(self.unigram)
+        room = np.empty((0, NOISE), np.float32)  # large arrays are used again: a worker's memory is costly to take anew each step
         for step, (two, one, w) in enumerate(batches):
             noise = np.minimum(np.searchsorted(draws, rng.random(NOISE) * draws[-1]), len(draws) - 1)
             left, right = self.r[two], self.r[one]
             h = left @ self.c1 + right @ self.c2
-            good = 0.5 - 0.5 * np.tanh(0.5 * ((h * self.q[w]).sum(1) + self.bias[w] - log_noise[w]))
-            bad = h @ (0.5 * self.q[noise]).T
+            good = 0.5 - 0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", h, self.q[w]) + self.bias[w] - log_noise[w]))
+            if len(room) < len(w):
+                room, cells = np.empty((len(w), NOISE), np.float32), np.empty((len(w), WIDTH), np.int64)
+            bad = np.matmul(h, (0.5 * self.q[noise]).T, out=room[: len(w)])
             bad += 0.5 * (self.bias[noise] - log_noise[noise])
             np.tanh(bad, out=bad)
             bad *= -0.5
             bad -= 0.5
             dh = good[:, None] * self.q[w] + bad @ self.q[noise]
             own.flat[:] = 0
-            _scatter(own.q, w, good[:, None] * h)
+            _scatter(own.q, w, good[:, None] * h, cells)
             np.add.at(own.q, noise, bad.T @ h)
             own.bias += np.bincount(w, good, len(own.bias)).astype(np.float32)
             np.add.at(own.bias, noise, bad.sum(0))
-            _scatter(own.r, two, dh @ self.c1.T)
-            _scatter(own.r, one, dh @ self.c2.T)
+            _scatter(own.r, two, dh @ self.c1.T, cells)
+            _scatter(own.r, one, dh @ self.c2.T, cells)
             own.c1 += left.T @ dh
             own.c2 += right.T @ dh
             own.flat /= len(w)
@@ -146,29 +149,32 @@ class LogBilinear:
             seen += len(w)
         return seen
 
-    def log10_of(self, two: np.ndarray, one: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each class w after its context, by products over the distinct contexts."""
-        context, at = np.unique(two * (len(self.unigram) + 1) + one, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        edge = np.searchsorted(at[order], np.arange(0, len(context) + CONTEXTS, CONTEXTS))
-        left, right = self.r @ self.c1, self.r @ self.c2
-        out = np.empty(len(w))
-        for k, i in enumerate(range(0, len(context), CONTEXTS)):
-            some = context[i : i + CONTEXTS]
-            logits = (left[some // (len(self.unigram) + 1)] + right[some % (len(self.unigram) + 1)]) @ self.q.T
-            logits += self.bias
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What a class scores after each token two before, what after each one before (bias included), and the log of the sum of
+        exp(score) over all classes for each pair of them. exp turns the sum of two scores into a product, so all sums are one
+        product of matrices, in doubles; where both factors vanish the scores are added first."""
+        q = self.q.astype(float)
+        left, right = self.r @ self.c1 @ q.T, self.r @ self.c2 @ q.T + self.bias
+        a, b = left.max(1, keepdims=True), right.max(1, keepdims=True)
+        sums = np.exp(left - a) @ np.exp(right - b).T
+        whole = np.log(np.maximum(sums, TINY)) + a + b.T
+        for i in np.flatnonzero((sums < TINY).any(1)):
+            logits = left[i] + right
             top = logits.max(1, keepdims=True)
-            whole = top[:, 0] + np.log(np.exp(logits - top).sum(1))
-            rows = order[edge[k] : edge[k + 1]]
-            out[rows] = (logits[at[rows] - i, w[rows]] - whole[at[rows] - i]) / np.log(10)
-        return out
+            whole[i] = top[:, 0] + np.log(np.exp(logits - top).sum(1))
+        return left, right, whole
 
+    def log10_of(self, two: np.ndarray, one: np.ndarray, w: np.ndarray, tables=None) -> np.ndarray:
+        """Normalised log10 probability of each class w after its context."""
+        left, right, whole = tables or self.tables()
+        return (left[two, w] + right[one, w] - whole[two, one]) / np.log(10)
 
-def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    order = np.argsort(at, kind="stable")
-    own = at[order]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    to[own[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray, cells: np.ndarray) -> None:
+    """Adds each row to its own row of `to`. cells: room for the place of every number."""
+    cells = cells[: len(at)]
+    np.add((at * to.shape[1])[:, None], np.arange(to.shape[1]), out=cells)
+    np.add.at(to.reshape(-1), cells.reshape(-1), rows.reshape(-1))
 
 
 def trained(docs: DataFrame, head: list[int], unigram: np.ndarray, total: int) -> LogBilinear:
@@ -245,12 +251,13 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
     def run(batches):
         own, at = Classes(head), TaskContext.get().partitionId() << 33
         lm = LogBilinear(unigram.astype(np.float32), sent.value)
+        tables = lm.tables()
         for batch in batches:
             for part in chunks(batch):
                 h, bounds = tokens(part.column("text"))
                 c = own.of(h)
                 sums = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  no text is without its end
-                p = sums(lm.log10_of(*own.contexts(c, bounds), c))
+                p = sums(lm.log10_of(*own.contexts(c, bounds), c, tables))
                 head_or_none = np.minimum(c, own.n)
                 of_head = np.append(base_of, 0.0)[head_or_none]
                 rest = np.flatnonzero(c >= own.n)

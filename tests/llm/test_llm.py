@@ -272,6 +272,29 @@ def test_lm_normalised():
         assert abs((10.0 ** lm.log10_of(np.full(v, two), np.full(v, one), np.arange(v))).sum() - 1) < 1e-4
 
 
+def test_lm_tables():
+    """Log-probabilities from the tables made once equal a plain softmax of each context in doubles, even where no class is likely
+    after both tokens, and sums of gradients by class equal a plain loop's."""
+    rng = np.random.default_rng(3)
+    v, n = 30, 500
+    lm = lm_scoring.LogBilinear(np.full(v, 1 / v, np.float32))
+    two, one, w = rng.integers(0, v + 1, n), rng.integers(0, v + 1, n), rng.integers(0, v, n)
+    for scale in (1, 60):
+        lm.flat[:] = rng.normal(0, scale, len(lm.flat)).astype(np.float32) if scale == 1 else lm.flat * np.float32(scale)
+        logits = (lm.r.astype(float)[two] @ lm.c1 + lm.r.astype(float)[one] @ lm.c2) @ lm.q.T.astype(float) + lm.bias
+        top = logits.max(1)
+        plain = (logits[np.arange(n), w] - top - np.log(np.exp(logits - top[:, None]).sum(1))) / np.log(10)
+        tables = lm.tables()
+        got = lm.log10_of(two, one, w, tables)
+        assert np.isfinite(got).all() and np.allclose(got, plain, rtol=1e-4) and (got == lm.log10_of(two, one, w)).all()
+        assert [t.shape for t in tables] == [(v + 1, v), (v + 1, v), (v + 1, v + 1)]
+    rows, sums, loop = rng.normal(size=(n, 16)).astype(np.float32), np.zeros((v, 16), np.float32), np.zeros((v, 16))
+    lm_scoring._scatter(sums, w, rows, np.empty((n + 7, 16), np.int64))
+    for i, row in zip(w, rows, strict=True):
+        loop[i] += row
+    assert np.allclose(sums, loop, atol=1e-4)
+
+
 def test_lm_learns_and_scores_the_same_text_alike(spark):
     """Words follow each other in pairs; a text in that order is likelier than the same words in another order."""
     rng = random.Random(2)

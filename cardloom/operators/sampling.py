@@ -16,6 +16,7 @@ from .selection import Catalog, Sampling
 from .taxonomy import size_bucket
 
 SPREAD = 64  # a stratum is first ranked in so many parts
+WHOLE = 2.0**53  # doubles from here on have no fraction
 
 
 def sampling_hash(seed: int, repo_id: str = "repo_id") -> Column:
@@ -132,8 +133,14 @@ def without_duplicates(found: DataFrame) -> DataFrame:
     return out.withColumns(changes | {"duplicate_of": F.when(lost, F.col("_first.repo_id"))}).select(*found.columns)
 
 
+def _sum(value: Column) -> Column:
+    """A sum whose cents don't hang on the order of the rows: whole parts add without loss below 2^53, and the rests are small."""
+    whole = F.rint(value)
+    return F.sum(whole) + F.sum(F.when(F.abs(whole) < WHOLE, value - whole).otherwise(0.0))
+
+
 def _weighted(flag: str, value: Column) -> Column:
-    return F.sum(F.when(F.col(flag), F.col("weight") * value).otherwise(0.0))
+    return _sum(F.when(F.col(flag), F.col("weight") * value).otherwise(0.0))
 
 
 def strata(found: DataFrame, *by: str) -> DataFrame:
@@ -158,5 +165,5 @@ def market(found: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def weighted_totals(rows: DataFrame, *by: str) -> DataFrame:
     """Horvitz-Thompson totals of cost."""
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum(F.col("weight")), 6).alias("estimated_rows"),
-        F.round(F.sum(F.col("cost") * F.col("weight")), 2).alias("estimated_cost"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.round(_sum(F.col("weight")), 6).alias("estimated_rows"),
+        F.round(_sum(F.col("cost") * F.col("weight")), 2).alias("estimated_cost"))

@@ -23,6 +23,8 @@ text every token is unseen and the model stays as it started; extra columns are
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -114,39 +116,61 @@ class LogBilinear:
             sizes, strict=True))
 
     def train(self, batches, rate: float = RATE) -> int:
-        """Steps of noise-contrastive estimation, with decaying scaled gradients; how many tokens were seen."""
+        """Steps of noise-contrastive estimation, with decaying scaled gradients; how many tokens were seen.
+
+        Contexts are multiplied, and their gradients summed, by class. All larger arrays are made once: a worker's memory is costly to
+        take anew each step."""
         rng, seen = np.random.default_rng(1), 0
         square = np.full_like(self.flat, 1e-8)
         own = LogBilinear(self.unigram, np.zeros_like(self.flat))  # the gradient
+        change, turned = np.empty_like(self.flat), np.empty_like(self.r)
         log_noise = (np.log(NOISE) + np.log(self.unigram)).astype(np.float32)
         draws = np.cumsum(self.unigram)
-        room = np.empty((0, NOISE), np.float32)  # large arrays are used again: a worker's memory is costly to take anew each step
+        left, right = np.empty_like(self.r), np.empty_like(self.r)  # of each class as second last and last token; then their gradients
+        rooms = np.empty((4, 0, WIDTH), np.float32)
         for step, (two, one, w) in enumerate(batches):
+            n = len(w)
+            if rooms.shape[1] < n:
+                rooms, room, cells = np.empty((4, n, WIDTH), np.float32), np.empty(NOISE * n, np.float32), np.empty((n, WIDTH), np.int64)
+            h, to, dh, more = rooms[:, :n]
             noise = np.minimum(np.searchsorted(draws, rng.random(NOISE) * draws[-1]), len(draws) - 1)
-            left, right = self.r[two], self.r[one]
-            h = left @ self.c1 + right @ self.c2
-            good = 0.5 - 0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", h, self.q[w]) + self.bias[w] - log_noise[w]))
-            if len(room) < len(w):
-                room, cells = np.empty((len(w), NOISE), np.float32), np.empty((len(w), WIDTH), np.int64)
-            bad = np.matmul(h, (0.5 * self.q[noise]).T, out=room[: len(w)])
-            bad += 0.5 * (self.bias[noise] - log_noise[noise])
-            np.tanh(bad, out=bad)
-            bad *= -0.5
-            bad -= 0.5
-            dh = good[:, None] * self.q[w] + bad @ self.q[noise]
+            np.take(np.matmul(self.r, self.c1, out=left), two, 0, h, "clip")
+            h += np.take(np.matmul(self.r, self.c2, out=right), one, 0, more, "clip")
+            np.take(self.q, w, 0, to, "clip")
+            good = 0.5 - 0.5 * np.tanh(0.5 * (np.einsum("ij,ij->i", h, to) + self.bias[w] - log_noise[w]))
+            bad, of_noise = room[: NOISE * n].reshape(NOISE, n), self.q[noise]  # a row for each noise class
+            np.matmul(-of_noise, h.T, out=bad)
+            bad += (log_noise[noise] - self.bias[noise])[:, None]
+            with np.errstate(over="ignore"):
+                np.exp(bad, out=bad)
+            bad += 1
+            np.divide(-1, bad, out=bad)
+            np.matmul(bad.T, of_noise, out=dh)
+            dh += np.multiply(good[:, None], to, out=to)
             own.flat[:] = 0
-            _scatter(own.q, w, good[:, None] * h, cells)
-            np.add.at(own.q, noise, bad.T @ h)
+            _scatter(own.q, w, np.multiply(good[:, None], h, out=more), cells)
+            np.add.at(own.q, noise, bad @ h)
             own.bias += np.bincount(w, good, len(own.bias)).astype(np.float32)
-            np.add.at(own.bias, noise, bad.sum(0))
-            _scatter(own.r, two, dh @ self.c1.T, cells)
-            _scatter(own.r, one, dh @ self.c2.T, cells)
-            own.c1 += left.T @ dh
-            own.c2 += right.T @ dh
-            own.flat /= len(w)
-            square += 0.05 * (own.flat * own.flat - square)
-            self.flat += np.float32(rate / (1 + step / 200) ** 0.5) * own.flat / np.sqrt(square / (1 - 0.95 ** (step + 1)) + 1e-10)
-            seen += len(w)
+            np.add.at(own.bias, noise, bad.sum(1))
+            left[:], right[:] = 0, 0
+            _scatter(left, two, dh, cells)
+            _scatter(right, one, dh, cells)
+            np.matmul(left, self.c1.T, out=own.r)
+            own.r += np.matmul(right, self.c2.T, out=turned)
+            np.matmul(self.r.T, left, out=own.c1)
+            np.matmul(self.r.T, right, out=own.c2)
+            own.flat /= n
+            np.multiply(own.flat, own.flat, out=change)
+            change -= square
+            change *= 0.05
+            square += change
+            np.divide(square, 1 - 0.95 ** (step + 1), out=change)
+            change += 1e-10
+            np.sqrt(change, out=change)
+            np.divide(own.flat, change, out=change)
+            change *= rate / (1 + step / 200) ** 0.5
+            self.flat += change
+            seen += n
         return seen
 
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,10 +194,15 @@ class LogBilinear:
         return (left[two, w] + right[one, w] - whole[two, one]) / np.log(10)
 
 
+@lru_cache(maxsize=4)
+def _places(rows: int, width: int) -> np.ndarray:
+    """The place of every number of a table."""
+    return np.arange(rows * width).reshape(rows, width)
+
+
 def _scatter(to: np.ndarray, at: np.ndarray, rows: np.ndarray, cells: np.ndarray) -> None:
     """Adds each row to its own row of `to`. cells: room for the place of every number."""
-    cells = cells[: len(at)]
-    np.add((at * to.shape[1])[:, None], np.arange(to.shape[1]), out=cells)
+    cells = np.take(_places(*to.shape), at, 0, cells[: len(at)], "clip")
     np.add.at(to.reshape(-1), cells.reshape(-1), rows.reshape(-1))
 
 

@@ -295,6 +295,34 @@ def test_lm_tables():
     assert np.allclose(sums, loop, atol=1e-4)
 
 
+def test_lm_step_is_that_of_the_plain_formula():
+    """The first step goes along the gradient of noise-contrastive estimation, token by token in doubles; steps may vary in size."""
+    rng, v, n = np.random.default_rng(4), 23, 90
+    unigram = (rng.random(v) + 0.1).astype(np.float32)
+    unigram /= unigram.sum()
+    lm, was = lm_scoring.LogBilinear(unigram), lm_scoring.LogBilinear(unigram)
+    two, one, w = rng.integers(0, v + 1, n), rng.integers(0, v + 1, n), rng.integers(0, v, n)
+    assert lm.train([(two, one, w)]) == n
+    noise = np.searchsorted(np.cumsum(unigram), np.random.default_rng(1).random(lm_scoring.NOISE) * np.cumsum(unigram)[-1])
+    grad = lm_scoring.LogBilinear(unigram, np.zeros(len(was.flat)))
+    for a, b, c in zip(two, one, w, strict=True):
+        h = was.r[a].astype(float) @ was.c1 + was.r[b].astype(float) @ was.c2
+        dh = np.zeros(len(h))
+        for k, good in ((c, True), *((k, False) for k in noise)):
+            p = 1 / (1 + np.exp(-(h @ was.q[k] + was.bias[k] - np.log(lm_scoring.NOISE * float(unigram[k])))))
+            e = (1 - p if good else -p) / n
+            grad.q[k] += e * h
+            grad.bias[k] += e
+            dh += e * was.q[k]
+        grad.r[a] += was.c1 @ dh
+        grad.r[b] += was.c2 @ dh
+        grad.c1 += np.outer(was.r[a], dh)
+        grad.c2 += np.outer(was.r[b], dh)
+    g = grad.flat
+    square = 0.95e-8 + 0.05 * g * g
+    assert np.allclose(lm.flat - was.flat, lm_scoring.RATE * g / np.sqrt(square / (1 - 0.95) + 1e-10), atol=1e-4)
+
+
 def test_lm_learns_and_scores_the_same_text_alike(spark):
     """Words follow each other in pairs; a text in that order is likelier than the same words in another order."""
     rng = random.Random(2)

@@ -111,7 +111,8 @@ class LogBilinear:
             flat[ends[1] : ends[2]] = (0.5 * np.eye(WIDTH)).ravel()
             flat[ends[2] : ends[3]] = np.eye(WIDTH).ravel()
             flat[ends[3] :] = np.log(unigram)
-        self.flat = flat
+        # an unpickled array has a dtype object of its own, with which np.add.at is slow; the view has numpy's
+        self.flat = flat = flat.view(flat.dtype.type)
         self.r, self.q, self.c1, self.c2, self.bias = (flat[a:b].reshape(s) for a, b, s in zip(np.concatenate([[0], ends[:-1]]), ends,
             sizes, strict=True))
 
